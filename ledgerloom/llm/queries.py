@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, ngram_join, substring, warc
+from . import decontaminate, exact_dedup, license_scan, mixing, ngram_join, pii, substring, warc
 
 #: Target share of characters per source of the mixing query; SQL below holds the same numbers.
 MIX_WEIGHTS = {f"src{i}": float(1 + i % 4) for i in range(20)}
 MIX_SEED = "mix"
+#: Key of the registered query; a deployment passes its own secret.
+PII_KEY = "demonstration key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.select("doc_id", "item_id", "item_words", "matched_words", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.round_trip(table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -28,6 +35,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return got.select("doc_id", "text", "found", "pseudonyms")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -42,8 +58,11 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_license_scan": op4_license_scan,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
     "op9_poisson_mix": op9_poisson_mix,
