@@ -7,6 +7,7 @@ repeat something; overlapping windows merge there into maximal removal intervals
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ LOW_BITS = 56
 #: Stands for a null id: such a document is never the smallest.
 NO_ID = (1 << 63) - 1
 FLUSH = 1_500_000
+MARK = "<HI"
 
 
 def _windows(words: Words, texts: list[bytes], k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,10 +38,11 @@ def _windows(words: Words, texts: list[bytes], k: int, bits: int) -> tuple[np.nd
 
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
-    """(doc_id, tag, marks: array of (bucket, bits)) of documents with windows that start in a smaller one too.
+    """(doc_id, tag, marks) of documents with windows that start in a smaller one too.
 
-    ``docs`` has doc_id (long) and text; tag is the text's CRC-32. bits: one bit for each of the
-    document's windows of that bucket, in order. The second value is the number of bucket bits.
+    ``docs`` has doc_id (long) and text; tag is the text's CRC-32. marks: for each of some buckets MARK
+    (its number and count) and one bit for each of the document's windows of that bucket, in
+    order. The second value is the number of bucket bits.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(size // 6)
@@ -84,14 +87,31 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
         repeats[order] = each[order] > smallest
         ends = np.cumsum(lengths)
         some = np.flatnonzero(np.add.reduceat(repeats, ends - lengths, dtype=np.int64))
-        return pa.table({
-            "doc_id": pa.array(ids[some]), "tag": pa.array(tags[some].astype(np.int64)), "bucket": pa.array(np.full(len(some), group.column("bucket")[0].as_py(), np.int32)),
-            "bits": pa.array([np.packbits(repeats[ends[i] - lengths[i] : ends[i]]).tobytes() for i in some], pa.binary()),
-        })
+        bucket = group.column("bucket")[0].as_py()
+        part = (tags[some] & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        some, part = some[order], part[order]
+        rows = []
+        for own in np.split(np.arange(len(some)), np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+            runs = some[own]
+            marks = [struct.pack(MARK, bucket, lengths[i]) + np.packbits(repeats[ends[i] - lengths[i] : ends[i]]).tobytes() for i in runs]
+            head = struct.pack("<I", len(runs)) + keys[runs].tobytes() + tags[runs].astype("<u4").tobytes() + np.array([len(m) for m in marks], "<u4").tobytes()
+            rows.append((int(part[own[0]]), head + b"".join(marks)))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+    def gather(group: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[bytes]] = {}
+        for blob in group.column("blob").to_pylist():
+            n = struct.unpack_from("<I", blob)[0]
+            ids, tags, sizes = (np.frombuffer(blob, kind, n, 4 + at * n) for kind, at in (("<i8", 0), ("<u4", 8), ("<u4", 12)))
+            ends = (np.cumsum(sizes, dtype=np.int64) + 4 + 16 * n).tolist()
+            for doc_id, tag, size, end in zip(ids.tolist(), tags.tolist(), sizes.tolist(), ends, strict=True):
+                found.setdefault((doc_id, tag), []).append(blob[end - size : end])
+        return pa.table({"doc_id": pa.array([k[0] for k in found], pa.int64()), "tag": pa.array([k[1] for k in found], pa.int64()), "marks": pa.array([b"".join(v) for v in found.values()], pa.binary())})
 
     packed = docs.select("doc_id", "text").mapInArrow(emit, "bucket int, blob binary")
-    marks = packed.groupBy("bucket").applyInArrow(judge, "doc_id long, tag long, bucket int, bits binary")
-    return marks.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks")), bits
+    parts = packed.groupBy("bucket").applyInArrow(judge, "part int, blob binary")
+    return parts.groupBy("part").applyInArrow(gather, "doc_id long, tag long, marks binary"), bits
 
 
 def spans_of(starts: np.ndarray, n_words: int, k: int) -> list[tuple[int, int]]:
@@ -116,15 +136,18 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     joined = own.withColumn("tag", F.crc32("text")).join(repeats, ["doc_id", "tag"], "left").select("doc_id", "text", "marks")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
 
-    def starts_of(words: Words, text: bytes, marks: list[dict]) -> np.ndarray:
+    def starts_of(words: Words, text: bytes, marks: bytes) -> np.ndarray:
         values, _ = _windows(words, [text], k, bits)
         bucket = (values >> np.uint64(LOW_BITS)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << bits))])
         gone = np.zeros(len(values), bool)
-        for m in marks:
-            lo, hi = edges[m["bucket"]], edges[m["bucket"] + 1]
-            gone[lo:hi] = np.unpackbits(np.frombuffer(m["bits"], np.uint8), count=hi - lo)
+        at = 0
+        while at < len(marks):
+            b, n = struct.unpack_from(MARK, marks, at)
+            at += struct.calcsize(MARK)
+            gone[edges[b] : edges[b] + n] = np.unpackbits(np.frombuffer(marks, np.uint8, (n + 7) // 8, at), count=n)
+            at += (n + 7) // 8
         return order[gone]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
