@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, license_scan, mixing, ngram_join, pii, substring, warc
+from . import decontaminate, exact_dedup, html_main, license_scan, mixing, ngram_join, pii, substring, toxicity, warc
 
 #: Target share of characters per source of the mixing query; SQL below holds the same numbers.
 MIX_WEIGHTS = {f"src{i}": float(1 + i % 4) for i in range(20)}
@@ -52,11 +52,20 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SEED)
     return mixed.select("doc_id", "source", "copy", "shuffle_key", "text")
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_main.main_text(table(spark, sf_dir, "pages"))
+    return got.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -65,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_toxicity": op8_toxicity,
     "op9_poisson_mix": op9_poisson_mix,
+    "op10_html_main_text": op10_html_main_text,
 }
 
 ORACLE: dict[str, str] = {
