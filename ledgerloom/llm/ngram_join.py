@@ -30,7 +30,7 @@ PERCENT = 75
 #: Bits of an n-gram's hash; above them stands the code of its class count, so tokens sort rare first.
 HASH_BITS = 52
 FLUSH = 1_500_000
-BUCKET_ITEMS = 5_000_000
+BUCKET_ITEMS = 2_500_000
 #: Centres of an n-gram's group and rounds of them before the rest is enumerated.
 CENTRES, ROUNDS = 6, 3
 #: Classes of the suffix filter.
@@ -87,7 +87,7 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
     """(sig, n, u, parts, tokens) of the classes that can have a neighbour.
 
     tokens: the n-grams that other classes have too, rare first, as (class count code, hash) in one
-    long; u: how many it has alone; parts: how many tokens fall in each hash class.
+    long; u: how many it has alone; parts: how many tokens fall in each of PARTS hash classes, a byte each.
     """
     bits = bucket_bits(total, BUCKET_ITEMS)
     low_bits = HASH_BITS - bits
@@ -136,9 +136,10 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
         ordered = low[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         sizes = np.diff(np.append(starts, len(ordered)))
-        code = np.minimum(np.floor(64 * np.log2(sizes)), 4095).astype(np.uint64)
+        code = np.minimum(np.floor(64 * np.log2(sizes)), 2047).astype(np.uint64)
         codes = np.empty(len(low), np.uint64)
         codes[order] = np.repeat(code, sizes)
+        del order, ordered
         shared = codes > 0
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)[shared]
         bucket = np.uint64(group.column("bucket")[0].as_py())
@@ -159,18 +160,18 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
         order = np.lexsort((values, owner))
         owner, values = owner[order], values[order]
         some = np.flatnonzero(alive)
-        parts = np.zeros((len(sigs), PARTS), np.int32)
-        np.add.at(parts, (owner, (values % np.uint64(PARTS)).astype(np.int64)), 1)
+        parts = np.bincount(owner * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=len(sigs) * PARTS)
+        packed = np.minimum(parts, 255).astype(np.uint8).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(s[some])])
         return pa.table({
             "sig": pa.array(sigs[some].view(np.int64)), "n": pa.array(n[some]), "u": pa.array(u[some]),
-            "parts": pa.ListArray.from_arrays(np.arange(0, PARTS * len(some) + 1, PARTS, dtype=np.int32), parts[some].ravel()),
+            "parts": pa.array(packed[some]),
             "tokens": pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64)),
         })
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, blob binary")
     parts = packed.groupBy("bucket").applyInArrow(count, "part int, blob binary")
-    return parts.groupBy("part").applyInArrow(gather, "sig long, n long, u long, parts array<int>, tokens array<long>")
+    return parts.groupBy("part").applyInArrow(gather, "sig long, n long, u long, parts long, tokens array<long>")
 
 
 def _verify(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
@@ -181,20 +182,25 @@ def _verify(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
 
 
 def _could_link(percent: int) -> F.Column:
-    """Length filter, and the suffix filter: a lower bound of the difference from counts by hash class."""
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    most = F.floor((F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))
-    fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return fits & (F.col("u_a") + F.col("u_b") + apart <= most)
+    """Length filter, and the suffix filter: a lower bound of the difference from the counts by hash class."""
+    byte = lambda x, i: F.shiftrightunsigned(F.col(f"parts_{x}"), 8 * i).bitwiseAND(F.lit(255))
+    apart = F.col("u_a") + F.col("u_b")
+    for i in range(PARTS):
+        apart = apart + F.abs(byte("a", i) - byte("b", i))
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return fits & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+
+
+def _prefix(percent: int) -> F.Column:
+    """The tokens of a record that stand in its prefix."""
+    return F.expr(f"slice(tokens, 1, cast(greatest(0, n - ceil(n * {percent} / 100) + 1 - u) as int))")
 
 
 def links(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     """Links (a, b) between classes that give the same components as all links, or None without any."""
-    n, u = F.col("n"), F.col("u")
-    prefix = n - F.ceil(n * percent / 100) + 1 - u
-    postings = cut(records.where(F.size("tokens") > 0).select("sig", "n", "u", "parts", F.posexplode(F.expr("slice(tokens, 1, cast(n - ceil(n * %d / 100) + 1 - u as int))" % percent)).alias("i", "token")).withColumn("pos", u + F.col("i")).drop("i"))
-    groups = postings.groupBy("token").agg(F.count("*").alias("m"))
-    postings = cut(postings.join(groups.where("m > 1").select("token"), "token"))
+    places = records.select("sig", "n", "u", "parts", F.posexplode(_prefix(percent)).alias("i", "token")).withColumn("pos", F.col("u") + F.col("i")).drop("i")
+    again = places.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+    postings = cut(places.join(again, "token"))
     if not postings.take(1):
         return None
     found: DataFrame | None = None
@@ -223,20 +229,18 @@ def links(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         if left is not None and gained < left // 20:
             break
         left = gained
+    # across components: a pair is made at the first n-gram that both prefixes have, and only there
     now = labelled()
     sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     marked = cut(now.join(sizes.select("token", "top"), "token"))
-    side = lambda x: marked.select("token", "top", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "comp", "n", "u", "parts", "pos")])
-    cross = side("a").where("comp_a <> top").drop("top").join(side("b"), "token").where((F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top")) | (F.col("sig_a") < F.col("sig_b"))))
-    cross = cross.where(_could_link(percent)).select("sig_a", "sig_b", "n_a", "n_b", "pos_a", "pos_b")
-    # a pair's prefixes agree in so many n-grams, and no further n-gram stands before the last of them
-    ahead = lambda x: F.col("n_a" if x == "a" else "n_b") - F.col("last_a" if x == "a" else "last_b") - 1
-    flip = F.col("sig_a") > F.col("sig_b")
-    ordered = cross.select(F.least("sig_a", "sig_b").alias("a"), F.greatest("sig_a", "sig_b").alias("b"), F.when(flip, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(flip, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), F.when(flip, F.col("pos_b")).otherwise(F.col("pos_a")).alias("pos_a"), F.when(flip, F.col("pos_a")).otherwise(F.col("pos_b")).alias("pos_b"))
-    once = ordered.groupBy("a", "b").agg(F.count("*").alias("common"), F.max("pos_a").alias("last_a"), F.max("pos_b").alias("last_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    pairs = once.where(F.col("common") + F.least(ahead("a"), ahead("b")) >= need)
-    new = cut(_verify(pairs, records, percent))
+    prefixes = records.select("sig", _prefix(percent).alias("prefix"))
+    side = lambda rows, x: rows.join(prefixes, "sig").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "comp", "n", "u", "parts", "pos", "prefix", "top")])
+    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    positional = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    other = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top_a")) | (F.col("sig_a") < F.col("sig_b")))
+    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("l.token")
+    cross = side(marked.where("comp <> top"), "a").alias("l").join(side(marked, "b").alias("r"), (F.col("l.token") == F.col("r.token")) & other & _could_link(percent) & positional & first)
+    new = cut(_verify(cross.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")), records, percent))
     return new if found is None else found.union(new)
 
 
