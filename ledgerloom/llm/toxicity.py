@@ -7,6 +7,7 @@ WINDOW words, each STRIDE words on from the last, are scored; a text's logit is
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -344,15 +345,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             room -= n
             ids.append(i)
     spark = docs.sparkSession
-    taken = chosen.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "_id long")), "_id", "left_semi").dropDuplicates(["_id"]).collect()
-    taken.sort(key=lambda r: r._id)
-    y = np.array([r._label for r in taken], np.int64)
+    taken = chosen.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "_id long")), "_id", "left_semi").dropDuplicates(["_id"])
+
+    def train_all(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("_id").to_numpy())
+        y = group.column("_label").to_numpy()[order].astype(np.int64)
+        texts = as_bytes(group.column("_text").combine_chunks())
+        model = train(group.column("_id").to_numpy()[order].tolist(), [texts[i] for i in order], y)
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary()), "share": pa.array([float(y.mean())])})
+
+    # one task trains on the bounded sample, so that the driver holds no more than the model
+    got = taken.select("_id", "_text", "_label").groupBy(F.lit(0).alias("_all")).applyInArrow(lambda group: train_all(group), "model binary, share double").collect()
     totals = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    model = train([r._id for r in taken], [r._text.encode("utf-8", "replace") for r in taken], y)
+    model = pickle.loads(got[0].model) if got else None
     if model is not None:
         # the sample has more of the rarer label than the labelled rows have
-        model.shift += float(np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean())))
+        model.shift += float(np.log(share / (1 - share)) - np.log(got[0].share / (1 - got[0].share)))
     return model, share
 
 
