@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NON_ALNUM_BYTES, Words, as_bytes, chunks, owners, window_hashes
+from .tokens import NON_ALNUM_BYTES, Words, owners, text_chunks, window_hashes
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
@@ -164,9 +164,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least: int = MIN_M
         def judge(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, seeds = Words(NON_ALNUM_BYTES, lower=True), shared.value
             for batch in batches:
-                doc_ids, texts, rows = batch.column(0), as_bytes(batch.column(1)), []
-                for lo, hi in chunks(texts):
-                    for text, item, coverage, tiles in judge_texts(words, texts[lo:hi], seeds, least, threshold):
+                doc_ids, rows = batch.column(0), []
+                for lo, _, texts in text_chunks(batch.column(1)):
+                    for text, item, coverage, tiles in judge_texts(words, texts, seeds, least, threshold):
                         rows.append((doc_ids[lo + text].as_py(), seeds.ids[item], int(seeds.offsets[item + 1] - seeds.offsets[item]), sum(t[2] for t in tiles), coverage, [{"item_at": i, "doc_at": j, "length": n} for i, j, n in tiles]))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("item_at", pa.int32()), ("doc_at", pa.int32()), ("length", pa.int32())]))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "item_id", "item_words", "matched_words", "coverage", "tiles"])
@@ -186,10 +186,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, th
         def sift(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             words, seeds = Words(NON_ALNUM_BYTES, lower=True), shared.value
             for batch in batches:
-                texts = as_bytes(batch.column(at))
-                clean = np.ones(len(texts), bool)
-                for lo, hi in chunks(texts):
-                    for text, *_ in judge_texts(words, texts[lo:hi], seeds, least, threshold):
+                clean = np.ones(batch.num_rows, bool)
+                for lo, _, texts in text_chunks(batch.column(at)):
+                    for text, *_ in judge_texts(words, texts, seeds, least, threshold):
                         clean[lo + text] = False
                 yield batch.filter(pa.array(clean))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NON_ALNUM_BYTES, Words, as_bytes, chunks, owners
+from .tokens import NON_ALNUM_BYTES, Words, owners, text_chunks
 
 #: The phrases whose places count, and their labels.
 BASE_PHRASES = {
@@ -89,10 +89,9 @@ def inverse_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, float
         words, maybe, n = Words(NON_ALNUM_BYTES, lower=True), _maybe(vocabulary), 0
         seen = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            n += len(texts)
-            for lo, hi in chunks(texts):
-                h, offsets = words.hash_documents(texts[lo:hi])
+            n += batch.num_rows
+            for _, _, texts in text_chunks(batch.column(0)):
+                h, offsets = words.hash_documents(texts)
                 at, which = _known(h, vocabulary, maybe)
                 own = np.searchsorted(offsets, at, "right") - 1
                 seen += np.bincount(np.unique(own * len(vocabulary) + which) % len(vocabulary), minlength=len(vocabulary))
@@ -175,10 +174,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(NON_ALNUM_BYTES, lower=True)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in chunks(texts):
+            for lo, hi, texts in text_chunks(batch.column(1)):
                 n_docs = hi - lo
-                h, offsets = words.hash_documents(texts[lo:hi])
+                h, offsets = words.hash_documents(texts)
                 owner = owners(offsets)
                 n_base, base = np.zeros(n_docs, np.int64), [set() for _ in range(n_docs)]
                 first, last = np.full(n_docs, np.iinfo(np.int64).max), np.full(n_docs, -1)

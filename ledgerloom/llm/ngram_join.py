@@ -21,15 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import bucket_bits, pack, unpack
-from .shared import attach, components, cut
-from .tokens import Words, as_bytes, chunks, mix, owners, window_hashes
+from .shared import attach, cut, cut_and_measure, merge_components
+from .tokens import Words, mix, owners, text_chunks, window_hashes
 
 NGRAM = 5
 #: Least similarity in percent.
 PERCENT = 75
 #: Bits of an n-gram's hash; above them stands the code of its class count, so tokens sort rare first.
 HASH_BITS = 52
-FLUSH = 1_500_000
+FLUSH = 750_000
 BUCKET_ITEMS = 2_500_000
 #: Centres of an n-gram's group and rounds of them before the rest is enumerated.
 CENTRES, ROUNDS = 6, 3
@@ -62,11 +62,11 @@ def ngram_sets(words: Words, texts: list[bytes], k: int) -> tuple[np.ndarray, np
     return values, owner, counts, signatures
 
 
-def _groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _groups(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
     """Ranges of texts of bounded size and at most 4096 texts, which the sort key has room for."""
-    for lo, hi in chunks(texts):
+    for lo, hi, texts in text_chunks(column):
         for at in range(lo, hi, 4096):
-            yield at, min(hi, at + 4096)
+            yield at, min(hi, at + 4096), texts[at - lo : at - lo + 4096]
 
 
 def signatures(docs: DataFrame, k: int = NGRAM) -> DataFrame:
@@ -75,9 +75,8 @@ def signatures(docs: DataFrame, k: int = NGRAM) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(lower=True)
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in _groups(texts):
-                _, _, counts, sigs = ngram_sets(words, texts[lo:hi], k)
+            for lo, hi, texts in _groups(batch.column(1)):
+                _, _, counts, sigs = ngram_sets(words, texts, k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(sigs.view(np.int64), mask=counts == 0)], names=["doc_id", "n", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(emit, "doc_id long, n long, sig long")
@@ -108,9 +107,8 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
             return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for lo, hi in _groups(texts):
-                values, owner, counts, sigs = ngram_sets(words, texts[lo:hi], k)
+            for _, _, texts in _groups(batch.column(0)):
+                values, owner, counts, sigs = ngram_sets(words, texts, k)
                 new = np.zeros(len(sigs), bool)
                 for i, s in enumerate(sigs.tolist()):
                     if counts[i] and s not in seen:
@@ -132,18 +130,19 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
         once[first] = True
         low = low[np.repeat(once, lengths)]
         keys, tags, lengths = keys[once], tags[once], lengths[once]
-        order = np.argsort(low, kind="stable")
+        order = np.argsort(low, kind="stable").astype(np.int32)
         ordered = low[order]
-        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        sizes = np.diff(np.append(starts, len(ordered)))
-        code = np.minimum(np.floor(64 * np.log2(sizes)), 2047).astype(np.uint64)
-        codes = np.empty(len(low), np.uint64)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])).astype(np.int32)
+        del ordered
+        sizes = np.diff(np.append(starts, np.int32(len(low))))
+        code = np.minimum(np.floor(64 * np.log2(sizes)), 2047).astype(np.uint16)
+        codes = np.empty(len(low), np.uint16)
         codes[order] = np.repeat(code, sizes)
-        del order, ordered
+        del order, starts, sizes, code
         shared = codes > 0
         owner = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)[shared]
         bucket = np.uint64(group.column("bucket")[0].as_py())
-        values = codes[shared] << np.uint64(HASH_BITS) | bucket << np.uint64(low_bits) | low[shared]
+        values = codes[shared].astype(np.uint64) << np.uint64(HASH_BITS) | bucket << np.uint64(low_bits) | low[shared]
         got = list(pack(values, 8, keys[owner] >> np.uint64(64 - bits), owner, keys, tags, 1 << bits))
         return pa.table({"part": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
@@ -196,14 +195,13 @@ def _prefix(percent: int) -> F.Column:
     return F.expr(f"slice(tokens, 1, cast(greatest(0, n - ceil(n * {percent} / 100) + 1 - u) as int))")
 
 
-def links(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Links (a, b) between classes that give the same components as all links, or None without any."""
+def link_components(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """Components (node, root) of the classes under all links between them, or None without any."""
     places = records.select("sig", "n", "u", "parts", F.posexplode(_prefix(percent)).alias("i", "token")).withColumn("pos", F.col("u") + F.col("i")).drop("i")
     again = places.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    postings = cut(places.join(again, "token"))
-    if not postings.take(1):
+    postings, seen = cut_and_measure(places.join(again, "token"), F.count("*").alias("n"))
+    if not seen["n"]:
         return None
-    found: DataFrame | None = None
     comp: DataFrame | None = None
 
     def labelled() -> DataFrame:
@@ -220,12 +218,11 @@ def links(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
         both = now.join(near, "token").where(F.col("comp") != F.col("c.comp"))
         wide = both.select(F.least("sig", F.col("c.sig")).alias("a"), F.greatest("sig", F.col("c.sig")).alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"), F.col("u").alias("u_a"), F.col("c.u").alias("u_b"), F.col("parts").alias("parts_a"), F.col("c.parts").alias("parts_b"))
         pairs = wide.where(_could_link(percent)).select("a", "b").distinct()
-        new = cut(_verify(pairs, records, percent))
-        gained = new.count()
+        new, seen = cut_and_measure(_verify(pairs, records, percent), F.count("*").alias("n"))
+        gained = seen["n"]
         if not gained:
             break
-        found = new if found is None else found.union(new)
-        comp = cut(components(found))
+        comp = merge_components(comp, new)
         if left is not None and gained < left // 20:
             break
         left = gained
@@ -240,8 +237,7 @@ def links(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
     other = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top_a")) | (F.col("sig_a") < F.col("sig_b")))
     first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("l.token")
     cross = side(marked.where("comp <> top"), "a").alias("l").join(side(marked, "b").alias("r"), (F.col("l.token") == F.col("r.token")) & other & _could_link(percent) & positional & first)
-    new = cut(_verify(cross.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")), records, percent))
-    return new if found is None else found.union(new)
+    return merge_components(comp, _verify(cross.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")), records, percent))
 
 
 def near_duplicates(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,11 +252,11 @@ def near_duplicates(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, id_
     classes = cut(signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")))
     total = classes.agg(F.sum("n"), F.sum("copies")).first()
     records = cut(shared_tokens(own, total[0] or 0, k, percent))
-    linked = links(records, percent)
+    linked = link_components(records, percent)
     if linked is None:
         roots = classes.select("sig", F.col("first_id").alias("component_id"), "copies")
     else:
-        rooted = classes.join(cut(components(linked)).toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        rooted = classes.join(linked.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
         lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
         roots = rooted.join(lowest, "root").select("sig", "component_id", "copies")
     out = attach(signed, roots, "sig", "copies", total[1] or 0, F.coalesce("doc_id", F.lit(0)))

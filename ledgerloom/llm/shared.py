@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key that holds at least one row in so many counts as hot; so there are at most so many hot keys.
@@ -39,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_and_measure(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """cut, with aggregates of df taken on the way, in the same job."""
+    shared_dir(df.sparkSession)
+    seen = Observation()
+    stored = df.observe(seen, *measures).checkpoint(eager=True)
+    return stored, seen.get
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,15 +79,17 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     return joined.select(*[left[c] for c in left.columns], *picked)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a, b: long): one row (node, root) per linked node, root its smallest.
 
     Alternates large-star and small-star steps, each a min-aggregate and a join, until the edges
     stay the same. Hubs are never gathered: a node's neighbours meet only in the aggregate.
     """
     spark = links.sparkSession
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    state = (F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"))
+    edges, seen = cut_and_measure(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), *state)
+    if not seen["n"]:
+        return spark.createDataFrame([], "node long, root long")
     for _ in range(rounds):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -87,9 +97,18 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        before = seen
+        edges, seen = cut_and_measure(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *state)
+        if seen == before:
             break
-        state = now
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select("v", "v").distinct().toDF("node", "root")) if edges.take(1) else spark.createDataFrame([], "node long, root long")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def merge_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) of what was known and of further links; only roots take part again."""
+    if known is None:
+        return cut(components(links))
+    root = lambda rows, side: rows.join(known.toDF("_n", f"_r{side}"), F.col(side) == F.col("_n"), "left").drop("_n").withColumn(side, F.coalesce(f"_r{side}", side)).drop(f"_r{side}")
+    moved = components(root(root(links.select("a", "b"), "a"), "b"))
+    up = known.join(moved.toDF("_m", "_to"), F.col("root") == F.col("_m"), "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return cut(up.union(moved.join(known.select("node"), "node", "left_anti")))

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import bucket_bits, pack, unpack
-from .tokens import CHUNK, Words, as_bytes, chunks, owners, window_hashes
+from .tokens import CHUNK, Words, owners, text_chunks, window_hashes
 
 WINDOW = 50
 #: Bits of a window's hash below its bucket number: with b bucket bits a hash has 56 + b.
 LOW_BITS = 56
 #: Stands for a null id: such a document is never the smallest.
 NO_ID = (1 << 63) - 1
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 MARK = "<HI"
 
 
@@ -63,9 +63,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
 
         for batch in batches:
             ids = np.array([NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            texts = as_bytes(batch.column(1))
-            for lo, hi in chunks(texts):
-                own = texts[lo:hi]
+            for lo, hi, own in text_chunks(batch.column(1)):
                 values, owner = _windows(words, own, k, bits)
                 held.append((values, owner, ids[lo:hi].view(np.uint64), np.array([zlib.crc32(t) for t in own], np.uint64)))
                 n += len(values)
@@ -153,10 +151,10 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo, hi in chunks(texts, 2 * CHUNK):
+            ids = batch.column(0).to_pylist()
+            for lo, hi, texts in text_chunks(batch.column(1), 2 * CHUNK):
                 rows = []
-                for doc_id, text, marks in zip(ids[lo:hi], texts[lo:hi], batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True):
+                for doc_id, text, marks in zip(ids[lo:hi], texts, batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True):
                     own = text.split()
                     spans = spans_of(starts_of(words, text, marks), len(own), k) if marks else []
                     n = len(own)

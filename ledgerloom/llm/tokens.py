@@ -10,13 +10,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Space and U+0009 to U+000D.
 WHITE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 #: Every ASCII byte but digits and letters.
 NON_ALNUM_BYTES = bytes(b for b in range(0x80) if not chr(b).isalnum())
-PIECE = 1 << 20
-CHUNK = 4 << 20
+#: Bytes hashed at a time, and bytes of texts that are Python objects at a time.
+PIECE = 1 << 18
+CHUNK = 2 << 20
 
 _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xD1342543DE82EF95, "second": 0xAF251AF3B0F025B5}
 _powers: dict[tuple[str, bool], np.ndarray] = {}
@@ -140,16 +142,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about limit bytes each."""
+def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts) for ranges of a string column with about limit bytes each; only one range is Python objects."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     lo = size = 0
-    for i, text in enumerate(texts):
-        if i > lo and size + len(text) > limit:
-            yield lo, i
+    for i, n in enumerate(sizes):
+        if i > lo and size + n > limit:
+            yield lo, i, as_bytes(column.slice(lo, i - lo))
             lo, size = i, 0
-        size += len(text)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += n
+    if lo < len(sizes):
+        yield lo, len(sizes), as_bytes(column.slice(lo, len(sizes) - lo))
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:

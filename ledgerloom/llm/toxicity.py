@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NON_ALNUM_BYTES, Words, as_bytes, chunks, mix, owners, window_hashes
+from .tokens import NON_ALNUM_BYTES, Words, as_bytes, mix, owners, text_chunks, window_hashes
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 #: Training takes at most so many rows of each label and so many bytes of text, in the order of a hash of the id.
@@ -378,9 +378,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for lo, hi in chunks(texts, 2 << 20):
-                got = score_texts(model, texts[lo:hi]) if model is not None else np.full(hi - lo, share)
+            for lo, hi, texts in text_chunks(batch.column(1), 1 << 20):
+                got = score_texts(model, texts) if model is not None else np.full(hi - lo, share)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(got)], names=["doc_id", "score"])
 
     got = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(judge, "doc_id long, score double")
@@ -395,9 +394,8 @@ def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_co
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = as_bytes(batch.column(at))
-            for lo, hi in chunks(texts, 2 << 20):
-                got = score_texts(model, texts[lo:hi]) if model is not None else np.full(hi - lo, share)
+            for lo, hi, texts in text_chunks(batch.column(at), 1 << 20):
+                got = score_texts(model, texts) if model is not None else np.full(hi - lo, share)
                 yield batch.slice(lo, hi - lo).filter(pa.array(got < threshold))
 
     return docs.mapInArrow(sift, schema)
