@@ -72,5 +72,5 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows repeated with one id and text, one."""
     verdicts = cut(deduplicate(docs, id_col=id_col, text_col=text_col).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    stay = docs.join(verdicts.select(F.col("doc_id").alias("_stay")), F.col(id_col) == F.col("_stay"), "left_semi")
+    stay = docs.join(verdicts, docs[id_col] == verdicts["doc_id"], "left_semi")
     return stay.dropDuplicates([id_col, text_col]) if verdicts.where("n > 1").take(1) else stay

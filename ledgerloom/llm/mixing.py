@@ -59,11 +59,12 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float], seed: str = "mix", i
     cdf = F.array(*[F.lit(c) for c in poisson_cdf(1.0)])
     for s, table in tables.items():
         cdf = F.when(F.col(source_col) == s, table).otherwise(cdf)
-    count = F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= F.col("_mix_at")))
+    count = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("at")))
     if none:
-        count = F.when(F.col(source_col).isin(list(none)), F.lit(0)).otherwise(count)
+        count = F.when(F.col("origin").isin(list(none)), F.lit(0)).otherwise(count)
+    # the row travels as one struct, so no column of it can clash with those used here
     rest = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    counted = docs.select(*rest).withColumn("_mix_at", at).withColumn("_mix_cdf", cdf).withColumn("_mix_count", count)
-    copies = counted.where("_mix_count > 0").select(*rest, F.explode(F.sequence(F.lit(1), F.col("_mix_count"))).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.col(id_col).cast("string"), F.col("copy").cast("string")).cast("binary")))
-    return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")
+    counted = docs.select(F.struct(*rest).alias("row"), at.alias("at"), cdf.alias("cdf"), F.col(source_col).alias("origin"), F.col(id_col).cast("string").alias("id")).withColumn("count", count)
+    copies = counted.where("count > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("count"))).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed + "-order"), "id", F.col("copy").cast("string")).cast("binary")))
+    return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key").select("row.*", "copy", "shuffle_key")

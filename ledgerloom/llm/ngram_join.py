@@ -265,5 +265,6 @@ def near_duplicates(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, id_
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest, with all their columns."""
-    stay = near_duplicates(docs, id_col=id_col, text_col=text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    stay = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]), "left_semi")

@@ -181,7 +181,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             done.append((path, n))
         yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in done], pa.string()), "records": pa.array([k for _, k in done], pa.int64())})
 
-    rows = plan_records(pages, id_col, payload_col).select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(payload_col), "_digest", "_refers_to")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
+    rows = plan_records(own).select("page_id", "url", "html", "_digest", "_refers_to")
     return cut(rows.mapInArrow(write, "path string, records long"))
 
 
