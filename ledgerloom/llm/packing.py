@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 
 
-def bucket_bits(items: int, a_bucket: int = 2_500_000, least: int = 4, most: int = 15) -> int:
-    """Bits of the bucket number so that a bucket has about a_bucket items."""
+def bucket_bits(items: int, a_bucket: int = 2_500_000, least: int = 4, most: int = 20) -> int:
+    """Bits of the bucket number so that a bucket has about a_bucket items, up to 2**most buckets."""
     return int(min(most, max(least, np.ceil(np.log2(max(1, items / a_bucket))))))
 
 
@@ -33,7 +33,7 @@ def pack(values: np.ndarray, width: int, bucket: np.ndarray, owner: np.ndarray,
     """(bucket, blob) pairs. Of values the low ``width`` bytes travel; owner: of each value its run (rising)."""
     if not len(values):
         return
-    bucket = bucket.astype(np.uint16)
+    bucket = bucket.astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32)
     order = np.argsort(bucket, kind="stable")
     bucket, owner, values = bucket[order], owner[order], values[order]
     starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])]))

@@ -20,12 +20,16 @@ from .packing import bucket_bits, pack, unpack
 from .tokens import CHUNK, Words, owners, text_chunks, window_hashes
 
 WINDOW = 50
-#: Bits of a window's hash below its bucket number: with b bucket bits a hash has 56 + b.
+#: Bits of a window's hash below its bucket number, at most: with b bucket bits a hash has 56 + b, up to 64.
 LOW_BITS = 56
 #: Stands for a null id: such a document is never the smallest.
 NO_ID = (1 << 63) - 1
 FLUSH = 1_000_000
-MARK = "<HI"
+MARK = "<II"
+
+
+def low_bits(bits: int) -> int:
+    return min(LOW_BITS, 64 - bits)
 
 
 def _windows(words: Words, texts: list[bytes], k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +38,7 @@ def _windows(words: Words, texts: list[bytes], k: int, bits: int) -> tuple[np.nd
     owner = owners(offsets)
     w = window_hashes(h, k)
     inside = owner[: len(w)] == owner[k - 1 :]
-    return w[inside] >> np.uint64(64 - LOW_BITS - bits), owner[: len(w)][inside]
+    return w[inside] >> np.uint64(64 - low_bits(bits) - bits), owner[: len(w)][inside]
 
 
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
@@ -46,6 +50,8 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(size // 6)
+    low = low_bits(bits)
+    width = (low + 7) // 8
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -57,7 +63,7 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
             values = np.concatenate([x[0] for x in held])
             owner = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
             keys, tags = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            got = list(pack(values, LOW_BITS // 8, values >> np.uint64(LOW_BITS), owner, keys, tags, 1 << bits))
+            got = list(pack(values, width, values >> np.uint64(low), owner, keys, tags, 1 << bits))
             held.clear()
             return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
@@ -74,14 +80,14 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
             yield flush()
 
     def judge(group: pa.Table) -> pa.Table:
-        keys, tags, lengths, low = unpack(group.column("blob").to_pylist(), LOW_BITS // 8)
+        keys, tags, lengths, rest = unpack(group.column("blob").to_pylist(), width)
         ids = keys.view(np.int64)
         each = np.repeat(ids, lengths)
-        order = np.argsort(low, kind="stable")
-        ordered = low[order]
+        order = np.argsort(rest, kind="stable")
+        ordered = rest[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        smallest = np.repeat(np.minimum.reduceat(each[order], first), np.diff(np.append(first, len(low))))
-        repeats = np.empty(len(low), bool)
+        smallest = np.repeat(np.minimum.reduceat(each[order], first), np.diff(np.append(first, len(rest))))
+        repeats = np.empty(len(rest), bool)
         repeats[order] = each[order] > smallest
         ends = np.cumsum(lengths)
         some = np.flatnonzero(np.add.reduceat(repeats, ends - lengths, dtype=np.int64))
@@ -136,15 +142,16 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
 
     def starts_of(words: Words, text: bytes, marks: bytes) -> np.ndarray:
         values, _ = _windows(words, [text], k, bits)
-        bucket = (values >> np.uint64(LOW_BITS)).astype(np.uint16)
+        bucket = values >> np.uint64(low_bits(bits))
         order = np.argsort(bucket, kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << bits))])
+        bucket = bucket[order]
         gone = np.zeros(len(values), bool)
         at = 0
         while at < len(marks):
             b, n = struct.unpack_from(MARK, marks, at)
             at += struct.calcsize(MARK)
-            gone[edges[b] : edges[b] + n] = np.unpackbits(np.frombuffer(marks, np.uint8, (n + 7) // 8, at), count=n)
+            lo = np.searchsorted(bucket, np.uint64(b))
+            gone[lo : lo + n] = np.unpackbits(np.frombuffer(marks, np.uint8, (n + 7) // 8, at), count=n)
             at += (n + 7) // 8
         return order[gone]
 

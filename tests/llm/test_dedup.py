@@ -231,3 +231,11 @@ def test_ngram_join_odd_rows(spark):
     assert sorted(((r.doc_id or -1, r.component_id or -1) for r in nulls)) == [(-1, -1), (-1, 3), (3, 3)]
     assert ngram_join.near_duplicates(docs(spark, [])).count() == 0
     assert ngram_join.keep_one(docs(spark, [])).count() == 0
+
+
+def test_substring_dedup_with_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(substring, "bucket_bits", lambda items: 17)
+    rng = random.Random(9)
+    rows = [(i, " ".join(words(rng, 40, 6))) for i in range(30)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs(spark, rows), 4).collect())
+    assert got == substring_brute(rows, 4)
