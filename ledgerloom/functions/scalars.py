@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import EXACT, FOLDED, blank_to_null, find, first_of, has, let, squeeze, sub, trim_tail
+from .text import EXACT, FOLDED, blank_to_null, const_array, const_map, find, first_of, has, let, squeeze, strip, sub, trim_tail
 
 MONEY = "decimal(18,2)"
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -19,7 +19,7 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def as_number(c: Column) -> Column:
     """decimal(18,4) of a plain number, null otherwise (Spark alone would also read '5d')."""
-    return let(F.trim(c), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double").try_cast("decimal(18,4)")))
+    return let(strip(c), lambda t: F.when(t.rlike(NUMBER), t.try_cast("double").try_cast("decimal(18,4)")))
 
 
 def _bare(c: Column) -> Column:
@@ -28,20 +28,20 @@ def _bare(c: Column) -> Column:
 
 def clean_amount(c: Column, excluded: list[str] = fixed.EXCLUDED_NUMBERS) -> Column:
     """An amount above 0 without currency signs, brackets and commas; the excluded numbers are none."""
-    s = F.trim(_bare(c))
+    s = strip(_bare(c))
     s = sub(sub(s, r"^[|(\[]+", "", EXACT), r"[|)\]]+$", "", EXACT)
-    return let(F.trim(F.replace(s, F.lit(","), F.lit(""))), lambda t: let(as_number(t), lambda n: F.when(~t.isin(excluded) & (n > 0), n)))
+    return let(strip(F.replace(s, F.lit(","), F.lit(""))), lambda t: let(as_number(t), lambda n: F.when(~t.isin(excluded) & (n > 0), n)))
 
 
 def to_amount(c: Column) -> Column:
     """Any number without currency signs and commas."""
-    return as_number(F.trim(F.replace(_bare(c), F.lit(","), F.lit(""))))
+    return as_number(strip(F.replace(_bare(c), F.lit(","), F.lit(""))))
 
 
 def parse_amount(c: Column) -> Column:
     """The older parser: also without white space and a leading Rs or INR; above 0, not excluded."""
     s = sub(sub(c, r"[₹%\s]", "", EXACT), r"^(?:Rs\.?|INR)", "")
-    return let(F.replace(F.trim(s), F.lit(","), F.lit("")), lambda t: let(as_number(t), lambda n: F.when(~t.isin(fixed.EXCLUDED_NUMBERS_V1) & (n > 0), n)))
+    return let(F.replace(strip(s), F.lit(","), F.lit("")), lambda t: let(as_number(t), lambda n: F.when(~t.isin(fixed.EXCLUDED_NUMBERS_V1) & (n > 0), n)))
 
 
 def loose_number(c: Column) -> Column:
@@ -77,8 +77,8 @@ def close(a: Column, b: Column, share: float) -> Column:
 def words_to_number(c: Column) -> Column:
     """Value of Indian number words, misread ones among them; null where they give 0."""
     ones = {u.lower(): i for i, u in enumerate(fixed.UNITS) if u} | {t.lower(): 10 * i for i, t in enumerate(fixed.TENS) if t} | {"zero": 0} | fixed.MISREAD_WORDS
-    value = F.create_map(*[F.lit(x) for k, v in ones.items() for x in (k, v)])
-    times = F.create_map(*[F.lit(x) for k, v in fixed.MULTIPLIERS.items() for x in (k, v)])
+    value = F.transform_values(const_map({k: str(v) for k, v in ones.items()}), lambda k, v: v.cast("int"))
+    times = F.transform_values(const_map({k: str(v) for k, v in fixed.MULTIPLIERS.items()}), lambda k, v: v.cast("int"))
     words = F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0))
     zero = F.struct(F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("sum"))
 
@@ -96,7 +96,7 @@ def words_to_number(c: Column) -> Column:
 
 def _say(n: Column) -> Column:
     """Words of 1 to 999; empty for 0."""
-    units, tens = F.array(*[F.lit(x) for x in fixed.UNITS]), F.array(*[F.lit(x) for x in fixed.TENS])
+    units, tens = const_array(fixed.UNITS), const_array(fixed.TENS)
     below = lambda m: F.when(m < 20, F.get(units, m)).otherwise(F.concat_ws(" ", F.get(tens, F.floor(m / 10).cast("int")), blank_to_null(F.get(units, m % 10))))
     n = n.cast("int")
     hundreds = F.floor(n / 100).cast("int")
@@ -136,12 +136,12 @@ def normal_date(c: Column) -> Column:
         year = find(x, r"(\d{4})", flags=EXACT).cast("int")
         return F.when(let(year, lambda y: y.isNull() | y.between(2000, 2030)) & has(x, fixed.ANY_DATE, EXACT), x)
 
-    return let(F.trim(c), lambda t: F.when(~has(t, r"[^\w\s\-/\.]", EXACT), let(cleaned(t), checked)))
+    return let(strip(c), lambda t: F.when(~has(t, r"[^\w\s\-/\.]", EXACT), let(cleaned(t), checked)))
 
 
 def slash_date(c: Column) -> Column:
     """The older form: DD/MM/YYYY from named or numbered months; impossible years are null, unknown forms stay."""
-    s = sub(F.trim(c), r"\s*-\s*", "-", EXACT)
+    s = sub(strip(c), r"\s*-\s*", "-", EXACT)
     months = F.create_map(*[F.lit(x) for i, m in enumerate(fixed.MONTHS) for x in (m, f"{i + 1:02d}")])
     named = r"^(\d{1,2})[-/\s](" + "|".join(fixed.MONTHS) + r")[a-z]*[-/\s](\d{2,4})$"
     plain, run = r"^(\d{1,2})[/\-\.](\d{1,2})[/\-\.](\d{2,4})$", r"^(\d{2})(\d{2})(\d{4})$"
@@ -159,7 +159,7 @@ def slash_date(c: Column) -> Column:
 
 def record_date(c: Column) -> Column:
     """The older record pass over a date field: like slash_date, but an impossible year only blanks unknown forms."""
-    s = sub(F.trim(c), r"\s*[-/]\s*", "-", EXACT)
+    s = sub(strip(c), r"\s*[-/]\s*", "-", EXACT)
     named = r"^\d{1,2}-(?:" + "|".join(fixed.MONTHS) + r")[a-z]*-\d{2,4}$"
     short = r"^\d{1,2}-\d{1,2}-\d{2}$"
     year = find(s, r"(\d{4})", flags=EXACT).cast("int")
@@ -179,19 +179,19 @@ def state_code(gstin: Column) -> Column:
 
 
 def state_name(code: Column, otherwise: Column | None = None) -> Column:
-    names = F.create_map(*[F.lit(x) for k, v in fixed.STATES.items() for x in (k, v)])
+    names = const_map(fixed.STATES)
     return F.coalesce(F.element_at(names, code), otherwise) if otherwise is not None else F.element_at(names, code)
 
 
 def state_for_tax(code: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for k, v in fixed.STATES_FOR_TAX.items() for x in (k, v)])
+    names = const_map(fixed.STATES_FOR_TAX)
     return F.element_at(names, code)
 
 
 def is_place(c: Column) -> Column:
     """Whether a lower-cased place and a known one contain each other, either way."""
-    known = F.array(*[F.lit(x) for x in sorted({*fixed.STATES_FOR_TAX.values(), *fixed.PLACE_WORDS})])
-    low = F.lower(F.trim(c))
+    known = const_array(sorted({*fixed.STATES_FOR_TAX.values(), *fixed.PLACE_WORDS}))
+    low = F.lower(strip(c))
     return F.exists(known, lambda k: k.contains(low) | low.contains(k))
 
 
@@ -220,7 +220,7 @@ def fix_cin(cin: Column, raw: Column) -> Column:
 
 def fix_ifsc(ifsc: Column) -> Column:
     """Upper case, the bank code's misreadings undone, a zero in fifth place."""
-    s = F.upper(F.trim(ifsc))
+    s = F.upper(strip(ifsc))
     s = sub(s, "^ICICOQ", "ICIC0", EXACT)
     return F.when(F.substring(s, 5, 1) == "O", F.concat(F.substring(s, 1, 4), F.lit("0"), F.substring(s, 6, 100))).otherwise(s)
 
@@ -231,7 +231,7 @@ def fix_invoice_number(c: Column, raw: Column, tenant: bool = False) -> Column:
     if tenant:
         s = sub(sub(c, "^[!|]T[B8]G/", "ITBG/", EXACT), "^[!|]", "I", EXACT)
         s = sub(sub(s, r"(\d{4})11([A-Z]{2})", "$1/$2", EXACT), r"(\d{4})A([A-Z]{2})/(\d{4})", "$1/$2/$3", EXACT)
-    s = F.trim(sub(F.trim(s), r"\s+I$", "", EXACT))
+    s = strip(sub(strip(s), r"\s+I$", "", EXACT))
     if tenant:
         whole = find(raw, r"ITBG/(\d{2}-\d{2}/\d{4}/[A-Z]{2}/\d{4})")
         a, b = (find(raw, r"(ITBG/\d{2}-\d{2}/\d{4})\D{0,5}([A-Z]{2}/\d{4})", i) for i in (1, 2))
@@ -244,16 +244,16 @@ def fix_reference(c: Column) -> Column:
     s = sub(c, r"^r([A-Z])", "I$1", EXACT)
     s = sub(s, r"^[fF]([A-Z])", "I$1", EXACT)
     s = F.when(s.startswith("TP/"), F.concat(F.lit("I"), s)).otherwise(s)
-    return F.trim(sub(s, r"[{}\[\]()]", "", EXACT))
+    return strip(sub(s, r"[{}\[\]()]", "", EXACT))
 
 
 def cut_at(c: Column, words: str, limit: int) -> Column:
     """What stands before the first of the words, at most limit characters."""
-    return F.substring(F.trim(F.get(F.split(c, FOLDED + words, 2), 0)), 1, limit)
+    return F.substring(strip(F.get(F.split(c, FOLDED + words, 2), 0)), 1, limit)
 
 
 def fix_transport(c: Column) -> Column:
-    return F.substring(sub(F.trim(sub(c, r"^er\s+Name\s+", "")), r"\bGiobal\b", "Global", EXACT), 1, 100)
+    return F.substring(sub(strip(sub(c, r"^er\s+Name\s+", "")), r"\bGiobal\b", "Global", EXACT), 1, 100)
 
 
 def fix_payment_terms(c: Column) -> Column:
@@ -316,7 +316,7 @@ def normal_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, he
 def repair_json(c: Column) -> Column:
     """Model output as JSON text: fences and what surrounds the outermost braces go, and trailing commas."""
     inner = find(c, r"(\{[\s\S]*\})", flags=EXACT)
-    return sub(F.coalesce(inner, F.trim(c)), r",(\s*[}\]])", "$1", EXACT)
+    return sub(F.coalesce(inner, strip(c)), r",(\s*[}\]])", "$1", EXACT)
 
 
 RENAMED = {"PLACE_OF_SUPPLY": "PLACE"}
@@ -328,11 +328,11 @@ def normal_record(record: Column) -> Column:
     money = [f for f in fixed.AMOUNTS]
 
     def clean(k: Column, v: Column) -> Column:
-        bare = F.trim(sub(sub(v, r"[₹\s,]", "", EXACT), r"^(?:INR|Rs\.?)", ""))
-        rate = F.when(F.trim(v).endswith("%"), F.trim(v)).otherwise(F.concat(F.trim(v), F.lit("%")))
-        return F.when(k.isin(money), bare).when(k.isin(fixed.RATES), rate).otherwise(F.trim(v))
+        bare = strip(sub(sub(v, r"[₹\s,]", "", EXACT), r"^(?:INR|Rs\.?)", ""))
+        rate = F.when(strip(v).endswith("%"), strip(v)).otherwise(F.concat(strip(v), F.lit("%")))
+        return F.when(k.isin(money), bare).when(k.isin(fixed.RATES), rate).otherwise(strip(v))
 
-    kept = F.map_filter(renamed, lambda k, v: F.coalesce(F.trim(v), F.lit("")) != "")
+    kept = F.map_filter(renamed, lambda k, v: F.coalesce(strip(v), F.lit("")) != "")
     done = F.transform_values(kept, clean)
     code = state_code(F.element_at(done, "GSTIN_S"))
     return F.when(F.element_at(done, "STATE_CODE").isNull() & code.isNotNull(), F.map_concat(done, F.create_map(F.lit("STATE_CODE"), code))).otherwise(done)

@@ -26,6 +26,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
 
 
+def const_array(values: list[str]) -> Column:
+    """A constant array of texts as one literal, which analysis sees as a single node."""
+    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)
+
+
+def const_map(values: dict[str, str]) -> Column:
+    """A constant map of texts."""
+    return F.map_from_arrays(const_array(list(values)), const_array(list(values.values())))
+
+
 def mentioning(low: Column, words: tuple[str, ...], value: Column) -> Column:
     """value where the lower-cased text has one of the words, else null; spares patterns that can't match."""
     some = low.contains(words[0])
@@ -34,8 +44,13 @@ def mentioning(low: Column, words: tuple[str, ...], value: Column) -> Column:
     return F.when(some, value)
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space at either end, line feeds included."""
+    return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def find(text: Column, pattern: str, group: int = 1, flags: str = FOLDED) -> Column:
@@ -141,4 +156,4 @@ def trim_tail(c: Column, chars: str = r"\.,;|/ ") -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    return F.trim(sub(c, r"\s+", " ", EXACT))
+    return strip(sub(c, r"\s+", " ", EXACT))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, blank_to_null, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_starts, mentioning, plain_spaces, squeeze, sub, trim_tail
+from ..functions.text import EXACT, blank_to_null, const_array, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_starts, mentioning, plain_spaces, squeeze, strip, sub, trim_tail
 
 # ---- fixed values: what each field looks like on paper ----
 
@@ -134,35 +134,35 @@ def gstins(text: Column) -> Column:
 
 def _line_fields(t: Column) -> dict[str, Column]:
     out = {f: line_first(t, *patterns) for f, patterns in LINE_PATTERNS.items()}
-    out["INV_NO"] = line_first(t, *INV_NO_LINE, clean=lambda v: F.trim(sub(sub(F.trim(v), r"[.,;| ]+$", "", EXACT), "^[!|]", "I", EXACT)))
+    out["INV_NO"] = line_first(t, *INV_NO_LINE, clean=lambda v: strip(sub(sub(strip(v), r"[.,;| ]+$", "", EXACT), "^[!|]", "I", EXACT)))
     out["INV_DATE"] = line_first(t, *INV_DATE_LINE, clean=S.normal_date)
     out["DISPATCH_DATE"] = line_first(t, *DISPATCH_DATE_LINE, clean=S.normal_date)
-    out["DISPATCH_FROM"] = line_first(t, label_line(r"Dispatch\s*From\s*[:\.]?", r"(\w[^\n]{0,49})"), r"Dispatch\s*From\s*[:\-]?\s*(\S[^\n]{0,40})", clean=F.trim)
-    out["TRANSPORT"] = line_first(t, label_line(r"Transport(?:er\s*Name)?", r"(?!\d+[ \t]*(?:\n|\z))([^\n]{4,80})"), r"Transporter?\s*Name\s*[:\-]?\s*([A-Za-z][A-Za-z\s&.,\-]{3,60})", clean=lambda v: F.substring(sub(F.trim(v), "[.,;]+$", "", EXACT), 1, 80))
-    out["SHIP_BY"] = line_first(t, r"Ship\s*by\s+([A-Za-z][A-Za-z\s]{2,20})", clean=lambda v: F.substring(F.trim(v), 1, 30))
+    out["DISPATCH_FROM"] = line_first(t, label_line(r"Dispatch\s*From\s*[:\.]?", r"(\w[^\n]{0,49})"), r"Dispatch\s*From\s*[:\-]?\s*(\S[^\n]{0,40})", clean=strip)
+    out["TRANSPORT"] = line_first(t, label_line(r"Transport(?:er\s*Name)?", r"(?!\d+[ \t]*(?:\n|\z))([^\n]{4,80})"), r"Transporter?\s*Name\s*[:\-]?\s*([A-Za-z][A-Za-z\s&.,\-]{3,60})", clean=lambda v: F.substring(sub(strip(v), "[.,;]+$", "", EXACT), 1, 80))
+    out["SHIP_BY"] = line_first(t, r"Ship\s*by\s+([A-Za-z][A-Za-z\s]{2,20})", clean=lambda v: F.substring(strip(v), 1, 30))
     out["PAN"] = F.upper(line_first(t, r"PAN\s*(?:No\.?)?\s*[:\-]?\s*[:\s]*([A-Z]{4,5}\d{4}[A-Z])"))
     out["CIN"] = F.upper(line_first(t, rf"\b({fixed.CIN})\b"))
-    out["PAYMENT_TERMS"] = line_first(t, r"Payment\s*Terms?\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{3,50})", clean=F.trim)
+    out["PAYMENT_TERMS"] = line_first(t, r"Payment\s*Terms?\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{3,50})", clean=strip)
     reference = lambda label, lead: line_first(t, rf"{label}\s*No\.?\s*[:\-]?\s*{lead}?([A-Z0-9/\-]{{6,25}})", clean=S.fix_reference)
     out["OA_NO"], out["DBA_NO"] = reference("OA", "[r]"), reference("(?:DBA|OBA)", "[fF]")
-    bank = line_first(t, BANK_ALONE, clean=F.trim, guard=lambda v: F.length(v).between(2, 30) & ~has(v, "holder|number|branch|code"))
-    out["BANK"] = F.coalesce(F.trim(line_first(t, BANK_ROW.replace(r"(\d{6,20})", r"(?:\d{6,20})").replace(r"([A-Z]{4}[0O]", r"(?:[A-Z]{4}[0O]"))), bank)
+    bank = line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, "holder|number|branch|code"))
+    out["BANK"] = F.coalesce(strip(line_first(t, BANK_ROW.replace(r"(\d{6,20})", r"(?:\d{6,20})").replace(r"([A-Z]{4}[0O]", r"(?:[A-Z]{4}[0O]"))), bank)
     out["IFSC"] = S.fix_ifsc(line_first(t, r"IFSC\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}[0O][A-Z0-9]{5,6})"))
-    out["UPI_ID"] = F.substring(F.trim(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
+    out["UPI_ID"] = F.substring(strip(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
     return out
 
 
 def _place(t: Column) -> Column:
-    labelled = S.state_name(find(t, "(?m)" + PLACE_LABEL, 2), F.trim(find(t, "(?m)" + PLACE_LABEL, 1)))
-    bare = F.trim(find(t, "(?m)" + PLACE_LABEL_BARE))
+    labelled = S.state_name(find(t, "(?m)" + PLACE_LABEL, 2), strip(find(t, "(?m)" + PLACE_LABEL, 1)))
+    bare = strip(find(t, "(?m)" + PLACE_LABEL_BARE))
     same = S.state_name(find(t, PLACE_SAME, 2), find(t, PLACE_SAME, 1))
     line = F.get(F.filter(lines_of(t), lambda x: has(x, PLACE_ALONE) & ~has(x, "GSTIN|PAN|Invoice|State|Code") & S.is_place(find(x, PLACE_ALONE))), 0)
-    return F.coalesce(labelled, F.when(S.is_place(bare), bare), same, S.state_name(find(line, PLACE_ALONE, 2), F.trim(find(line, PLACE_ALONE))))
+    return F.coalesce(labelled, F.when(S.is_place(bare), bare), same, S.state_name(find(line, PLACE_ALONE, 2), strip(find(line, PLACE_ALONE))))
 
 
 def _parties(t: Column) -> dict[str, Column]:
     supplier = first_of(t, *SUPPLIER_TEXT, clean=lambda v: trim_tail(squeeze(v)), guard=lambda v: (F.length(v) > 4) & ~contains_any(v, fixed.NOT_SUPPLIER))
-    recipient = first_of(t, *RECIPIENT_TEXT, clean=lambda v: S.cut_at(F.trim(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
+    recipient = first_of(t, *RECIPIENT_TEXT, clean=lambda v: S.cut_at(strip(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
     return {"SUPPLIER": F.substring(supplier, 1, 200), "RECIPIENT": recipient}
 
 
@@ -230,7 +230,7 @@ def _rates(df: DataFrame, text: str) -> DataFrame:
 def hsn_codes(text: Column, taken: Column) -> Column:
     """HSN codes in order: labelled and in table rows, else alone on a line; years and taken numbers are none."""
     labelled = F.array_distinct(F.concat(find_all(text, HSN_LABELLED), find_all(text, HSN_ROW)))
-    excluded = F.array(*[F.lit(x) for x in fixed.EXCLUDED_NUMBERS])
+    excluded = const_array(fixed.EXCLUDED_NUMBERS)
     labelled = F.array_except(labelled, excluded)
     alone = F.filter(F.array_except(F.array_distinct(find_all(text, HSN_ALONE)), excluded), lambda c: ~F.array_contains(taken, c))
     found = F.when(F.size(labelled) > 0, labelled).otherwise(alone)
@@ -242,7 +242,7 @@ def _items(df: DataFrame, text: str) -> DataFrame:
     taken = F.filter(F.array(F.substring("_TRANSPORT_ID", 1, 8), F.when(F.col("_DISPATCH_FROM").rlike(r"^\d{3,6}$"), F.col("_DISPATCH_FROM")), F.col("_VENDOR_CODE")), lambda x: x.isNotNull())
     df = df.withColumn("_codes", hsn_codes(t, taken))
     quantity = first_of(t, QTY_TOTAL, QTY_ROW, QTY_ANY, guard=lambda v: (v.cast("int") < 1000) & ~F.array_contains(F.col("_codes"), v), clean=lambda v: v.cast("int").cast("string"))
-    described = F.filter(F.array_distinct(F.transform(find_all(t, DESC_ROW), lambda x: F.trim(x))), lambda d: ~has(d, "certified|declaration|gst act") & (d != ""))
+    described = F.filter(F.array_distinct(F.transform(find_all(t, DESC_ROW), lambda x: strip(x))), lambda d: ~has(d, "certified|declaration|gst act") & (d != ""))
     return df.withColumns({
         "_HSN": F.coalesce("_row_hsn", blank_to_null(F.array_join(F.slice("_codes", 1, 3), ", "))),
         "_QTY": quantity, "_UOM": F.initcap(find(t, UOM_TEXT)),
@@ -274,7 +274,7 @@ def full_extract(df: DataFrame, text: str, into: str) -> DataFrame:
     df = _items(df, text)
     df = df.withColumn("_STATE_CODE", F.coalesce("_STATE_CODE", S.state_code(F.col("_GSTIN_S"))))
     fields = [f for f in fixed.FIELDS if f != "TOTAL_WORDS"]
-    clean = lambda f: F.when(~has(F.trim(F.col(f"_{f}")), fixed.TOKEN_MARKERS, EXACT), blank_to_null(F.col(f"_{f}")))
+    clean = lambda f: F.when(~has(strip(F.col(f"_{f}")), fixed.TOKEN_MARKERS, EXACT), blank_to_null(F.col(f"_{f}")))
     return df.select(*before, F.struct(*[clean(f).alias(f) for f in fields]).alias(into))
 
 

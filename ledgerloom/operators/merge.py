@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, has, sub
+from ..functions.text import EXACT, has, strip, sub
 
 #: Fields where a model's value beats the rules' if it is longer than 3 characters.
 MODEL_WINS = ["SUPPLIER", "RECIPIENT", "ITEM_DESC"]
 
 
 def filled(v: Column) -> Column:
-    return F.coalesce(F.trim(v) != "", F.lit(False))
+    return F.coalesce(strip(v) != "", F.lit(False))
 
 
 def first_non_empty(a: Column, b: Column) -> Column:
@@ -46,15 +46,15 @@ def bio_entities(tokens: DataFrame, key: str, pos: str = "pos", token: str = "to
     """
     order = W.partitionBy(key).orderBy(pos)
     cut = F.col("lab").startswith("B-") | ~F.col("lab").startswith("I-")
-    marked = tokens.select(key, pos, F.trim(F.replace(F.col(token), F.lit("▁"), F.lit(" "))).alias("tok"), F.col(label).alias("lab")).withColumn("span", F.sum(F.when(cut, 1).otherwise(0)).over(order)).withColumn("last", F.max(pos).over(W.partitionBy(key)))
+    marked = tokens.select(key, pos, strip(F.replace(F.col(token), F.lit("▁"), F.lit(" "))).alias("tok"), F.col(label).alias("lab")).withColumn("span", F.sum(F.when(cut, 1).otherwise(0)).over(order)).withColumn("last", F.max(pos).over(W.partitionBy(key)))
     spans = marked.groupBy(key, "span").agg(F.min_by("lab", pos).alias("head"), F.min(pos).alias("at"), (F.max(pos) == F.max("last")).alias("trailing"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), "tok"))), lambda x: x["tok"]), " ").alias("value"))
     real = spans.where(F.col("head").startswith("B-")).select(key, F.expr("substring(head, 3)").alias("field"), "value", "at", "trailing")
-    return real.groupBy(key, "field").agg(F.trim(F.min_by("value", F.struct(~F.col("trailing"), "at"))).alias("value"))
+    return real.groupBy(key, "field").agg(strip(F.min_by("value", F.struct(~F.col("trailing"), "at"))).alias("value"))
 
 
 def entity_is_valid(field: Column, value: Column) -> Column:
     """Whether a model's entity looks like its field: printable Latin, half of it plain, in the field's format."""
-    v = F.trim(value)
+    v = strip(value)
     plain = F.length(sub(value, r"[^a-zA-Z0-9/\-., ]", "", EXACT)) >= F.length(value) * 0.5
     number = S.as_number(F.replace(v, F.lit(","), F.lit("")))
     quantity = F.floor(number)

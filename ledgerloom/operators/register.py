@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import blank_to_null
+from ..functions.text import blank_to_null, strip
 
 SUM = "decimal(28,2)"
 
@@ -33,7 +33,7 @@ def batch_register(records: DataFrame, file_col: str, order: list[str], batch: s
     """
     numbered = F.row_number().over(W.partitionBy(batch or F.lit(0)).orderBy(*order))
     kept = [batch] if batch else []
-    return records.select(*kept, numbered.alias("row_no"), F.col(file_col).alias("file"), *[F.trim(F.coalesce(f, F.lit(""))).alias(f) for f in fixed.REGISTER])
+    return records.select(*kept, numbered.alias("row_no"), F.col(file_col).alias("file"), *[strip(F.coalesce(f, F.lit(""))).alias(f) for f in fixed.REGISTER])
 
 
 def register_totals(records: DataFrame, batch: str) -> DataFrame:
@@ -50,7 +50,7 @@ def sections(records: DataFrame, key: str) -> DataFrame:
     """(key, section, ordinal, field, label, value) of the non-empty fields, in the order of the sections."""
     rows = [(n, i, f, label) for n, (s, fields) in enumerate(fixed.SECTIONS.items()) for i, (f, label) in enumerate(fields.items())]
     entry = lambda n, i, f, label: F.struct(F.lit(list(fixed.SECTIONS)[n]).alias("section"), F.lit(100 * n + i).alias("ordinal"), F.lit(f).alias("field"), F.lit(label).alias("label"), F.col(f).cast("string").alias("value"))
-    return records.select(key, F.inline(F.array(*[entry(*r) for r in rows]))).where(F.trim("value") != "")
+    return records.select(key, F.inline(F.array(*[entry(*r) for r in rows]))).where(strip("value") != "")
 
 
 def filled_sections(records: DataFrame, key: str) -> DataFrame:
@@ -110,7 +110,7 @@ def tax_breakdown(records: DataFrame, key: str) -> DataFrame:
 
 def hsn_register(records: DataFrame, key: str) -> DataFrame:
     """One row per HSN code of a record, amounts on the first only."""
-    codes = F.filter(F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: F.trim(x)), lambda c: c != "")
+    codes = F.filter(F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: strip(x)), lambda c: c != "")
     codes = F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("")))
     first = lambda f: F.when(F.col("pos") == 0, F.col(f)).alias(f)
     return records.select("*", F.posexplode(codes).alias("pos", "hsn_code")).select(key, (F.col("pos") + 1).alias("sl"), "hsn_code", "GST_RATE", "CGST_RATE", first("CGST"), "SGST_RATE", first("SGST"), "IGST_RATE", first("IGST"), first("TAXABLE"), first("TOTAL"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, blank_to_null, contains_any, find, find_all, first_of, has, let, squeeze, sub, trim_tail
+from ..functions.text import EXACT, blank_to_null, contains_any, find, find_all, first_of, has, let, squeeze, strip, sub, trim_tail
 from .extract import QTY_TOTAL, RECIPIENT_TEXT
 
 
@@ -62,10 +62,10 @@ def clean_strings(df: DataFrame) -> DataFrame:
 
 def fix_amounts(df: DataFrame) -> DataFrame:
     def amount(c: Column) -> Column:
-        bare = F.trim(F.replace(c, F.lit(","), F.lit("")))
+        bare = strip(F.replace(c, F.lit(","), F.lit("")))
         return F.coalesce(find(bare, r"^(\d+\.?\d{0,2})", flags=EXACT), c)
 
-    turned = lambda c: F.coalesce(F.concat(find(F.trim(c), r"^%(\d{1,2})$", flags=EXACT), F.lit("%")), c)
+    turned = lambda c: F.coalesce(F.concat(find(strip(c), r"^%(\d{1,2})$", flags=EXACT), F.lit("%")), c)
     return df.withColumns({f: amount(F.col(f)) for f in fixed.AMOUNTS} | {f: turned(F.col(f)) for f in fixed.RATES})
 
 
@@ -83,7 +83,7 @@ def fix_gstins(df: DataFrame) -> DataFrame:
 
 
 def validate_place(df: DataFrame) -> DataFrame:
-    p = F.trim("PLACE")
+    p = strip("PLACE")
     return df.withColumn("PLACE", F.when((F.length(p) >= 3) & has(p, r"^[A-Za-z][A-Za-z\s&\-\.]+$", EXACT) & S.is_place(p), F.col("PLACE")))
 
 
@@ -115,7 +115,7 @@ def fix_names(df: DataFrame) -> DataFrame:
     supplier = trim_tail(S.cut_at(supplier, r"\s+(?:in\s+words\s*[:\.]?|DECLARATIO|Certified|Rupees|TAX\s+TOTAL|We\s+declare)", 200))
     own = F.when(~contains_any(F.col("RECIPIENT"), fixed.NOT_RECIPIENT_LATE), F.col("RECIPIENT"))
     cut = S.cut_at(own, r"\s+(?:Customer|Invoice|OA|Delivery|GSTIN|Phone|Address|Challan|\d{6})", 150)
-    again = first_of(F.col("raw_text"), *RECIPIENT_TEXT[:3], clean=lambda v: S.cut_at(F.trim(v), r"\s+(?:Plot|Road|GSTIN|Phone|\d{6})", 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, ["same state", "ship to", "bill to", "dispatch", "kochi"]))
+    again = first_of(F.col("raw_text"), *RECIPIENT_TEXT[:3], clean=lambda v: S.cut_at(strip(v), r"\s+(?:Plot|Road|GSTIN|Phone|\d{6})", 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, ["same state", "ship to", "bill to", "dispatch", "kochi"]))
     return df.withColumns({"SUPPLIER": blank_to_null(supplier), "RECIPIENT": F.coalesce(F.when(F.length(cut) > 3, cut), own, again)})
 
 
@@ -124,8 +124,8 @@ def fix_ifsc(df: DataFrame) -> DataFrame:
 
 
 def fix_quantity(df: DataFrame) -> DataFrame:
-    q = F.when(F.trim("QTY").rlike(r"^\d{1,4}$"), F.trim("QTY"))
-    codes = F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: F.trim(x))
+    q = F.when(strip("QTY").rlike(r"^\d{1,4}$"), strip("QTY"))
+    codes = F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: strip(x))
     fine = lambda v: (v.cast("int") < 1000) & ~F.array_contains(codes, v)
     again = first_of(F.col("raw_text"), QTY_TOTAL, r"\b([1-9]\d{0,2})\s+(?:NOS?|MTS?|Nos?)\b", clean=lambda v: v.cast("int").cast("string"), guard=fine)
     return df.withColumn("QTY", F.when(q.isNotNull(), F.coalesce(F.when(fine(q), q), again)))
@@ -135,7 +135,7 @@ def fix_hsn(df: DataFrame) -> DataFrame:
     """Codes of 4 to 6 digits up to 99999 that are no year and not within 5 of an amount's whole part."""
     whole = F.filter(F.array(*[F.get(F.split(F.col(f), r"\."), 0) for f in ("TAXABLE", "CGST", "SGST", "IGST", "TOTAL", "TOTAL_GST", "RATE")]), lambda x: x.isNotNull())
     near = lambda c: F.exists(whole, lambda a: (a == c) | F.coalesce(F.abs(a.try_cast("long") - c.cast("long")) < 5, F.lit(False)))
-    codes = F.transform(F.split("HSN", ","), lambda x: F.trim(x))
+    codes = F.transform(F.split("HSN", ","), lambda x: strip(x))
     fine = F.filter(codes, lambda c: c.rlike(r"^\d{4,6}$") & ~c.rlike(r"^(19|20)\d{2}$") & (c.try_cast("int") <= 99999) & ~((F.length(c) == 5) & c.startswith("1") & (c.try_cast("int") > 15000)) & ~near(c))
     return df.withColumn("HSN", blank_to_null(F.array_join(F.array_distinct(fine), ", ")))
 
