@@ -1,10 +1,11 @@
-"""Main text of web pages: markup first, then a suffix array per host for what markup leaves open.
-
-A page that marks its article (``article``, ``main`` or role=main) is cut along that mark: blocks inside
-that no boilerplate element holds are its text, whatever other pages share with them. On a page without
-such a mark every block is open. The token streams of a host's pages (open blocks, and as evidence the
-menus, footers and adverts of all its pages) are then concatenated and their suffixes sorted; long
-substrings that distinct pages repeat are boilerplate, and the unique runs of the open blocks stay.
+"""Main text of web pages: markup says which blocks are open, a suffix array per host which of them repeat.
+
+On a page that marks its article (``article``, ``main`` or role=main) the blocks inside that no boilerplate
+element holds are open, on any other page all blocks that none holds. The token streams of a host's pages
+(open blocks, and as evidence the menus, footers and adverts) are then concatenated and their suffixes
+sorted; long substrings that pages of distinct texts repeat are boilerplate. Without a mark the unique runs of
+the open blocks stay. Articles quote and copy each other, so in a marked one only whole blocks go, and an
+article most of which is repeated stays.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .tokens import Words
 
 #: Tokens of the shortest substring that counts, pages (and share of the pages at hand) that must repeat it.
 RUN, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.05
-#: A block that is covered by so much is removed whole.
-COVERED = 0.8
+#: A block that is covered by so much is removed whole; a marked article that is covered by so much is a copy and stays.
+COVERED, COPIED = 0.8, 0.5
 #: Tokens that one task sorts.
 SHARD_TOKENS = 400_000
 
@@ -145,15 +146,16 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least: int) -> np.ndarray:
-    """Which tokens a substring of ``run`` tokens covers that stands on at least ``least`` distinct pages."""
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least: int, source: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens a substring of ``run`` tokens covers that stands on at least ``least`` distinct pages (or sources of pages)."""
     n = len(tokens)
     covered = np.zeros(n, bool)
     if n < run:
         return covered
     whole = np.flatnonzero(page[: n - run + 1] == page[run - 1 :])
     rank = suffix_ranks(tokens, run)[whole]
-    pairs = np.unique(rank * (int(page.max()) + 1) + page[whole])
+    of = page[whole] if source is None else source[page[whole]]
+    pairs = np.unique(rank * (int(page.max()) + 1) + of)
     pages = np.bincount(pairs // (int(page.max()) + 1), minlength=int(rank.max()) + 1 if len(rank) else 1)
     depth = np.zeros(n + 1, np.int64)
     hit = whole[pages[rank] >= least]
@@ -162,27 +164,50 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least: int) -> np.n
     return np.cumsum(depth[:-1]) > 0
 
 
-def unique_runs(pages: list[list[tuple[str, bool]]]) -> list[str]:
-    """For each page, a list of (text, open) blocks, the text of its open blocks without what the pages repeat."""
+def streams_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
+    """(text, open) of every block of a page, and whether the page marks its article."""
+    blocks = page_blocks(page or "")
+    marked = any(article and not dropped for _, article, dropped in blocks)
+    return [(t, not dropped and (article or not marked)) for t, article, dropped in blocks], marked
+
+
+def source_of(blocks: list[tuple[str, bool]]) -> str:
+    """What makes a page a source of its own: its open text, or all its text if none is open. Copies are one source."""
+    return "\n".join([t for t, is_open in blocks if is_open] or [t for t, _ in blocks])
+
+
+def kept_text(blocks: list[tuple[str, bool]], marked: bool, covered: np.ndarray, ends: np.ndarray) -> str:
+    """The open blocks without what is covered; ends: of each block the end of its tokens in covered."""
+    shares = [c.mean() if len(c) else 0.0 for c in np.split(covered, ends[:-1])] if blocks else []
+    if marked:
+        sizes = np.diff(ends, prepend=0) * np.array([o for _, o in blocks])
+        if (sizes * shares).sum() >= COPIED * sizes.sum():
+            shares = [0.0] * len(blocks)
+    kept = []
+    for (text, is_open), share, own in zip(blocks, shares, np.split(covered, ends[:-1]) if blocks else [], strict=True):
+        if not is_open or share >= COVERED:
+            continue
+        if marked or not share:
+            kept.append(text)
+        else:
+            kept.append(b" ".join(w for w, c in zip(text.encode("utf-8", "replace").split(), own, strict=True) if not c).decode())
+    return "\n\n".join(kept)
+
+
+def unique_runs(pages: list[tuple[list[tuple[str, bool]], bool]]) -> list[str]:
+    """For each page, a list of (text, open) blocks and whether it is marked, its open text without what the pages repeat."""
     words = Words()
-    texts = [t.encode("utf-8", "replace") for p in pages for t, _ in p]
-    owner = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    texts = [t.encode("utf-8", "replace") for blocks, _ in pages for t, _ in blocks]
+    sizes = [len(blocks) for blocks, _ in pages]
     tokens, offsets = words.hash_documents(texts)
-    page = np.repeat(owner, np.diff(offsets)) if len(texts) else np.empty(0, np.int64)
-    covered = repeated(tokens, page, RUN, max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(pages)))))
+    page = np.repeat(np.repeat(np.arange(len(pages)), sizes), np.diff(offsets)) if len(texts) else np.empty(0, np.int64)
+    _, source = np.unique([hash(source_of(blocks)) for blocks, _ in pages], return_inverse=True)
+    covered = repeated(tokens, page, RUN, max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(pages)))), source)
     out, i = [], 0
-    for blocks in pages:
-        kept = []
-        for text, is_open in blocks:
-            own = covered[offsets[i] : offsets[i + 1]]
-            i += 1
-            if not is_open:
-                continue
-            if not own.any():
-                kept.append(text)
-            elif own.mean() < COVERED:
-                kept.append(b" ".join(w for w, c in zip(texts[i - 1].split(), own, strict=True) if not c).decode())
-        out.append("\n\n".join(kept))
+    for (blocks, marked), n in zip(pages, sizes, strict=True):
+        own = offsets[i : i + n + 1]
+        out.append(kept_text(blocks, marked, covered[own[0] : own[-1]], own[1:] - own[0]))
+        i += n
     return out
 
 
@@ -195,42 +220,25 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
 
-    def split(page: str | None) -> tuple[str | None, list[tuple[str, bool]]]:
-        """The text if the page marks its article, and the other blocks with whether they are open."""
-        blocks = page_blocks(page or "")
-        inside = [t for t, article, dropped in blocks if article and not dropped]
-        if inside:
-            return "\n\n".join(inside), [(t, False) for t, article, dropped in blocks if dropped or not article]
-        return ("" if all(dropped for *_, dropped in blocks) else None), [(t, not dropped) for t, _, dropped in blocks]
-
-    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [split(x)[0] for x in part.column(2).to_pylist()]
-                mask = pa.array([t is not None for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"]).filter(mask)
-
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                rows = [split(x) for x in part.column(2).to_pylist()]
-                blocks = [[{"text": t, "open": o} for t, o in b] for _, b in rows]
+                rows = [streams_of(x) for x in part.column(2).to_pylist()]
+                blocks = [[{"text": t, "open": o} for t, o in b] for b, _ in rows]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([t is None for t, _ in rows]), pa.array([sum(t.count(" ") + 1 for t, _ in b) for _, b in rows], pa.int64()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())])))],
-                    names=["page_id", "url", "wanted", "tokens", "blocks"],
+                    [part.column(0), part.column(1), pa.array([m for _, m in rows]), pa.array([sum(t.count(" ") + 1 for t, _ in b) for b, _ in rows], pa.int64()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())])))],
+                    names=["page_id", "url", "marked", "tokens", "blocks"],
                 )
 
     def sift(group: pa.Table) -> pa.Table:
-        got = unique_runs([[(b["text"], b["open"]) for b in blocks] for blocks in group.column("blocks").to_pylist()])
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(got, pa.string())}).filter(group.column("wanted"))
+        blocks = [[(b["text"], b["open"]) for b in x] for x in group.column("blocks").to_pylist()]
+        got = unique_runs(list(zip(blocks, group.column("marked").to_pylist(), strict=True)))
+        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(got, pa.string())})
 
-    marked = own.mapInArrow(decided, "page_id long, url string, text string")
-    rest = own.mapInArrow(streams, "page_id long, url string, wanted boolean, tokens long, blocks array<struct<text:string,open:boolean>>")
+    rest = own.mapInArrow(streams, "page_id long, url string, marked boolean, tokens long, blocks array<struct<text:string,open:boolean>>")
     rest = cut(rest.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))))
-    hosts = rest.groupBy("host").agg(F.count("*").alias("n"), F.max("wanted").alias("any"), F.ceil(F.sum("tokens") / SHARD_TOKENS).alias("shards"))
-    placed = attach(rest, hosts, "host", "n", rest.count(), F.monotonically_increasing_id()).where("any")
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.col("shards"), F.lit(1)))).select("host", "salt", "page_id", "url", "wanted", "blocks")
-    opened = salted.groupBy("host", "salt").applyInArrow(sift, "page_id long, url string, text string")
-    return marked.union(opened)
+    hosts = rest.groupBy("host").agg(F.count("*").alias("n"), F.ceil(F.sum("tokens") / SHARD_TOKENS).alias("shards"))
+    placed = attach(rest, hosts, "host", "n", rest.count(), F.monotonically_increasing_id())
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.col("shards"), F.lit(1)))).select("host", "salt", "page_id", "url", "marked", "blocks")
+    return salted.groupBy("host", "salt").applyInArrow(sift, "page_id long, url string, text string")

@@ -264,6 +264,21 @@ def test_host_suffix_array_removes_what_pages_repeat(spark):
     assert all("privacy" in r.text for r in alone)
 
 
+def test_marked_pages_lose_blocks_that_their_host_repeats(spark):
+    notice = "our weekly letter brings the best of this site to your mail box"
+    shared = words(random.Random(99), 60, 9999)
+    own = [" ".join(words(random.Random(i), 30, 9999)) for i in range(12)]
+    quote = " ".join(shared[:10])
+    rows = [(i, "http://h/x", f"<main><h1>page {i}</h1><p>{own[i]} {quote} {own[i][::-1]}</p><div>{notice}</div></main>") for i in range(12)]
+    rows += [(20 + i, "http://h/x", f"<article>{' '.join(shared)}</article>") for i in range(5)]
+    rows += [(30 + i, "http://h/x", f"<article><p>{' '.join(shared)}</p><p>{i}</p></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"page {i}\n\n{own[i]} {quote} {own[i][::-1]}"
+    for i in range(5):
+        assert got[20 + i] == " ".join(shared) and got[30 + i] == " ".join(shared) + f"\n\n{i}"
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(1)
     toks, page = rng.integers(0, 4, 300), np.sort(rng.integers(0, 6, 300))
