@@ -1,17 +1,20 @@
-"""Main text of web pages: markup says which blocks are open, a suffix array per host which of them repeat.
+"""Main text of web pages: markup says which blocks are open, the suffixes of a host which of them repeat.
 
 On a page that marks its article (``article``, ``main`` or role=main) the blocks inside that no boilerplate
-element holds are open, on any other page all blocks that none holds. The token streams of a host's pages
-(open blocks, and as evidence the menus, footers and adverts) are then concatenated and their suffixes
-sorted; long substrings that pages of distinct texts repeat are boilerplate. Without a mark the unique runs of
-the open blocks stay. Articles quote and copy each other, so in a marked one only whole blocks go, and an
-article most of which is repeated stays.
+element holds are open, on any other page all blocks that none holds. The suffixes of the token streams of a host's
+pages (open blocks, and as evidence the menus, footers and adverts) are then dealt, by host and a hash of their
+first tokens, to tasks that sort them and count the pages of distinct text that share a start: such substrings
+are boilerplate. A start's pages are all counted in one place, so neither a host's size nor the number of tasks
+matters. Without a mark the unique runs of the open blocks stay. Articles quote and copy each other, so in a
+marked one only whole blocks go, and an article most of which is repeated stays.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, cut
-from .tokens import Words
+from .packing import bucket_bits, pack, unpack
+from .tokens import Words, mix, owners, window_hashes
 
-#: Tokens of the shortest substring that counts, pages (and share of the pages at hand) that must repeat it.
-RUN, LEAST_PAGES, LEAST_SHARE = 8, 3, 0.05
+#: Tokens of the shortest substring that counts, pages that must repeat it.
+RUN, LEAST_PAGES = 8, 3
 #: A block that is covered by so much is removed whole; a marked article that is covered by so much is a copy and stays.
 COVERED, COPIED = 0.8, 0.5
-#: Tokens that one task sorts.
-SHARD_TOKENS = 400_000
+#: Bits of a suffix's hash below its bucket number, at most.
+LOW_BITS = 48
+#: Windows that a task packs at a time, and pages it parses at a time.
+FLUSH, PAGES = 1_000_000, 500
+MARK = "<II"
 
 #: Elements by what they mean for the main text.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
@@ -147,7 +153,10 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least: int, source: np.ndarray | None = None) -> np.ndarray:
-    """Which tokens a substring of ``run`` tokens covers that stands on at least ``least`` distinct pages (or sources of pages)."""
+    """Which tokens a substring of ``run`` tokens covers that stands on at least ``least`` distinct pages (or sources of pages).
+
+    The suffix array of a host in one piece, by which tests judge main_text.
+    """
     n = len(tokens)
     covered = np.zeros(n, bool)
     if n < run:
@@ -194,21 +203,83 @@ def kept_text(blocks: list[tuple[str, bool]], marked: bool, covered: np.ndarray,
     return "\n\n".join(kept)
 
 
-def unique_runs(pages: list[tuple[list[tuple[str, bool]], bool]]) -> list[str]:
-    """For each page, a list of (text, open) blocks and whether it is marked, its open text without what the pages repeat."""
-    words = Words()
-    texts = [t.encode("utf-8", "replace") for blocks, _ in pages for t, _ in blocks]
-    sizes = [len(blocks) for blocks, _ in pages]
-    tokens, offsets = words.hash_documents(texts)
-    page = np.repeat(np.repeat(np.arange(len(pages)), sizes), np.diff(offsets)) if len(texts) else np.empty(0, np.int64)
-    _, source = np.unique([hash(source_of(blocks)) for blocks, _ in pages], return_inverse=True)
-    covered = repeated(tokens, page, RUN, max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(pages)))), source)
-    out, i = [], 0
-    for (blocks, marked), n in zip(pages, sizes, strict=True):
-        own = offsets[i : i + n + 1]
-        out.append(kept_text(blocks, marked, covered[own[0] : own[-1]], own[1:] - own[0]))
-        i += n
-    return out
+def covered_by(starts: np.ndarray, n: int) -> np.ndarray:
+    """Which of n tokens the runs of RUN tokens at starts cover."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, starts, 1)
+    np.add.at(depth, starts + RUN, -1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def starts_of(words: Words, texts: list[bytes], hosts: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, of ``kept`` bits, of host and first RUN tokens of all suffixes of texts, and of each the index of its text."""
+    h, offsets = words.hash_documents(texts)
+    owner = owners(offsets)
+    w = window_hashes(h, RUN)
+    inside = owner[: len(w)] == owner[RUN - 1 :]
+    w, owner = w[inside], owner[: len(w)][inside]
+    return mix(w ^ hosts[owner]) >> np.uint64(64 - kept), owner
+
+
+def repeated_starts(pages: DataFrame) -> tuple[DataFrame, int]:
+    """(key, marks) of pages with runs of RUN tokens that LEAST_PAGES sources of their host have.
+
+    ``pages`` has key (long), host (a hash, long) and html. marks: for each of some buckets MARK (its number and
+    count) and one bit for each of the page's suffixes of that bucket, in order. The second value is the number of bucket bits.
+    """
+    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    bits = bucket_bits(size // 6)
+    low = min(LOW_BITS, 64 - bits)
+    width = (low + 7) // 8
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        held: list[tuple] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            base = np.cumsum([0] + [len(x[2]) for x in held])
+            values = np.concatenate([x[0] for x in held])
+            owner = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
+            keys, tags = (np.concatenate([x[i] for x in held]) for i in (2, 3))
+            got = list(pack(values, width, values >> np.uint64(low), owner, keys, tags, 1 << bits))
+            held.clear()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PAGES):
+                part = batch.slice(lo, PAGES)
+                keys, hosts = (part.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+                streams = [streams_of(x)[0] for x in part.column(2).to_pylist()]
+                tags = np.array([zlib.crc32(source_of(b).encode("utf-8", "replace")) for b in streams], np.uint64)
+                values, owner = starts_of(words, [" ".join(t for t, _ in b).encode("utf-8", "replace") for b in streams], hosts, low + bits)
+                held.append((values, owner, keys, tags))
+                n += len(values)
+                if n >= FLUSH:
+                    yield flush()
+                    n = 0
+        if held:
+            yield flush()
+
+    def judge(group: pa.Table) -> pa.Table:
+        keys, tags, lengths, rest = unpack(group.column("blob").to_pylist(), width)
+        source = np.repeat(tags, lengths)
+        order = np.lexsort((source, rest))
+        start = np.concatenate([[True], rest[order][1:] != rest[order][:-1]])
+        new = start | np.concatenate([[True], source[order][1:] != source[order][:-1]])
+        first = np.flatnonzero(start)
+        repeats = np.empty(len(rest), bool)
+        repeats[order] = np.repeat(np.add.reduceat(new, first, dtype=np.int64) >= LEAST_PAGES, np.diff(np.append(first, len(rest))))
+        ends = np.cumsum(lengths)
+        some = np.flatnonzero(np.add.reduceat(repeats, ends - lengths, dtype=np.int64))
+        bucket = group.column("bucket")[0].as_py()
+        marks = [struct.pack(MARK, bucket, lengths[i]) + np.packbits(repeats[ends[i] - lengths[i] : ends[i]]).tobytes() for i in some]
+        return pa.table({"key": pa.array(keys[some].view(np.int64)), "mark": pa.array(marks, pa.binary())})
+
+    packed = pages.select("key", "host", "html").mapInArrow(emit, "bucket int, blob binary")
+    marks = packed.groupBy("bucket").applyInArrow(judge, "key long, mark binary")
+    # rows that agree in all columns have one key, and the same marks
+    return marks.groupBy("key").agg(F.collect_set("mark").alias("marks")), bits
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -218,27 +289,35 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     left out or left as they stand. A null url or one without a host counts as the host ''. Rows repeated with
     one id each give their row. Extra columns are ignored.
     """
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    own = own.select("*", F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"))
+    repeats, bits = repeated_starts(own)
+    low = min(LOW_BITS, 64 - bits)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+
+        def text_of(page: str, host: int, marks: list[bytes] | None) -> str:
+            blocks, marked = streams_of(page)
+            if not marks:
+                return "\n\n".join(t for t, is_open in blocks if is_open)
+            values, _ = starts_of(words, [" ".join(t for t, _ in blocks).encode("utf-8", "replace")], np.array([host], np.int64).view(np.uint64), low + bits)
+            bucket = values >> np.uint64(low)
+            order = np.argsort(bucket, kind="stable")
+            bucket, repeats = bucket[order], np.zeros(len(values), bool)
+            for mark in marks:
+                b, n = struct.unpack_from(MARK, mark)
+                at = np.searchsorted(bucket, np.uint64(b))
+                repeats[at : at + n] = np.unpackbits(np.frombuffer(mark, np.uint8, offset=struct.calcsize(MARK)), count=n)
+            ends = np.cumsum([t.count(" ") + 1 for t, _ in blocks])
+            return kept_text(blocks, marked, covered_by(order[repeats], int(ends[-1])), ends)
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                rows = [streams_of(x) for x in part.column(2).to_pylist()]
-                blocks = [[{"text": t, "open": o} for t, o in b] for b, _ in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([m for _, m in rows]), pa.array([sum(t.count(" ") + 1 for t, _ in b) for b, _ in rows], pa.int64()), pa.array(blocks, pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())])))],
-                    names=["page_id", "url", "marked", "tokens", "blocks"],
-                )
-
-    def sift(group: pa.Table) -> pa.Table:
-        blocks = [[(b["text"], b["open"]) for b in x] for x in group.column("blocks").to_pylist()]
-        got = unique_runs(list(zip(blocks, group.column("marked").to_pylist(), strict=True)))
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(got, pa.string())})
-
-    rest = own.mapInArrow(streams, "page_id long, url string, marked boolean, tokens long, blocks array<struct<text:string,open:boolean>>")
-    rest = cut(rest.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))))
-    hosts = rest.groupBy("host").agg(F.count("*").alias("n"), F.ceil(F.sum("tokens") / SHARD_TOKENS).alias("shards"))
-    placed = attach(rest, hosts, "host", "n", rest.count(), F.monotonically_increasing_id())
-    salted = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.greatest(F.col("shards"), F.lit(1)))).select("host", "salt", "page_id", "url", "marked", "blocks")
-    return salted.groupBy("host", "salt").applyInArrow(sift, "page_id long, url string, text string")
+            for lo in range(0, batch.num_rows, PAGES):
+                part = batch.slice(lo, PAGES)
+                texts = [text_of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    joined = own.join(repeats, "key", "left").select("page_id", "url", "html", "host", "marks")
+    return joined.mapInArrow(sift, "page_id long, url string, text string")

@@ -279,6 +279,30 @@ def test_marked_pages_lose_blocks_that_their_host_repeats(spark):
         assert got[20 + i] == " ".join(shared) and got[30 + i] == " ".join(shared) + f"\n\n{i}"
 
 
+def test_repeats_count_over_the_whole_host(spark):
+    block = "our weekly letter brings the best of this site to your mail box"
+    page = lambda i, more="": f"<p>page {i} {' '.join(words(random.Random(i), 30, 10**6))}</p>{more}"
+    few = [(i, "http://h/x", page(i, f"<div>{block}</div>")) for i in range(40)]
+    rows = few + [(i, "http://h/x", page(i)) for i in range(100, 1060)]
+    far = [(2000 + i, "http://far/x", page(i, f"<div>{block}</div>")) for i in range(4)] + [(2100 + i, "http://far/x", " ".join(words(random.Random(i), 60_000, 10**6))) for i in range(20)]
+    text = lambda part: {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(part, "page_id long, url string, html string")).collect()}
+    alone, whole = text(few), text(rows + far + [(3000, "http://other/", page(0, f"<div>{block}</div>"))])
+    assert all(whole[i] == alone[i] and block not in alone[i] for i in range(40))
+    assert all(block not in whole[2000 + i] for i in range(4)) and block in whole[3000]
+
+
+def test_host_repeats_like_one_suffix_array(spark):
+    rng = random.Random(8)
+    rows = [(i, "http://h/x", "".join(f"<p>{' '.join(words(rng, rng.randrange(1, 40), 2))}</p>" for _ in range(3))) for i in range(30)]
+    streams = [html_main.streams_of(p) for *_, p in rows]
+    own = [" ".join(t for t, _ in b).split() for b, _ in streams]
+    _, toks = np.unique([w for o in own for w in o], return_inverse=True)
+    covered = np.split(html_main.repeated(toks, np.repeat(np.arange(30), [len(o) for o in own]), 8, 3), np.cumsum([len(o) for o in own])[:-1])
+    want = [html_main.kept_text(b, m, c, np.cumsum([len(t.split()) for t, _ in b])) for (b, m), c in zip(streams, covered, strict=True)]
+    got = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(30)] == want and any(c.any() for c in covered) and not all(c.all() for c in covered)
+
+
 def test_repeated_against_brute_force():
     rng = np.random.default_rng(1)
     toks, page = rng.integers(0, 4, 300), np.sort(rng.integers(0, 6, 300))
