@@ -404,11 +404,13 @@ def doc_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's first line cut into word boxes on a page of thousandths."""
+    """All lines of each document cut into word boxes, on pages of thousandths with 46 lines each."""
     docs = read(spark, sf_dir, "documents")
-    line = F.get(F.split(F.coalesce("text", F.lit("")), "\n", 2), 0)
-    boxes = labeling.word_boxes(line, F.lit(100), F.lit(40), F.lit(900), F.lit(60))
-    return docs.select("doc_id", F.posexplode(boxes).alias("pos", "b")).select("doc_id", "pos", "b.word", F.get("b.box", 0).alias("x0"), F.get("b.box", 2).alias("x1"))
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    top = F.lit(40) + 20 * F.pmod("line_no", F.lit(46))
+    boxes = labeling.word_boxes(F.col("line"), F.lit(100), top, F.lit(900), top + 20)
+    words = lines.select("doc_id", F.floor(F.col("line_no") / 46).cast("int").alias("page"), "line_no", F.posexplode(boxes).alias("pos", "b"))
+    return words.select("doc_id", "page", "line_no", "pos", "b.word", *[F.get("b.box", i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def lead_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,6 +173,16 @@ def test_labelling(spark, tmp_path):
     assert abs(labeling.macro_f1(pairs, "t", "g").first().macro_f1 - 2 / 3) < 1e-6
 
 
+def test_word_boxes_of_all_lines(spark, tmp_path):
+    texts = [(1, "aa bbbb c\n\n  dd  e"), (2, None), (3, "\n" * 50 + "last"), (4, "one")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalog.word_boxes(spark, str(tmp_path)).collect())
+    assert got == [
+        (1, 0, 0, 0, "aa", 100, 40, 328, 60), (1, 0, 0, 1, "bbbb", 328, 40, 785, 60), (1, 0, 0, 2, "c", 785, 40, 899, 60), (1, 0, 2, 0, "dd", 100, 80, 633, 100), (1, 0, 2, 1, "e", 633, 80, 899, 100),
+        (3, 1, 50, 0, "last", 100, 120, 900, 140), (4, 0, 0, 0, "one", 100, 40, 900, 60),
+    ]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("1.txt", "a\tO\nb\tB-HSN\n"), ("x.pdf", "p")):
