@@ -53,24 +53,30 @@ class DigestIndex:
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Of equal texts the longest original (code points), then the smallest id stays; a text that
+    Of equal texts the longest original (code points), then the smallest id stays; a row without an id
+    stays only if no row of its text has one, and keep_id is null there. A text that
     the index held before keeps the id recorded there. Null and empty texts are one group. Rows
-    repeated with one id share its verdict. Empty tables give no rows; extra columns are ignored.
+    repeated with one id (or without any) share its verdict. Empty tables give no rows; extra columns are ignored.
     """
     spark = docs.sparkSession
     index = index or DigestIndex(spark)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), normal_digest(F.col(text_col)).alias("digest"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"))
     own = cut(own)
-    best = F.max(F.struct("points", (-F.col("doc_id")).alias("low")))
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), F.col("points"), (-F.col("doc_id")).alias("low")))
     groups = cut(own.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size")).select("digest", (-F.col("best.low")).alias("keep_id"), F.col("best.points").alias("points"), "group_size"))
     index.append_new(groups)
     held = groups.select("digest", "group_size").join(index.table().select("digest", "keep_id").hint("merge"), "digest")
     out = attach(own, held, "digest", "group_size", own.count(), F.col("doc_id"))
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated with one id and text, one."""
-    verdicts = cut(deduplicate(docs, id_col=id_col, text_col=text_col).where("kept").groupBy("doc_id").agg(F.count("*").alias("n")))
-    stay = docs.join(verdicts, docs[id_col] == verdicts["doc_id"], "left_semi")
-    return stay.dropDuplicates([id_col, text_col]) if verdicts.where("n > 1").take(1) else stay
+    """The rows of docs that stay, with all their columns; of rows repeated with one id (or none) and text, the longest."""
+    found = deduplicate(docs, id_col=id_col, text_col=text_col).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).agg(F.count("*").alias("_n"))
+    verdicts = cut(found)
+    digest = normal_digest(F.col(text_col))
+    stay = lambda some: docs.join(some, (digest == F.col("_digest")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if not verdicts.where("_n > 1").take(1):
+        return stay(verdicts)
+    longest = F.max_by(F.struct(*docs.columns), F.struct(F.char_length(text_col), F.col(text_col)))
+    return stay(verdicts.where("_n = 1")).union(stay(verdicts.where("_n > 1")).groupBy(F.col(id_col).alias("_id"), digest.alias("_digest")).agg(longest.alias("_row")).select("_row.*"))

@@ -239,3 +239,12 @@ def test_substring_dedup_with_many_buckets(spark, monkeypatch):
     rows = [(i, " ".join(words(rng, 40, 6))) for i in range(30)]
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs(spark, rows), 4).collect())
     assert got == substring_brute(rows, 4)
+
+
+def test_rows_without_an_id_stay_once_and_displace_none(spark):
+    rows = [(1, "a b"), (None, "a  b"), (None, "solo"), (None, "dup x"), (None, "dup  x"), (2, "p"), (3, "p"), (4, "q"), (4, "p")]
+    stay = exact_dedup.keep_unique(docs(spark, rows))
+    assert stay.columns == docs(spark, []).columns
+    assert sorted((r.doc_id or 0, r.text) for r in stay.collect()) == [(0, "dup  x"), (0, "solo"), (1, "a b"), (2, "p"), (4, "q")]
+    got = exact_dedup.deduplicate(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.keep_id, r.kept) for r in got if r.group_size == 2} == {(1, 1, True), (None, 1, False), (None, None, True)}
