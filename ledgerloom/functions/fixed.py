@@ -138,3 +138,16 @@ NOISE_V1 = [
     (r"AA8CK(\d{4}[A-Z])", "AABCK$1"),
     (r"%(\d)", "₹$1"),
 ]
+
+# ---- names of single companies, looked for only where a caller asks for tenant rules; the first four come before the general rule ----
+
+TENANT_SUPPLIERS = [
+    r"[Ff]or\s+(Surabhi\s+Hardwares[^\n]{0,30})",
+    r"[Ff]or\s+(KERALA\s+STATE\s+ELECTRONICS[^\n]{0,80}(?:LTD|LIMITED)\.?)",
+    r"[Ff]or\s+(Gujarat\s+Freight\s+Tools[^\n]{0,20})",
+    r"[Ff]or\s+(V\s+K\s+Control\s+System[^\n]{0,40})",
+    r"(?m)^(Gujarat\s+Freight\s+Tools)\s*[.\s]*$",
+    r"(?m)^(V\s+K\s+Control\s+System\s+Private\s+Limited)[\s.]*$",
+    r"(?m)^(Surabhi\s+Hardwares[^\n]{0,40})",
+]
+TENANT_RECIPIENTS = [r"Sold\s*To\s*[^\n]{0,10}\n\s*(30\s+K\s+BN[^\n]{5,80})"]

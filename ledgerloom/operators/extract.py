@@ -62,6 +62,7 @@ INV_DATE_LINE = [
     r"Invoice\s*Date\s*[:\.]?\s*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})",
     r"Invoice\s*Date:?(\d{2}[JjIil]\d{2}\d{4})",
     r"Invoice\s*Date:?(\d{8})",
+    r"Invoice\s*Date:(\d{2}/0a/\d{4})",
     label_line(r"Issue\s*Date\s*[:\.]?", rf"[^\n]*?{DAY_SPACED}"),
     rf"Issue\s*Date\s*[:\.]?\s*{DAY_SPACED}",
     label_line("Dated", r"[^\n]*?(\d{1,2}-\w{3}-\d{2,4}|\d{1,2}/\d{1,2}/\d{2,4})", 3),
@@ -72,7 +73,7 @@ DISPATCH_DATE_LINE = [
     rf"Dispatch\s*Date\s*[:\-]?\s*{DAY_SPACED}",
     r"Dispatch\s*Date\s*[:\-]?\s*(\d{1,2}[-/]\w{2,9}[-/]\d{2,4})",
 ]
-BANK_ROW = r"Bank\s*[:\-]?\s*([A-Za-z][A-Za-z\s.&]{1,20}?)\s+A/[ce]\s*No\.?\s*[:\-]?\s*(\d{6,20})\s+IFSC\s*[:\-]?\s*([A-Z]{4}[0O][A-Z0-9]{5,6})"
+BANK_ROW_NAME = r"Bank\s*[:\-]?\s*([A-Za-z][A-Za-z\s.&]{1,20}?)\s+A/[ce]\s*No\.?\s*[:\-]?\s*\d{6,20}\s+IFSC\s*[:\-]?\s*[A-Z]{4}[0O][A-Z0-9]{5,6}"
 BANK_ALONE = r"Bank\s*(?:Name)?\s*[:\-]?\s*([A-Za-z][A-Za-z\s.&LTD]{2,30}?)(?:\s+A/[ce]|\s+Account|\s*$)"
 SUPPLIER_TEXT = [r"[Ff]or\s+((?:[A-Z][A-Z\s&.,()]+)(?:LTD|LIMITED|PVT)\.?)"]
 RECIPIENT_TEXT = [
@@ -109,6 +110,7 @@ HSN_ROW, HSN_ALONE = r"(?m)^\s*\d+\s+(\d{4,8})\s+[A-Za-z\d]", r"(?m)^[ \t]*(\d{4
 QTY_TOTAL, QTY_ROW, QTY_ANY = r"Total\s+(\d{1,4})\s+NOS?\b", r"\b\d{4,6}\s+\d+\s+\w+\s+.*?\s+(\d{1,4})\s+Nos?\b", r"\b([1-9]\d{0,2})\s+(?:NOS?|MTS?|Nos?|Units?|Pcs?)\b"
 UOM_TEXT = r"\b\d+\s+(Nos?|No\.?|MTS?|Units?|Pcs?|Kgs?)\b"
 RATE_ALONE = [r"\b1\s+MTS?\s+([\d,]+\.\d{2})\b", r"\b1\s+NOS?\s+([\d,]+\.\d{2})\b", r"Rate\s*[:\.]?\s*([\d,]+\.\d{2})"]
+DESC_SERVICE = r"9987\s+([\s\S]*?)\s+\d+\s+Nos?\b"
 DESC_ROW = r"(?m)^\s*\d+\s+\d{4,8}\s+([A-Za-z\*][^\n]{3,80}?)\s+\d+\s+(?:No\.?|NOS?|MTS?)"
 PLACE_LABEL = label_line(r"Place\s*of\s*(?:Supply)?\s*[:\.]?", r"[^\n]*?([A-Za-z][A-Za-z\s]{1,20})\s*\(\s*(\d{2})\.?\s*\)", 2)
 PLACE_LABEL_BARE = label_line(r"Place\s*of\s*(?:Supply)?\s*[:\.]?", r"([A-Za-z][A-Za-z\s]{2,40})[ \t]*(?:\n|\z)", 2)
@@ -146,7 +148,7 @@ def _line_fields(t: Column) -> dict[str, Column]:
     reference = lambda label, lead: line_first(t, rf"{label}\s*No\.?\s*[:\-]?\s*{lead}?([A-Z0-9/\-]{{6,25}})", clean=S.fix_reference)
     out["OA_NO"], out["DBA_NO"] = reference("OA", "[r]"), reference("(?:DBA|OBA)", "[fF]")
     bank = line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, "holder|number|branch|code"))
-    out["BANK"] = F.coalesce(strip(line_first(t, BANK_ROW.replace(r"(\d{6,20})", r"(?:\d{6,20})").replace(r"([A-Z]{4}[0O]", r"(?:[A-Z]{4}[0O]"))), bank)
+    out["BANK"] = F.coalesce(strip(line_first(t, BANK_ROW_NAME)), bank)
     out["IFSC"] = S.fix_ifsc(line_first(t, r"IFSC\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}[0O][A-Z0-9]{5,6})"))
     out["UPI_ID"] = F.substring(strip(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
     return out
@@ -160,9 +162,11 @@ def _place(t: Column) -> Column:
     return F.coalesce(labelled, F.when(S.is_place(bare), bare), same, S.state_name(find(line, PLACE_ALONE, 2), strip(find(line, PLACE_ALONE))))
 
 
-def _parties(t: Column) -> dict[str, Column]:
-    supplier = first_of(t, *SUPPLIER_TEXT, clean=lambda v: trim_tail(squeeze(v)), guard=lambda v: (F.length(v) > 4) & ~contains_any(v, fixed.NOT_SUPPLIER))
-    recipient = first_of(t, *RECIPIENT_TEXT, clean=lambda v: S.cut_at(strip(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
+def _parties(t: Column, tenant: bool = False) -> dict[str, Column]:
+    before, after = (fixed.TENANT_SUPPLIERS[:4], fixed.TENANT_SUPPLIERS[4:]) if tenant else ([], [])
+    supplier = first_of(t, *before, *SUPPLIER_TEXT, *after, clean=lambda v: trim_tail(squeeze(v)), guard=lambda v: (F.length(v) > 4) & ~contains_any(v, fixed.NOT_SUPPLIER))
+    known = [*RECIPIENT_TEXT[:3], *fixed.TENANT_RECIPIENTS, *RECIPIENT_TEXT[3:]] if tenant else RECIPIENT_TEXT
+    recipient = first_of(t, *known, clean=lambda v: S.cut_at(strip(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
     return {"SUPPLIER": F.substring(supplier, 1, 200), "RECIPIENT": recipient}
 
 
@@ -242,7 +246,9 @@ def _items(df: DataFrame, text: str) -> DataFrame:
     taken = F.filter(F.array(F.substring("_TRANSPORT_ID", 1, 8), F.when(F.col("_DISPATCH_FROM").rlike(r"^\d{3,6}$"), F.col("_DISPATCH_FROM")), F.col("_VENDOR_CODE")), lambda x: x.isNotNull())
     df = df.withColumn("_codes", hsn_codes(t, taken))
     quantity = first_of(t, QTY_TOTAL, QTY_ROW, QTY_ANY, guard=lambda v: (v.cast("int") < 1000) & ~F.array_contains(F.col("_codes"), v), clean=lambda v: v.cast("int").cast("string"))
-    described = F.filter(F.array_distinct(F.transform(find_all(t, DESC_ROW), lambda x: strip(x))), lambda d: ~has(d, "certified|declaration|gst act") & (d != ""))
+    rows = F.filter(F.transform(find_all(t, DESC_ROW), lambda x: strip(x)), lambda d: ~has(d, "certified|declaration|gst act") & (d != ""))
+    service = let(mentioning(t, ("9987",), squeeze(find(t, DESC_SERVICE))), lambda d: F.when(F.length(d) > 3, F.array(d)).otherwise(F.array().cast("array<string>")))
+    described = F.array_distinct(F.concat(rows, service))
     return df.withColumns({
         "_HSN": F.coalesce("_row_hsn", blank_to_null(F.array_join(F.slice("_codes", 1, 3), ", "))),
         "_QTY": quantity, "_UOM": F.initcap(find(t, UOM_TEXT)),
@@ -251,7 +257,7 @@ def _items(df: DataFrame, text: str) -> DataFrame:
     })
 
 
-def full_extract(df: DataFrame, text: str, into: str) -> DataFrame:
+def full_extract(df: DataFrame, text: str, into: str, tenant: bool = False) -> DataFrame:
     """df with a struct column ``into`` of all extracted fields (null where absent). Null text gives all null."""
     before = df.columns
     t = F.col(text)
@@ -262,7 +268,7 @@ def full_extract(df: DataFrame, text: str, into: str) -> DataFrame:
 
     def by_text(t: Column) -> Column:
         low = F.lower(t)
-        return F.struct(gstins(t).alias("_gstins"), mentioning(low, ("place", "("), _place(t)).alias("_PLACE"), mentioning(low, ("irn", "-"), _irn(t)).alias("_IRN"), *[v.alias(f"_{k}") for k, v in _parties(t).items()])
+        return F.struct(gstins(t).alias("_gstins"), mentioning(low, ("place", "("), _place(t)).alias("_PLACE"), mentioning(low, ("irn", "-"), _irn(t)).alias("_IRN"), *[v.alias(f"_{k}") for k, v in _parties(t, tenant).items()])
 
     df = df.withColumns({"_line": let(t, by_line), "_text": let(t, by_text)}).select(*before, "_line.*", "_text.*")
     pair = rf"GSTIN\s*[:\s]+({fixed.GSTIN})\s+PAN\s*[:\s]+({fixed.PAN})"
@@ -282,7 +288,7 @@ def two_pass(df: DataFrame, text: str = "raw_text", tenant: bool = False, strict
     """df with one column per field: what the repaired text gives first, then what the raw text gives."""
     before = df.columns
     df = df.withColumn("_plain_text", plain_spaces(F.col(text)))
-    df = full_extract(df.withColumn("_clean_text", S.fix_noise(F.col("_plain_text"), tenant, strict)), "_clean_text", "_a")
+    df = full_extract(df.withColumn("_clean_text", S.fix_noise(F.col("_plain_text"), tenant, strict)), "_clean_text", "_a", tenant)
     # where repair changed nothing the second pass would find the same again
-    df = full_extract(df.withColumn("_raw_text", F.when(F.col("_clean_text") != F.col("_plain_text"), F.col("_plain_text"))), "_raw_text", "_b")
+    df = full_extract(df.withColumn("_raw_text", F.when(F.col("_clean_text") != F.col("_plain_text"), F.col("_plain_text"))), "_raw_text", "_b", tenant)
     return df.select(*before, *[F.coalesce(F.col(f"_a.{f}"), F.col(f"_b.{f}")).alias(f) for f in fixed.FIELDS if f != "TOTAL_WORDS"])

@@ -45,7 +45,7 @@ INVOICE_SQL = f"""
     lines AS ({LINES_SQL}),
     grouped AS (
         SELECT l_orderkey, l_suppkey, CAST(sum(taxable) AS DECIMAL(18,2)) AS taxable, sum(qty) AS qty,
-               list({{'sl_no': sl_no, 'hsn': hsn, 'qty': qty, 'rate': rate}} ORDER BY sl_no) AS items,
+               list({{'sl_no': sl_no, 'hsn': hsn, 'qty': qty, 'rate': rate, 'part': l_partkey}} ORDER BY sl_no) AS items,
                coalesce(first(rate ORDER BY sl_no) FILTER (qty = 1), first(rate ORDER BY sl_no)) AS shown_rate
         FROM lines GROUP BY 1, 2
     ),
@@ -55,9 +55,10 @@ INVOICE_SQL = f"""
         FROM grouped g JOIN orders o ON o.o_orderkey = g.l_orderkey JOIN supplier s ON s.s_suppkey = g.l_suppkey JOIN customer c ON c.c_custkey = o.o_custkey
     ),
     taxed AS (
-        SELECT *, CASE WHEN is_inter THEN CAST(round(CAST(taxable * gst_rate / 100.0 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2)) END AS igst,
-               CASE WHEN NOT is_inter THEN CAST(round(CAST(taxable * gst_rate AS DECIMAL(18,4)) / 200, 2) AS DECIMAL(18,2)) END AS half
-        FROM (SELECT * FROM priced)
+        -- exact rounding, half up, in whole hundredths
+        SELECT *, CASE WHEN is_inter THEN CAST((CAST(taxable * 100 AS BIGINT) * gst_rate + 50) // 100 AS DECIMAL(18,2)) / 100 END AS igst,
+               CASE WHEN NOT is_inter THEN CAST((CAST(taxable * 100 AS BIGINT) * gst_rate + 100) // 200 AS DECIMAL(18,2)) / 100 END AS half
+        FROM priced
     ),
     invoice AS (
         SELECT *, coalesce(igst, half * 2) AS total_gst, taxable + coalesce(igst, half * 2) AS total,
@@ -66,10 +67,6 @@ INVOICE_SQL = f"""
         FROM taxed JOIN {STATE_SQL} ON st.code = lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0')
     )
 """
-#: Exact half-up rounding of taxable * rate / 100 and / 200 in whole hundredths.
-INVOICE_SQL = INVOICE_SQL.replace(
-    "CAST(round(CAST(taxable * gst_rate / 100.0 AS DECIMAL(18,6)), 2) AS DECIMAL(18,2))", "CAST((CAST(taxable * 100 AS BIGINT) * gst_rate + 50) // 100 AS DECIMAL(18,2)) / 100"
-).replace("CAST(round(CAST(taxable * gst_rate AS DECIMAL(18,4)) / 200, 2) AS DECIMAL(18,2))", "CAST((CAST(taxable * 100 AS BIGINT) * gst_rate + 100) // 200 AS DECIMAL(18,2)) / 100")
 
 
 def _money_sql(x: str) -> str:
@@ -179,14 +176,15 @@ def words_to_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", S.words_to_number(F.regexp_replace(said, " Rupees.*", "")).alias("value"))
 
 
-_SAY = "CASE WHEN {n} = 0 THEN '' WHEN {n} < 20 THEN u[{n} + 1] WHEN {n} < 100 THEN trim(t[{n} // 10 + 1] || ' ' || u[{n} % 10 + 1]) ELSE trim(u[{n} // 100 + 1] || ' Hundred ' || CASE WHEN {n} % 100 < 20 THEN u[{n} % 100 + 1] ELSE trim(t[{n} % 100 // 10 + 1] || ' ' || u[{n} % 10 + 1]) END) END"
+#: SQL: the words of a number {n} below 1000, by lists u and t.
+SAY_SQL = "CASE WHEN {n} = 0 THEN '' WHEN {n} < 20 THEN u[{n} + 1] WHEN {n} < 100 THEN trim(t[{n} // 10 + 1] || ' ' || u[{n} % 10 + 1]) ELSE trim(u[{n} // 100 + 1] || ' Hundred ' || CASE WHEN {n} % 100 < 20 THEN u[{n} % 100 + 1] ELSE trim(t[{n} % 100 // 10 + 1] || ' ' || u[{n} % 10 + 1]) END) END"
 WORDS_SQL = f"""
     WITH w AS (
         SELECT {fixed.UNITS} AS u, {fixed.TENS} AS t
     ), p AS (
         SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) // 100 AS r, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) % 100 AS paise FROM orders
     ), q AS (
-        SELECT o_orderkey, paise, {_SAY.format(n='(r // 10000000 % 1000)')} AS crore, {_SAY.format(n='(r // 100000 % 100)')} AS lakh, {_SAY.format(n='(r // 1000 % 100)')} AS thousand, {_SAY.format(n='(r % 1000)')} AS rest, {_SAY.format(n='paise')} AS small
+        SELECT o_orderkey, paise, {SAY_SQL.format(n='(r // 10000000 % 1000)')} AS crore, {SAY_SQL.format(n='(r // 100000 % 100)')} AS lakh, {SAY_SQL.format(n='(r // 1000 % 100)')} AS thousand, {SAY_SQL.format(n='(r % 1000)')} AS rest, {SAY_SQL.format(n='paise')} AS small
         FROM p, w
     )
     SELECT o_orderkey, concat_ws(' ', nullif(crore, '') || ' Crore', nullif(lakh, '') || ' Lakh', nullif(thousand, '') || ' Thousand', nullif(rest, '')) || ' Rupees' || CASE WHEN paise > 0 THEN ' and ' || small || ' Paise' ELSE '' END || ' Only' AS words
@@ -339,9 +337,48 @@ def owned_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each invoice get each label."""
-    rows = _truth_records(spark, sf_dir).withColumn("raw_text", F.regexp_replace("raw_text", r"[:/](?=\s)", ""))
-    got = labeling.weak_labels(rows, KEY, "raw_text")
-    return got.where(F.col("label").isin("B-GSTIN_S", "B-GSTIN_R", "B-INV_DATE")).groupBy(*KEY, "label").agg(F.count("*").alias("n"))
+    got = labeling.weak_labels(_truth_records(spark, sf_dir), KEY, "raw_text")
+    return got.groupBy(*KEY, "label").agg(F.count("*").alias("n"))
+
+
+_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
+_WORD = "upper(w)"
+_NEAR = "abs({} - n) < 0.5"
+#: Every word of every invoice's paper, and its label by the invoice's structured values.
+LABELS_SQL = f"""
+    parts AS (
+        SELECT i.*, substr(gstin_s, 3, 10) AS pan, strftime(inv_date, '%d/%m/%Y') AS day, list_transform(items, lambda x: x.hsn) AS codes,
+               list_concat(
+                   ['TAX', 'INVOICE', 'For'], string_split(supplier, ' '), ['GSTIN/UIN:', gstin_s, 'PAN:', substr(gstin_s, 3, 10), 'Invoice', 'No:', inv_no, 'Invoice', 'Date:', strftime(inv_date, '%d/%m/%Y'), 'Buyer', '(Bill', 'to)'], string_split(recipient, ' '),
+                   ['GSTIN/UIN:', gstin_r, 'Place', 'of', 'Supply'], string_split(place, ' '), ['(' || lpad(CAST(c_nationkey + 1 AS VARCHAR), 2, '0') || ')'],
+                   flatten(list_transform(items, lambda x: [CAST(x.sl_no AS VARCHAR), 'Part', {DIGITS.format('x.part')}, x.hsn, CAST(x.qty AS VARCHAR), 'Nos', CAST(x.rate AS VARCHAR)])), flatten(list_transform(items, lambda x: ['HSN/SAC:', x.hsn])),
+                   ['Total', CAST(qty AS VARCHAR), 'NOS', 'Rate:', CAST(items[1].rate AS VARCHAR), 'Taxable', 'Value:', {_money_sql('taxable')}],
+                   CASE WHEN is_inter THEN ['IGST', gst_rate || '%', 'IGST', 'Amount:', {_money_sql('igst')}] ELSE ['CGST', (gst_rate // 2) || '%', 'SGST', (gst_rate // 2) || '%', 'CGST', 'Amount:', {_money_sql('half')}, 'SGST', 'Amount:', {_money_sql('half')}] END,
+                   ['Total', 'GST:', {_money_sql('total_gst')}, 'Grand', 'Total:', {_money_sql('total')}, 'Bank:', 'STATE', 'BANK', 'A/c', 'No:', '1234567890', 'IFSC:', 'SBIN0001234']
+               ) AS words
+        FROM invoice i
+    ),
+    distinct_codes AS (
+        SELECT *, array_to_string(list_filter(codes, lambda x, j: list_position(codes, x) = j)[1:3], ', ') AS hsn FROM parts
+    ),
+    each AS (
+        SELECT *, unnest(words) AS w FROM distinct_codes
+    ),
+    numbered AS (
+        SELECT *, CASE WHEN regexp_matches(replace(w, ',', ''), '{_NUMBER}') THEN CAST(replace(w, ',', '') AS DOUBLE) END AS n FROM each
+    )
+    SELECT l_orderkey, l_suppkey, CASE
+               WHEN regexp_matches(w, '(?i)^{fixed.GSTIN_STRICT}') THEN CASE WHEN {_WORD} = gstin_r AND {_WORD} <> gstin_s THEN 'B-GSTIN_R' ELSE 'B-GSTIN_S' END
+               WHEN contains(upper(inv_no), {_WORD}) THEN 'B-INV_NO'
+               WHEN regexp_matches(w, '^[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2,4}}') AND (contains(day, w) OR contains(w, day)) THEN 'B-INV_DATE'
+               WHEN regexp_matches(w, '^[0-9]{{4,6}}$') AND (w IN ({', '.join(repr(x) for x in fixed.VALID_HSN)}) OR contains(hsn, w)) THEN 'B-HSN'
+               WHEN {_NEAR.format('taxable')} THEN 'B-TAXABLE' WHEN {_NEAR.format('half')} THEN 'B-CGST' WHEN {_NEAR.format('igst')} THEN 'B-IGST' WHEN {_NEAR.format('total')} THEN 'B-TOTAL'
+               WHEN regexp_matches(w, '^(5|9|12|14|18|28)%?$') THEN 'B-CGST_RATE'
+               WHEN length(w) > 3 AND list_contains(string_split(upper(supplier), ' '), {_WORD}) THEN CASE WHEN {_WORD} = string_split(upper(supplier), ' ')[1] THEN 'B-SUPPLIER' ELSE 'I-SUPPLIER' END
+               WHEN length(w) > 3 AND list_contains(string_split(upper(recipient), ' '), {_WORD}) THEN CASE WHEN {_WORD} = string_split(upper(recipient), ' ')[1] THEN 'B-RECIPIENT' ELSE 'I-RECIPIENT' END
+               ELSE 'O' END AS label, count(*) AS n
+    FROM numbered GROUP BY 1, 2, 3
+"""
 
 
 def fake_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,12 +462,18 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.element_at(record, "k").alias("k"), S.encode_record(record).alias("json"))
 
 
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in windows of five minutes by type."""
+    got = microbatch.windowed_counts(read(spark, sf_dir, "events"))
+    return got.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         gst_register, gst_register_totals, batch_totals, amount_parse, date_normalise, gstin_parts, state_lookup, number_to_words, words_to_number, tax_split, rate_snap, tax_reconcile, tax_breakdown, detection_score, line_items, hsn_register, raw_lines,
         ordered_distinct_hsn, extract_fields, noise_repair, merge_first_nonempty, context_gstin_roles, extract_fields_v1, recent_topk, history_search, status_counts, latest_version, batch_progress, owned_jobs, weak_labels, fake_filter, quality_gate, bio_spans, macro_f1,
-        train_val_split, upsert_samples, pii_tokens, hex_runs, doc_amounts, word_boxes, lead_stripped, event_props, microbatch.microbatch_threshold,
+        train_val_split, upsert_samples, pii_tokens, hex_runs, doc_amounts, word_boxes, lead_stripped, event_props, windowed_events, microbatch.microbatch_threshold,
     )
 }
 
@@ -499,7 +542,14 @@ ORACLE: dict[str, str] = {
     "doc_amounts": r"SELECT doc_id, len(a) AS n, CAST(list_sum(list_transform(a, lambda x: CAST(replace(x, ',', '') AS DECIMAL(18,2)))) AS DOUBLE) AS total FROM (SELECT doc_id, regexp_extract_all(text, '([0-9][0-9,]*\.[0-9]{2})', 1) AS a FROM documents) WHERE len(a) > 0",
     "lead_stripped": "SELECT p_partkey, trim(p_name) AS name FROM part",
     "event_props": "SELECT event_id, CAST(props::JSON ->> 'k' AS VARCHAR) AS k, '{\"k\":\"' || (props::JSON ->> 'k') || '\"}' AS json FROM events",
-    "weak_labels": f"""{INV}, given AS (SELECT l_orderkey, l_suppkey, unnest(['B-GSTIN_S', 'B-GSTIN_R', 'B-INV_DATE']) AS label FROM invoice) SELECT l_orderkey, l_suppkey, label, 1 AS n FROM given""",
+    "weak_labels": f"{INV}, {LABELS_SQL}",
+    "word_boxes": r"""
+        WITH l AS (SELECT doc_id, i - 1 AS line_no, list_filter(string_split_regex(ls[i], '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') AS ws FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)),
+        w AS (SELECT doc_id, line_no, j - 1 AS pos, ws[j] AS word, len(ws) AS k, 800 * length(ws[j]) // list_sum(list_transform(ws, lambda v: length(v))) AS width FROM l, unnest(range(1, len(ws) + 1)) AS u(j)),
+        x AS (SELECT *, sum(width) OVER (PARTITION BY doc_id, line_no ORDER BY pos) AS upto, 40 + 20 * (line_no % 46) AS top FROM w)
+        SELECT doc_id, CAST(line_no // 46 AS INTEGER) AS page, CAST(line_no AS INTEGER) AS line_no, CAST(pos AS INTEGER) AS pos, word, CAST(100 + CASE WHEN k = 1 THEN 0 ELSE upto - width END AS INTEGER) AS x0, CAST(top AS INTEGER) AS y0, CAST(CASE WHEN k = 1 THEN 900 ELSE 100 + upto END AS INTEGER) AS x1, CAST(top + 20 AS INTEGER) AS y1 FROM x""",
+    "microbatch_threshold": "SELECT 0::BIGINT AS batch, count(*) AS rows, count(*) >= 5 AS taken FROM events WHERE event_type = 'purchase'",
+    "windowed_events": "SELECT CAST(epoch(time_bucket(INTERVAL '5 minutes', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
 
 

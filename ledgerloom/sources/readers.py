@@ -35,9 +35,14 @@ def accepted(path: Column, size: Column) -> Column:
 
 
 def upload_gate(files: DataFrame, path: str = "path", size: str = "length", batch: str | None = None) -> DataFrame:
-    """files with ``gate``: 'accepted', 'skipped' for suffix or size, 'over' beyond the first files of a batch."""
+    """files with ``gate``: 'accepted', 'skipped' for suffix or size, 'over' beyond the first files of a batch (without ``batch`` all are one)."""
     fine = accepted(F.col(path), F.col(size))
-    rank = F.row_number().over(W.partitionBy(batch or F.lit(0), fine).orderBy(path))
+    if batch is None:
+        # a table of so many paths at most
+        first = files.where(fine).select(F.col(path).alias("_first")).orderBy("_first").limit(fixed.UPLOAD_FILES).distinct()
+        marked = files.join(F.broadcast(first), F.col(path) == F.col("_first"), "left")
+        return marked.withColumn("gate", F.when(~fine, "skipped").when(F.col("_first").isNull(), "over").otherwise("accepted")).drop("_first")
+    rank = F.row_number().over(W.partitionBy(batch, fine).orderBy(path))
     return files.withColumn("gate", F.when(~fine, "skipped").when(rank > fixed.UPLOAD_FILES, "over").otherwise("accepted"))
 
 
@@ -91,9 +96,9 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str = "id", low: i
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts).load()
 
 
-def training_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Training samples of JSON lists."""
-    return spark.read.schema(SAMPLE).option("multiLine", "true").json(path)
+def training_samples(spark: SparkSession, path: str, lists: bool = True) -> DataFrame:
+    """Training samples of JSON lists, a list in each file, or of one object a line as write_samples writes them."""
+    return spark.read.schema(SAMPLE).option("multiLine", str(lists).lower()).json(path)
 
 
 def label_files(spark: SparkSession, folder: str) -> DataFrame:

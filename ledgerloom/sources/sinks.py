@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable
+from itertools import chain, groupby
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import register
 from .readers import one_line
 
@@ -38,25 +40,28 @@ def sheet_name(file: str, taken: Iterable[str] = ()) -> str:
     return name
 
 
-def _sheet_xml(rows: Iterable[list]) -> str:
-    out = [_HEAD, f'<worksheet xmlns="{_MAIN}"><sheetData>']
-    for r, row in enumerate(rows, 1):
-        cells = "".join(f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape("".join(x if x >= " " or x in chr(10) + chr(9) else " " for x in str(v)))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
-        out.append(f'<row r="{r}">{cells}</row>')
-    return "".join([*out, "</sheetData></worksheet>"])
+def _row_xml(r: int, row: list) -> str:
+    cells = "".join(f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape("".join(x if x >= " " or x in chr(10) + chr(9) else " " for x in str(v)))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
+    return f'<row r="{r}">{cells}</row>'
 
 
-def write_workbook(path: str, sheets: dict[str, Iterable[list]]) -> str:
-    """An xlsx file of text cells, one sheet per entry."""
-    names = list(sheets)
+def write_workbook(path: str, sheets: Iterable[tuple[str, Iterable[list]]]) -> str:
+    """An xlsx file of text cells, a sheet for each (name, rows); sheets are written one after the other, row by row."""
+    names = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        for name, rows in sheets:
+            names.append(name)
+            with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as out:
+                out.write(f'{_HEAD}<worksheet xmlns="{_MAIN}"><sheetData>'.encode())
+                for r, row in enumerate(rows, 1):
+                    out.write(_row_xml(r, row).encode())
+                out.write(b"</sheetData></worksheet>")
+        numbers = range(1, len(names) + 1)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in numbers)
         z.writestr("[Content_Types].xml", f'{_HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
         z.writestr("_rels/.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'{_HEAD}<workbook xmlns="{_MAIN}" xmlns:r="{_REL}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
-        for i, n in enumerate(names, 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", _sheet_xml(sheets[n]))
+        z.writestr("xl/_rels/workbook.xml.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{_REL}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in numbers) + "</Relationships>")
     return path
 
 
@@ -69,23 +74,36 @@ def frame_rows(df: DataFrame) -> Iterable[list]:
         yield list(row)
 
 
+def workbook_cells(records: DataFrame, file_col: str) -> DataFrame:
+    """A batch workbook as rows (sheet, row, name, value): the register by row number with its totals last, and label and value of every file."""
+    numbered = register.batch_register(records, file_col, [file_col])
+    cells = lambda c: F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
+    rows = numbered.select(F.lit("Batch Register").alias("sheet"), F.col("row_no").cast("int").alias("row"), F.inline(F.array(*[cells(c) for c in numbered.columns])))
+    totals = register.shown_totals(register.total_row(records)).withColumn("row_no", F.concat(F.lit("TOTALS ("), F.col("invoices").cast("string"), F.lit(" invoices)")))
+    last = totals.select(F.lit("Batch Register"), (F.col("invoices") + 1).cast("int"), F.inline(F.array(*[cells(c) for c in ("row_no", *fixed.REGISTER_SUMS)])))
+    tabs = register.sections(records, file_col).select(F.col(file_col), "ordinal", "label", "value")
+    return rows.union(last).union(tabs)
+
+
 def batch_workbook(records: DataFrame, path: str, file_col: str, key: str) -> str:
-    """A batch's workbook: the register with totals, and a tab of label and value per invoice."""
-    sheet = list(frame_rows(register.batch_register(records, file_col, [file_col]).orderBy("row_no")))
-    total = register.shown_totals(register.total_row(records)).first()
-    at = {c: i for i, c in enumerate(sheet[0])}
-    last: list = [None] * len(sheet[0])
-    last[0] = f"TOTALS ({total['invoices']} invoices)"
-    for f, v in total.asDict().items():
-        if f in at:
-            last[at[f]] = v
-    sheets: dict[str, Iterable[list]] = {"Batch Register": [*sheet, last]}
-    tabs: dict[str, list[list]] = {}
-    for row in register.sections(records.withColumn("_file", F.col(file_col)), "_file").orderBy("_file", "ordinal").toLocalIterator():
-        tabs.setdefault(row["_file"], [["Field", "Value"]]).append([row["label"], row["value"]])
-    for file, rows in tabs.items():
-        sheets[sheet_name(file, sheets)] = rows
-    return write_workbook(path, sheets)
+    """A batch's workbook: the register with totals, and a tab of label and value per invoice. Rows come to the driver one partition after the other and go into the file as they come."""
+    ordered = register.batch_register(records, file_col, [file_col]).orderBy("row_no")
+    total = register.shown_totals(register.total_row(records)).first().asDict()
+
+    def sheet() -> Iterable[list]:
+        yield from frame_rows(ordered)
+        yield [f"TOTALS ({total['invoices']} invoices)" if i == 0 else total.get(c) for i, c in enumerate(ordered.columns)]
+
+    def sheets() -> Iterable[tuple[str, Iterable[list]]]:
+        names = {"batch register"}
+        yield "Batch Register", sheet()
+        rows = register.sections(records.withColumn("_file", F.col(file_col)), "_file").orderBy("_file", "ordinal").toLocalIterator()
+        for file, own in groupby(rows, lambda r: r["_file"]):
+            name = sheet_name(file, names)
+            names.add(name.lower())
+            yield name, chain([["Field", "Value"]], ([r["label"], r["value"]] for r in own))
+
+    return write_workbook(path, sheets())
 
 
 def invoice_workbook(record: DataFrame, path: str, key: str, text: str = "raw_text") -> str:
@@ -93,7 +111,7 @@ def invoice_workbook(record: DataFrame, path: str, key: str, text: str = "raw_te
     return write_workbook(path, {
         "Summary": frame_rows(register.sections(record, key).orderBy("ordinal").drop(key)), "Invoice Details": frame_rows(register.invoice_details(record, key).drop(key)), "Tax Breakdown": frame_rows(register.tax_breakdown(record, key).orderBy("ordinal").drop(key)),
         "GST Register": frame_rows(register.hsn_register(record, key).orderBy("sl").drop(key)), "Raw Text": frame_rows(register.raw_lines(record, key, text).orderBy("line_no").drop(key)),
-    })
+    }.items())
 
 
 def write_records(df: DataFrame, path: str, fields: list[str]) -> None:
@@ -102,8 +120,15 @@ def write_records(df: DataFrame, path: str, fields: list[str]) -> None:
 
 
 def write_labels(words: DataFrame, folder: str, key: str, word: str = "word", label: str = "label", pos: str = "pos") -> None:
-    """Tab-separated label files, a folder per document, in word order."""
-    words.repartition(key).sortWithinPartitions(key, pos).select(key, F.concat_ws("\t", one_line(F.col(word)), label).alias("value")).write.partitionBy(key).text(folder)
+    """Tab-separated lines of document, word and label, a document's words in order in one file; many documents share a file."""
+    lines = F.concat_ws("\t", one_line(F.col(key).cast("string")), one_line(F.col(word)), label)
+    words.repartition(key).sortWithinPartitions(key, pos).select(lines.alias("value")).write.text(folder)
+
+
+def read_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc, word, label) of what write_labels wrote."""
+    got = F.split("value", "\t", 3)
+    return spark.read.text(folder).select(F.get(got, 0).alias("doc"), F.get(got, 1).alias("word"), F.get(got, 2).alias("label"))
 
 
 def write_samples(samples: DataFrame, folder: str, split: str = "split") -> None:
@@ -112,4 +137,4 @@ def write_samples(samples: DataFrame, folder: str, split: str = "split") -> None
 
 
 def write_report(lines: DataFrame, path: str, value: str = "line") -> None:
-    lines.select(value).coalesce(1).write.text(path)
+    lines.select(value).write.text(path)

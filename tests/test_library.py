@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerloom.functions import fixed
 from ledgerloom.operators import extract, jobs, labeling, merge, register, validate
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, coverage
 from ledgerloom.sources import readers, sinks
 from ledgerloom.streaming import microbatch
 
@@ -29,12 +29,12 @@ def plain(v):
 
 
 @needs_data
-@pytest.mark.parametrize("name", [n for n in catalog.ORACLE if n not in ("gst_register_totals", "extract_fields_v1")])
+@pytest.mark.parametrize("name", [n for n in catalog.ORACLE | coverage.ORACLE if n not in ("gst_register_totals", "extract_fields_v1", "freight_records", "freight_records_v1")])
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = (catalog.QUERIES | coverage.QUERIES)[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(tuple(plain(x) for x in r) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    ran = duck.execute(catalog.ORACLE[name])
+    ran = duck.execute((catalog.ORACLE | coverage.ORACLE)[name])
     names = [d[0] for d in ran.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in ran.fetchall())
@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
 @needs_data
 def test_entry_points(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(catalog.QUERIES) <= set(queries) and set(sql) <= set(queries)
+    assert set(catalog.QUERIES) | set(coverage.QUERIES) <= set(queries) and set(sql) <= set(queries) and set(coverage.QUERIES) == set(coverage.ORACLE)
     assert __spark_entry__.entry(spark).limit(1).count() == 1
 
 
@@ -197,12 +197,51 @@ def test_sources(spark, tmp_path):
     assert joined == "x" * 81 + "\np1\np2"
 
 
-def test_stream_takes_each_event_once(spark, tmp_path):
-    folder, point = str(tmp_path / "in"), str(tmp_path / "cp")
-    spark.range(4).write.parquet(folder)
-    schema, out = spark.read.parquet(folder).schema, []
-    stream = spark.readStream.schema(schema).parquet(folder)
-    microbatch.run_available(stream, microbatch.threshold_consumer(out, 5, "id"), point)
-    spark.range(4, 10).write.mode("append").parquet(folder)
-    microbatch.run_available(spark.readStream.schema(schema).parquet(folder), microbatch.threshold_consumer(out, 5, "id"), point)
-    assert [(n, taken) for _, n, taken in out] == [(4, False), (6, True)]
+def test_jobs_wait_until_there_are_enough_and_train_once(spark, tmp_path):
+    folder, point, out, trained, fails = str(tmp_path / "in"), str(tmp_path / "cp"), [], [], [True]
+    jobs_of = lambda a, b: spark.range(a, b).select("id", (F.col("id") % 4 == 0).alias("fake"))
+    schema = jobs_of(0, 1).schema
+
+    def train(rows, version):
+        if fails and version == 2:
+            fails.clear()
+            raise ValueError("the training broke off")
+        trained.append((version, sorted(r.id for r in rows.collect())))
+
+    consume = microbatch.threshold_consumer(out, 5, "id", str(tmp_path / "state"), train, "fake")
+    run = lambda: microbatch.run_available(spark.readStream.schema(schema).parquet(folder), consume, point)
+    jobs_of(0, 5).write.parquet(folder)
+    run()
+    jobs_of(5, 8).write.mode("append").parquet(folder)
+    run()
+    jobs_of(8, 20).write.mode("append").parquet(folder)
+    with pytest.raises(Exception, match="broke off"):
+        run()
+    run()
+    run()
+    assert out == [(0, 2, 3, False, None), (1, 0, 6, True, 1), (2, 3, 9, True, 2)]
+    assert trained == [(1, [1, 2, 3, 5, 6, 7]), (2, [i for i in range(8, 20) if i % 4])]
+
+
+def test_random_split(spark):
+    for n in (0, 1, 2, 5, 300):
+        got = labeling.random_split(spark.range(n).withColumn("split2", F.lit(1)), "id").collect()
+        train, val = ([r.id for r in got if r.split == x] for x in ("train", "val"))
+        assert len(set(train)) == len(train) == (max(1, int(n * 0.8)) if n else 0) and len(set(val)) == len(val)
+        assert set(train) | set(val) == set(range(n)) and (len(val) == n - len(train) if n > 1 else set(val) == set(train))
+    other = labeling.random_split(spark.range(300), "id", "other seed").where("split = 'val'")
+    assert {r.id for r in other.collect()} != set(val)
+
+
+def test_tenant_rules_are_opt_in(spark):
+    text = "For Surabhi Hardwares and Sons 7\nFor ACME TOOLS LTD\nSold To\n30 K BN of somewhere\n"
+    rows = spark.createDataFrame([(text,)], "t string")
+    own, tenant = (rows.select(*[v.alias(k) for k, v in extract._parties(F.col("t"), on).items()]).first() for on in (False, True))
+    assert (own.SUPPLIER, own.RECIPIENT) == ("ACME TOOLS LTD", None)
+    assert (tenant.SUPPLIER, tenant.RECIPIENT) == ("Surabhi Hardwares and Sons 7", "30 K BN of somewhere")
+
+
+def test_service_rows_describe(spark):
+    text = "9987 Repair of  a\n machine 2 Nos\n1 8302 Steel hinge 3 Nos"
+    got = extract._items(spark.createDataFrame([(text, None, None, None, None)], "t string, _TRANSPORT_ID string, _DISPATCH_FROM string, _VENDOR_CODE string, _row_hsn string"), "t").first()
+    assert got._ITEM_DESC == "Steel hinge | Repair of a machine"
