@@ -117,20 +117,25 @@ PLACE_LABEL_BARE = label_line(r"Place\s*of\s*(?:Supply)?\s*[:\.]?", r"([A-Za-z][
 PLACE_SAME, PLACE_ALONE = r"Place\s*of\s*Supply\s*[:\-]?\s*([A-Z]{2,3})\s*\((\d{2})\)", r"([A-Za-z][A-Za-z\s]{2,20})\s*\(\s*(\d{2})\.?\s*\)"
 UPI_LABEL, UPI_ANY = label_line(r"UPI\s*ID\s*[:\-]?", r"([^\n]*@[^\n]*)"), r"(\b[A-Za-z0-9._\-]{3,30}@[A-Za-z0-9]{2,20}\b)"
 NOT_UPI = r"gmail|yahoo|hotmail|email|www"
+GSTIN_LABELLED, GSTIN_BARE, GSTIN_PAN = rf"GSTIN?(?:/UIN)?\s*[:\s]+({fixed.GSTIN})", rf"\b({fixed.GSTIN})\b", rf"GSTIN\s*[:\s]+({fixed.GSTIN})\s+PAN\s*[:\s]+({fixed.PAN})"
+TRANSPORT_ALONE, TRANSPORT_GSTIN = r"Transport\s*(?:ID|GSTIN|No)?\s*[:\-]?\s*\n", rf"Transport\s*(?:ID|GSTIN)\s*[:\-]?\s*({fixed.GSTIN})"
+DISPATCH_FROM_LINE = [label_line(r"Dispatch\s*From\s*[:\.]?", r"(\w[^\n]{0,49})"), r"Dispatch\s*From\s*[:\-]?\s*(\S[^\n]{0,40})"]
+TRANSPORT_LINE = [label_line(r"Transport(?:er\s*Name)?", r"(?!\d+[ \t]*(?:\n|\z))([^\n]{4,80})"), r"Transporter?\s*Name\s*[:\-]?\s*([A-Za-z][A-Za-z\s&.,\-]{3,60})"]
+SHIP_BY_LINE, PAN_LINE, CIN_LINE = r"Ship\s*by\s+([A-Za-z][A-Za-z\s]{2,20})", r"PAN\s*(?:No\.?)?\s*[:\-]?\s*[:\s]*([A-Z]{4,5}\d{4}[A-Z])", rf"\b({fixed.CIN})\b"
+TERMS_LINE, IFSC_LINE = r"Payment\s*Terms?\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{3,50})", r"IFSC\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}[0O][A-Z0-9]{5,6})"
+OA_LINE, DBA_LINE = r"OA\s*No\.?\s*[:\-]?\s*[r]?([A-Z0-9/\-]{6,25})", r"(?:DBA|OBA)\s*No\.?\s*[:\-]?\s*[fF]?([A-Z0-9/\-]{6,25})"
+IRN_PAIR, IRN_LABELLED = r"([a-f0-9]{30,})\s*[-\n]\s*([a-f0-9]{10,})", r"IRN\s*\n?\s*[:\-]?\s*([a-f0-9]{64})"
+NOT_BANK, NOT_ITEM = "holder|number|branch|code", "certified|declaration|gst act"
 
 
 def gstins(text: Column) -> Column:
     """Distinct GSTINs in the order they first stand; bare ones within 30 characters of a transport label are left out."""
-    label = rf"GSTIN?(?:/UIN)?\s*[:\s]+({fixed.GSTIN})"
-    bare = rf"\b({fixed.GSTIN})\b"
-    transport = r"Transport\s*(?:ID|GSTIN|No)?\s*[:\-]?\s*\n"
-    same_line = rf"Transport\s*(?:ID|GSTIN)\s*[:\-]?\s*({fixed.GSTIN})"
     placed = lambda pattern: F.arrays_zip(match_starts(text, pattern).alias("at"), F.transform(find_all(text, pattern), F.upper).alias("gstin"))
-    labelled = placed(label)
-    ends = F.transform(F.arrays_zip(match_starts(text, transport).alias("at"), find_all(text, transport, 0).alias("m")), lambda z: z["at"] + F.char_length(z["m"]))
-    near = F.concat(ends, match_starts(text, same_line))
+    labelled = placed(GSTIN_LABELLED)
+    ends = F.transform(F.arrays_zip(match_starts(text, TRANSPORT_ALONE).alias("at"), find_all(text, TRANSPORT_ALONE, 0).alias("m")), lambda z: z["at"] + F.char_length(z["m"]))
+    near = F.concat(ends, match_starts(text, TRANSPORT_GSTIN))
     known = F.transform(labelled, lambda z: z["gstin"])
-    others = F.filter(placed(bare), lambda z: ~F.array_contains(known, z["gstin"]) & ~F.exists(near, lambda t: F.abs(t - z["at"]) < 30))
+    others = F.filter(placed(GSTIN_BARE), lambda z: ~F.array_contains(known, z["gstin"]) & ~F.exists(near, lambda t: F.abs(t - z["at"]) < 30))
     return F.array_distinct(F.transform(F.array_sort(F.concat(labelled, others)), lambda z: z["gstin"]))
 
 
@@ -139,17 +144,16 @@ def _line_fields(t: Column) -> dict[str, Column]:
     out["INV_NO"] = line_first(t, *INV_NO_LINE, clean=lambda v: strip(sub(sub(strip(v), r"[.,;| ]+$", "", EXACT), "^[!|]", "I", EXACT)))
     out["INV_DATE"] = line_first(t, *INV_DATE_LINE, clean=S.normal_date)
     out["DISPATCH_DATE"] = line_first(t, *DISPATCH_DATE_LINE, clean=S.normal_date)
-    out["DISPATCH_FROM"] = line_first(t, label_line(r"Dispatch\s*From\s*[:\.]?", r"(\w[^\n]{0,49})"), r"Dispatch\s*From\s*[:\-]?\s*(\S[^\n]{0,40})", clean=strip)
-    out["TRANSPORT"] = line_first(t, label_line(r"Transport(?:er\s*Name)?", r"(?!\d+[ \t]*(?:\n|\z))([^\n]{4,80})"), r"Transporter?\s*Name\s*[:\-]?\s*([A-Za-z][A-Za-z\s&.,\-]{3,60})", clean=lambda v: F.substring(sub(strip(v), "[.,;]+$", "", EXACT), 1, 80))
-    out["SHIP_BY"] = line_first(t, r"Ship\s*by\s+([A-Za-z][A-Za-z\s]{2,20})", clean=lambda v: F.substring(strip(v), 1, 30))
-    out["PAN"] = F.upper(line_first(t, r"PAN\s*(?:No\.?)?\s*[:\-]?\s*[:\s]*([A-Z]{4,5}\d{4}[A-Z])"))
-    out["CIN"] = F.upper(line_first(t, rf"\b({fixed.CIN})\b"))
-    out["PAYMENT_TERMS"] = line_first(t, r"Payment\s*Terms?\s*[:\-]?\s*([A-Za-z][A-Za-z\s]{3,50})", clean=strip)
-    reference = lambda label, lead: line_first(t, rf"{label}\s*No\.?\s*[:\-]?\s*{lead}?([A-Z0-9/\-]{{6,25}})", clean=S.fix_reference)
-    out["OA_NO"], out["DBA_NO"] = reference("OA", "[r]"), reference("(?:DBA|OBA)", "[fF]")
-    bank = line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, "holder|number|branch|code"))
+    out["DISPATCH_FROM"] = line_first(t, *DISPATCH_FROM_LINE, clean=strip)
+    out["TRANSPORT"] = line_first(t, *TRANSPORT_LINE, clean=lambda v: F.substring(sub(strip(v), "[.,;]+$", "", EXACT), 1, 80))
+    out["SHIP_BY"] = line_first(t, SHIP_BY_LINE, clean=lambda v: F.substring(strip(v), 1, 30))
+    out["PAN"] = F.upper(line_first(t, PAN_LINE))
+    out["CIN"] = F.upper(line_first(t, CIN_LINE))
+    out["PAYMENT_TERMS"] = line_first(t, TERMS_LINE, clean=strip)
+    out["OA_NO"], out["DBA_NO"] = (line_first(t, p, clean=S.fix_reference) for p in (OA_LINE, DBA_LINE))
+    bank = line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, NOT_BANK))
     out["BANK"] = F.coalesce(strip(line_first(t, BANK_ROW_NAME)), bank)
-    out["IFSC"] = S.fix_ifsc(line_first(t, r"IFSC\s*(?:Code)?\s*[:\-]?\s*([A-Z]{4}[0O][A-Z0-9]{5,6})"))
+    out["IFSC"] = S.fix_ifsc(line_first(t, IFSC_LINE))
     out["UPI_ID"] = F.substring(strip(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
     return out
 
@@ -171,9 +175,8 @@ def _parties(t: Column, tenant: bool = False) -> dict[str, Column]:
 
 
 def _irn(t: Column) -> Column:
-    pair = r"([a-f0-9]{30,})\s*[-\n]\s*([a-f0-9]{10,})"
-    joined = sub(F.concat(find(t, pair, 1), find(t, pair, 2)), "[^a-f0-9]", "", EXACT)
-    return F.coalesce(find(t, r"IRN\s*\n?\s*[:\-]?\s*([a-f0-9]{64})"), F.when(F.length(joined) >= 60, joined))
+    joined = sub(F.concat(find(t, IRN_PAIR, 1), find(t, IRN_PAIR, 2)), "[^a-f0-9]", "", EXACT)
+    return F.coalesce(find(t, IRN_LABELLED), F.when(F.length(joined) >= 60, joined))
 
 
 def _over(t: Column, least: float, patterns: list[str]) -> Column:
@@ -246,7 +249,7 @@ def _items(df: DataFrame, text: str) -> DataFrame:
     taken = F.filter(F.array(F.substring("_TRANSPORT_ID", 1, 8), F.when(F.col("_DISPATCH_FROM").rlike(r"^\d{3,6}$"), F.col("_DISPATCH_FROM")), F.col("_VENDOR_CODE")), lambda x: x.isNotNull())
     df = df.withColumn("_codes", hsn_codes(t, taken))
     quantity = first_of(t, QTY_TOTAL, QTY_ROW, QTY_ANY, guard=lambda v: (v.cast("int") < 1000) & ~F.array_contains(F.col("_codes"), v), clean=lambda v: v.cast("int").cast("string"))
-    rows = F.filter(F.transform(find_all(t, DESC_ROW), lambda x: strip(x)), lambda d: ~has(d, "certified|declaration|gst act") & (d != ""))
+    rows = F.filter(F.transform(find_all(t, DESC_ROW), lambda x: strip(x)), lambda d: ~has(d, NOT_ITEM) & (d != ""))
     service = let(mentioning(t, ("9987",), squeeze(find(t, DESC_SERVICE))), lambda d: F.when(F.length(d) > 3, F.array(d)).otherwise(F.array().cast("array<string>")))
     described = F.array_distinct(F.concat(rows, service))
     return df.withColumns({
@@ -271,10 +274,9 @@ def full_extract(df: DataFrame, text: str, into: str, tenant: bool = False) -> D
         return F.struct(gstins(t).alias("_gstins"), mentioning(low, ("place", "("), _place(t)).alias("_PLACE"), mentioning(low, ("irn", "-"), _irn(t)).alias("_IRN"), *[v.alias(f"_{k}") for k, v in _parties(t, tenant).items()])
 
     df = df.withColumns({"_line": let(t, by_line), "_text": let(t, by_text)}).select(*before, "_line.*", "_text.*")
-    pair = rf"GSTIN\s*[:\s]+({fixed.GSTIN})\s+PAN\s*[:\s]+({fixed.PAN})"
     df = _rates(_amounts(df, text), text)
     df = df.withColumns({
-        "_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(t, pair, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(t, pair, 2)),
+        "_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(t, GSTIN_PAN, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(t, GSTIN_PAN, 2)),
         **{f"_{f}": S.show(F.col(f"_v_{f.lower()}")) for f in ("TAXABLE", "CGST", "SGST", "IGST", "TOTAL_GST", "TOTAL")},
     })
     df = _items(df, text)

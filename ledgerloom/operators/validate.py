@@ -14,6 +14,21 @@ from ..functions import scalars as S
 from ..functions.text import EXACT, blank_to_null, contains_any, find, find_all, first_of, has, let, squeeze, strip, sub, trim_tail
 from .extract import QTY_TOTAL, RECIPIENT_TEXT
 
+# ---- fixed values: what the steps look for in the raw text ----
+
+FIRST_GSTIN = rf"GSTIN?(?:/UIN)?\s*:\s*({fixed.GSTIN})"
+PLACE_FORM = r"^[A-Za-z][A-Za-z\s&\-\.]+$"
+DATE_TEXT = [
+    r"Invoice\s*Date\s*[:\.]?\s*(\d{1,2}[-/\.]\w{2,9}[-/\.]\d{2,4})",
+    r"Invoice\s*Date\s*[:\.]?\s*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})",
+    r"Invoice\s*Date:?(\d{2}[JjIil]\d{2}\d{4})",
+    r"Issue\s*Date\s*[:\.]?\s*(\d{1,2}\s*[-–]\s*\w{3,9}\s*[-–]\s*\d{2,4})",
+    r"Dated\s+(\d{1,2}[-–]\w{3,9}[-–]\d{2,4})",
+]
+SUPPLIER_MIDDLE, SUPPLIER_END = r"\s*in\s+words\s*:\s*", r"\s+(?:in\s+words\s*[:\.]?|DECLARATIO|Certified|Rupees|TAX\s+TOTAL|We\s+declare)"
+RECIPIENT_END, RECIPIENT_END_AGAIN = r"\s+(?:Customer|Invoice|OA|Delivery|GSTIN|Phone|Address|Challan|\d{6})", r"\s+(?:Plot|Road|GSTIN|Phone|\d{6})"
+NOT_RECIPIENT_AGAIN = ["same state", "ship to", "bill to", "dispatch", "kochi"]
+QTY_TEXT, ORDER_TEXT = r"\b([1-9]\d{0,2})\s+(?:NOS?|MTS?|Nos?)\b", r"[•·]\s*(\d{3,6})\s"
 
 
 def none() -> Column:
@@ -72,7 +87,7 @@ def fix_amounts(df: DataFrame) -> DataFrame:
 def fix_gstins(df: DataFrame) -> DataFrame:
     """The first labelled GSTIN of the raw text supplies; else the one nearer to the supplier's name."""
     raw, s, r = F.col("raw_text"), F.upper("GSTIN_S"), F.upper("GSTIN_R")
-    first = F.upper(find(raw, rf"GSTIN?(?:/UIN)?\s*:\s*({fixed.GSTIN})"))
+    first = F.upper(find(raw, FIRST_GSTIN))
     at = lambda what, where: F.nullif(F.instr(where, what), F.lit(0)) if isinstance(what, str) else F.nullif(F.call_function("instr", where, what), F.lit(0))
     name = at(F.substring(F.lower("SUPPLIER"), 1, 15), F.lower(raw))
     swap = F.coalesce(first.isNull() & (F.length("SUPPLIER") >= 10) & (F.abs(at(r, F.upper(raw)) - name) < F.abs(at(s, F.upper(raw)) - name)), F.lit(False))
@@ -84,7 +99,7 @@ def fix_gstins(df: DataFrame) -> DataFrame:
 
 def validate_place(df: DataFrame) -> DataFrame:
     p = strip("PLACE")
-    return df.withColumn("PLACE", F.when((F.length(p) >= 3) & has(p, r"^[A-Za-z][A-Za-z\s&\-\.]+$", EXACT) & S.is_place(p), F.col("PLACE")))
+    return df.withColumn("PLACE", F.when((F.length(p) >= 3) & has(p, PLACE_FORM, EXACT) & S.is_place(p), F.col("PLACE")))
 
 
 def fix_invoice_number(df: DataFrame, tenant: bool = False) -> DataFrame:
@@ -96,10 +111,7 @@ def fix_invoice_date(df: DataFrame) -> DataFrame:
     bad = F.filter(F.array("OA_DATE", "ACK_DATE", "DBA_DATE"), lambda x: x.isNotNull())
     good = lambda v: v.isNotNull() & ~F.array_contains(bad, v)
     own = S.normal_date(sub(F.col("INV_DATE"), "/0a/", "/08/"))
-    found = first_of(
-        F.col("raw_text"), r"Invoice\s*Date\s*[:\.]?\s*(\d{1,2}[-/\.]\w{2,9}[-/\.]\d{2,4})", r"Invoice\s*Date\s*[:\.]?\s*(\d{1,2}[-/]\d{1,2}[-/]\d{2,4})", r"Invoice\s*Date:?(\d{2}[JjIil]\d{2}\d{4})",
-        r"Issue\s*Date\s*[:\.]?\s*(\d{1,2}\s*[-–]\s*\w{3,9}\s*[-–]\s*\d{2,4})", r"Dated\s+(\d{1,2}[-–]\w{3,9}[-–]\d{2,4})", clean=S.normal_date, guard=good,
-    )
+    found = first_of(F.col("raw_text"), *DATE_TEXT, clean=S.normal_date, guard=good)
     return df.withColumn("INV_DATE", F.coalesce(F.when(good(own), own), found))
 
 
@@ -111,11 +123,11 @@ def fix_identities(df: DataFrame) -> DataFrame:
 
 def fix_names(df: DataFrame) -> DataFrame:
     """Supplier and recipient cut at words that can't belong to a name; a recipient is looked for again."""
-    supplier = squeeze(sub(F.col("SUPPLIER"), r"\s*in\s+words\s*:\s*", " "))
-    supplier = trim_tail(S.cut_at(supplier, r"\s+(?:in\s+words\s*[:\.]?|DECLARATIO|Certified|Rupees|TAX\s+TOTAL|We\s+declare)", 200))
+    supplier = squeeze(sub(F.col("SUPPLIER"), SUPPLIER_MIDDLE, " "))
+    supplier = trim_tail(S.cut_at(supplier, SUPPLIER_END, 200))
     own = F.when(~contains_any(F.col("RECIPIENT"), fixed.NOT_RECIPIENT_LATE), F.col("RECIPIENT"))
-    cut = S.cut_at(own, r"\s+(?:Customer|Invoice|OA|Delivery|GSTIN|Phone|Address|Challan|\d{6})", 150)
-    again = first_of(F.col("raw_text"), *RECIPIENT_TEXT[:3], clean=lambda v: S.cut_at(strip(v), r"\s+(?:Plot|Road|GSTIN|Phone|\d{6})", 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, ["same state", "ship to", "bill to", "dispatch", "kochi"]))
+    cut = S.cut_at(own, RECIPIENT_END, 150)
+    again = first_of(F.col("raw_text"), *RECIPIENT_TEXT[:3], clean=lambda v: S.cut_at(strip(v), RECIPIENT_END_AGAIN, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, NOT_RECIPIENT_AGAIN))
     return df.withColumns({"SUPPLIER": blank_to_null(supplier), "RECIPIENT": F.coalesce(F.when(F.length(cut) > 3, cut), own, again)})
 
 
@@ -127,7 +139,7 @@ def fix_quantity(df: DataFrame) -> DataFrame:
     q = F.when(strip("QTY").rlike(r"^\d{1,4}$"), strip("QTY"))
     codes = F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: strip(x))
     fine = lambda v: (v.cast("int") < 1000) & ~F.array_contains(codes, v)
-    again = first_of(F.col("raw_text"), QTY_TOTAL, r"\b([1-9]\d{0,2})\s+(?:NOS?|MTS?|Nos?)\b", clean=lambda v: v.cast("int").cast("string"), guard=fine)
+    again = first_of(F.col("raw_text"), QTY_TOTAL, QTY_TEXT, clean=lambda v: v.cast("int").cast("string"), guard=fine)
     return df.withColumn("QTY", F.when(q.isNotNull(), F.coalesce(F.when(fine(q), q), again)))
 
 
@@ -147,7 +159,7 @@ def fix_texts(df: DataFrame) -> DataFrame:
         "ITEM_DESC": F.when(~contains_any(F.col("ITEM_DESC"), fixed.NOT_DESCRIPTION), F.col("ITEM_DESC")),
         "PAYMENT_TERMS": S.fix_payment_terms(F.col("PAYMENT_TERMS")),
         "OA_NO": S.fix_reference(F.col("OA_NO")), "DBA_NO": S.fix_reference(F.col("DBA_NO")),
-        "CUST_ORDER": F.coalesce("CUST_ORDER", find(raw, r"[•·]\s*(\d{3,6})\s")),
+        "CUST_ORDER": F.coalesce("CUST_ORDER", find(raw, ORDER_TEXT)),
         "TRANSPORT": S.fix_transport(F.col("TRANSPORT")), "DBA_DATE": S.find_dba_date(F.col("DBA_DATE"), raw),
     })
 
@@ -238,4 +250,4 @@ def post_process(df: DataFrame, steps=None) -> DataFrame:
 
 
 def labelled_gstins(raw: Column) -> Column:
-    return F.array_distinct(F.transform(find_all(raw, rf"GSTIN?(?:/UIN)?\s*:\s*({fixed.GSTIN})"), F.upper))
+    return F.array_distinct(F.transform(find_all(raw, FIRST_GSTIN), F.upper))
