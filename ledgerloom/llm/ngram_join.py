@@ -7,21 +7,22 @@ done. The others join on the n-grams of their prefixes, under length, positional
 filters, and each pair is verified once.
 
 A pair within a component that is known already tells nothing new. So groups of an n-gram are first
-linked through a few hashed centres each; only pairs across the components found so far are
-enumerated, of which each has a side outside the n-gram's largest component.
+linked through a few hashed centres; then only pairs across the components found so far are
+made, of which each has a side outside the n-gram's largest component.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import bucket_bits, pack, unpack
-from .shared import attach, cut, cut_and_measure, merge_components
+from .shared import attach, components, stored, stored_and_measured
 from .tokens import Words, mix, owners, text_chunks, window_hashes
 
 NGRAM = 5
@@ -31,9 +32,9 @@ PERCENT = 75
 HASH_BITS = 52
 FLUSH = 750_000
 BUCKET_ITEMS = 2_500_000
-#: Centres of an n-gram's group and rounds of them before the rest is enumerated.
-CENTRES, ROUNDS = 6, 3
-#: Classes of the suffix filter.
+#: Centres of an n-gram's group.
+CENTRES = 6
+#: Classes that the suffix filter divides n-grams into, by hash.
 PARTS = 8
 
 
@@ -83,10 +84,11 @@ def signatures(docs: DataFrame, k: int = NGRAM) -> DataFrame:
 
 
 def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """(sig, n, u, parts, tokens) of the classes that can have a neighbour.
+    """(sig, n, u, tokens, behind) of the classes that can have a neighbour.
 
     tokens: the n-grams that other classes have too, rare first, as (class count code, hash) in one
-    long; u: how many it has alone; parts: how many tokens fall in each of PARTS hash classes, a byte each.
+    long; u: how many it has alone; behind: of each token in the prefix, how many tokens behind it fall in each
+    of PARTS hash classes, a byte each (255 stands for more too, which only lowers the filter's bound).
     """
     bits = bucket_bits(total, BUCKET_ITEMS)
     low_bits = HASH_BITS - bits
@@ -98,6 +100,7 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
         n = 0
 
         def flush() -> pa.RecordBatch:
+            seen.clear()
             base = np.cumsum([0] + [len(x[2]) for x in held])
             values = np.concatenate([x[0] for x in held])
             owner = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
@@ -159,85 +162,87 @@ def shared_tokens(docs: DataFrame, total: int, k: int = NGRAM, percent: int = PE
         order = np.lexsort((values, owner))
         owner, values = owner[order], values[order]
         some = np.flatnonzero(alive)
-        parts = np.bincount(owner * PARTS + (values % np.uint64(PARTS)).astype(np.int64), minlength=len(sigs) * PARTS)
-        packed = np.minimum(parts, 255).astype(np.uint8).view(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(s[some])])
-        return pa.table({
-            "sig": pa.array(sigs[some].view(np.int64)), "n": pa.array(n[some]), "u": pa.array(u[some]),
-            "parts": pa.array(packed[some]),
-            "tokens": pa.ListArray.from_arrays(offsets.astype(np.int32), values.view(np.int64)),
-        })
+        ends = np.cumsum(s[some])
+        prefix = np.minimum(np.maximum(0, n[some] - (percent * n[some] + 99) // 100 + 1 - u[some]), s[some])
+        at = np.repeat(ends - s[some] - np.cumsum(prefix) + prefix, prefix) + np.arange(int(prefix.sum()))
+        last = np.repeat(ends, prefix) - 1
+        behind = np.empty((len(at), PARTS), np.uint8)
+        for c in range(PARTS):
+            upto = np.cumsum(values % np.uint64(PARTS) == c, dtype=np.int32)
+            behind[:, c] = np.minimum(upto[last] - upto[at], 255) if len(at) else 0
+        lists = lambda counts, rows: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(rows.view(np.int64).ravel()))
+        return pa.table({"sig": pa.array(sigs[some].view(np.int64)), "n": pa.array(n[some]), "u": pa.array(u[some]), "tokens": lists(s[some], values), "behind": lists(prefix, behind)})
 
     packed = docs.select("text").mapInArrow(emit, "bucket int, blob binary")
     parts = packed.groupBy("bucket").applyInArrow(count, "part int, blob binary")
-    return parts.groupBy("part").applyInArrow(gather, "sig long, n long, u long, parts long, tokens array<long>")
+    return parts.groupBy("part").applyInArrow(gather, "sig long, n long, u long, tokens array<long>, behind array<long>")
 
 
-def _verify(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link."""
-    side = lambda x: records.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+def _linked(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """The rows of pairs (a, b and more columns) that link."""
+    side = lambda x: records.select(F.col("sig").alias(x), F.col("n").alias(f"_n_{x}"), F.col("tokens").alias(f"_t_{x}"))
+    common = F.size(F.array_intersect("_t_a", "_t_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (F.col("_n_a") + F.col("_n_b") - common)).select(*pairs.columns)
 
 
-def _could_link(percent: int) -> F.Column:
-    """Length filter, and the suffix filter: a lower bound of the difference from the counts by hash class."""
-    byte = lambda x, i: F.shiftrightunsigned(F.col(f"parts_{x}"), 8 * i).bitwiseAND(F.lit(255))
-    apart = F.col("u_a") + F.col("u_b")
-    for i in range(PARTS):
-        apart = apart + F.abs(byte("a", i) - byte("b", i))
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return fits & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+def _could_link(a: str, b: str, percent: int, first: bool) -> Column:
+    """Length, positional and suffix filters for two postings of a token, structs (n, u, pos, behind).
 
-
-def _prefix(percent: int) -> F.Column:
-    """The tokens of a record that stand in its prefix."""
-    return F.expr(f"slice(tokens, 1, cast(greatest(0, n - ceil(n * {percent} / 100) + 1 - u) as int))")
-
-
-def link_components(records: DataFrame, percent: int = PERCENT) -> DataFrame | None:
-    """Components (node, root) of the classes under all links between them, or None without any."""
-    places = records.select("sig", "n", "u", "parts", F.posexplode(_prefix(percent)).alias("i", "token")).withColumn("pos", F.col("u") + F.col("i")).drop("i")
-    again = places.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    postings, seen = cut_and_measure(places.join(again, "token"), F.count("*").alias("n"))
+    Of the tokens behind the match, as many differ as their counts by hash class do at least, which bounds the
+    overlap. ``first``: only a pair's first common token need let it through, so nothing before it is common.
+    """
+    of = lambda side, name: F.col(f"{side}.{name}")
+    byte = lambda side, i: F.shiftrightunsigned(of(side, "behind"), 8 * i).bitwiseAND(F.lit(255))
+    rest = lambda side: of(side, "n") - of(side, "pos") - 1
+    apart = sum((F.abs(byte(a, i) - byte(b, i)) for i in range(1, PARTS)), F.abs(byte(a, 0) - byte(b, 0)))
+    before = F.lit(0) if first else F.least(of(a, "pos") - of(a, "u"), of(b, "pos") - of(b, "u"))
+    both = of(a, "n") + of(b, "n")
+    length = 100 * F.least(of(a, "n"), of(b, "n")) >= percent * F.greatest(of(a, "n"), of(b, "n"))
+    positional = (100 + percent) * (before + 1 + F.least(rest(a), rest(b))) >= percent * both
+    suffix = (100 + percent) * (2 * (before + 1) + rest(a) + rest(b) - apart) >= 2 * percent * both
+    return length & positional & suffix
+
+
+def _postings(records: DataFrame, *more: str) -> DataFrame:
+    """(token, p, more) of every token in a record's prefix; p: struct (sig, n, u, pos, behind)."""
+    placed = records.select("sig", "n", "u", *more, F.slice("tokens", F.lit(1), F.size("behind")).alias("_t"), "behind").select("sig", "n", "u", *more, F.posexplode(F.arrays_zip(F.col("_t").alias("t"), "behind")).alias("i", "z"))
+    return placed.select(F.col("z.t").alias("token"), F.struct("sig", "n", "u", (F.col("u") + F.col("i")).alias("pos"), F.col("z.behind").alias("behind")).alias("p"), *more)
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    """The smaller signature first."""
+    return [F.least(f"{a}.sig", f"{b}.sig").alias("a"), F.greatest(f"{a}.sig", f"{b}.sig").alias("b")]
+
+
+def link_components(records: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Components of the classes under all links between them: (node, root) of every class in one but its root."""
+    postings = _postings(records)
+    centres = [F.min(F.struct(F.xxhash64(F.col("p.sig"), F.lit(i)).alias("h"), "p")) for i in range(CENTRES)]
+    groups = postings.groupBy("token").agg(F.array_distinct(F.transform(F.array(*centres), lambda c: c["p"])).alias("cs"), F.count("*").alias("m")).where("m > 1").select("token", "cs")
+    near = postings.join(groups, "token").select("p", F.explode("cs").alias("c")).where(F.col("p.sig") != F.col("c.sig"))
+    tried, seen = stored_and_measured(near.where(_could_link("p", "c", percent, first=False)).select(*_pair("p", "c")).distinct(), F.count("*").alias("n"))
+    links = _linked(tried, records, percent) if seen["n"] else tried
+    known = components(links)
+
+    # across components: every pair that the centres didn't try, made at the tokens that both prefixes have
+    labelled = _postings(records.join(known.toDF("sig", "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")), "comp")
+    sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    mixed, seen = stored_and_measured(labelled.join(sizes.select("token", "top"), "token"), F.count("*").alias("n"))
     if not seen["n"]:
-        return None
-    comp: DataFrame | None = None
-
-    def labelled() -> DataFrame:
-        if comp is None:
-            return postings.withColumn("comp", F.col("sig"))
-        return postings.join(comp.toDF("sig", "root"), "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
-
-    left = None
-    for r in range(ROUNDS):
-        now = labelled()
-        centres = [F.min(F.struct(F.xxhash64(F.col("sig"), F.lit(r * CENTRES + i)).alias("h"), "sig", "comp", "n", "u", "parts")).alias(f"c{i}") for i in range(CENTRES)]
-        mixed = now.groupBy("token").agg(*centres, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        near = mixed.select("token", F.explode(F.array_distinct(F.array(*[F.col(f"c{i}") for i in range(CENTRES)]))).alias("c"))
-        both = now.join(near, "token").where(F.col("comp") != F.col("c.comp"))
-        wide = both.select(F.least("sig", F.col("c.sig")).alias("a"), F.greatest("sig", F.col("c.sig")).alias("b"), F.col("n").alias("n_a"), F.col("c.n").alias("n_b"), F.col("u").alias("u_a"), F.col("c.u").alias("u_b"), F.col("parts").alias("parts_a"), F.col("c.parts").alias("parts_b"))
-        pairs = wide.where(_could_link(percent)).select("a", "b").distinct()
-        new, seen = cut_and_measure(_verify(pairs, records, percent), F.count("*").alias("n"))
-        gained = seen["n"]
-        if not gained:
-            break
-        comp = merge_components(comp, new)
-        if left is not None and gained < left // 20:
-            break
-        left = gained
-    # across components: a pair is made at the first n-gram that both prefixes have, and only there
-    now = labelled()
-    sizes = now.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    marked = cut(now.join(sizes.select("token", "top"), "token"))
-    prefixes = records.select("sig", _prefix(percent).alias("prefix"))
-    side = lambda rows, x: rows.join(prefixes, "sig").select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("sig", "comp", "n", "u", "parts", "pos", "prefix", "top")])
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    positional = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    other = (F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("top_a")) | (F.col("sig_a") < F.col("sig_b")))
-    first = F.array_min(F.array_intersect("prefix_a", "prefix_b")) == F.col("l.token")
-    cross = side(marked.where("comp <> top"), "a").alias("l").join(side(marked, "b").alias("r"), (F.col("l.token") == F.col("r.token")) & other & _could_link(percent) & positional & first)
-    return merge_components(comp, _verify(cross.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")), records, percent))
+        return known
+    # sets that link have about equal sizes: they are at most one step of this scale apart
+    step = F.floor(F.log(F.col("p.n").cast("double")) / max(1e-3, 1.001 * math.log(100 / percent)))
+    left = mixed.where("comp <> top").select("token", F.col("p").alias("l"), F.col("comp").alias("comp_l"), "top", F.explode(F.array(step - 1, step, step + 1)).alias("step"))
+    right = mixed.select("token", F.col("p").alias("r"), F.col("comp").alias("comp_r"), step.alias("step"))
+    other = (F.col("comp_l") != F.col("comp_r")) & ((F.col("comp_r") == F.col("top")) | (F.col("l.sig") < F.col("r.sig")))
+    made = left.join(right, ["token", "step"]).where(other & _could_link("l", "r", percent, first=True))
+    low = F.col("l.sig") < F.col("r.sig")
+    fresh = made.select(*_pair("l", "r"), F.when(low, F.col("comp_l")).otherwise(F.col("comp_r")).alias("comp_a"), F.when(low, F.col("comp_r")).otherwise(F.col("comp_l")).alias("comp_b"), F.lit(False).alias("old"))
+    both = fresh.union(tried.select("a", "b", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True)))
+    untried = both.groupBy("a", "b").agg(F.max("old").alias("old"), F.max("comp_a").alias("comp_a"), F.max("comp_b").alias("comp_b")).where("not old").drop("old")
+    across = components(_linked(untried, records, percent).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))).toDF("comp", "up")
+    # known has no row of its own for a component's root; across has, where it moves
+    return stored(known.join(across, F.col("root") == F.col("comp"), "left").select("node", F.coalesce("up", "root").alias("root")).union(across))
 
 
 def near_duplicates(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,23 +253,22 @@ def near_duplicates(docs: DataFrame, k: int = NGRAM, percent: int = PERCENT, id_
     its component; a null id is nobody's component_id. Extra columns are ignored.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(signatures(own, k))
-    classes = cut(signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")))
-    total = classes.agg(F.sum("n"), F.sum("copies")).first()
-    records = cut(shared_tokens(own, total[0] or 0, k, percent))
+    signed = stored(signatures(own, k))
+    classes, total = stored_and_measured(signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n").alias("n")), F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.count("*").alias("classes"))
+    records = stored(shared_tokens(own, total["n"] or 0, k, percent))
     linked = link_components(records, percent)
-    if linked is None:
-        roots = classes.select("sig", F.col("first_id").alias("component_id"), "copies")
-    else:
-        rooted = classes.join(linked.toDF("sig", "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-        lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        roots = rooted.join(lowest, "root").select("sig", "component_id", "copies")
-    out = attach(signed, roots, "sig", "copies", total[1] or 0, F.coalesce("doc_id", F.lit(0)))
+    # the root is smallest by signature, the component's id by document; only linked classes take part
+    own_root = linked.select(F.col("root").alias("node"), "root").distinct()
+    members = classes.join(linked.union(own_root).toDF("sig", "root"), "sig", "left")
+    lowest = stored(members.where("root is not null").groupBy("root").agg(F.min("first_id").alias("low"), F.count("*").alias("size")))
+    rooted = attach(members, lowest, "root", "size", total["classes"], F.col("sig"))
+    roots = stored(rooted.select("sig", F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("low")).alias("component_id"), "copies"))
+    out = attach(signed, roots, "sig", "copies", total["copies"] or 0, F.coalesce("doc_id", F.lit(0)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their component's smallest, with all their columns."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    stay = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    stay = stored(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
     return docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]), "left_semi")

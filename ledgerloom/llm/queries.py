@@ -45,7 +45,7 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"), batches=2)
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,34 +20,35 @@ HOT_LEAST = 200
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where the session names none (single-machine tests) a local one is made.
+    Where the session names none, a local one is made on one machine (as in tests); a cluster raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
+    held = spark.sparkContext.getCheckpointDir()
+    if held is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
+        held = spark.sparkContext.getCheckpointDir()
+    return held.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and stores it in the shared folder; later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Computes df once and keeps it as Parquet in the shared folder: no plan, broadcast or shuffle of it stays, and later reads survive lost executors."""
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut_and_measure(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
-    """cut, with aggregates of df taken on the way, in the same job."""
-    shared_dir(df.sparkSession)
+def stored_and_measured(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """stored, with aggregates of df taken on the way, in the same job."""
     seen = Observation()
-    stored = df.observe(seen, *measures).checkpoint(eager=True)
-    return stored, seen.get
+    return stored(df.observe(seen, *measures)), seen.get
 
 
 def partitions(spark: SparkSession) -> int:
@@ -79,36 +83,56 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     return joined.select(*[left[c] for c in left.columns], *picked)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``links`` (a, b: long): one row (node, root) per linked node, root its smallest.
-
-    Alternates large-star and small-star steps, each a min-aggregate and a join, until the edges
-    stay the same. Hubs are never gathered: a node's neighbours meet only in the aggregate.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges (u, v) one edge for each node that isn't its tree's smallest: to that."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    u, v = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up, ends = np.arange(len(nodes)), at.reshape(2, -1)
+    while True:
+        low, high = up[ends].min(axis=0), up[ends].max(axis=0)
+        apart = low < high
+        if not apart.any():
+            break
+        np.minimum.at(up, high[apart], low[apart])
+        while (up[up] != up).any():
+            up = up[up]
+    moved = np.flatnonzero(up != np.arange(len(nodes)))
+    for lo in range(0, len(moved), 1 << 16):
+        own = moved[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[up[own]])], names=["u", "v"])
+
+
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """Connected components of ``links`` (a, b: long): one row (node, root) per linked node but the roots, root the component's smallest.
+
+    Every task first turns its own edges into a forest, in a memory of its partition's size. What different tasks
+    found out about a node then meets in one group, a row per task at most, and its parents become edges of
+    their own, until every node has one parent; parents of parents follow by doubling. A hub's
+    edges are rows with the hub as parent, which no step gathers. Raises where ``rounds`` rounds don't suffice.
     """
     spark = links.sparkSession
-    state = (F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h"))
-    edges, seen = cut_and_measure(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), *state)
-    if not seen["n"]:
-        return spark.createDataFrame([], "node long, root long")
+    kind = "u long, v long"
+    edges = links.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u <> v").mapInArrow(_forest, kind)
     for _ in range(rounds):
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        before = seen
-        edges, seen = cut_and_measure(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *state)
-        if seen == before:
+        parents = edges.groupBy("u").agg(F.collect_set("v").alias("vs"))
+        seen = Observation()
+        parents = parents.observe(seen, F.count("*").alias("n"), F.coalesce(F.sum((F.size("vs") > 1).cast("long")), F.lit(0)).alias("several"))
+        low = F.array_min("vs")
+        stars = parents.select(F.explode(F.transform("vs", lambda v: F.struct(F.when(v == low, F.col("u")).otherwise(v).alias("u"), low.alias("v")))).alias("e")).select("e.*")
+        edges = stored(stars.mapInArrow(_forest, kind))
+        got = seen.get
+        if not got["n"]:
+            return spark.createDataFrame([], "node long, root long")
+        if not got["several"]:
             break
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def merge_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The components (node, root) of what was known and of further links; only roots take part again."""
-    if known is None:
-        return cut(components(links))
-    root = lambda rows, side: rows.join(known.toDF("_n", f"_r{side}"), F.col(side) == F.col("_n"), "left").drop("_n").withColumn(side, F.coalesce(f"_r{side}", side)).drop(f"_r{side}")
-    moved = components(root(root(links.select("a", "b"), "a"), "b"))
-    up = known.join(moved.toDF("_m", "_to"), F.col("root") == F.col("_m"), "left").select("node", F.coalesce("_to", "root").alias("root"))
-    return cut(up.union(moved.join(known.select("node"), "node", "left_anti")))
+    else:
+        raise RuntimeError(f"components not found after {rounds} rounds")
+    for _ in range(rounds):
+        # only parents that have a parent themselves move, so the rows of a root's children need no join with it
+        above = edges.select(F.col("u").alias("p"), F.col("v").alias("w")).join(edges.select(F.col("v").alias("p")).distinct(), "p")
+        seen = Observation()
+        edges = stored(edges.join(above, F.col("v") == F.col("p"), "left").observe(seen, F.count("w").alias("moved")).select("u", F.coalesce("w", "v").alias("v")))
+        if not seen.get["moved"]:
+            return edges.toDF("node", "root")
+    raise RuntimeError(f"components not found after {rounds} rounds")

@@ -34,6 +34,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, rising."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def powers(base: str, n: int, inverse: bool = False) -> np.ndarray:
     """base**i (or its inverse) mod 2**64 for i < n."""
     held = _powers.get((base, inverse))
@@ -57,6 +63,14 @@ def window_hashes(h: np.ndarray, k: int, base: str = "word") -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * powers(base, n, True))
 
 
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: str = "second") -> np.ndarray:
+    """Rabin-Karp hash of the items from each start to its end."""
+    sums = np.empty(len(h) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(h * powers(base, len(h)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(base, len(h) + 1, True)[starts] + (ends - starts).astype(np.uint64))
+
+
 class Words:
     """Words are runs of bytes that aren't separators; ``lower`` folds A-Z."""
 

@@ -1,14 +1,17 @@
 """WARC archives: a writer (one gzip member per record) and a sequential reader.
 
 The reader inflates incrementally, so a record's size, not the archive's, bounds its memory. It
-frames records by content length and recomputes the digests that the headers claim.
+frames records by content length and recomputes the digests that the headers claim, in hex or base32, so
+archives of other writers can be read too; records that are neither responses nor revisits are passed over.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
 import re
+import shutil
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -17,10 +20,10 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import attach, cut, fresh_path
+from .shared import attach, fresh_path, stored
 
 #: Records of one archive end when it has so many compressed bytes.
 ROTATE_BYTES = 64 << 20
@@ -36,8 +39,9 @@ class WarcError(ValueError):
     """An archive that isn't well formed."""
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}')}>"
+def record_id(page_id: int | None) -> str:
+    """A page's record; one without an id gets a name of its own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
 
 
 def open_shared(uri: str, mode: str) -> BinaryIO:
@@ -56,7 +60,19 @@ def open_shared(uri: str, mode: str) -> BinaryIO:
     return store.open_input_stream(path)
 
 
-def encode_record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def remove_folder(uri: str) -> None:
+    """A folder of the shared folder and what is in it."""
+    at = urlparse(uri)
+    if at.scheme in ("", "file"):
+        shutil.rmtree(at.path, ignore_errors=True)
+    else:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
+        store.delete_dir(path)
+
+
+def encode_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit that points to the response."""
     block = HTTP_HEAD if refers_to is not None else HTTP_HEAD + payload
     head = [
@@ -68,14 +84,12 @@ def encode_record(page_id: int, url: str, payload: bytes, digest: str, refers_to
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
-        f"X-Page-ID: {page_id}",
-        f"X-Payload-Length: {len(payload)}",
+        *([f"X-Page-ID: {page_id}"] if page_id is not None else []),
     ]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
-    raw = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
     deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return deflate.compress(raw) + deflate.flush()
+    return deflate.compress("\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode()) + deflate.compress(block) + deflate.compress(b"\r\n\r\n") + deflate.flush()
 
 
 def members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
@@ -101,8 +115,8 @@ def members(stream: BinaryIO) -> Iterator[Iterator[bytes]]:
         rest = box[0]
 
 
-def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, framed by its content length."""
+def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytearray]]:
+    """(headers with lower-case names, block) of each record, framed by its content length; a block is held once."""
     for member in members(stream):
         head = bytearray()
         while (end := head.find(b"\r\n\r\n")) < 0:
@@ -117,38 +131,59 @@ def read_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         if not headers.get("content-length", "").isdigit():
             raise WarcError("a record has no content length")
         need = int(headers["content-length"])
-        body = head[end + 4 :]
+        body = head
+        del body[: end + 4]
         for piece in member:
             body += piece
             if len(body) > need + 4:
                 raise WarcError("a record is longer than its content length")
         if len(body) != need + 4 or body[need:] != b"\r\n\r\n":
             raise WarcError("a record isn't as long as its content length")
-        yield headers, bytes(body[:need])
-
-
-def verified(headers: dict[str, str], block: bytes) -> dict:
-    """The row of a record; raises where a digest or length that can be recomputed is wrong."""
-    if headers["warc-block-digest"] != f"sha256:{hashlib.sha256(block).hexdigest()}":
-        raise WarcError(f"block digest of {headers['warc-record-id']}")
-    kind, claimed = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha256:")
-    payload = block[block.index(b"\r\n\r\n") + 4 :]
-    if kind == "response" and (hashlib.sha256(payload).hexdigest() != claimed or len(payload) != int(headers["x-payload-length"])):
-        raise WarcError(f"payload digest of {headers['warc-record-id']}")
-    refers = headers.get("x-refers-to-page")
+        del body[need:]
+        yield headers, body
+
+
+def check_digest(claimed: str | None, data: memoryview, what: str) -> None:
+    """Raises where data hasn't the digest that a header claims ("sha1:BASE32" or "sha256:hex"); unknown algorithms claim nothing."""
+    name, _, value = (claimed or "").partition(":")
+    name = name.lower().replace("-", "")
+    if not value or name not in hashlib.algorithms_available:
+        return
+    made = hashlib.new(name, data)
+    if value.lower() != made.hexdigest() and value.upper().rstrip("=") != base64.b32encode(made.digest()).decode().rstrip("="):
+        raise WarcError(what)
+
+
+def verified(headers: dict[str, str], block: bytearray, payloads: bool = False) -> dict | None:
+    """The row of a response or revisit, None for other records; raises where a digest that can be recomputed is wrong.
+
+    A revisit has no payload: its digest is the one that it claims, its length is its response's and null here.
+    """
+    view, kind, name = memoryview(block), headers.get("warc-type"), headers.get("warc-record-id", "")
+    check_digest(headers.get("warc-block-digest"), view, f"block digest of {name}")
+    if kind not in ("response", "revisit"):
+        return None
+    # what isn't HTTP is all payload
+    at = block.find(b"\r\n\r\n") + 4 if headers.get("content-type", "").startswith("application/http") else 0
+    payload = view[at if at > 3 else 0 :]
+    claimed = headers.get("warc-payload-digest")
+    whole = kind == "response"
+    if whole:
+        check_digest(claimed, payload, f"payload digest of {name}")
+    number = lambda key: int(headers[key]) if headers.get(key, "").lstrip("-").isdigit() else None
     return {
-        "page_id": int(headers["x-page-id"]), "payload_bytes": int(headers["x-payload-length"]), "payload_digest": claimed,
-        "record_type": kind, "refers_to": None if refers is None else int(refers), "url": headers["warc-target-uri"],
-        "payload": payload.decode("utf-8", "surrogatepass") if kind == "response" else None,
+        "page_id": number("x-page-id"), "payload_bytes": len(payload) if whole else None, "payload_digest": hashlib.sha256(payload).hexdigest() if whole else (claimed or "").partition(":")[2] or None,
+        "record_type": kind, "refers_to": number("x-refers-to-page"), "url": headers.get("warc-target-uri"),
+        "payload": bytes(payload).decode("utf-8", "replace") if whole and payloads else None,
     }
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """pages with _digest, and in _refers_to the page whose response a revisit points to."""
+    """pages with _digest, and in _refers_to the page whose response a revisit points to. A row without an id is always a response, and none refers to it."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     marked = pages.withColumn("_digest", F.sha2(payload, 256)).withColumn("_bytes", F.octet_length(payload))
     groups = marked.where(F.col("_bytes") >= REVISIT_LEAST).groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_copies")).where("_copies > 1")
-    groups = cut(groups)
+    groups = stored(groups)
     total = groups.agg(F.sum("_copies")).first()[0] or 0
     planned = attach(marked, groups, "_digest", "_copies", total, F.col(id_col))
     return planned.withColumn("_refers_to", F.when(F.col("_first") < F.col(id_col), F.col("_first"))).drop("_first", "_copies", "_bytes")
@@ -159,7 +194,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Each attempt of a task writes files of its own name and only those that the manifest names
     count, so a retried or speculative task can't double a record. Null payloads are empty, null
-    URLs are written as about:blank. Rows repeated with one id and payload are each a response.
+    URLs are written as about:blank, a null id is left out. Rows repeated with one id and payload are each a response.
+    Empty tables write nothing; extra columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,14 +219,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).alias("html"))
     rows = plan_records(own).select("page_id", "url", "html", "_digest", "_refers_to")
-    return cut(rows.mapInArrow(write, "path string, records long"))
+    return stored(rows.mapInArrow(write, "path string, records long"))
 
 
 def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per record of the archives that the manifest names, digests verified.
+    """One row per response or revisit of the archives that the manifest (path, records) names, digests verified.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url and, where asked
-    for, payload (null for revisits). A broken archive raises WarcError.
+    for, payload (null for revisits). Page ids and what refers to them are null where the writer gave none, payload_bytes for
+    revisits. A broken archive raises WarcError, as does one with other than ``records`` rows (null: not known).
     """
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), *([("payload", pa.string())] if payloads else [])])
 
@@ -200,27 +237,43 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                 rows, held, seen = [], 0, 0
                 with open_shared(path, "rb") as stream:
                     for headers, block in read_records(stream):
-                        rows.append(verified(headers, block))
+                        row = verified(headers, block, payloads)
+                        if row is None:
+                            continue
+                        rows.append(row)
                         seen, held = seen + 1, held + len(block)
                         if len(rows) >= 5000 or payloads and held > 8 << 20:
                             yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
                             rows, held = [], 0
-                if seen != expected:
+                if expected is not None and seen != expected:
                     raise WarcError(f"{path} has {seen} records; {expected} were written")
                 if rows:
                     yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
 
     n = max(1, min(manifest.count(), 100_000))
-    spread = manifest.repartition(n, F.col("path"))
+    spread = manifest.select("path", "records").repartition(n, F.col("path"))
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload string" if payloads else "")
     return spread.mapInArrow(read, kinds)
 
 
-def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Writes pages to archives and reads them back, one row per page."""
-    return read_archives(write_archives(pages, folder or fresh_path(pages.sparkSession, "warc"), id_col, url_col, payload_col))
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """records with every revisit's length and digest taken from the response that it refers to; raises where their digests differ or there is none."""
+    wanted = records.where("record_type = 'revisit'").groupBy("refers_to").agg(F.count("*").alias("_times"))
+    found = records.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    responses = stored(wanted.join(found, F.col("refers_to") == F.col("_page")).groupBy("refers_to").agg(F.max("_times").alias("_times"), F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")))
+    total = responses.agg(F.sum("_times")).first()[0] or 0
+    joined = attach(records, responses, "refers_to", "_times", total, F.coalesce("page_id", F.lit(0)))
+    right = F.coalesce(F.lower("payload_digest") == F.col("_digest"), F.lit(False))
+    checked = F.when(right, F.col("_digest")).otherwise(F.raise_error(F.concat(F.lit("no response of a revisit's digest: page "), F.col("page_id").cast("string"))).cast("string"))
+    revisit = F.col("record_type") == "revisit"
+    done = {"payload_digest": F.when(revisit, checked).otherwise(F.col("payload_digest")), "payload_bytes": F.when(revisit, F.col("_bytes")).otherwise(F.col("payload_bytes"))}
+    return joined.select(*[done[c].alias(c) if c in done else F.col(c) for c in records.columns])
 
 
-def response_of(record: Column) -> Column:
-    """Page that holds a record's payload: itself for responses."""
-    return F.coalesce(record["refers_to"], record["page_id"])
+def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """Writes pages to archives and reads them back, one row per page; archives without a ``folder`` of their own are removed when read."""
+    at = folder or fresh_path(pages.sparkSession, "warc")
+    records = stored(read_archives(write_archives(pages, at, id_col, url_col, payload_col)))
+    if folder is None:
+        remove_folder(at)
+    return resolve_revisits(records)

@@ -84,6 +84,47 @@ def test_index_keeps_what_came_first(spark):
     assert index.table().count() == 3
 
 
+def test_batches_do_not_change_the_result(spark):
+    rows = [r for r in odd_rows() if r[0] is not None] + [(i, "x" * (i % 5) + " " * (i % 3) + "y") for i in range(30, 90)]
+    for n in (1, 2, 5):
+        assert sorted(tuple(r) for r in exact_dedup.deduplicate(docs(spark, rows), batches=n).collect()) == exact_brute(rows)
+
+
+def test_index_reopens_and_keeps_its_rows(spark, tmp_path):
+    path, name = str(tmp_path / "index"), "kept_index"
+    first = exact_dedup.DigestIndex(spark, name, path, buckets=3)
+    exact_dedup.deduplicate(docs(spark, [(5, "a b"), (6, "c")]), first)
+    assert exact_dedup.DigestIndex(spark, name).table().count() == 2
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, name, str(tmp_path / "elsewhere"))
+    spark.sql(f"DROP TABLE {name}")
+    held, session = spark.conf.get("spark.sql.shuffle.partitions"), spark.newSession()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        session.conf.set("spark.sql.shuffle.partitions", "9")
+        for s, n in ((spark, "again_a"), (session, "again_b")):
+            again = exact_dedup.DigestIndex(s, n, path)
+            assert again.buckets == 3
+            rows = s.createDataFrame([(1, "ab"), (2, "d" + n)], "doc_id long, text string")
+            assert {r.doc_id: r.keep_id for r in exact_dedup.deduplicate(rows, again).collect()} == {1: 5, 2: 2}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    small = again.compacted("small_index", str(tmp_path / "small"))
+    assert sorted(map(tuple, small.table().collect())) == sorted(map(tuple, again.table().collect())) and small.table().count() == 4
+    assert "Exchange" not in small.table()._jdf.queryExecution().executedPlan().toString().replace("AQEShuffleRead", "")
+    for x in ("again_a", "again_b", "small_index"):
+        spark.sql(f"DROP TABLE IF EXISTS {x}")
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, path=str(tmp_path / "other"))
+
+
+def test_temporary_indexes_leave_no_table(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert exact_dedup.deduplicate(docs(spark, [(1, "a"), (2, "a")]), batches=2).count() == 2
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_keep_unique_drops_repeated_rows(spark):
     kept = exact_dedup.keep_unique(docs(spark, [(1, "a"), (1, "a"), (2, "a"), (3, "b")], "_stay"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
@@ -155,10 +196,13 @@ def test_components(spark):
         if a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.node: r.root for r in shared.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in parent}
-    half = shared.merge_components(None, spark.createDataFrame(edges[:100], "a long, b long"))
-    merged = {r.node: r.root for r in shared.merge_components(half, spark.createDataFrame(edges[100:], "a long, b long")).collect()}
-    assert merged == got
+    assert got == {x: find(x) for x in parent if find(x) != x}
+    path = [(i, i + 1) for i in range(3000)] + [(5000, i) for i in range(6000, 7000)]
+    rng.shuffle(path)
+    long = {r.node: r.root for r in shared.components(spark.createDataFrame(path, "a long, b long").repartition(16)).collect()}
+    assert long == {i: 0 for i in range(1, 3001)} | {i: 5000 for i in range(6000, 7000)}
+    with pytest.raises(RuntimeError):
+        shared.components(spark.createDataFrame(path, "a long, b long").repartition(16), rounds=0).count()
     assert shared.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
