@@ -1,8 +1,10 @@
 """Substring dedup: passages that an earlier document has are cut out of later ones.
 
-Rabin-Karp hashes of every window of ``k`` words go, packed, to the task of their bucket, where a
-window's smallest document is found. What comes back is a bit per window of the documents that
-repeat something; overlapping windows merge there into maximal removal intervals.
+Rabin-Karp hashes of every window of ``k`` words are first merged where they are made: of the documents that a map
+task holds at a time, one with the smallest id stands for a window, and the others are known to repeat it. What is
+left goes, packed, to the task of its bucket, where a window's smallest document is found; a window that
+a tenth of all documents have is there once a batch, not once a document. What comes back to a document is which of its
+windows are repeats; overlapping windows merge there into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import bucket_bits, pack, unpack
+from .packing import bucket_bits, pack, planes, unpack, unplanes
 from .tokens import CHUNK, Words, owners, text_chunks, window_hashes
 
 WINDOW = 50
@@ -24,8 +26,9 @@ WINDOW = 50
 LOW_BITS = 56
 #: Stands for a null id: such a document is never the smallest.
 NO_ID = (1 << 63) - 1
-FLUSH = 1_000_000
-MARK = "<II"
+FLUSH = 500_000
+#: Head of a mark: bucket (LOCAL: bits over all of a document's windows, not hashes of one bucket) and number.
+MARK, LOCAL = "<II", (1 << 32) - 1
 
 
 def low_bits(bits: int) -> int:
@@ -41,17 +44,42 @@ def _windows(words: Words, texts: list[bytes], k: int, bits: int) -> tuple[np.nd
     return w[inside] >> np.uint64(64 - low_bits(bits) - bits), owner[: len(w)][inside]
 
 
+def merged(values: np.ndarray, owner: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the windows stand for theirs (in the documents of smallest id, once each), and which repeat one of a smaller id here."""
+    order = np.argsort(values, kind="stable")
+    whose, same = owner[order], np.concatenate([[False], np.diff(values[order]) == 0])[: len(values)]
+    first, each = np.flatnonzero(~same), ids[whose]
+    later = each > np.repeat(np.minimum.reduceat(each, first), np.diff(np.append(first, len(values)))) if len(values) else same
+    # a stable order keeps a document's places together
+    again = same & np.concatenate([[False], whose[1:] == whose[:-1]])[: len(values)]
+    stands, repeats = np.zeros(len(values), bool), np.zeros(len(values), bool)
+    stands[order], repeats[order] = ~later & ~again, later
+    return stands, repeats
+
+
+def _packed_marks(part: np.ndarray, keys: np.ndarray, tags: np.ndarray, marks: list[bytes]) -> list[tuple[int, bytes]]:
+    """(part, blob) of marks: documents by key and tag, each with a mark, dealt by part."""
+    order = np.argsort(part, kind="stable")
+    rows = []
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
+        blobs = [marks[i] for i in own]
+        head = struct.pack("<I", len(own)) + keys[own].tobytes() + tags[own].astype("<u4").tobytes() + np.array([len(m) for m in blobs], "<u4").tobytes()
+        rows.append((int(part[own[0]]), head + b"".join(blobs)))
+    return rows
+
+
 def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
     """(doc_id, tag, marks) of documents with windows that start in a smaller one too.
 
-    ``docs`` has doc_id (long) and text; tag is the text's CRC-32. marks: for each of some buckets MARK
-    (its number and count) and one bit for each of the document's windows of that bucket, in
-    order. The second value is the number of bucket bits.
+    ``docs`` has doc_id (long) and text; tag is the text's CRC-32. marks: MARK with the low parts of the hashes, in a
+    bucket, of windows that are repeats, or with a bit for each of the document's windows that its batch knew. The
+    second value is the number of bucket bits.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = bucket_bits(size // 6)
     low = low_bits(bits)
     width = (low + 7) // 8
+    known = 1 << bits  # from here on a bucket number is a part's, whose blob holds marks already
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -62,16 +90,22 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
             base = np.cumsum([0] + [len(x[2]) for x in held])
             values = np.concatenate([x[0] for x in held])
             owner = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-            keys, tags = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            got = list(pack(values, width, values >> np.uint64(low), owner, keys, tags, 1 << bits))
+            ids, tags = (np.concatenate([x[i] for x in held]) for i in (2, 3))
             held.clear()
+            stands, repeats = merged(values, owner, ids)
+            keys = ids.view(np.uint64)
+            got = list(pack(values[stands], width, values[stands] >> np.uint64(low), owner[stands], keys, tags, 1 << bits))
+            some = np.unique(owner[repeats])
+            lo, hi = np.searchsorted(owner, some, "left"), np.searchsorted(owner, some, "right")
+            marks = [struct.pack(MARK, LOCAL, b - a) + np.packbits(repeats[a:b]).tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            got += [(known + part, blob) for part, blob in _packed_marks((tags[some] & np.uint64(known - 1)).astype(np.int64), keys[some], tags[some], marks)]
             return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
 
         for batch in batches:
             ids = np.array([NO_ID if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             for lo, hi, own in text_chunks(batch.column(1)):
                 values, owner = _windows(words, own, k, bits)
-                held.append((values, owner, ids[lo:hi].view(np.uint64), np.array([zlib.crc32(t) for t in own], np.uint64)))
+                held.append((values, owner, ids[lo:hi], np.array([zlib.crc32(t) for t in own], np.uint64)))
                 n += len(values)
                 if n >= FLUSH:
                     yield flush()
@@ -80,27 +114,24 @@ def repeated_windows(docs: DataFrame, k: int = WINDOW) -> tuple[DataFrame, int]:
             yield flush()
 
     def judge(group: pa.Table) -> pa.Table:
-        keys, tags, lengths, rest = unpack(group.column("blob").to_pylist(), width)
-        ids = keys.view(np.int64)
-        each = np.repeat(ids, lengths)
-        order = np.argsort(rest, kind="stable")
+        bucket, blobs = group.column("bucket")[0].as_py(), group.column("blob")
+        if bucket >= known:
+            return pa.table({"part": pa.array([bucket - known] * len(blobs), pa.int32()), "blob": blobs})
+        keys, tags, lengths, rest = unpack(blobs.to_pylist(), width)
+        del blobs, group
+        run = np.repeat(np.arange(len(keys), dtype=np.int32), lengths)
+        order = np.argsort(rest, kind="stable").astype(np.int32)
         ordered = rest[order]
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        smallest = np.repeat(np.minimum.reduceat(each[order], first), np.diff(np.append(first, len(rest))))
+        del ordered
+        each = keys.view(np.int64)[run[order]]
         repeats = np.empty(len(rest), bool)
-        repeats[order] = each[order] > smallest
-        ends = np.cumsum(lengths)
-        some = np.flatnonzero(np.add.reduceat(repeats, ends - lengths, dtype=np.int64))
-        bucket = group.column("bucket")[0].as_py()
-        part = (tags[some] & np.uint64((1 << bits) - 1)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        some, part = some[order], part[order]
-        rows = []
-        for own in np.split(np.arange(len(some)), np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
-            runs = some[own]
-            marks = [struct.pack(MARK, bucket, lengths[i]) + np.packbits(repeats[ends[i] - lengths[i] : ends[i]]).tobytes() for i in runs]
-            head = struct.pack("<I", len(runs)) + keys[runs].tobytes() + tags[runs].astype("<u4").tobytes() + np.array([len(m) for m in marks], "<u4").tobytes()
-            rows.append((int(part[own[0]]), head + b"".join(marks)))
+        repeats[order] = each > np.repeat(np.minimum.reduceat(each, first), np.diff(np.append(first, len(rest))))
+        del order, each
+        at = np.flatnonzero(repeats)
+        some, begin = np.unique(run[at], return_index=True)
+        marks = [struct.pack(MARK, bucket, len(own)) + planes(rest[own], width) for own in np.split(at, begin[1:])] if len(at) else []
+        rows = _packed_marks((tags[some] & np.uint64(known - 1)).astype(np.int64), keys[some], tags[some], marks)
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
@@ -140,20 +171,22 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", tex
     joined = own.withColumn("tag", F.crc32("text")).join(repeats, ["doc_id", "tag"], "left").select("doc_id", "text", "marks")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_text", pa.string())])
 
+    low = low_bits(bits)
+    width = (low + 7) // 8
+
     def starts_of(words: Words, text: bytes, marks: bytes) -> np.ndarray:
         values, _ = _windows(words, [text], k, bits)
-        bucket = values >> np.uint64(low_bits(bits))
-        order = np.argsort(bucket, kind="stable")
-        bucket = bucket[order]
-        gone = np.zeros(len(values), bool)
-        at = 0
+        gone, hit, at = np.zeros(len(values), bool), [], 0
         while at < len(marks):
-            b, n = struct.unpack_from(MARK, marks, at)
+            bucket, n = struct.unpack_from(MARK, marks, at)
             at += struct.calcsize(MARK)
-            lo = np.searchsorted(bucket, np.uint64(b))
-            gone[lo : lo + n] = np.unpackbits(np.frombuffer(marks, np.uint8, (n + 7) // 8, at), count=n)
-            at += (n + 7) // 8
-        return order[gone]
+            if bucket == LOCAL:
+                gone |= np.unpackbits(np.frombuffer(marks, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+                at += (n + 7) // 8
+            else:
+                hit.append(unplanes(marks, at, n, width) | np.uint64(bucket) << np.uint64(low))
+                at += n * width
+        return np.flatnonzero(gone | np.isin(values, np.concatenate(hit)) if hit else gone)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
