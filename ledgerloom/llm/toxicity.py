@@ -1,7 +1,8 @@
 """Toxicity scores from a bidirectional GRU with attention pooling, written and trained in numpy.
 
-Inputs per word: how strongly the word, and the character n-grams in it, go with the label (a z-score of
-the log odds over the training rows, from the other folds while training), and its length. All windows of
+Inputs per word: an embedding of the word and the mean embedding of its character n-grams, both learned by
+back-propagation; beside them how strongly the word and its n-grams go with the label (a z-score of
+the log odds over the training rows, from the other folds while training), and its length. Windows of
 WINDOW words, each STRIDE words on from the last, are scored; a text's logit is its highest window's.
 """
 
@@ -16,20 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NON_ALNUM_BYTES, Words, as_bytes, mix, owners, text_chunks, window_hashes
+from .tokens import NON_ALNUM_BYTES, Words, as_bytes, distinct, mix, owners, text_chunks, window_hashes
 
 WINDOW, STRIDE, HIDDEN = 32, 16, 8
 #: Training takes at most so many rows of each label and so many bytes of text, in the order of a hash of the id.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
 WORD_BITS, GRAM_BITS, GRAMS = 18, 20, (3, 4, 5, 6)
-FOLDS, MIL_ROUNDS, EPOCHS, RATE, DECAY, SEED = 4, 3, 12, 0.02, 1e-4, 7
-FEATURES = 5
+FOLDS, MIL_ROUNDS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 2, 8, 512, 0.03, 1e-4, 7
+#: Embeddings: bits of the tables' rows, numbers in a row, the fewest training texts of a word or n-gram that has
+#: one of its own (others are zero), the share of windows that learn without any, learning rate.
+TABLE_BITS, WIDTH, LEAST_TEXTS, DROPPED, TABLE_RATE = 16, 4, 5, 0.5, 0.02
+FIXED = 5
+FEATURES = FIXED + 2 * WIDTH
 
 
 @dataclass
 class Model:
     word_z: np.ndarray
     gram_z: np.ndarray
+    tables: dict[str, np.ndarray] = field(default_factory=dict)
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     scale: float = 1.0
     shift: float = 0.0
@@ -82,12 +88,29 @@ class Vocabulary:
         owner, grams = np.concatenate(owner), np.concatenate(grams)
         order = np.argsort(owner, kind="stable")
         self.gram_owner, self.grams = owner[order], grams[order]
-
-    def features(self, word_z: np.ndarray, gram_z: np.ndarray) -> np.ndarray:
-        """Feature rows of the distinct words."""
+        self.word_row, self.gram_row = self.word_bucket >> (WORD_BITS - TABLE_BITS), self.grams >> (GRAM_BITS - TABLE_BITS)
+        self.n_grams = np.bincount(self.gram_owner, minlength=len(self.unique))
+        self.gram_at = np.cumsum(self.n_grams) - self.n_grams
+
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the n-grams of some distinct words stand in grams, and of each the index of its word in words."""
+        n = self.n_grams[words]
+        return np.repeat(self.gram_at[words] - np.cumsum(n) + n, n) + np.arange(int(n.sum())), np.repeat(np.arange(len(words)), n)
+
+    def embeddings(self, tables: dict[str, np.ndarray], words: np.ndarray) -> np.ndarray:
+        """Of distinct words the word's row and the mean of its n-grams' rows."""
+        at, own = self.places(words)
+        rows = tables["gram"][self.gram_row[at]]
+        mean = np.stack([np.bincount(own, rows[:, k], len(words)) for k in range(WIDTH)], axis=1) / np.maximum(1, self.n_grams[words])[:, None]
+        return np.concatenate([tables["word"][self.word_row[words]], mean.astype(np.float32)], axis=1)
+
+    def features(self, word_z: np.ndarray, gram_z: np.ndarray, tables: dict[str, np.ndarray] | None = None) -> np.ndarray:
+        """Feature rows of the distinct words; without tables the learned part is zero."""
         out = np.zeros((len(self.unique), FEATURES), np.float32)
         if not len(self.unique):
             return out
+        if tables is not None:
+            out[:, FIXED:] = self.embeddings(tables, np.arange(len(self.unique)))
         out[:, 0] = word_z[self.word_bucket]
         z = gram_z[self.grams]
         some, first = np.unique(self.gram_owner, return_index=True)
@@ -171,7 +194,7 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, keep: dic
 
 
 def gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Weighted mean log loss of the windows and its gradients, by back-propagation through time."""
+    """Weighted mean log loss of the windows and its gradients by the weights and ("x") the inputs, by back-propagation through time."""
     k: dict = {}
     logit = forward(w, x, mask, k)
     total = weight.sum()
@@ -186,6 +209,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, target:
     d_a = d_e[..., None] * w["query"] * (1 - a * a)
     g["att"] = h.reshape(-1, 2 * HIDDEN).T @ d_a.reshape(-1, HIDDEN)
     d_h = p[..., None] * d_pooled + d_a @ w["att"].T
+    g["x"] = np.zeros_like(x)
     for way, part in (("f", d_h[..., :HIDDEN]), ("b", d_h[..., HIDDEN:])):
         wh = w[f"h{way}"]
         g_pre = np.zeros((*mask.shape, 3 * HIDDEN), np.float32)
@@ -203,6 +227,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, target:
             g_wh[:, : 2 * HIDDEN] += before.T @ d_zr
             g_wh[:, 2 * HIDDEN :] += (r * before).T @ d_c
         g[f"x{way}"] = x.reshape(-1, FEATURES).T @ g_pre.reshape(-1, 3 * HIDDEN)
+        g["x"] += g_pre @ w[f"x{way}"].T
         g[f"c{way}"] = g_pre.sum(axis=(0, 1))
         g[f"h{way}"] = g_wh
     return loss, g
@@ -232,14 +257,12 @@ def train(ids: list[int], texts: list[bytes], labels: np.ndarray) -> Model | Non
     v = Vocabulary(texts)
     text_of = owners(v.offsets)
     fold = (mix(np.array(ids, np.int64).view(np.uint64) + np.uint64(1)) % np.uint64(FOLDS)).astype(np.int64)
-    pair = np.unique(text_of * max(1, len(v.unique)) + v.index)
+    pair = distinct(text_of * max(1, len(v.unique)) + v.index)
     doc, word = pair // max(1, len(v.unique)), pair % max(1, len(v.unique))
-    n_grams = np.bincount(v.gram_owner, minlength=len(v.unique))
-    gram_at = np.cumsum(n_grams) - n_grams
 
     def counts(size: int, doc: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """(FOLDS, 2, size) texts by fold and label that hold a bucket."""
-        seen = np.unique(doc * size + bucket)
+        seen = distinct(doc * size + bucket)
         doc, bucket = seen // size, seen % size
         return np.bincount((fold[doc] * 2 + labels[doc]) * size + bucket, minlength=FOLDS * 2 * size).reshape(FOLDS, 2, size)
 
@@ -247,9 +270,8 @@ def train(ids: list[int], texts: list[bytes], labels: np.ndarray) -> Model | Non
     gram_counts = np.zeros((FOLDS, 2, 1 << GRAM_BITS), np.int64)
     for lo in range(0, len(texts), 500):
         inside = slice(*np.searchsorted(doc, [lo, lo + 500]))
-        n = n_grams[word[inside]]
-        places = np.repeat(gram_at[word[inside]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-        gram_counts += counts(1 << GRAM_BITS, np.repeat(doc[inside], n), v.grams[places])
+        at, own = v.places(word[inside])
+        gram_counts += counts(1 << GRAM_BITS, doc[inside][own], v.grams[at])
     sizes = np.bincount(fold * 2 + labels, minlength=2 * FOLDS).reshape(FOLDS, 2)
 
     def z(table: np.ndarray, left_out: int | None) -> np.ndarray:
@@ -267,6 +289,19 @@ def train(ids: list[int], texts: list[bytes], labels: np.ndarray) -> Model | Non
     w = new_weights(rng)
     first, second = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     step = 0
+    tables = {k: np.zeros((1 << TABLE_BITS, WIDTH), np.float32) for k in ("word", "gram")}
+    sums_of = {k: np.zeros((1 << TABLE_BITS, WIDTH), np.float32) for k in tables}
+    rows_of = lambda table, bits: table.sum(axis=(0, 1)).reshape(1 << TABLE_BITS, 1 << (bits - TABLE_BITS)).max(axis=1) >= LEAST_TEXTS
+    known = {"word": rows_of(word_counts, WORD_BITS), "gram": rows_of(gram_counts, GRAM_BITS)}
+
+    def move(name: str, rows: np.ndarray, d: np.ndarray) -> None:
+        """One Adagrad step of the rows that enough texts have."""
+        rows, inverse = np.unique(rows, return_inverse=True)
+        total = np.stack([np.bincount(inverse, d[:, k], len(rows)) for k in range(WIDTH)], axis=1).astype(np.float32)
+        rows, total = rows[known[name][rows]], total[known[name][rows]]
+        total = np.clip(total, -1, 1) + DECAY * tables[name][rows]
+        sums_of[name][rows] += total * total
+        tables[name][rows] -= TABLE_RATE * total / (np.sqrt(sums_of[name][rows]) + 1e-6)
     for _ in range(MIL_ROUNDS):
         # each text stands by its strongest window; texts without the label also by a second and a random one
         order = np.lexsort((-rank, text))
@@ -279,17 +314,31 @@ def train(ids: list[int], texts: list[bytes], labels: np.ndarray) -> Model | Non
         weight = np.where(target == 1, 0.5 * len(target) / max(1, target.sum()), 1.0).astype(np.float32)
         for _ in range(EPOCHS):
             shuffled = rng.permutation(len(chosen))
-            for lo in range(0, len(shuffled), 256):
-                i = shuffled[lo : lo + 256]
-                _, g = gradients(w, *window_inputs(stacked, shifted, starts[chosen[i]], ends[chosen[i]]), target[i], weight[i])
+            for lo in range(0, len(shuffled), BATCH):
+                i = shuffled[lo : lo + BATCH]
+                begin, end = starts[chosen[i]], ends[chosen[i]]
+                x, mask = window_inputs(stacked, shifted, begin, end)
+                # some windows learn from what holds beyond the training texts alone
+                learns = mask * (rng.random(len(i)) >= DROPPED)
+                at = begin[None, :] + np.arange(WINDOW)[:, None]
+                used, inverse = np.unique(v.index[np.where(mask > 0, at, begin[None, :])], return_inverse=True)
+                x[..., FIXED:] = v.embeddings(tables, used)[inverse.reshape(mask.shape)] * learns[..., None]
+                _, g = gradients(w, x, mask, target[i], weight[i])
+                d = (g.pop("x")[..., FIXED:] * learns[..., None]).reshape(-1, 2 * WIDTH)
+                d = np.stack([np.bincount(inverse.ravel(), d[:, k], len(used)) for k in range(2 * WIDTH)], axis=1)
+                move("word", v.word_row[used], d[:, :WIDTH])
+                places, own = v.places(used)
+                move("gram", v.gram_row[places], (d[:, WIDTH:] / np.maximum(1, v.n_grams[used])[:, None])[own])
                 step += 1
                 for k, x in w.items():
                     d = np.clip(g[k], -1, 1) + DECAY * x
                     first[k] = 0.9 * first[k] + 0.1 * d
                     second[k] = 0.99 * second[k] + 0.01 * d * d
                     w[k] = (x - RATE / (1 + step / 400) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        stacked[:, FIXED:] = np.tile(v.embeddings(tables, np.arange(len(v.unique))), (FOLDS, 1))
         rank = window_logits(w, stacked, shifted, starts, ends)
-    model = Model(z(word_counts, None), z(gram_counts, None), w)
+        stacked[:, FIXED:] = 0
+    model = Model(z(word_counts, None), z(gram_counts, None), tables, w)
     model.scale, model.shift = calibrate(highest(rank, text, len(texts), float(w["bias"][0])), labels)
     return model
 
@@ -316,7 +365,7 @@ def score_texts(model: Model, texts: list[bytes]) -> np.ndarray:
     """Probability for each text."""
     v = Vocabulary(texts)
     starts, text = window_starts(v.offsets)
-    logits = window_logits(model.weights, v.features(model.word_z, model.gram_z), v.index, starts, v.offsets[1:][text]) if len(starts) else np.empty(0)
+    logits = window_logits(model.weights, v.features(model.word_z, model.gram_z, model.tables), v.index, starts, v.offsets[1:][text]) if len(starts) else np.empty(0)
     top = highest(logits, text, len(texts), float(model.weights["bias"][0]))
     return 1 / (1 + np.exp(-np.clip(model.scale * top + model.shift, -30, 30)))
 
@@ -330,7 +379,10 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Model | None, float]:
-    """A model from at most TRAIN_ROWS labelled rows of each label that aren't held out, and the label's share."""
+    """A model from at most TRAIN_ROWS labelled rows of each label that aren't held out, and the label's share.
+
+    Of rows repeated with one id the least text is trained on, and of its labels the greatest holds.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     picked = None
     for value in (1, 0):
@@ -345,7 +397,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             room -= n
             ids.append(i)
     spark = docs.sparkSession
-    taken = chosen.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "_id long")), "_id", "left_semi").dropDuplicates(["_id"])
+    taken = chosen.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "_id long")), "_id", "left_semi").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_label").alias("_label"))
 
     def train_all(group: pa.Table) -> pa.Table:
         order = np.argsort(group.column("_id").to_numpy())
