@@ -1,12 +1,14 @@
-"""Main text of web pages: markup says which blocks are open, the suffixes of a host which of them repeat.
+"""Main text of web pages: markup says which blocks are open, a sparse suffix array of the host which of them repeat.
 
 On a page that marks its article (``article``, ``main`` or role=main) the blocks inside that no boilerplate
-element holds are open, on any other page all blocks that none holds. The suffixes of the token streams of a host's
-pages (open blocks, and as evidence the menus, footers and adverts) are then dealt, by host and a hash of their
-first tokens, to tasks that sort them and count the pages of distinct text that share a start: such substrings
-are boilerplate. A start's pages are all counted in one place, so neither a host's size nor the number of tasks
-matters. Without a mark the unique runs of the open blocks stay. Articles quote and copy each other, so in a
-marked one only whole blocks go, and an article most of which is repeated stays.
+element holds are open, on any other page all blocks that none holds. Each page is parsed once, and pages travel in
+chunks. The suffixes of a host's token streams (open blocks, and as evidence the menus, footers and adverts) are sampled where
+a start of RUN tokens has the least hash of STEP starts in a row, so any two places of a substring of RUN + STEP - 1
+tokens have a sampled start in common; every whole block of RUN tokens or more is one more. Equal starts of all chunks are
+brought together by their hash, a chunk's once, and those that LEAST_PAGES distinct pages of a host have are
+repeats: neither a host's size nor the number of chunks matters. Without a mark the unique runs of the open blocks
+stay. Articles quote and copy each other, so in a marked one only whole blocks go, and an article most of which is
+repeated stays.
 """
 
 from __future__ import annotations
@@ -15,25 +17,29 @@ import html
 import re
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import bucket_bits, pack, unpack
-from .tokens import Words, mix, owners, window_hashes
+from .packing import bucket_bits, planes, unplanes
+from .shared import stored_and_measured
+from .tokens import Words, distinct, mix, span_hashes, window_hashes
 
-#: Tokens of the shortest substring that counts, pages that must repeat it.
-RUN, LEAST_PAGES = 8, 3
+#: Tokens of a start, starts of which one at least is sampled, pages that must repeat it.
+RUN, STEP, LEAST_PAGES = 8, 8, 3
 #: A block that is covered by so much is removed whole; a marked article that is covered by so much is a copy and stays.
 COVERED, COPIED = 0.8, 0.5
-#: Bits of a suffix's hash below its bucket number, at most.
-LOW_BITS = 48
-#: Windows that a task packs at a time, and pages it parses at a time.
-FLUSH, PAGES = 1_000_000, 500
-MARK = "<II"
+#: Bytes of text in a chunk, and so about what a task holds; what a page counts beside its text.
+CHUNK_BYTES, PAGE_BYTES = 4 << 20, 64
+#: How hard a chunk is compressed: as fast as zlib's default here, a quarter smaller.
+LEVEL = 12
+#: Bytes that stand for a start's hash below its bucket number, and for a source.
+LOW_BYTES, TAG_BYTES = 6, 3
 
 #: Elements by what they mean for the main text.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
@@ -50,6 +56,12 @@ MARKS = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
 
+#: Words that leave a class name of several words what its first word makes it ("ad-slot").
+PARTS = {
+    "area", "bar", "block", "body", "bottom", "box", "column", "container", "content", "footer", "form", "group", "header", "holder", "inner", "item", "items", "label", "left", "link", "links", "list", "module", "outer", "panel", "region",
+    "right", "row", "section", "slot", "text", "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 ATTR = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
@@ -58,15 +70,23 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'").lower() for k, v in ATTR.findall(text)} if text and not text.isspace() else {}
 
 
+def is_mark(name: str) -> bool:
+    """Whether a class or id is one of MARKS, ends in one ("cookie-notice") or begins with one and says no more ("ad-slot", not "ad-hoc")."""
+    words = [w for w in re.split(r"[_-]+", name) if w]
+    return bool(words) and (words[-1] in MARKS or words[0] in MARKS and all(w in PARTS or w.isdigit() for w in words[1:]))
+
+
 def is_boilerplate(name: str, attrs: dict[str, str]) -> bool:
     """Whether an element holds no main text by its name, role, visibility, class or id."""
     if name in DROPPED:
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not attrs or name in ("html", "body", "main"):
         return False
     if attrs.get("role") in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
-    return any(t in MARKS for t in re.split(r"[\s_-]+", f"{attrs.get('class', '')} {attrs.get('id', '')}"))
+    named = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    # an article may tell of its parts in a compound class, but one of class "comment" is a comment
+    return any(t in MARKS for t in named) if name == "article" else any(is_mark(t) for t in named)
 
 
 def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
@@ -74,6 +94,7 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
     blocks: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, in an article, dropped
+    depth: Counter[str] = Counter()  # how often each name is on the stack
     article = dropped = False
     raw_until = -1
 
@@ -86,6 +107,8 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
 
     def pop(to: int) -> None:
         nonlocal article, dropped
+        for x in stack[to:]:
+            depth[x[0]] -= 1
         del stack[to:]
         article, dropped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -105,10 +128,8 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
             if name in BLOCK or any(x[0] == name for x in stack[-1:]):
                 if name in BLOCK:
                     end_block()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        pop(i)
-                        break
+                if depth[name]:
+                    pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, m.end())
@@ -133,6 +154,7 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
             inside = article or name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articlebody"
             # an article's own header, with its title, is the article's
             stack.append((name, inside, dropped or drop and not (name == "header" and article)))
+            depth[name] += 1
             article, dropped = stack[-1][1:]
     if raw_until < len(page) and at < len(page):
         pieces.append(html.unescape(page[at:]))
@@ -140,39 +162,6 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
     return blocks
 
 
-def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first ``depth`` tokens, by prefix doubling; equal ranks mean equal substrings."""
-    _, rank = np.unique(tokens, return_inverse=True)
-    rank, k = rank.astype(np.int64) + 1, 1
-    while k < depth:
-        step = min(k, depth - k)
-        after = np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])
-        _, rank = np.unique(rank * (len(rank) + 2) + after, return_inverse=True)
-        rank, k = rank.astype(np.int64) + 1, k + step
-    return rank
-
-
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int, least: int, source: np.ndarray | None = None) -> np.ndarray:
-    """Which tokens a substring of ``run`` tokens covers that stands on at least ``least`` distinct pages (or sources of pages).
-
-    The suffix array of a host in one piece, by which tests judge main_text.
-    """
-    n = len(tokens)
-    covered = np.zeros(n, bool)
-    if n < run:
-        return covered
-    whole = np.flatnonzero(page[: n - run + 1] == page[run - 1 :])
-    rank = suffix_ranks(tokens, run)[whole]
-    of = page[whole] if source is None else source[page[whole]]
-    pairs = np.unique(rank * (int(page.max()) + 1) + of)
-    pages = np.bincount(pairs // (int(page.max()) + 1), minlength=int(rank.max()) + 1 if len(rank) else 1)
-    depth = np.zeros(n + 1, np.int64)
-    hit = whole[pages[rank] >= least]
-    np.add.at(depth, hit, 1)
-    np.add.at(depth, hit + run, -1)
-    return np.cumsum(depth[:-1]) > 0
-
-
 def streams_of(page: str | None) -> tuple[list[tuple[str, bool]], bool]:
     """(text, open) of every block of a page, and whether the page marks its article."""
     blocks = page_blocks(page or "")
@@ -203,83 +192,165 @@ def kept_text(blocks: list[tuple[str, bool]], marked: bool, covered: np.ndarray,
     return "\n\n".join(kept)
 
 
-def covered_by(starts: np.ndarray, n: int) -> np.ndarray:
-    """Which of n tokens the runs of RUN tokens at starts cover."""
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + RUN, -1)
-    return np.cumsum(depth[:-1]) > 0
-
-
-def starts_of(words: Words, texts: list[bytes], hosts: np.ndarray, kept: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, of ``kept`` bits, of host and first RUN tokens of all suffixes of texts, and of each the index of its text."""
-    h, offsets = words.hash_documents(texts)
-    owner = owners(offsets)
-    w = window_hashes(h, RUN)
-    inside = owner[: len(w)] == owner[RUN - 1 :]
-    w, owner = w[inside], owner[: len(w)][inside]
-    return mix(w ^ hosts[owner]) >> np.uint64(64 - kept), owner
-
-
-def repeated_starts(pages: DataFrame) -> tuple[DataFrame, int]:
-    """(key, marks) of pages with runs of RUN tokens that LEAST_PAGES sources of their host have.
-
-    ``pages`` has key (long), host (a hash, long) and html. marks: for each of some buckets MARK (its number and
-    count) and one bit for each of the page's suffixes of that bucket, in order. The second value is the number of bucket bits.
-    """
-    size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    bits = bucket_bits(size // 6)
-    low = min(LOW_BITS, 64 - bits)
-    width = (low + 7) // 8
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+def sampled(w: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Places of the least (of equal ones the first) of every ``step`` hashes in a row; of fewer than ``step`` the least."""
+    if len(w) < step:
+        return np.array([w.argmin()]) if len(w) else np.empty(0, np.int64)
+    return distinct(np.lib.stride_tricks.sliding_window_view(w, step).argmin(axis=1) + np.arange(len(w) - step + 1))
+
+
+class Chunk:
+    """Some pages (page_id, url, host, tag and, packed, their blocks) and the tokens of all in a row."""
+
+    def __init__(self, blob: bytes):
+        with pa.ipc.open_stream(pa.Codec("zstd").decompress(blob[8:], struct.unpack_from("<Q", blob)[0])) as reader:
+            self.rows = reader.read_all()
+        self.host, self.tag = self.rows.column("host").to_numpy().view(np.uint64), self.rows.column("tag").to_numpy()
+        self.pages = [unpack_page(x) for x in self.rows.column("page").to_pylist()]
+        self.tokens, self.offsets = Words().hash_documents([" ".join(t for t, _ in b).encode() for b, _ in self.pages])
+        self.ends = [np.cumsum([t.count(" ") + 1 for t, _ in b], dtype=np.int64) for b, _ in self.pages]
+        self.starts()
+
+    @staticmethod
+    def pack(page_ids: list, urls: list, hosts: list, tags: list, pages: list[str]) -> bytes:
+        table = pa.table({"page_id": pa.array(page_ids, pa.int64()), "url": pa.array(urls, pa.string()), "host": pa.array(hosts, pa.int64()), "tag": pa.array(tags, pa.int64()), "page": pa.array(pages, pa.string())})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema) as writer:
+            writer.write_table(table)
+        whole = out.getvalue()
+        return struct.pack("<Q", whole.size) + pa.Codec("zstd", compression_level=LEVEL).compress(whole, asbytes=True)
+
+    def starts(self) -> None:
+        """begin, end, page of every sampled start and whole block, and in hashes and which what is equal among them."""
+        w = window_hashes(self.tokens, RUN)
+        begin, page, long, whose = [], [], [], []
+        for i, ends in enumerate(self.ends):
+            lo, hi = int(self.offsets[i]), int(self.offsets[i + 1])
+            own = sampled(w[lo : max(lo, hi - RUN + 1)]) + lo
+            begin.append(own)
+            page.append(np.full(len(own), i))
+            firsts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            some = np.flatnonzero(ends - firsts >= RUN)
+            long.append(np.stack([firsts[some], ends[some]]) + lo)
+            whose.append(np.full(len(some), i))
+        begin, blocks = np.concatenate([*begin, np.empty(0, np.int64)]), np.concatenate([*long, np.empty((2, 0), np.int64)], axis=1)
+        self.begin, self.end = np.concatenate([begin, blocks[0]]), np.concatenate([begin + RUN, blocks[1]])
+        self.page = np.concatenate([*page, *whose, np.empty(0, np.int64)]).astype(np.int64)
+        keys = np.concatenate([w[begin], span_hashes(self.tokens, blocks[0], blocks[1]) + np.uint64(1)])
+        self.hashes, self.which = np.unique(mix(keys ^ self.host[self.page]), return_inverse=True)
+
+    def sources(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of hashes how many sources have it (at most LEAST_PAGES), and their tags in a row."""
+        tags, source = np.unique(self.tag, return_inverse=True)
+        start, source = np.divmod(distinct(self.which * max(1, len(tags)) + source[self.page]), max(1, len(tags)))
+        counts = np.bincount(start, minlength=len(self.hashes))
+        few = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts) < LEAST_PAGES
+        return np.minimum(counts, LEAST_PAGES), tags[source[few]]
+
+    def covered(self, repeats: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a start or block whose hash repeats."""
+        hit = np.flatnonzero(repeats[self.which])
+        depth = np.zeros(len(self.tokens) + 1, np.int64)
+        np.add.at(depth, self.begin[hit], 1)
+        np.add.at(depth, self.end[hit], -1)
+        return np.cumsum(depth[:-1]) > 0
+
+    def main_texts(self, repeats: np.ndarray) -> pa.Table:
+        covered = self.covered(repeats)
+        texts = [kept_text(blocks, marked, covered[a:b], ends) for (blocks, marked), ends, a, b in zip(self.pages, self.ends, self.offsets[:-1], self.offsets[1:], strict=True)]
+        return pa.table({"page_id": self.rows.column("page_id"), "url": self.rows.column("url"), "text": pa.array(texts, pa.string())})
+
+
+def pack_page(blocks: list[tuple[str, bool]], marked: bool) -> str:
+    """Blocks, which have no line feeds, after a line of their marks."""
+    head = "".join("o" if is_open else "c" for _, is_open in blocks) + ("m" if marked else "u")
+    return "\n".join([head, *(t for t, _ in blocks)]).encode("utf-8", "replace").decode()
+
+
+def unpack_page(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    head, *texts = page.split("\n")
+    return [(t, x == "o") for t, x in zip(texts, head, strict=False)], head[-1] == "m"
+
+
+def chunks(pages: DataFrame) -> DataFrame:
+    """(chunk, size, blob) of pages (page_id, url, host, html), each parsed once: packed Chunks of about CHUNK_BYTES."""
+    limit = CHUNK_BYTES
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        n = 0
+        size, n, task = 0, 0, TaskContext.get().partitionId() << 32
 
         def flush() -> pa.RecordBatch:
-            base = np.cumsum([0] + [len(x[2]) for x in held])
-            values = np.concatenate([x[0] for x in held])
-            owner = np.concatenate([x[1] + b for x, b in zip(held, base, strict=False)])
-            keys, tags = (np.concatenate([x[i] for x in held]) for i in (2, 3))
-            got = list(pack(values, width, values >> np.uint64(low), owner, keys, tags, 1 << bits))
+            nonlocal size, n
+            row = pa.RecordBatch.from_arrays([pa.array([task + n], pa.int64()), pa.array([size], pa.int64()), pa.array([Chunk.pack(*(list(x) for x in zip(*held, strict=True)))], pa.binary())], names=["chunk", "size", "blob"])
             held.clear()
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in got], pa.int32()), "blob": pa.array([x for _, x in got], pa.binary())})
+            size, n = 0, n + 1
+            return row
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, PAGES):
-                part = batch.slice(lo, PAGES)
-                keys, hosts = (part.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-                streams = [streams_of(x)[0] for x in part.column(2).to_pylist()]
-                tags = np.array([zlib.crc32(source_of(b).encode("utf-8", "replace")) for b in streams], np.uint64)
-                values, owner = starts_of(words, [" ".join(t for t, _ in b).encode("utf-8", "replace") for b in streams], hosts, low + bits)
-                held.append((values, owner, keys, tags))
-                n += len(values)
-                if n >= FLUSH:
+            for i in range(batch.num_rows):
+                blocks, marked = streams_of(batch.column(3)[i].as_py())
+                held.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), zlib.crc32(source_of(blocks).encode("utf-8", "replace")), pack_page(blocks, marked)))
+                size += PAGE_BYTES + len(held[-1][-1])
+                if size >= limit:
                     yield flush()
-                    n = 0
         if held:
             yield flush()
 
+    return pages.select("page_id", "url", "host", "html").mapInArrow(parse, "chunk long, size long, blob binary")
+
+
+def repeated_starts(packed: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """(chunk, bucket, bits): a bit for each of the chunk's hashes in the bucket, set where LEAST_PAGES sources have it; and the number of bucket bits."""
+    bits = bucket_bits(size // 20)
+    low = 8 * LOW_BYTES
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = Chunk(blob.as_py())
+                counts, tags = own.sources()
+                bucket = (own.hashes >> np.uint64(64 - bits)).astype(np.int64)
+                rest = own.hashes >> np.uint64(64 - bits - low)
+                edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
+                tag_edges = np.concatenate([[0], np.cumsum(counts)])[edges]
+                some = np.flatnonzero(np.diff(edges))
+                # planes of bytes compress better than number after number
+                blobs = [counts[edges[b] : edges[b + 1]].astype(np.uint8).tobytes() + planes(rest[edges[b] : edges[b + 1]], LOW_BYTES) + planes(tags[tag_edges[b] : tag_edges[b + 1]], TAG_BYTES) for b in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([name] * len(some), pa.int64()), pa.array(np.diff(edges)[some], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "chunk", "n", "blob"])
+
     def judge(group: pa.Table) -> pa.Table:
-        keys, tags, lengths, rest = unpack(group.column("blob").to_pylist(), width)
-        source = np.repeat(tags, lengths)
-        order = np.lexsort((source, rest))
-        start = np.concatenate([[True], rest[order][1:] != rest[order][:-1]])
-        new = start | np.concatenate([[True], source[order][1:] != source[order][:-1]])
-        first = np.flatnonzero(start)
-        repeats = np.empty(len(rest), bool)
-        repeats[order] = np.repeat(np.add.reduceat(new, first, dtype=np.int64) >= LEAST_PAGES, np.diff(np.append(first, len(rest))))
-        ends = np.cumsum(lengths)
-        some = np.flatnonzero(np.add.reduceat(repeats, ends - lengths, dtype=np.int64))
-        bucket = group.column("bucket")[0].as_py()
-        marks = [struct.pack(MARK, bucket, lengths[i]) + np.packbits(repeats[ends[i] - lengths[i] : ends[i]]).tobytes() for i in some]
-        return pa.table({"key": pa.array(keys[some].view(np.int64)), "mark": pa.array(marks, pa.binary())})
-
-    packed = pages.select("key", "host", "html").mapInArrow(emit, "bucket int, blob binary")
-    marks = packed.groupBy("bucket").applyInArrow(judge, "key long, mark binary")
-    # rows that agree in all columns have one key, and the same marks
-    return marks.groupBy("key").agg(F.collect_set("mark").alias("marks")), bits
+        starts, pairs, ends = [], [], [0]
+        for n, blob in zip(group.column("n").to_pylist(), group.column("blob").to_pylist(), strict=True):
+            counts = np.frombuffer(blob, np.uint8, n)
+            own = unplanes(blob, n, n, LOW_BYTES)
+            starts.append(own)
+            pairs.append(np.stack([np.repeat(own, counts), unplanes(blob, n * (1 + LOW_BYTES), int(counts.sum()), TAG_BYTES)]))
+            ends.append(ends[-1] + n)
+        values, at = np.unique(np.concatenate(starts), return_inverse=True)
+        whole = np.concatenate(pairs, axis=1)
+        whole = whole[:, np.lexsort((whole[1], whole[0]))]
+        new = np.concatenate([[True], (whole[:, 1:] != whole[:, :-1]).any(axis=0)])
+        repeats = np.bincount(np.searchsorted(values, whole[0, new]), minlength=len(values))[at] >= LEAST_PAGES
+        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "bits": pa.array([np.packbits(repeats[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    sent = packed.select("chunk", "blob").mapInArrow(emit, "bucket int, chunk long, n int, blob binary")
+    return sent.groupBy("bucket").applyInArrow(judge, "chunk long, bucket int, bits binary"), bits
+
+
+def sift_with(bits: int):
+    """The function of a chunk and its rows of repeated_starts that gives rows (page_id, url, text)."""
+
+    def sift(group: pa.Table, marks: pa.Table) -> pa.Table:
+        own = Chunk(group.column("blob")[0].as_py())
+        bucket = (own.hashes >> np.uint64(64 - bits)).astype(np.int64)
+        repeats = np.zeros(len(own.hashes), bool)
+        for b, packed in zip(marks.column("bucket").to_pylist(), marks.column("bits").to_pylist(), strict=True):
+            lo, hi = np.searchsorted(bucket, [b, b + 1])
+            repeats[lo:hi] = np.unpackbits(np.frombuffer(packed, np.uint8), count=hi - lo)
+        return own.main_texts(repeats)
+
+    return sift
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -287,37 +358,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null and empty pages give an empty text; markup or references that the page's end cuts off are
     left out or left as they stand. A null url or one without a host counts as the host ''. Rows repeated with
-    one id each give their row. Extra columns are ignored.
+    one id each give their row. Empty tables give no rows; extra columns are ignored.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    own = own.select("*", F.xxhash64(host).alias("host"), F.xxhash64("page_id", "url", "html").alias("key"))
-    repeats, bits = repeated_starts(own)
-    low = min(LOW_BITS, 64 - bits)
-
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-
-        def text_of(page: str, host: int, marks: list[bytes] | None) -> str:
-            blocks, marked = streams_of(page)
-            if not marks:
-                return "\n\n".join(t for t, is_open in blocks if is_open)
-            values, _ = starts_of(words, [" ".join(t for t, _ in blocks).encode("utf-8", "replace")], np.array([host], np.int64).view(np.uint64), low + bits)
-            bucket = values >> np.uint64(low)
-            order = np.argsort(bucket, kind="stable")
-            bucket, repeats = bucket[order], np.zeros(len(values), bool)
-            for mark in marks:
-                b, n = struct.unpack_from(MARK, mark)
-                at = np.searchsorted(bucket, np.uint64(b))
-                repeats[at : at + n] = np.unpackbits(np.frombuffer(mark, np.uint8, offset=struct.calcsize(MARK)), count=n)
-            ends = np.cumsum([t.count(" ") + 1 for t, _ in blocks])
-            return kept_text(blocks, marked, covered_by(order[repeats], int(ends[-1])), ends)
-
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PAGES):
-                part = batch.slice(lo, PAGES)
-                texts = [text_of(*x) for x in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    joined = own.join(repeats, "key", "left").select("page_id", "url", "html", "host", "marks")
-    return joined.mapInArrow(sift, "page_id long, url string, text string")
+    packed, seen = stored_and_measured(chunks(own.withColumn("host", F.xxhash64(host))), F.sum("size").alias("size"))
+    marks, bits = repeated_starts(packed, seen["size"] or 0)
+    return packed.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(sift_with(bits), "page_id long, url string, text string")
