@@ -7,13 +7,16 @@ never share one. Everything happens inside the row: nothing is exploded, shuffle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: What is looked for, in the order of precedence at one place.
+#: Longest parts before and after the @ of a valid address.
+LOCAL_MOST, DOMAIN_MOST = 64, 255
+#: What is looked for, in the order of precedence at one place. Repeats without a bound are
+#: possessive and begin where a run of their characters begins, so a text is searched in linear time and no stack.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9]|[./-][0-9])",
@@ -28,7 +31,7 @@ CYCLE_FROM = "1800-01-01"
 
 
 def _sha(key: str, *parts: str) -> str:
-    return f"sha2(concat_ws('|', {key!r}, {', '.join(parts)}), 256)"
+    return f"sha2(concat_ws('|', {key}, {', '.join(parts)}), 256)"
 
 
 def _class_add(text: str, digest: str) -> str:
@@ -79,11 +82,14 @@ def _refill(shape: str, chars: str, kind: str) -> str:
 
 
 def pseudonym(m: str, key: str) -> str:
-    """SQL: the pseudonym of a found text m, or m where it isn't valid."""
+    """SQL: the pseudonym of a found text m, or m where it isn't valid; key is SQL too."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     full = lambda kind: f"{m} RLIKE '^(?:{PATTERNS[kind]})$'".replace("\\", "\\\\")
-    local = f"substring_index({m}, '@', 1)"
-    email = f"concat({feistel_text(local, key, 'email')}, substring({m}, length({local}) + 1))"
+    lead = f"regexp_extract({m}, '^[._%+-]*+', 0)"
+    local = f"substring(substring_index({m}, '@', 1), length({lead}) + 1)"
+    domain = f"substring_index({m}, '@', -1)"
+    email_valid = f"length({local}) BETWEEN 1 AND {LOCAL_MOST} AND length({domain}) <= {DOMAIN_MOST}"
+    email = f"concat({lead}, {feistel_text(local, key, 'email')}, '@', {domain})"
 
     bare = f"regexp_replace({m}, ' ', '')"
     account = f"concat(substring({bare}, 1, 2), '00', {feistel_text(f'substring({bare}, 5)', key, 'iban')})"
@@ -123,7 +129,7 @@ def pseudonym(m: str, key: str) -> str:
     card_valid = f"length({digits}) BETWEEN 13 AND 19 AND {luhn_sum(digits, 0)} % 10 = 0"
 
     return f"""CASE
-        WHEN {m} LIKE '%@%' THEN {email}
+        WHEN contains({m}, '@') THEN CASE WHEN {email_valid} THEN {email} ELSE {m} END
         WHEN {full('iban')} THEN CASE WHEN length({bare}) BETWEEN 15 AND 34 AND {iban_rest(bare)} = 1 THEN {iban} ELSE {m} END
         WHEN {full('ipv4')} THEN CASE WHEN {ip_valid} THEN {ip} ELSE {m} END
         WHEN {full('date')} THEN CASE WHEN {date_valid} THEN {shown} ELSE {m} END
@@ -141,21 +147,36 @@ def kind_of(m: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def secret(spark: SparkSession, key: str) -> Column:
+    """The key as a scalar subquery: plans, the event log and the UI show the subquery, not its value."""
+    return spark.sql("SELECT * FROM VALUES (:secret) AS keys(secret)", args={"secret": key}).scalar()
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or name with underscores before it until no column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with the text's personal values replaced; all other columns and rows as they were.
 
     Added (an input column of such a name is replaced): found (values as they stood, in order) and
-    pseudonyms (what stands there now; equal to found where validation failed). Valid: Luhn for card
-    numbers, modulo 97 for IBANs, octets for addresses, the calendar for dates (1800 to 2199), the
-    allotted ranges for social-security numbers, 8 to 15 digits for telephone numbers. Null
-    and empty texts stay null and empty with no values found.
+    pseudonyms (what stands there now; equal to found where validation failed). Valid: up to 64 characters before
+    an address's @ and 255 after it, Luhn for card numbers, modulo 97 for IBANs, octets for network addresses, the
+    calendar for dates (1800 to 2199), the allotted ranges for social-security numbers, 8 to 15 digits for telephone
+    numbers. Punctuation before an address's first letter or digit is found with it and stays. Null and empty texts
+    stay null and empty with no values found; repeated rows get the same pseudonyms. Time is linear in a text's length.
     """
     text = F.col(text_col)
     rest = [c for c in docs.columns if c not in ("found", "pseudonyms")]
+    name = free_name("_secret", rest)
     candidate = text.rlike("[0-9]|@")
     none = F.array().cast("array<string>")
-    found = docs.select(*rest).withColumn("found", F.when(candidate, F.regexp_extract_all(text, F.lit(FIND), F.lit(0))).otherwise(none))
-    made = found.withColumn("pseudonyms", F.when(F.size("found") > 0, F.expr(f"transform(found, m -> {pseudonym('m', key)})")).otherwise(none))
+    found = docs.select(*rest, secret(docs.sparkSession, key).alias(name)).withColumn("found", F.when(candidate, F.regexp_extract_all(text, F.lit(FIND), F.lit(0))).otherwise(none))
+    made = found.withColumn("pseudonyms", F.when(F.size("found") > 0, F.expr(f"transform(found, m -> {pseudonym('m', f'`{name}`')})")).otherwise(none)).drop(name)
     pieces = F.split(text, FIND, -1)
     rebuilt = F.array_join(F.zip_with(pieces, "pseudonyms", lambda p, c: F.concat(F.coalesce(p, F.lit("")), F.coalesce(c, F.lit("")))), "")
     return made.withColumn(text_col, F.when(F.size("found") > 0, rebuilt).otherwise(text))
