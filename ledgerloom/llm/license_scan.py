@@ -1,7 +1,8 @@
 """License scans with a positional index of rare words.
 
 The index has, for every notice template, its words of highest IDF (over all documents) with their
-positions. A file's words are looked up in it; postings of one template that agree on where the
+positions, so many that no text with LEAST_SCORE of the template's weight lacks two of them. A file's words are looked
+up in it; postings of one template that agree on where the
 template would begin make a candidate, which an alignment and its mandatory phrases verify.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,10 +47,19 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
     ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included", "substantial portions of the software"]),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ["except in compliance with the license", "license 2 0"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain", "this list of conditions"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce", "this list of conditions"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "held liable for any damages"]),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["person or organization obtaining", "covered by this license"]),
+    ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["copy of the mpl", "mpl 2 0"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright", "neighboring rights"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["free to copy modify publish", "by any means"]),
     *[(label, phrase, [phrase]) for phrase, label in BASE_PHRASES.items()],
 ]
-#: Words of a template that the index holds, how far their places may disagree, least share of weight.
-ANCHORS, SLACK, LEAST_SCORE = 3, 2, 0.7
+#: Least share of a template's weight.
+LEAST_SCORE = 0.7
 
 
 @dataclass
@@ -102,13 +112,31 @@ def inverse_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[int, float
     return {int(x): math.log((total + 1) / (got.get(i, 0) + 0.5)) for i, x in enumerate(vocabulary)}
 
 
-def rare_index(idf: dict[int, float], templates=TEMPLATES, anchors: int = ANCHORS) -> RareIndex:
+def slack(template: list[int]) -> int:
+    """How many words may be put into or left out of a notice: the places of its words disagree by no more."""
+    return 2 + len(template) // 4
+
+
+def anchors(template: list[int], weight: dict[int, float]) -> list[int]:
+    """The rarest distinct words, until all but the heaviest of them weigh more than a text may lack."""
+    total, held, most, out = sum(weight[x] for x in template), 0.0, 0.0, []
+    for x in sorted(set(template), key=lambda x: (-weight[x], x)):
+        out.append(x)
+        own = weight[x] * template.count(x)
+        held, most = held + own, max(most, own)
+        if held - most > (1 - LEAST_SCORE) * total:
+            break
+    return out
+
+
+def rare_index(idf: dict[int, float], templates=TEMPLATES) -> RareIndex:
     words = Words(NON_ALNUM_BYTES, lower=True)
+    weight = {x: max(v, 0.01) for x, v in idf.items()}
     made, postings = [], defaultdict(list)
     for t, (label, text, phrases) in enumerate(templates):
         own = _hash_all(words, text)
-        made.append((label, own, [max(idf[x], 0.01) for x in own], [_hash_all(words, p) for p in phrases]))
-        for x in sorted(set(own), key=lambda x: (-idf[x], x))[:anchors]:
+        made.append((label, own, [weight[x] for x in own], [_hash_all(words, p) for p in phrases]))
+        for x in anchors(own, weight):
             postings[x] += [(t, i) for i, y in enumerate(own) if y == x]
     hashes = np.array(sorted(postings), np.uint64)
     return RareIndex(made, hashes, [postings[int(x)] for x in hashes], _maybe(hashes), [(label, _hash_all(words, p)) for p, label in BASE_PHRASES.items()])
@@ -128,35 +156,40 @@ def _aligned(template: list[int], weight: list[float], window: list[int]) -> flo
     return best[-1] / sum(weight)
 
 
-def scan_words(h: np.ndarray, anchors: list[tuple[int, int]], index: RareIndex) -> tuple[set[str], float]:
+def verified(h: np.ndarray, start: int, template: list[int], weight: list[float], phrases: list[list[int]]) -> float:
+    """The score of a template whose earliest word could begin at start; 0 where a mandatory phrase or LEAST_SCORE isn't met."""
+    window = h[max(0, start) : max(0, start + len(template) + 2 * slack(template))].tolist()
+    if not all(_has_run(window, p) for p in phrases):
+        return 0.0
+    score = _aligned(template, weight, window)
+    return min(1.0, score) if score >= LEAST_SCORE else 0.0
+
+
+def scan_words(h: np.ndarray, found: list[tuple[int, int]], index: RareIndex) -> tuple[set[str], float]:
     """Labels and best score of one file, from its words and where the index's words stand in it."""
     votes: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for at, which in anchors:
+    for at, which in found:
         for t, i in index.postings[which]:
             votes[t].append((at - i, which))
     labels, best = set(), 0.0
     for t, places in votes.items():
         label, template, weight, phrases = index.templates[t]
         places.sort()
-        need = min(2, len({w for _, w in places}), len(template))
-        if len(set(template)) > 1 and need < 2:
-            continue
-        tried: set[int] = set()
-        for lo, (start, _) in enumerate(places):
-            near = set()
-            for begin, which in places[lo:]:
-                if begin > start + SLACK:
-                    break
-                near.add(which)
-            if len(near) < need or start in tried:
-                continue
-            tried.add(start)
-            window = h[max(0, start) : max(0, start + len(template) + SLACK)].tolist()
-            if all(_has_run(window, p) for p in phrases):
-                score = _aligned(template, weight, window)
-                if score >= LEAST_SCORE:
+        tried, hi = None, 0
+        inside: Counter[int] = Counter()
+        for lo, (start, which) in enumerate(places):
+            while hi < len(places) and places[hi][0] <= start + 2 * slack(template):
+                inside[places[hi][1]] += 1
+                hi += 1
+            if len(inside) >= min(2, len(set(template))) and start != tried:
+                tried = start
+                score = verified(h, start, template, weight, phrases)
+                if score:
                     labels.add(label)
-                    best = max(best, min(1.0, score))
+                    best = max(best, score)
+            inside[which] -= 1
+            if not inside[which]:
+                del inside[which]
     return labels, best
 
 
