@@ -38,8 +38,9 @@ COVERED, COPIED = 0.8, 0.5
 CHUNK_BYTES, PAGE_BYTES = 4 << 20, 64
 #: How hard a chunk is compressed: as fast as zlib's default here, a quarter smaller.
 LEVEL = 12
-#: Bytes that stand for a start's hash below its bucket number, and for a source.
-LOW_BYTES, TAG_BYTES = 6, 3
+#: Bytes that stand for a start's hash below its bucket number (4 to 20 bits, more with more pages), and for a source: of
+#: three sources two look like one with a chance of 5 in 100,000, and the repeat is seen from the next page on.
+LOW_BYTES, TAG_BYTES = 5, 2
 
 #: Elements by what they mean for the main text.
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title"}
