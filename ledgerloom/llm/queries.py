@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_main, license_scan, mixing, ngram_join, pii, substring, toxicity, warc
+from . import conversation, decontaminate, embedding_dups, exact_dedup, html_main, license_scan, mixing, ngram_join, pii, spelling, substring, toxicity, warc
+from .oracles import CONVERSATION_SQL, EMBEDDING_SQL, SPELLING_SQL
 
 #: Target share of characters per source of the mixing query; SQL below holds the same numbers.
 MIX_WEIGHTS = {f"src{i}": float(1 + i % 4) for i in range(20)}
@@ -66,6 +67,18 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_warc": op2_warc,
@@ -77,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_poisson_mix": op9_poisson_mix,
     "op10_html_main_text": op10_html_main_text,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_dups": op13_embedding_dups,
 }
 
 ORACLE: dict[str, str] = {
@@ -125,4 +141,7 @@ ORACLE: dict[str, str] = {
         SELECT u.doc_id, u.source, k.copy::INTEGER AS copy, md5('mix-order|' || u.doc_id || '|' || k.copy) AS shuffle_key, u.text
         FROM u JOIN n USING (doc_id) JOIN (SELECT unnest(range(1, 200)) AS copy) k ON k.copy <= n.copies
     """,
+    "op11_conversation_repair": CONVERSATION_SQL,
+    "op12_spelling_variants": SPELLING_SQL,
+    "op13_embedding_dups": EMBEDDING_SQL,
 }

@@ -83,10 +83,8 @@ def attach(left: DataFrame, right: DataFrame, key: str, count: str, total: int,
     return joined.select(*[left[c] for c in left.columns], *picked)
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's edges (u, v) one edge for each node that isn't its tree's smallest: to that."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    u, v = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1))
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges (u, v) one edge for each node that isn't its tree's smallest: to that."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     up, ends = np.arange(len(nodes)), at.reshape(2, -1)
     while True:
@@ -98,9 +96,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (up[up] != up).any():
             up = up[up]
     moved = np.flatnonzero(up != np.arange(len(nodes)))
-    for lo in range(0, len(moved), 1 << 16):
-        own = moved[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[up[own]])], names=["u", "v"])
+    return nodes[moved], nodes[up[moved]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a partition's edges."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    own, tops = forest(*(np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in (0, 1)))
+    for lo in range(0, len(own), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + (1 << 16)]), pa.array(tops[lo : lo + (1 << 16)])], names=["u", "v"])
 
 
 def components(links: DataFrame, rounds: int = 200) -> DataFrame:
