@@ -20,7 +20,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import attach, fresh_path, stored
@@ -44,6 +44,14 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page:{page_id}') if page_id is not None else uuid.uuid4()}>"
 
 
+def qualified(spark: SparkSession, path: Column) -> Column:
+    """Paths with the scheme that Spark would give them: where they name none, the default file system and its working folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(".")
+    here = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri()
+    root = f"{here.getScheme()}://{here.getAuthority() or ''}"
+    return F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).when(path.startswith("/"), F.concat(F.lit(root), path)).otherwise(F.concat(F.lit(f"{root}{here.getPath().rstrip('/')}/"), path))
+
+
 def open_shared(uri: str, mode: str) -> BinaryIO:
     """A file of the shared folder, by its scheme: the local one directly, others through Arrow."""
     at = urlparse(uri)
@@ -251,18 +259,21 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_pylist([{k: r[k] for k in schema.names} for r in rows], schema=schema)
 
     n = max(1, min(manifest.count(), 100_000))
-    spread = manifest.select("path", "records").repartition(n, F.col("path"))
+    spread = manifest.select(qualified(manifest.sparkSession, F.col("path")).alias("path"), "records").repartition(n, F.col("path"))
     kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + (", payload string" if payloads else "")
     return spread.mapInArrow(read, kinds)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """records with every revisit's length and digest taken from the response that it refers to; raises where their digests differ or there is none."""
-    wanted = records.where("record_type = 'revisit'").groupBy("refers_to").agg(F.count("*").alias("_times"))
-    found = records.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
-    responses = stored(wanted.join(found, F.col("refers_to") == F.col("_page")).groupBy("refers_to").agg(F.max("_times").alias("_times"), F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")))
+    # two payloads may lie under one page id, so a revisit's response is the one with its id and its digest
+    key = lambda page: F.concat_ws(":", F.col(page).cast("string"), F.lower("payload_digest"))
+    keyed = records.withColumn("_key", F.when(F.col("record_type") == "revisit", key("refers_to")))
+    wanted = keyed.where("record_type = 'revisit'").groupBy("_key").agg(F.count("*").alias("_times"))
+    found = records.where("record_type = 'response'").select(key("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.lower("payload_digest").alias("_digest"))
+    responses = stored(wanted.join(found, F.col("_key") == F.col("_page")).groupBy("_key").agg(F.max("_times").alias("_times"), F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")))
     total = responses.agg(F.sum("_times")).first()[0] or 0
-    joined = attach(records, responses, "refers_to", "_times", total, F.coalesce("page_id", F.lit(0)))
+    joined = attach(keyed, responses, "_key", "_times", total, F.coalesce("page_id", F.lit(0)))
     right = F.coalesce(F.lower("payload_digest") == F.col("_digest"), F.lit(False))
     checked = F.when(right, F.col("_digest")).otherwise(F.raise_error(F.concat(F.lit("no response of a revisit's digest: page "), F.col("page_id").cast("string"))).cast("string"))
     revisit = F.col("record_type") == "revisit"
