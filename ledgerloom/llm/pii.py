@@ -1,8 +1,8 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses, in built-in functions only.
 
 Values are found by patterns and validated; a Feistel network keyed with SHA-256 permutes each
-within its own format, so the same value gets the same pseudonym in any document and two values
-never share one. Everything happens inside the row: nothing is exploded, shuffled or sent to Python.
+within its own format, so the same value gets the same pseudonym in any document and two values of a kind
+never share one (dates: of one order and separator; a date whose day may be its month is read day first). Everything happens inside the row: nothing is exploded, shuffled or sent to Python.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ FIND = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Dates keep within 400 years of the same calendar: 146097 days, 189 times 773.
 CYCLE, CYCLE_L, CYCLE_R = 146097, 189, 773
 CYCLE_FROM = "1800-01-01"
+#: Of these 88497 lie behind the twelfth of their month, 9 times 9833: only they can be read in one way with the month first.
+LATE, LATE_L, LATE_R = 88497, 9, 9833
 
 
 def _sha(key: str, *parts: str) -> str:
@@ -110,7 +112,17 @@ def pseudonym(m: str, key: str) -> str:
     parsed = f"CASE WHEN {iso} THEN {iso_date} ELSE coalesce({day_first}, {month_first}) END"
     day = f"datediff(cast({parsed} as date), date'{CYCLE_FROM}')"
     moved = f"date_add(date'{CYCLE_FROM}', cast({feistel_number(f'pmod({day}, {CYCLE})', CYCLE_L, CYCLE_R, key, 'date')} + {CYCLE} * floor({day} / {CYCLE}) as int))"
-    shown = f"element_at(transform(array({moved}), d -> CASE WHEN {iso} THEN date_format(d, 'yyyy-MM-dd') WHEN {day_first} IS NOT NULL THEN concat(date_format(d, 'dd'), {sep}, date_format(d, 'MM'), {sep}, date_format(d, 'yyyy')) ELSE concat(date_format(d, 'MM'), {sep}, date_format(d, 'dd'), {sep}, date_format(d, 'yyyy')) END), 1)"
+    moved_text = f"element_at(transform(array({moved}), d -> CASE WHEN {iso} THEN date_format(d, 'yyyy-MM-dd') ELSE concat(date_format(d, 'dd'), {sep}, date_format(d, 'MM'), {sep}, date_format(d, 'yyyy')) END), 1)"
+    # a date with its month first is one whose day is above 12, else it is read day first; such dates are permuted among themselves
+    months = "months_between(trunc({}, 'MM'), date'" + CYCLE_FROM + "')"
+    late_start = lambda m: f"(datediff(add_months(date'{CYCLE_FROM}', cast({m} as int)), date'{CYCLE_FROM}') - 12 * {m})"
+    month = f"cast(round({months.format(f'cast({month_first} as date)')}) as bigint)"
+    rank = f"(datediff(cast({month_first} as date), date'{CYCLE_FROM}') - 12 * ({month} + 1))"
+    guess = f"(x * 4800 div {LATE})"
+    its_month = f"array_max(filter(sequence(greatest({guess} - 3, 0L), least({guess} + 3, 4799L)), m -> {late_start('m')} <= x))"
+    back = f"element_at(transform(array({its_month}), m -> date_add(add_months(date'{CYCLE_FROM}', cast(m as int)), cast(12 + x - {late_start('m')} as int))), 1)"
+    late = f"element_at(transform(array({feistel_number(rank, LATE_L, LATE_R, key, 'late date')}), x -> date_format({back}, concat('MM', {sep}, 'dd', {sep}, 'yyyy'))), 1)"
+    shown = f"CASE WHEN NOT {iso} AND {day_first} IS NULL THEN {late} ELSE {moved_text} END"
     date_valid = f"({parsed}) IS NOT NULL AND cast({year} as int) BETWEEN 1800 AND 2199"
 
     area, group, serial = (f"cast(substring({m}, {a}, {n}) as bigint)" for a, n in ((1, 3), (5, 2), (8, 4)))
