@@ -94,7 +94,7 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, inside a marked article, dropped by markup) of every block of a page, in order."""
     blocks: list[tuple[str, bool, bool]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in an article, dropped
+    stack: list[tuple[str, bool, bool, list[str] | None]] = []  # name, in an article, dropped, what a dropped inline element interrupts
     depth: Counter[str] = Counter()  # how often each name is on the stack
     article = dropped = False
     raw_until = -1
@@ -108,10 +108,15 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
 
     def pop(to: int) -> None:
         nonlocal article, dropped
-        for x in stack[to:]:
-            depth[x[0]] -= 1
-        del stack[to:]
-        article, dropped = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        while len(stack) > to:
+            name, _, _, interrupted = stack[-1]
+            if interrupted is not None or name in BLOCK:
+                end_block()
+            if interrupted is not None:
+                pieces.extend(interrupted)
+            stack.pop()
+            depth[name] -= 1
+            article, dropped = stack[-1][1:3] if stack else (False, False)
 
     at = 0
     for m in TAG.finditer(page):
@@ -126,11 +131,10 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         name = m["name"].lower()
         if m["end"]:
-            if name in BLOCK or any(x[0] == name for x in stack[-1:]):
-                if name in BLOCK:
-                    end_block()
-                if depth[name]:
-                    pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            if depth[name] and (name in BLOCK or stack[-1][0] == name):
+                pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            if name in BLOCK:
+                end_block()
             continue
         if name in RAW:
             end = re.compile(rf"</{name}\s*>", re.I).search(page, m.end())
@@ -149,16 +153,18 @@ def page_blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         attrs = attributes(m["attrs"])
         drop = is_boilerplate(name, attrs)
-        if block or drop:
-            if drop and not block:
-                end_block()
+        # an inline element matters where it is dropped, and inside one of its name, whose end its own would be taken for
+        if block or drop or depth[name]:
             inside = article or name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articlebody"
-            # an article's own header, with its title, is the article's
-            stack.append((name, inside, dropped or drop and not (name == "header" and article)))
+            # the block around a dropped inline element goes on behind it
+            stack.append((name, inside, dropped or drop and not (name == "header" and article), None if block else pieces[:] if drop else None))
+            if drop and not block:
+                pieces.clear()
             depth[name] += 1
-            article, dropped = stack[-1][1:]
+            article, dropped = stack[-1][1:3]
     if raw_until < len(page) and at < len(page):
         pieces.append(html.unescape(page[at:]))
+    pop(0)
     end_block()
     return blocks
 
