@@ -656,3 +656,63 @@ def test_tokenizer_lowering():
     w = tokens.Words(tokens.NON_ALNUM_BYTES, lower=True)
     assert w.hash_one("Ab1é") == w.hash_one("aB1é") != w.hash_one("ab1É")
     assert license_scan.words_of("A-b c_É") == ["a", "b", "c", "É"] and lowered("É A") == "É a"
+
+
+def test_pseudonyms_of_dates_in_both_orders_stay_apart(spark):
+    from datetime import datetime
+
+    day = F.expr("date_add(date'1999-01-01', cast(id as int))")
+    days = spark.range(6500).select(F.explode(F.array(F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "MM/dd/yyyy"), F.date_format(day, "dd.MM.yyyy"))).alias("text")).distinct()
+    days = days.union(spark.createDataFrame([(x,) for x in ("01/13/1800", "12/31/1800", "12/31/2199", "02/29/2000", "29/02/2000", "02/28/1900", "31/12/2199")], "text string")).distinct()
+    got = {r.found[0]: r.text for r in pii.pseudonymise(days, "k").where("size(found) > 0").collect()}
+
+    def order(text):
+        try:
+            datetime.strptime(text[:10].replace(".", "/"), "%d/%m/%Y")
+        except ValueError:
+            datetime.strptime(text, "%m/%d/%Y")
+            return "month first", "/"
+        return "day first", text[2]
+
+    assert len(got) == len(set(got.values())) == days.count()
+    assert all(order(a) == order(b) for a, b in got.items())
+    assert {got[x] for x in ("01/13/1800", "12/31/2199")}.isdisjoint({"01/13/1800", "12/31/2199"})
+
+
+def test_late_dates_are_permuted_onto_themselves(spark):
+    """Every month-first date of ten years, by plain Python."""
+    from datetime import date, timedelta
+
+    first = date.fromisoformat(pii.CYCLE_FROM)
+    late = [d for d in (first + timedelta(n) for n in range(pii.CYCLE)) if d.day > 12]
+    assert len(late) == pii.LATE == pii.LATE_L * pii.LATE_R
+    rank = {d: i for i, d in enumerate(late)}
+    some = [d for d in late if d.year in (1800, 1899, 1900, 2000, 2024, 2199)]
+    rows = spark.createDataFrame([(d.strftime("%m/%d/%Y"),) for d in some], "text string")
+    got = {r.found[0]: r.text for r in pii.pseudonymise(rows, "k").collect()}
+    want = {d.strftime("%m/%d/%Y"): late[number_plain(rank[d], pii.LATE_L, pii.LATE_R, "k", "late date")].strftime("%m/%d/%Y") for d in some}
+    assert got == want
+
+
+def test_warc_of_two_payloads_under_one_id(spark):
+    a, b = "A" * 120, "B" * 120
+    rows = spark.createDataFrame([(5, "u", a), (5, "u", b), (7, "u", a), (8, "u", b)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_digest) for r in warc.round_trip(rows).collect())
+    da, db = (hashlib.sha256(x.encode()).hexdigest() for x in (a, b))
+    assert got == sorted([(5, "response", 0, da), (5, "response", 0, db), (7, "revisit", 5, da), (8, "revisit", 5, db)])
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>A</p><span class="ad">Buy</span><p>B</p></article>', "A\n\nB"),
+        ('<article><p>A <button>Share</button> B</p><label>x</label><p>C <span class="ad"><span>in</span> out</span> D</p></article>', "A B\n\nC D"),
+        ('<main><p>one <span class="ad">two<p>three</main><div>four</div>', "one"),
+        ("<p>a <span hidden>b", "a"),
+        ("<div>x<i>y</i>z</div><ul><li>1<li>2</ul>tail", "xyz\n\n1\n\n2\n\ntail"),
+        ('<main><p>a<select><option>o</option></select>b</p><em class="promo">c<em>d</em>e</em><p>f</p></main>', "ab\n\nf"),
+    ],
+)
+def test_dropped_inline_elements_leave_no_text(page, want):
+    blocks, _ = html_main.streams_of(page)
+    assert "\n\n".join(t for t, is_open in blocks if is_open) == want
