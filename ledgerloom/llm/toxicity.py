@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from .tokens import NON_ALNUM_BYTES, Words, as_bytes, distinct, mix, owners, text_chunks, window_hashes
 
-WINDOW, STRIDE, HIDDEN = 32, 16, 8
+WINDOW, STRIDE, HIDDEN = 32, 8, 8
 #: Training takes at most so many rows of each label and so many bytes of text, in the order of a hash of the id.
 TRAIN_ROWS, TRAIN_BYTES = 2000, 8 << 20
 WORD_BITS, GRAM_BITS, GRAMS = 18, 20, (3, 4, 5, 6)
-FOLDS, MIL_ROUNDS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 3, 12, 512, 0.03, 1e-4, 7
+FOLDS, MIL_ROUNDS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 3, 12, 512, 0.01, 1e-4, 7
 #: Embeddings: bits of the tables' rows, numbers in a row, the fewest training texts of a word or n-gram that has
 #: one of its own (others are zero), the share of windows that learn without any, learning rate.
 TABLE_BITS, WIDTH, LEAST_TEXTS, DROPPED, TABLE_RATE = 16, 4, 5, 0.5, 0.02
