@@ -119,6 +119,45 @@ NOISE = [
     (r"\bNlNETY\b", "NINETY", "generic"),
     (r"\b(27AAFCV2449G1)27\b", "$1Z7", "tenant"),
 ]
+#: Lower-case texts of which a rule's match has one; rules that aren't here can match where digits are.
+NOISE_NEEDS = {
+    r":\s*2Q([A-Z]{5}\d{4}[A-Z][1-9A-Z]Z[0-9A-Z])": ["2q"],
+    r"[!|]TBG/(\d{2}-\d{2})/(\d{4})11([A-Z]{2})/(\d{4})": ["tbg/"],
+    r"[!|]T8G/": ["t8g/"],
+    r"(ITBG/\d{2}-\d{2}/\d{4})\s*\n\s*([\dA-Z]{0,2}TP/\d{4})": ["itbg/"],
+    r"[!|]TBG/(\d{2}-\d{2}/\d+)": ["tbg/"],
+    r"(ITBG/[\d\-/A-Z]+)\s+I\b": ["itbg/"],
+    r"\b(\d{2})/0a/(\d{4})\b": ["/0a/"],
+    "-Ju-": ["-ju-"],
+    "-Ja-": ["-ja-"],
+    "-Fe-": ["-fe-"],
+    r"-Ma-(?=\d)": ["-ma-"],
+    "-Ap-": ["-ap-"],
+    "-Au-": ["-au-"],
+    "-Se-": ["-se-"],
+    "-Oc-": ["-oc-"],
+    "-No-": ["-no-"],
+    "-De-": ["-de-"],
+    "ICICOQ": ["icicoq"],
+    r"\bICICO(\d{6})\b": ["icico"],
+    r"\bICICO(\d{2}[A-Z])\b": ["icico"],
+    r"\bIClCl\b": ["iclcl"],
+    r"\bIClC0": ["iclc0"],
+    r"\bIClC(\d)": ["iclc"],
+    r"Account\s*Number\s*;": [";"],
+    r"A/e\s*No\.?": ["a/e"],
+    r"[%€\$¥¢]\s*(\d)": ["%", "€", "$", "¥", "¢"],
+    r"\b(\d{4}),(\d{2})\b": [","],
+    r"\bAA8CK(\d{4}[A-Z])\b": ["aa8ck"],
+    r"(KERALA[^\n]{0,50})in\s+words\s*:\s*(DEVELOPMENT[^\n]{0,50})": ["kerala"],
+    r"(?<![\d%])%([0-9]{1,2})(?![%\d])": ["%"],
+    r"\blnvoice\b": ["lnvoice"],
+    r"\bInvolce\b": ["involce"],
+    r"\b!([A-Z]{2,})": ["!"],
+    r"\bflet\b": ["flet"],
+    r"\bNlNETY\b": ["nlnety"],
+    r"\b(27AAFCV2449G1)27\b": ["27aafcv2449g127"],
+}
 NOISE_V1 = [
     (r"(Invoice\s*Date\s*[:\.]?\s*)(\d{2})[JjIil](\d{2})1?(\d{4})", "$1$2/$3/$4"),
     (r"\b(\d{2})[JjIil](\d{2})1?(\d{4})\b", "$1/$2/$3"),

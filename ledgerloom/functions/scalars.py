@@ -281,22 +281,38 @@ def fix_noise(text: Column, tenant: bool = False, strict: bool = False) -> Colum
     the amount after it; otherwise percent signs stay unless they stand before a number and are turned.
     ``tenant`` adds one company's rules. A text that no rule matches is not rewritten.
     """
-    done, patterns = text, []
+    digits, needs, rules = [], [], []
     for pattern, replacement, scope in fixed.NOISE:
         if scope == "tenant" and not tenant:
             continue
+        marks = fixed.NOISE_NEEDS.get(pattern)
+        if scope == "currency" and not strict:
+            pattern, marks = pattern.replace("%", ""), marks[1:]
         if scope == "ifsc":
             # zeros up to six digits, then the digits: the first match keeps seven places at least
-            for zeros in range(6):
-                done = sub(done, rf"\bICICOQ0*([1-9]\d{{{zeros}}})\b", "ICIC0" + "0" * (5 - zeros) + "$1", EXACT)
-            done = sub(done, r"\bICICOQ0*(\d+)\b", "ICIC0$1", EXACT)
-            patterns.append("ICICOQ")
-            continue
-        if scope == "currency" and not strict:
-            pattern = pattern.replace("%", "")
-        done = sub(done, pattern, replacement)
-        patterns.append(pattern)
-    return F.when(has(text, "|".join(f"(?:{p})" for p in patterns)), done).otherwise(text)
+            rules.append((marks, [(rf"\bICICOQ0*([1-9]\d{{{zeros}}})\b", "ICIC0" + "0" * (5 - zeros) + "$1", EXACT) for zeros in range(6)] + [(r"\bICICOQ0*(\d+)\b", "ICIC0$1", EXACT)]))
+        else:
+            rules.append((marks, [(pattern, replacement)]))
+        if marks:
+            needs.append((marks, pattern))
+        else:
+            digits.append(pattern)
+
+    def contains(low: Column, marks: list[str]) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(m) for m in marks])
+
+    def matches(t: Column) -> Column:
+        """Whether any rule matches: a look for the marks of each, and a search only where they are."""
+        marked = lambda low: reduce(lambda a, b: a | b, [contains(low, marks) & has(t, pattern) for marks, pattern in needs])
+        return has(t, r"(?=\d)(?:" + "|".join(f"(?:{p})" for p in digits) + ")") | let(F.lower(t), marked)
+
+    def repaired(t: Column) -> Column:
+        for marks, steps in rules:
+            apply = lambda t, steps=steps: reduce(lambda t, s: sub(t, *s), steps, t)
+            t = let(t, lambda t, marks=marks, apply=apply: F.when(contains(F.lower(t), marks), apply(t)).otherwise(t)) if marks else apply(t)
+        return t
+
+    return let(text, lambda t: F.when(matches(t), repaired(t)).otherwise(t))
 
 
 def fix_noise_v1(text: Column) -> Column:

@@ -18,7 +18,8 @@ ODD_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008
 
 
 def plain_spaces(text: Column) -> Column:
-    return F.translate(text, ODD_SPACES, " " * len(ODD_SPACES))
+    """text with other white space as spaces; a text of ASCII alone has none and is not rewritten."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, ODD_SPACES, " " * len(ODD_SPACES)))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -44,6 +45,43 @@ def mentioning(low: Column, words: tuple[str, ...], value: Column) -> Column:
     return F.when(some, value)
 
 
+class Labels:
+    """Dispatch by label: where each of some words first stands in a text, looked up once for all rules.
+
+    ``index`` is an array with, for each word, the 1-based place at which the first line with it begins, 0 without any. A rule that has
+    to begin on a line with one of its words searches from the earliest of those places (``behind``), and not at all where there is none.
+    Words are ASCII, and folded as patterns fold them. A few letters grow when lower-cased; in a text with one, lines with a word count from the text's start.
+    """
+
+    def __init__(self, text: Column, index: Column, words: list[str]):
+        self.text, self.index, self.words = text, index, words
+
+    @staticmethod
+    def index(text: Column, words: list[str]) -> Column:
+        def place(low: Column, same: Column, word: Column) -> Column:
+            head = lambda p: F.substring(low, F.lit(1), p - 1)
+            # contains is several times as fast as position, and most words are absent
+            return let(F.when(F.contains(low, word), F.position(word, low)).otherwise(0), lambda p: F.when(p < 2, p).when(same, p - F.char_length(F.substring_index(head(p), "\n", -1))).otherwise(1))
+
+        return let(F.lower(text), lambda low: let(F.char_length(low) == F.char_length(text), lambda same: F.transform(const_array(words), lambda w: place(low, same, w))))
+
+    def at(self, *words: str) -> Column:
+        """Where the first line with one of the words begins, or null."""
+        places = [F.get(self.index, self.words.index(w)) for w in words]
+        return F.nullif(places[0], F.lit(0)) if len(places) == 1 else F.array_min(F.filter(F.array(*places), lambda p: p > 0))
+
+    def has(self, *words: str) -> Column:
+        return self.at(*words).isNotNull()
+
+    def behind(self, words: tuple[str, ...], body: Callable[[Column], Column]) -> Column:
+        """body of the text from the first line with one of the words; null without any."""
+        return let(self.at(*words), lambda p: F.when(p.isNotNull(), let(F.substring(self.text, p, F.lit(1 << 30)), body)))
+
+    def first_of(self, rules: list[tuple[tuple[str, ...], str]], guard: Callable[[Column], Column] | None = None, clean: Callable[[Column], Column] | None = None) -> Column:
+        """first_of where each pattern comes with the words that it can begin with."""
+        return F.coalesce(*[self.behind(words, lambda t, p=p: first_of(t, p, guard=guard, clean=clean)) for words, p in rules])
+
+
 def strip(c: Column | str) -> Column:
     """Without white space at either end, line feeds included."""
     return F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
@@ -138,11 +176,19 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return out
 
 
+def match_places(text: Column, pattern: str, flags: str = FOLDED) -> Column:
+    """(at, match) of all matches in order, at 0-based; the text is searched once, each piece up to a match's end."""
+    pieces = F.coalesce(F.regexp_extract_all(text, F.lit(f"{flags}\\G(?s:.*?)(?:{pattern})"), F.lit(0)), F.array().cast("array<string>"))
+    # groups of the pattern keep their numbers, so what lies before a match is what is left without it
+    found = F.transform(pieces, lambda p: let(F.regexp_extract(p, f"{flags}\\A(?s:.*?)((?:{pattern}))\\z", 1), lambda m: F.struct(F.char_length(p).alias("long"), m.alias("match"))))
+    ends = lambda acc, x: F.struct((acc["end"] + x["long"]).alias("end"), F.concat(acc["out"], F.array(F.struct((acc["end"] + x["long"] - F.char_length(x["match"])).alias("at"), x["match"].alias("match")))).alias("out"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<at:int,match:string>>").alias("out"))
+    return F.when(text.isNotNull(), F.aggregate(found, start, ends, lambda acc: acc["out"]))
+
+
 def match_starts(text: Column, pattern: str, flags: str = FOLDED) -> Column:
-    """0-based offsets of all matches: the length of what lies before each."""
-    found, pieces = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(0)), F.split(text, flags + pattern, -1)
-    total = lambda arr, upto: F.aggregate(F.slice(arr, F.lit(1), upto), F.lit(0), lambda acc, x: acc + F.char_length(x))
-    return F.transform(found, lambda m, i: total(pieces, i + 1) + F.when(i > 0, total(found, i)).otherwise(0))
+    """0-based offsets of all matches."""
+    return F.transform(match_places(text, pattern, flags), lambda z: z["at"])
 
 
 def strip_lead(c: Column) -> Column:

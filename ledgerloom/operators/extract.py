@@ -2,7 +2,8 @@
 
 Two precedences occur. A line rule takes the earliest line on which any of its patterns matches; a
 text rule takes the first of its patterns that matches anywhere. Rules are built-in expressions,
-staged so that no generated expression grows with the rules before it.
+staged so that no generated expression grows with the rules before it. Where labels stand is looked up once
+per text (``text.Labels``), and a rule searches from the first line on which it can begin.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, blank_to_null, const_array, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_starts, mentioning, plain_spaces, squeeze, strip, sub, trim_tail
+from ..functions.text import EXACT, Labels, blank_to_null, const_array, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_places, mentioning, plain_spaces, squeeze, strip, sub, trim_tail
 
 # ---- fixed values: what each field looks like on paper ----
 
@@ -40,13 +41,20 @@ LINE_PATTERNS = {
     "CUST_ORDER": [r"[•·]\s*(\d{3,6})\s"],
     "AC_NO": [r"A/[ce]\s*No\.?\s*[:\-]?\s*(\d{6,20})", r"Account\s*Number\s*[:\-;]?\s*(\d{6,20})"],
 }
-#: Words, lower case, without one of which a field's patterns can't match.
+#: Words, lower case, of which the first line of each match of a field's patterns has one.
 MENTIONS = {
     "SERVICE_TAX": ("service",), "MSME_NO": ("msme",), "LUT_BOND": ("lut",), "FSSAI": ("fssai",), "TAN": ("tan",), "STATE_CODE": ("code",), "VEHICLE_NO": ("vehicle",), "ACK_NO": ("ack",), "ACK_DATE": ("ack",), "CHALLAN_NO": ("challan",),
     "CHALLAN_DATE": ("challan",), "EWAY_BILL": ("way",), "TRANSPORT_ID": ("transport",), "VENDOR_CODE": ("vendor",), "OA_DATE": ("oa",), "DBA_DATE": ("dba", "oba"), "CUST_ORDER": ("•", "·"), "AC_NO": ("a/c", "a/e", "account"),
     "INV_NO": ("invoice", "in-", "/", "gst-"), "INV_DATE": ("date",), "DISPATCH_DATE": ("dispatch",), "DISPATCH_FROM": ("dispatch",), "TRANSPORT": ("transport",), "SHIP_BY": ("ship",), "PAN": ("pan",), "CIN": ("u", "l"), "PAYMENT_TERMS": ("payment",),
-    "OA_NO": ("oa",), "DBA_NO": ("dba", "oba"), "BANK": ("bank",), "IFSC": ("ifsc",), "UPI_ID": ("@",),
+    "OA_NO": ("oa",), "DBA_NO": ("dba", "oba"), "BANK": ("bank",), "IFSC": ("ifsc",), "UPI_ID": ("upi", "@"),
 }
+#: The same for the patterns over the whole text, one by one.
+TAXABLE_LEADS, IGST_LEADS, TOTAL_GST_LEADS = [("total",), ("taxable",), ("total", "assessable")], [("total",), ("igst",)], [("total",)] * 3
+TOTAL_LEADS, WORDS_LEADS = [("total",), ("net",), ("amount",), ("total",), ("grand",)], [("indian",), ("total",), ("rupee",)]
+RATE_LEADS = {"CGST_RATE": [("cgst",)], "SGST_RATE": [("sgst",)], "IGST_RATE": [("igst",)] * 2, "GST_RATE": [("gst",), ("@",), ("gst",)]}
+LEADS = [*MENTIONS.values(), *TAXABLE_LEADS, *IGST_LEADS, *TOTAL_GST_LEADS, *TOTAL_LEADS, *WORDS_LEADS, *(w for ws in RATE_LEADS.values() for w in ws)]
+#: All label words that are looked up.
+LABEL_WORDS = list(dict.fromkeys([w for ws in LEADS for w in ws] + ["%", "oo", "00", "tax", "place", "(", "irn", "for", "consignee", "buyer", "m", "client", "gstin", "total"]))
 INV_NO_LINE = [
     label_line(r"Invoice\s*No\.?", r"\*?(?!Dated|Date|Delivery|Mode|Reference|Other)(?!\d{8,}[ \t]*(?:\n|\z))(?=[^\n]*\d)([^\n*]{3,})", 4),
     r"Invoice\s*No\.?\s*[:\-|]?\s*([A-Z]{1,8}/[\d/\-\.]{3,25})",
@@ -130,103 +138,116 @@ NOT_BANK, NOT_ITEM = "holder|number|branch|code", "certified|declaration|gst act
 
 def gstins(text: Column) -> Column:
     """Distinct GSTINs in the order they first stand; bare ones within 30 characters of a transport label are left out."""
-    placed = lambda pattern: F.arrays_zip(match_starts(text, pattern).alias("at"), F.transform(find_all(text, pattern), F.upper).alias("gstin"))
-    labelled = placed(GSTIN_LABELLED)
-    ends = F.transform(F.arrays_zip(match_starts(text, TRANSPORT_ALONE).alias("at"), find_all(text, TRANSPORT_ALONE, 0).alias("m")), lambda z: z["at"] + F.char_length(z["m"]))
-    near = F.concat(ends, match_starts(text, TRANSPORT_GSTIN))
-    known = F.transform(labelled, lambda z: z["gstin"])
-    others = F.filter(placed(GSTIN_BARE), lambda z: ~F.array_contains(known, z["gstin"]) & ~F.exists(near, lambda t: F.abs(t - z["at"]) < 30))
-    return F.array_distinct(F.transform(F.array_sort(F.concat(labelled, others)), lambda z: z["gstin"]))
-
-
-def _line_fields(t: Column) -> dict[str, Column]:
-    out = {f: line_first(t, *patterns) for f, patterns in LINE_PATTERNS.items()}
-    out["INV_NO"] = line_first(t, *INV_NO_LINE, clean=lambda v: strip(sub(sub(strip(v), r"[.,;| ]+$", "", EXACT), "^[!|]", "I", EXACT)))
-    out["INV_DATE"] = line_first(t, *INV_DATE_LINE, clean=S.normal_date)
-    out["DISPATCH_DATE"] = line_first(t, *DISPATCH_DATE_LINE, clean=S.normal_date)
-    out["DISPATCH_FROM"] = line_first(t, *DISPATCH_FROM_LINE, clean=strip)
-    out["TRANSPORT"] = line_first(t, *TRANSPORT_LINE, clean=lambda v: F.substring(sub(strip(v), "[.,;]+$", "", EXACT), 1, 80))
-    out["SHIP_BY"] = line_first(t, SHIP_BY_LINE, clean=lambda v: F.substring(strip(v), 1, 30))
-    out["PAN"] = F.upper(line_first(t, PAN_LINE))
-    out["CIN"] = F.upper(line_first(t, CIN_LINE))
-    out["PAYMENT_TERMS"] = line_first(t, TERMS_LINE, clean=strip)
-    out["OA_NO"], out["DBA_NO"] = (line_first(t, p, clean=S.fix_reference) for p in (OA_LINE, DBA_LINE))
-    bank = line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, NOT_BANK))
-    out["BANK"] = F.coalesce(strip(line_first(t, BANK_ROW_NAME)), bank)
-    out["IFSC"] = S.fix_ifsc(line_first(t, IFSC_LINE))
-    out["UPI_ID"] = F.substring(strip(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
+    low = F.lower(text)
+    none = F.array().cast("array<struct<at:int,match:string>>")
+    placed = lambda pattern: F.transform(match_places(text, pattern), lambda z: F.struct(z["at"].alias("at"), F.upper(find(z["match"], pattern)).alias("gstin")))
+    transport = lambda pattern: F.when(low.contains("transport"), match_places(text, pattern)).otherwise(none)
+    ends = F.transform(transport(TRANSPORT_ALONE), lambda z: z["at"] + F.char_length(z["match"]))
+    near = F.concat(ends, F.transform(transport(TRANSPORT_GSTIN), lambda z: z["at"]))
+
+    def merged(labelled: Column) -> Column:
+        known = F.transform(labelled, lambda z: z["gstin"])
+        others = let(near, lambda near: F.filter(placed(GSTIN_BARE), lambda z: ~F.array_contains(known, z["gstin"]) & ~F.exists(near, lambda t: F.abs(t - z["at"]) < 30)))
+        return F.array_distinct(F.transform(F.array_sort(F.concat(labelled, others)), lambda z: z["gstin"]))
+
+    return let(placed(GSTIN_LABELLED), merged)
+
+
+def _line_rules() -> dict:
+    """Per field the function of a text that gives its value."""
+    out = {f: lambda t, patterns=patterns: line_first(t, *patterns) for f, patterns in LINE_PATTERNS.items()}
+    out["INV_NO"] = lambda t: line_first(t, *INV_NO_LINE, clean=lambda v: strip(sub(sub(strip(v), r"[.,;| ]+$", "", EXACT), "^[!|]", "I", EXACT)))
+    out["INV_DATE"] = lambda t: line_first(t, *INV_DATE_LINE, clean=S.normal_date)
+    out["DISPATCH_DATE"] = lambda t: line_first(t, *DISPATCH_DATE_LINE, clean=S.normal_date)
+    out["DISPATCH_FROM"] = lambda t: line_first(t, *DISPATCH_FROM_LINE, clean=strip)
+    out["TRANSPORT"] = lambda t: line_first(t, *TRANSPORT_LINE, clean=lambda v: F.substring(sub(strip(v), "[.,;]+$", "", EXACT), 1, 80))
+    out["SHIP_BY"] = lambda t: line_first(t, SHIP_BY_LINE, clean=lambda v: F.substring(strip(v), 1, 30))
+    out["PAN"] = lambda t: F.upper(line_first(t, PAN_LINE))
+    out["CIN"] = lambda t: F.upper(line_first(t, CIN_LINE))
+    out["PAYMENT_TERMS"] = lambda t: line_first(t, TERMS_LINE, clean=strip)
+    out["OA_NO"], out["DBA_NO"] = (lambda t, p=p: line_first(t, p, clean=S.fix_reference) for p in (OA_LINE, DBA_LINE))
+    bank = lambda t: line_first(t, BANK_ALONE, clean=strip, guard=lambda v: F.length(v).between(2, 30) & ~has(v, NOT_BANK))
+    out["BANK"] = lambda t: F.coalesce(strip(line_first(t, BANK_ROW_NAME)), bank(t))
+    out["IFSC"] = lambda t: S.fix_ifsc(line_first(t, IFSC_LINE))
+    out["UPI_ID"] = lambda t: F.substring(strip(line_first(t, UPI_LABEL, UPI_ANY, guard=lambda v: ~has(v, NOT_UPI))), 1, 60)
     return out
 
 
-def _place(t: Column) -> Column:
-    labelled = S.state_name(find(t, "(?m)" + PLACE_LABEL, 2), strip(find(t, "(?m)" + PLACE_LABEL, 1)))
-    bare = strip(find(t, "(?m)" + PLACE_LABEL_BARE))
-    same = S.state_name(find(t, PLACE_SAME, 2), find(t, PLACE_SAME, 1))
-    line = F.get(F.filter(lines_of(t), lambda x: has(x, PLACE_ALONE) & ~has(x, "GSTIN|PAN|Invoice|State|Code") & S.is_place(find(x, PLACE_ALONE))), 0)
-    return F.coalesce(labelled, F.when(S.is_place(bare), bare), same, S.state_name(find(line, PLACE_ALONE, 2), strip(find(line, PLACE_ALONE))))
+def _place(labels: Labels) -> Column:
+    labelled = labels.behind(("place",), lambda t: let(find(t, "(?m)" + PLACE_LABEL, 0), lambda m: S.state_name(find(m, PLACE_LABEL, 2), strip(find(m, PLACE_LABEL, 1)))))
+    bare = labels.behind(("place",), lambda t: let(strip(find(t, "(?m)" + PLACE_LABEL_BARE)), lambda v: F.when(S.is_place(v), v)))
+    same = labels.behind(("place",), lambda t: let(find(t, PLACE_SAME, 0), lambda m: S.state_name(find(m, PLACE_SAME, 2), find(m, PLACE_SAME, 1))))
+    line = F.get(F.filter(lines_of(labels.text), lambda x: has(x, PLACE_ALONE) & ~has(x, "GSTIN|PAN|Invoice|State|Code") & S.is_place(find(x, PLACE_ALONE))), 0)
+    alone = F.when(labels.has("("), let(line, lambda x: S.state_name(find(x, PLACE_ALONE, 2), strip(find(x, PLACE_ALONE)))))
+    return F.coalesce(labelled, bare, same, alone)
 
 
-def _parties(t: Column, tenant: bool = False) -> dict[str, Column]:
+def _parties(t: Column, tenant: bool = False, labels: Labels | None = None) -> dict[str, Column]:
     before, after = (fixed.TENANT_SUPPLIERS[:4], fixed.TENANT_SUPPLIERS[4:]) if tenant else ([], [])
-    supplier = first_of(t, *before, *SUPPLIER_TEXT, *after, clean=lambda v: trim_tail(squeeze(v)), guard=lambda v: (F.length(v) > 4) & ~contains_any(v, fixed.NOT_SUPPLIER))
+    supplier_guard = lambda v: (F.length(v) > 4) & ~contains_any(v, fixed.NOT_SUPPLIER)
+    supplier = lambda t: first_of(t, *before, *SUPPLIER_TEXT, *after, clean=lambda v: trim_tail(squeeze(v)), guard=supplier_guard)
     known = [*RECIPIENT_TEXT[:3], *fixed.TENANT_RECIPIENTS, *RECIPIENT_TEXT[3:]] if tenant else RECIPIENT_TEXT
-    recipient = first_of(t, *known, clean=lambda v: S.cut_at(strip(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
-    return {"SUPPLIER": F.substring(supplier, 1, 200), "RECIPIENT": recipient}
+    recipient = lambda t: first_of(t, *known, clean=lambda v: S.cut_at(strip(v), RECIPIENT_END, 150), guard=lambda v: (F.length(v) > 3) & ~contains_any(v, fixed.NOT_RECIPIENT))
+    # tenant names may stand on any line
+    narrow = labels is not None and not tenant
+    got = (labels.behind(("for",), supplier), labels.behind(("consignee", "buyer", "m", "client"), recipient)) if narrow else (supplier(t), recipient(t))
+    return {"SUPPLIER": F.substring(got[0], 1, 200), "RECIPIENT": got[1]}
 
 
-def _irn(t: Column) -> Column:
-    joined = sub(F.concat(find(t, IRN_PAIR, 1), find(t, IRN_PAIR, 2)), "[^a-f0-9]", "", EXACT)
-    return F.coalesce(find(t, IRN_LABELLED), F.when(F.length(joined) >= 60, joined))
+def _irn(labels: Labels) -> Column:
+    joined = lambda t: let(find(t, IRN_PAIR, 0), lambda m: sub(m, "[^a-f0-9]", "", EXACT))
+    return F.coalesce(labels.behind(("irn",), lambda t: find(t, IRN_LABELLED)), let(joined(labels.text), lambda j: F.when(F.length(j) >= 60, j)))
 
 
-def _over(t: Column, least: float, patterns: list[str]) -> Column:
+def _over(labels: Labels, least: float, patterns: list[str], leads: list[tuple[str, ...]]) -> Column:
     """The first pattern's amount above ``least``."""
-    return first_of(t, *patterns, clean=lambda v: S.clean_amount(v).cast("string"), guard=lambda v: v.cast("decimal(18,4)") > least).cast("decimal(18,4)")
+    return labels.first_of(list(zip(leads, patterns, strict=True)), clean=lambda v: S.clean_amount(v).cast("string"), guard=lambda v: v.cast("decimal(18,4)") > least).cast("decimal(18,4)")
 
 
-def _rows_of_tax(t: Column) -> Column:
+def _rows_of_tax(labels: Labels) -> Column:
     """What the kinds of tax rows and labels give, each pattern run once."""
 
-    def row(pattern: str, groups: dict[str, int]) -> Column:
+    def row(t: Column, pattern: str, groups: dict[str, int]) -> Column:
         """Groups of the first match, found in the match alone."""
         return let(find(t, pattern, 0), lambda m: F.struct(*[(find(m, pattern, g) if n in ("cr", "sr", "hsn") else S.clean_amount(find(m, pattern, g))).alias(n) for n, g in groups.items()]))
 
-    low = F.lower(t)
+    percent = lambda words, body: F.when(labels.has("%"), labels.behind(words, body) if words else body(labels.text))
     return F.struct(
-        _over(t, 0, TAXABLE_TEXT).alias("labelled"),
-        mentioning(low, ("%",), row(ROW_TALLY, {"taxable": 1, "cr": 2, "cgst": 3, "sr": 4, "sgst": 5})).alias("tally"),
-        mentioning(low, ("%",), row(ROW_HSN, {"hsn": 1, "taxable": 2, "cr": 3, "cgst": 4, "sr": 5, "sgst": 6})).alias("row"),
-        mentioning(low, ("tax total", "taxtotal", "tax  total"), row(ROW_TAX_TOTAL, {"first": 1})).alias("tax_total"),
-        mentioning(low, ("taxable amount", "taxableamount"), row(ROW_SUMMARY, {"taxable": 1, "tax": 2})).alias("summary"),
+        _over(labels, 0, TAXABLE_TEXT, TAXABLE_LEADS).alias("labelled"),
+        percent(("oo", "00"), lambda t: row(t, ROW_TALLY, {"taxable": 1, "cr": 2, "cgst": 3, "sr": 4, "sgst": 5})).alias("tally"),
+        percent((), lambda t: row(t, ROW_HSN, {"hsn": 1, "taxable": 2, "cr": 3, "cgst": 4, "sr": 5, "sgst": 6})).alias("row"),
+        F.when(labels.has("total"), labels.behind(("tax",), lambda t: row(t, ROW_TAX_TOTAL, {"first": 1}))).alias("tax_total"),
+        labels.behind(("taxable",), lambda t: row(t, ROW_SUMMARY, {"taxable": 1, "tax": 2})).alias("summary"),
     )
 
 
-def _amounts(df: DataFrame, text: str) -> DataFrame:
-    t = F.col(text)
-    df = df.withColumn("_tax", let(t, _rows_of_tax)).select(*df.columns, F.col("_tax.labelled").alias("_labelled"), F.col("_tax.tally").alias("_tally"), F.col("_tax.row").alias("_row"), F.col("_tax.summary.taxable").alias("_sum_taxable"), F.col("_tax.summary.tax").alias("_sum_tax"), F.when(F.col("_tax.tax_total.first") > 1, F.col("_tax.tax_total.first")).alias("_tax_total"))
+def _amounts(df: DataFrame, text: str, index: str) -> DataFrame:
+    labels = Labels(F.col(text), F.col(index), LABEL_WORDS)
+    tax = let(labels.text, lambda t: let(labels.index, lambda i: _rows_of_tax(Labels(t, i, LABEL_WORDS))))
+    df = df.withColumn("_tax", tax).select(*df.columns, F.col("_tax.labelled").alias("_labelled"), F.col("_tax.tally").alias("_tally"), F.col("_tax.row").alias("_row"), F.col("_tax.summary.taxable").alias("_sum_taxable"), F.col("_tax.summary.tax").alias("_sum_tax"), F.when(F.col("_tax.tax_total.first") > 1, F.col("_tax.tax_total.first")).alias("_tax_total"))
     tally = F.col("_tally.taxable").isNotNull() & F.col("_tally.cgst").isNotNull() & F.col("_tally.sgst").isNotNull()
     row = ~tally & F.col("_row.taxable").isNotNull() & F.col("_row.cgst").isNotNull() & F.col("_row.sgst").isNotNull()
     pick = lambda name: F.when(tally, F.col(f"_tally.{name}")).when(row, F.col(f"_row.{name}"))
     below_half = lambda v: (v > 1) & (F.col("_labelled").isNull() | (v < F.col("_labelled") * 0.5))
-    half = lambda name: first_of(t, *[p.format(name) for p in HALF_TAX], clean=lambda v: S.clean_amount(v).cast("string"), guard=lambda v: below_half(v.cast("decimal(18,4)"))).cast("decimal(18,4)")
+    half = lambda name: labels.behind((name.lower(),), lambda t: first_of(t, *[p.format(name) for p in HALF_TAX], clean=lambda v: S.clean_amount(v).cast("string"), guard=lambda v: below_half(v.cast("decimal(18,4)")))).cast("decimal(18,4)")
     df = df.withColumns({
         "_v_taxable": F.coalesce("_labelled", pick("taxable"), "_sum_taxable"),
-        "_v_cgst": F.coalesce(pick("cgst"), "_tax_total", mentioning(F.lower(t), ("cgst",), half("CGST"))), "_v_sgst": F.coalesce(pick("sgst"), "_tax_total", mentioning(F.lower(t), ("sgst",), half("SGST"))),
+        "_v_cgst": F.coalesce(pick("cgst"), "_tax_total", half("CGST")), "_v_sgst": F.coalesce(pick("sgst"), "_tax_total", half("SGST")),
         "_v_cgst_rate": F.concat(pick("cr"), F.lit("%")), "_v_sgst_rate": F.concat(pick("sr"), F.lit("%")), "_row_hsn": F.when(row, F.col("_row.hsn")),
         "_row_gst": F.coalesce(pick("cgst") + pick("sgst"), F.col("_tax_total") * 2, "_sum_tax"),
     })
-    total_words = first_of(t, *TOTAL_WORDS_TEXT, clean=lambda v: S.words_to_number(v).cast("string"), guard=lambda v: v.cast("long") > 100)
+    total_words = labels.first_of(list(zip(WORDS_LEADS, TOTAL_WORDS_TEXT, strict=True)), clean=lambda v: S.words_to_number(v).cast("string"), guard=lambda v: v.cast("long") > 100)
     df = df.withColumns({
-        "_v_igst": F.when(F.col("_v_cgst").isNull() & F.col("_v_sgst").isNull(), _over(t, 50, IGST_TEXT)),
-        "_v_total_gst": F.coalesce("_row_gst", _over(t, 1, TOTAL_GST_TEXT)),
-        "_v_total": F.coalesce(_over(t, 99.9999, TOTAL_TEXT), total_words.cast("decimal(18,4)")),
+        "_v_igst": F.when(F.col("_v_cgst").isNull() & F.col("_v_sgst").isNull(), _over(labels, 50, IGST_TEXT, IGST_LEADS)),
+        "_v_total_gst": F.coalesce("_row_gst", _over(labels, 1, TOTAL_GST_TEXT, TOTAL_GST_LEADS)),
+        "_v_total": F.coalesce(_over(labels, 99.9999, TOTAL_TEXT, TOTAL_LEADS), total_words.cast("decimal(18,4)")),
     })
     return df.withColumn("_v_total", F.coalesce("_v_total", F.round(F.col("_v_taxable") + F.col("_v_total_gst"), 2)))
 
 
-def _rates(df: DataFrame, text: str) -> DataFrame:
-    t = F.col(text)
-    found = {f: first_of(t, *p, guard=lambda v: v.cast("int").between(1, 100), clean=lambda v: F.substring(v, 1, 9)) for f, p in RATE_TEXT.items()}
+def _rates(df: DataFrame, text: str, index: str) -> DataFrame:
+    labels = Labels(F.col(text), F.col(index), LABEL_WORDS)
+    found = {f: labels.first_of(list(zip(RATE_LEADS[f], p, strict=True)), guard=lambda v: v.cast("int").between(1, 100), clean=lambda v: F.substring(v, 1, 9)) for f, p in RATE_TEXT.items()}
     df = df.withColumns({f"_{f}": F.coalesce(*([F.col(f"_v_{f.lower()}")] if f in ("CGST_RATE", "SGST_RATE") else []), F.concat(v, F.lit("%"))) for f, v in found.items()})
     both = S.show_rate(F.floor(S.rate_of(F.col("_CGST_RATE")) + S.rate_of(F.col("_SGST_RATE"))))
     df = df.withColumn("_GST_RATE", F.coalesce("_GST_RATE", F.when(F.col("_SGST_RATE").isNotNull(), both), "_IGST_RATE"))
@@ -236,7 +257,9 @@ def _rates(df: DataFrame, text: str) -> DataFrame:
 
 def hsn_codes(text: Column, taken: Column) -> Column:
     """HSN codes in order: labelled and in table rows, else alone on a line; years and taken numbers are none."""
-    labelled = F.array_distinct(F.concat(find_all(text, HSN_LABELLED), find_all(text, HSN_ROW)))
+    low = F.lower(text)
+    printed = F.when(low.contains("hsn") | low.contains("sac"), find_all(text, HSN_LABELLED)).otherwise(F.array().cast("array<string>"))
+    labelled = F.array_distinct(F.concat(printed, find_all(text, HSN_ROW)))
     excluded = const_array(fixed.EXCLUDED_NUMBERS)
     labelled = F.array_except(labelled, excluded)
     alone = F.filter(F.array_except(F.array_distinct(find_all(text, HSN_ALONE)), excluded), lambda c: ~F.array_contains(taken, c))
@@ -264,19 +287,23 @@ def full_extract(df: DataFrame, text: str, into: str, tenant: bool = False) -> D
     """df with a struct column ``into`` of all extracted fields (null where absent). Null text gives all null."""
     before = df.columns
     t = F.col(text)
+    df = df.withColumn("_index", Labels.index(t, LABEL_WORDS))
 
-    def by_line(t: Column) -> Column:
-        fields = _line_fields(t)
-        return let(F.lower(t), lambda low: F.struct(*[mentioning(low, MENTIONS[f], v).alias(f"_{f}") for f, v in fields.items()]))
+    def by_line(t: Column, index: Column) -> Column:
+        labels = Labels(t, index, LABEL_WORDS)
+        return F.struct(*[labels.behind(MENTIONS[f], rule).alias(f"_{f}") for f, rule in _line_rules().items()])
 
-    def by_text(t: Column) -> Column:
-        low = F.lower(t)
-        return F.struct(gstins(t).alias("_gstins"), mentioning(low, ("place", "("), _place(t)).alias("_PLACE"), mentioning(low, ("irn", "-"), _irn(t)).alias("_IRN"), *[v.alias(f"_{k}") for k, v in _parties(t, tenant).items()])
+    def by_text(t: Column, index: Column) -> Column:
+        labels = Labels(t, index, LABEL_WORDS)
+        pan = F.when(labels.has("pan"), labels.behind(("gstin",), lambda t: find(t, GSTIN_PAN, 0)))
+        return F.struct(gstins(t).alias("_gstins"), _place(labels).alias("_PLACE"), _irn(labels).alias("_IRN"), pan.alias("_gstin_pan"), *[v.alias(f"_{k}") for k, v in _parties(t, tenant, labels).items()])
 
-    df = df.withColumns({"_line": let(t, by_line), "_text": let(t, by_text)}).select(*before, "_line.*", "_text.*")
-    df = _rates(_amounts(df, text), text)
+    both = lambda body: let(t, lambda t: let(F.col("_index"), lambda i: body(t, i)))
+    df = df.withColumns({"_line": both(by_line), "_text": both(by_text)}).select(*before, "_index", "_line.*", "_text.*")
+    df = _rates(_amounts(df, text, "_index"), text, "_index")
+    pair = F.col("_gstin_pan")
     df = df.withColumns({
-        "_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(t, GSTIN_PAN, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(t, GSTIN_PAN, 2)),
+        "_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(pair, GSTIN_PAN, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(pair, GSTIN_PAN, 2)),
         **{f"_{f}": S.show(F.col(f"_v_{f.lower()}")) for f in ("TAXABLE", "CGST", "SGST", "IGST", "TOTAL_GST", "TOTAL")},
     })
     df = _items(df, text)

@@ -21,6 +21,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt to as many tasks as the session shuffles to. Extraction costs far more per byte than the sizes assume by which files are split and small shuffle partitions joined."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def gstin(nation, key):
     """State code, five letters and four digits of the key, and a fixed end."""
     digits = F.lpad(key.cast("string"), 9, "0")
@@ -85,5 +90,5 @@ def render(rows: DataFrame, noisy: bool = False) -> DataFrame:
 
 def papers(spark: SparkSession, sf_dir: str, noisy: bool = False) -> DataFrame:
     """(l_orderkey, l_suppkey, truth, raw_text): the text of every invoice beside what it was made from."""
-    rows = render(invoices(spark, sf_dir), noisy)
+    rows = render(spread(invoices(spark, sf_dir), "l_orderkey", "l_suppkey"), noisy)
     return rows.select("l_orderkey", "l_suppkey", F.struct(*[c for c in rows.columns if c not in ("l_orderkey", "l_suppkey", "raw_text")]).alias("truth"), "raw_text")
