@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +18,17 @@ EXACT, FOLDED = "(?d)", "(?id)"
 ODD_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\u0085"
 
 
+_BUILT: dict = {}
+
+
+def once(make: Callable, *args):
+    """make(*args), built once per session's JVM: each node of a large expression is a call to it, and expressions hold no data."""
+    key = (make.__module__, make.__qualname__, make.__code__.co_firstlineno, args, id(SparkContext._gateway))
+    if key not in _BUILT:
+        _BUILT[key] = make(*args)
+    return _BUILT[key]
+
+
 def plain_spaces(text: Column) -> Column:
     """text with other white space as spaces; a text of ASCII alone has none and is not rewritten."""
     return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, ODD_SPACES, " " * len(ODD_SPACES)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, Labels, blank_to_null, const_array, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_places, mentioning, plain_spaces, squeeze, strip, sub, trim_tail
+from ..functions.text import EXACT, Labels, blank_to_null, const_array, contains_any, find, find_all, first_of, has, label_line, let, line_first, lines_of, match_places, mentioning, once, plain_spaces, squeeze, strip, sub, trim_tail
 
 # ---- fixed values: what each field looks like on paper ----
 
@@ -221,38 +221,37 @@ def _rows_of_tax(labels: Labels) -> Column:
     )
 
 
-def _amounts(df: DataFrame, text: str, index: str) -> DataFrame:
-    labels = Labels(F.col(text), F.col(index), LABEL_WORDS)
-    tax = let(labels.text, lambda t: let(labels.index, lambda i: _rows_of_tax(Labels(t, i, LABEL_WORDS))))
-    df = df.withColumn("_tax", tax).select(*df.columns, F.col("_tax.labelled").alias("_labelled"), F.col("_tax.tally").alias("_tally"), F.col("_tax.row").alias("_row"), F.col("_tax.summary.taxable").alias("_sum_taxable"), F.col("_tax.summary.tax").alias("_sum_tax"), F.when(F.col("_tax.tax_total.first") > 1, F.col("_tax.tax_total.first")).alias("_tax_total"))
+def _amount_stages(labels: Labels) -> list[dict[str, Column]]:
+    stages = [{"_tax": let(labels.text, lambda t: let(labels.index, lambda i: _rows_of_tax(Labels(t, i, LABEL_WORDS))))}]
+    stages.append({"_labelled": F.col("_tax.labelled"), "_tally": F.col("_tax.tally"), "_row": F.col("_tax.row"), "_sum_taxable": F.col("_tax.summary.taxable"), "_sum_tax": F.col("_tax.summary.tax"), "_tax_total": F.when(F.col("_tax.tax_total.first") > 1, F.col("_tax.tax_total.first"))})
     tally = F.col("_tally.taxable").isNotNull() & F.col("_tally.cgst").isNotNull() & F.col("_tally.sgst").isNotNull()
     row = ~tally & F.col("_row.taxable").isNotNull() & F.col("_row.cgst").isNotNull() & F.col("_row.sgst").isNotNull()
     pick = lambda name: F.when(tally, F.col(f"_tally.{name}")).when(row, F.col(f"_row.{name}"))
     below_half = lambda v: (v > 1) & (F.col("_labelled").isNull() | (v < F.col("_labelled") * 0.5))
     half = lambda name: labels.behind((name.lower(),), lambda t: first_of(t, *[p.format(name) for p in HALF_TAX], clean=lambda v: S.clean_amount(v).cast("string"), guard=lambda v: below_half(v.cast("decimal(18,4)")))).cast("decimal(18,4)")
-    df = df.withColumns({
+    stages.append({
         "_v_taxable": F.coalesce("_labelled", pick("taxable"), "_sum_taxable"),
         "_v_cgst": F.coalesce(pick("cgst"), "_tax_total", half("CGST")), "_v_sgst": F.coalesce(pick("sgst"), "_tax_total", half("SGST")),
         "_v_cgst_rate": F.concat(pick("cr"), F.lit("%")), "_v_sgst_rate": F.concat(pick("sr"), F.lit("%")), "_row_hsn": F.when(row, F.col("_row.hsn")),
         "_row_gst": F.coalesce(pick("cgst") + pick("sgst"), F.col("_tax_total") * 2, "_sum_tax"),
     })
     total_words = labels.first_of(list(zip(WORDS_LEADS, TOTAL_WORDS_TEXT, strict=True)), clean=lambda v: S.words_to_number(v).cast("string"), guard=lambda v: v.cast("long") > 100)
-    df = df.withColumns({
+    stages.append({
         "_v_igst": F.when(F.col("_v_cgst").isNull() & F.col("_v_sgst").isNull(), _over(labels, 50, IGST_TEXT, IGST_LEADS)),
         "_v_total_gst": F.coalesce("_row_gst", _over(labels, 1, TOTAL_GST_TEXT, TOTAL_GST_LEADS)),
         "_v_total": F.coalesce(_over(labels, 99.9999, TOTAL_TEXT, TOTAL_LEADS), total_words.cast("decimal(18,4)")),
     })
-    return df.withColumn("_v_total", F.coalesce("_v_total", F.round(F.col("_v_taxable") + F.col("_v_total_gst"), 2)))
+    stages.append({"_v_total": F.coalesce("_v_total", F.round(F.col("_v_taxable") + F.col("_v_total_gst"), 2))})
+    return stages
 
 
-def _rates(df: DataFrame, text: str, index: str) -> DataFrame:
-    labels = Labels(F.col(text), F.col(index), LABEL_WORDS)
+def _rate_stages(labels: Labels) -> list[dict[str, Column]]:
     found = {f: labels.first_of(list(zip(RATE_LEADS[f], p, strict=True)), guard=lambda v: v.cast("int").between(1, 100), clean=lambda v: F.substring(v, 1, 9)) for f, p in RATE_TEXT.items()}
-    df = df.withColumns({f"_{f}": F.coalesce(*([F.col(f"_v_{f.lower()}")] if f in ("CGST_RATE", "SGST_RATE") else []), F.concat(v, F.lit("%"))) for f, v in found.items()})
+    stages = [{f"_{f}": F.coalesce(*([F.col(f"_v_{f.lower()}")] if f in ("CGST_RATE", "SGST_RATE") else []), F.concat(v, F.lit("%"))) for f, v in found.items()}]
     both = S.show_rate(F.floor(S.rate_of(F.col("_CGST_RATE")) + S.rate_of(F.col("_SGST_RATE"))))
-    df = df.withColumn("_GST_RATE", F.coalesce("_GST_RATE", F.when(F.col("_SGST_RATE").isNotNull(), both), "_IGST_RATE"))
+    stages.append({"_GST_RATE": F.coalesce("_GST_RATE", F.when(F.col("_SGST_RATE").isNotNull(), both), "_IGST_RATE")})
     halved = F.when(F.col("_CGST_RATE").isNull() & F.col("_IGST_RATE").isNull(), S.show_rate(S.rate_of(F.col("_GST_RATE")) / 2))
-    return df.withColumns({"_SGST_RATE": F.coalesce("_SGST_RATE", halved), "_CGST_RATE": F.coalesce("_CGST_RATE", halved)})
+    return [*stages, {"_SGST_RATE": F.coalesce("_SGST_RATE", halved), "_CGST_RATE": F.coalesce("_CGST_RATE", halved)}]
 
 
 def hsn_codes(text: Column, taken: Column) -> Column:
@@ -267,57 +266,61 @@ def hsn_codes(text: Column, taken: Column) -> Column:
     return F.filter(found, lambda c: F.length(c).between(4, 6) & ~c.rlike(r"^(19|20)\d{2}$") & ~F.array_contains(taken, c) & ~((F.length(c) == 6) & (c.cast("int") > 99999)) & ~((F.length(c) == 5) & c.startswith("1") & (c.cast("int") > 19999)))
 
 
-def _items(df: DataFrame, text: str) -> DataFrame:
-    t = F.col(text)
+def _item_stages(t: Column) -> list[dict[str, Column]]:
     taken = F.filter(F.array(F.substring("_TRANSPORT_ID", 1, 8), F.when(F.col("_DISPATCH_FROM").rlike(r"^\d{3,6}$"), F.col("_DISPATCH_FROM")), F.col("_VENDOR_CODE")), lambda x: x.isNotNull())
-    df = df.withColumn("_codes", hsn_codes(t, taken))
+    stages = [{"_codes": hsn_codes(t, taken)}]
     quantity = first_of(t, QTY_TOTAL, QTY_ROW, QTY_ANY, guard=lambda v: (v.cast("int") < 1000) & ~F.array_contains(F.col("_codes"), v), clean=lambda v: v.cast("int").cast("string"))
     rows = F.filter(F.transform(find_all(t, DESC_ROW), lambda x: strip(x)), lambda d: ~has(d, NOT_ITEM) & (d != ""))
     service = let(mentioning(t, ("9987",), squeeze(find(t, DESC_SERVICE))), lambda d: F.when(F.length(d) > 3, F.array(d)).otherwise(F.array().cast("array<string>")))
     described = F.array_distinct(F.concat(rows, service))
-    return df.withColumns({
+    stages.append({
         "_HSN": F.coalesce("_row_hsn", blank_to_null(F.array_join(F.slice("_codes", 1, 3), ", "))),
         "_QTY": quantity, "_UOM": F.initcap(find(t, UOM_TEXT)),
         "_RATE": first_of(t, *RATE_ALONE, clean=lambda v: S.show(S.clean_amount(v)), guard=lambda v: v.cast("decimal(18,4)") < 10000000),
         "_ITEM_DESC": F.substring(blank_to_null(F.array_join(F.slice(described, 1, 3), " | ")), 1, 250),
     })
+    return stages
 
 
-def full_extract(df: DataFrame, text: str, into: str, tenant: bool = False) -> DataFrame:
-    """df with a struct column ``into`` of all extracted fields (null where absent). Null text gives all null."""
-    before = df.columns
-    t = F.col(text)
-    df = df.withColumn("_index", Labels.index(t, LABEL_WORDS))
+def _stages(tenant: bool) -> list[dict[str, Column]]:
+    """All rules as columns of a text _t, in stages of which each uses what the ones before gave."""
+    t = F.col("_t")
+    labels = Labels(t, F.col("_index"), LABEL_WORDS)
 
-    def by_line(t: Column, index: Column) -> Column:
-        labels = Labels(t, index, LABEL_WORDS)
+    def by_line(labels: Labels) -> Column:
         return F.struct(*[labels.behind(MENTIONS[f], rule).alias(f"_{f}") for f, rule in _line_rules().items()])
 
-    def by_text(t: Column, index: Column) -> Column:
-        labels = Labels(t, index, LABEL_WORDS)
+    def by_text(labels: Labels) -> Column:
         pan = F.when(labels.has("pan"), labels.behind(("gstin",), lambda t: find(t, GSTIN_PAN, 0)))
-        return F.struct(gstins(t).alias("_gstins"), _place(labels).alias("_PLACE"), _irn(labels).alias("_IRN"), pan.alias("_gstin_pan"), *[v.alias(f"_{k}") for k, v in _parties(t, tenant, labels).items()])
+        return F.struct(gstins(labels.text).alias("_gstins"), _place(labels).alias("_PLACE"), _irn(labels).alias("_IRN"), pan.alias("_gstin_pan"), *[v.alias(f"_{k}") for k, v in _parties(labels.text, tenant, labels).items()])
 
-    both = lambda body: let(t, lambda t: let(F.col("_index"), lambda i: body(t, i)))
-    df = df.withColumns({"_line": both(by_line), "_text": both(by_text)}).select(*before, "_index", "_line.*", "_text.*")
-    df = _rates(_amounts(df, text, "_index"), text, "_index")
+    both = lambda body: let(t, lambda t: let(F.col("_index"), lambda i: body(Labels(t, i, LABEL_WORDS))))
+    fields = {f"_{f}": F.col(f"_line._{f}") for f in _line_rules()} | {f: F.col(f"_text.{f}") for f in ("_gstins", "_PLACE", "_IRN", "_gstin_pan", "_SUPPLIER", "_RECIPIENT")}
     pair = F.col("_gstin_pan")
-    df = df.withColumns({
-        "_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(pair, GSTIN_PAN, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(pair, GSTIN_PAN, 2)),
-        **{f"_{f}": S.show(F.col(f"_v_{f.lower()}")) for f in ("TAXABLE", "CGST", "SGST", "IGST", "TOTAL_GST", "TOTAL")},
-    })
-    df = _items(df, text)
-    df = df.withColumn("_STATE_CODE", F.coalesce("_STATE_CODE", S.state_code(F.col("_GSTIN_S"))))
-    fields = [f for f in fixed.FIELDS if f != "TOTAL_WORDS"]
+    parties = {"_GSTIN_S": F.get("_gstins", 0), "_GSTIN_R": F.coalesce(F.get("_gstins", 1), F.nullif(F.upper(find(pair, GSTIN_PAN, 1)), F.get("_gstins", 0))), "_RECIPIENT_PAN": F.upper(find(pair, GSTIN_PAN, 2))}
+    shown = {f"_{f}": S.show(F.col(f"_v_{f.lower()}")) for f in ("TAXABLE", "CGST", "SGST", "IGST", "TOTAL_GST", "TOTAL")}
     clean = lambda f: F.when(~has(strip(F.col(f"_{f}")), fixed.TOKEN_MARKERS, EXACT), blank_to_null(F.col(f"_{f}")))
-    return df.select(*before, F.struct(*[clean(f).alias(f) for f in fields]).alias(into))
+    record = F.struct(*[clean(f).alias(f) for f in fixed.FIELDS if f != "TOTAL_WORDS"])
+    return [
+        {"_index": Labels.index(t, LABEL_WORDS)}, {"_line": both(by_line), "_text": both(by_text)}, fields, *_amount_stages(labels), *_rate_stages(labels), parties | shown, *_item_stages(t),
+        {"_STATE_CODE": F.coalesce("_STATE_CODE", S.state_code(F.col("_GSTIN_S")))}, {"_record": record},
+    ]
+
+
+def full_extract(df: DataFrame, text: str, into: str, tenant: bool = False) -> DataFrame:
+    """df with a struct column ``into`` of all extracted fields (null where absent). Null text gives all null. Columns of df that begin with an underscore may not be named like the rules' own."""
+    out = df.withColumn("_t", F.col(text))
+    for stage in once(_stages, tenant):
+        out = out.withColumns(stage)
+    return out.select(*df.columns, F.col("_record").alias(into))
 
 
 def two_pass(df: DataFrame, text: str = "raw_text", tenant: bool = False, strict: bool = False) -> DataFrame:
     """df with one column per field: what the repaired text gives first, then what the raw text gives."""
     before = df.columns
     df = df.withColumn("_plain_text", plain_spaces(F.col(text)))
-    df = full_extract(df.withColumn("_clean_text", S.fix_noise(F.col("_plain_text"), tenant, strict)), "_clean_text", "_a", tenant)
+    repaired = once(lambda *how: S.fix_noise(F.col("_plain_text"), *how), tenant, strict)
+    df = full_extract(df.withColumn("_clean_text", repaired), "_clean_text", "_a", tenant)
     # where repair changed nothing the second pass would find the same again
     df = full_extract(df.withColumn("_raw_text", F.when(F.col("_clean_text") != F.col("_plain_text"), F.col("_plain_text"))), "_raw_text", "_b", tenant)
     return df.select(*before, *[F.coalesce(F.col(f"_a.{f}"), F.col(f"_b.{f}")).alias(f) for f in fixed.FIELDS if f != "TOTAL_WORDS"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..functions import fixed
 from ..functions import scalars as S
@@ -26,6 +27,57 @@ def total_row(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("invoices"), *[F.coalesce(F.sum(amount(f)), F.lit(0)).cast(SUM).alias(f) for f in fixed.REGISTER_SUMS])
 
 
+#: Of a numbered table so many rows, the least by a hash of their order, say where its ranges begin.
+SAMPLED = 4096
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "row_no", ranges: int | None = None) -> DataFrame:
+    """rows with a number from 1 in the order, over all rows and in no single task.
+
+    Rows are dealt to ranges of the order, whose bounds come from a sample of SAMPLED rows; a range's rows are numbered by
+    themselves, and the number of rows in the ranges before is added. Bounds and counts read the order's columns alone. A row's
+    range is a function of the row, so lost tasks come back the same. Rows equal in the order get different numbers, in no
+    stated order, and lie in one range: the order should tell rows apart. Nulls come first.
+    """
+    spark = rows.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*order)
+    sample = rows.select(place.alias("_place")).orderBy(F.xxhash64("_place"), "_place").limit(SAMPLED)
+    held = sorted(sample.select("_place", F.row_number().over(W.orderBy("_place")).alias("_nth")).collect(), key=lambda r: r["_nth"])
+    cuts = [held[len(held) * i // n]["_place"] for i in range(1, n)] if held else []
+    bounds = spark.createDataFrame([([tuple(c) for c in cuts],)], StructType([StructField("_bounds", ArrayType(rows.select(place.alias("p")).schema["p"].dataType))]))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= place))).drop("_bounds")
+    counts = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    starts, before = {}, 0
+    for at, count in counts:
+        starts[at] = before
+        before += count
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in (starts or {0: 0}).items() for x in kv]), F.col("_range")).cast("long")
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    return ranged.withColumn(name, offset + own).drop("_range")
+
+
+def rows_and_totals(records: DataFrame, batch: str, key: str) -> DataFrame:
+    """(level, batch, key, invoices, the six sums) in one pass over the records: a row per record (level 0), each batch's total (1) and the whole's (2).
+
+    A rollup: partial sums of all three levels leave each task, so no batch is gathered. Records that share batch and key are one row.
+    """
+    level = F.when(F.grouping_id() == 0, 0).when(F.grouping_id() == 1, 1).otherwise(2)
+    sums = [F.sum(amount(f)).cast(SUM).alias(f) for f in fixed.REGISTER_SUMS]
+    return records.rollup(batch, key).agg(level.alias("level"), F.count("*").alias("invoices"), *sums).select("level", batch, key, "invoices", *fixed.REGISTER_SUMS)
+
+
+def whole_register(records: DataFrame, batch: str, key: str, ranges: int | None = None) -> DataFrame:
+    """The register of all batches: records in the order of batch and key, each batch's total behind its records and the whole's last, numbered by where they stand; records also by their number among records."""
+    rows = rows_and_totals(records, batch, key)
+    rows = rows.withColumns({"_last": F.col("level") == 2, "_total": F.col("level") == 1})
+    placed = numbered(rows, ["_last", batch, "_total", key], "line", ranges)
+    # of the lines before a record, one for each earlier batch is a total; batches are numbered by their totals
+    batches = numbered(rows.where("level = 1").select(batch), [batch], "_batch_no", ranges)
+    out = placed.join(batches.withColumnRenamed(batch, "_batch"), F.col(batch).eqNullSafe(F.col("_batch")) & (F.col("level") < 2), "left")
+    return out.select("line", F.when(F.col("level") == 0, F.col("line") - F.col("_batch_no") + 1).alias("row_no"), "level", batch, key, "invoices", *fixed.REGISTER_SUMS)
+
+
 def batch_register(records: DataFrame, file_col: str, order: list[str], batch: str | None = None) -> DataFrame:
     """21 columns per record with a row number from 1 in batch order.
 
@@ -116,6 +168,25 @@ def hsn_register(records: DataFrame, key: str) -> DataFrame:
     return records.select("*", F.posexplode(codes).alias("pos", "hsn_code")).select(key, (F.col("pos") + 1).alias("sl"), "hsn_code", "GST_RATE", "CGST_RATE", first("CGST"), "SGST_RATE", first("SGST"), "IGST_RATE", first("IGST"), first("TAXABLE"), first("TOTAL"))
 
 
+def gst_register_sheet(records: DataFrame, key: str) -> DataFrame:
+    """(key, row, head, hsn_code, rates and amounts): the GST register's cells by sheet row.
+
+    From row 4 a row per HSN code, under them the tax totals, and after an empty row the total in words; absent totals and words are a dash.
+    """
+    codes = F.filter(F.transform(F.split(F.coalesce("HSN", F.lit("")), ","), lambda x: strip(x)), lambda c: c != "")
+    codes = F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("")))
+    rates, sums = ["GST_RATE", "CGST_RATE", "SGST_RATE", "IGST_RATE"], ["CGST", "SGST", "IGST", "TAXABLE", "TOTAL"]
+    no = F.lit(None).cast("string")
+
+    def row(at: Column, head: Column, code: Column, with_rates: bool, with_sums: Column) -> Column:
+        return F.struct(at.cast("int").alias("row"), head.alias("head"), code.alias("hsn_code"), *[(F.col(f) if with_rates else no).alias(f) for f in rates], *[F.when(with_sums, F.col(f)).alias(f) for f in sums])
+
+    said = F.concat(F.lit("Net Amount Payable (in words):  "), F.coalesce("TOTAL_WORDS", F.lit("—")), F.lit("   (₹ "), F.coalesce("TOTAL", F.lit("—")), F.lit(" /-)"))
+    listed = F.transform("_codes", lambda c, i: row(i + 4, (i + 1).cast("string"), c, True, i == 0))
+    below = F.array(row(F.size("_codes") + 4, F.lit("TAX TOTAL"), no, False, F.lit(True)), row(F.size("_codes") + 6, said, no, False, F.lit(False)))
+    return records.withColumn("_codes", codes).select(key, F.inline(F.concat(listed, below)))
+
+
 def invoice_details(records: DataFrame, key: str, items: str | None = None) -> DataFrame:
     """One row per line item; a record without items gives one from its header."""
     header = {"description": "ITEM_DESC", "hsn": "HSN", "qty": "QTY", "uom": "UOM", "rate": "RATE"}

@@ -244,6 +244,26 @@ def hsn_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("INV_NO", F.col("sl").cast("int").alias("sl"), "hsn_code", "GST_RATE", "TAXABLE", "TOTAL")
 
 
+def gst_register_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every invoice's register with its tax totals and its total in words; orders of odd numbers have no words."""
+    words = F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("Rupees "), "TOTAL", F.lit(" Only")))
+    got = register.gst_register_sheet(_truth_records(spark, sf_dir).withColumn("TOTAL_WORDS", words), "INV_NO")
+    return got
+
+
+def whole_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All invoices in one register, a batch for each supplier, with the totals of batches and of all in it."""
+    records = _truth_records(spark, sf_dir).select("l_suppkey", "INV_NO", *fixed.REGISTER_SUMS)
+    got = register.whole_register(records, "l_suppkey", "INV_NO")
+    return got.select("line", "row_no", "level", "l_suppkey", "INV_NO", "invoices", *[F.col(f).cast("double").alias(f) for f in fixed.REGISTER_SUMS])
+
+
+def numbered_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All invoices numbered as one batch, the dearest first."""
+    rows = _truth_records(spark, sf_dir).select("INV_NO", (-F.col("TOTAL").cast(D2)).alias("low"))
+    return register.numbered(rows, ["low", "INV_NO"]).select("row_no", "INV_NO")
+
+
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.raw_lines(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -471,9 +491,9 @@ def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        gst_register, gst_register_totals, batch_totals, amount_parse, date_normalise, gstin_parts, state_lookup, number_to_words, words_to_number, tax_split, rate_snap, tax_reconcile, tax_breakdown, detection_score, line_items, hsn_register, raw_lines,
+        gst_register, gst_register_totals, batch_totals, amount_parse, date_normalise, gstin_parts, state_lookup, number_to_words, words_to_number, tax_split, rate_snap, tax_reconcile, tax_breakdown, detection_score, line_items, hsn_register, gst_register_sheet, whole_register, numbered_invoices, raw_lines,
         ordered_distinct_hsn, extract_fields, noise_repair, merge_first_nonempty, context_gstin_roles, extract_fields_v1, recent_topk, history_search, status_counts, latest_version, batch_progress, owned_jobs, weak_labels, fake_filter, quality_gate, bio_spans, macro_f1,
-        train_val_split, upsert_samples, pii_tokens, hex_runs, doc_amounts, word_boxes, lead_stripped, event_props, windowed_events, microbatch.microbatch_threshold,
+        train_val_split, upsert_samples, pii_tokens, hex_runs, doc_amounts, word_boxes, lead_stripped, event_props, windowed_events, microbatch.microbatch_threshold, microbatch.user_training_rounds,
     )
 }
 
@@ -502,6 +522,29 @@ ORACLE: dict[str, str] = {
     "hsn_register": f"""{INV}, codes AS (SELECT l_orderkey, l_suppkey, hsn, min(sl_no) AS first_sl FROM lines GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY first_sl) AS rn FROM codes)
         SELECT inv_no AS "INV_NO", CAST(rn AS INTEGER) AS sl, hsn AS hsn_code, gst_rate || '%' AS "GST_RATE", CASE WHEN rn = 1 THEN {_money_sql('taxable')} END AS "TAXABLE", CASE WHEN rn = 1 THEN {_money_sql('total')} END AS "TOTAL"
         FROM ranked JOIN invoice USING (l_orderkey, l_suppkey) WHERE rn <= 3""",
+    "gst_register_sheet": f"""{INV}, codes AS (SELECT l_orderkey, l_suppkey, hsn, min(sl_no) AS first_sl FROM lines GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY first_sl) AS rn FROM codes),
+        i AS (SELECT *, least(3, (SELECT count(*) FROM codes c WHERE c.l_orderkey = invoice.l_orderkey AND c.l_suppkey = invoice.l_suppkey)) AS n, CASE WHEN NOT is_inter THEN gst_rate / 2 END AS part FROM invoice),
+        m AS (SELECT *, {_money_sql('taxable')} AS net, {_money_sql('total')} AS gross, {_money_sql('half')} AS tax_half, {_money_sql('igst')} AS tax_whole, CAST(gst_rate // 2 AS VARCHAR) || '%' AS half_rate, gst_rate || '%' AS whole_rate FROM i)
+        SELECT inv_no AS "INV_NO", CAST(rn + 3 AS INTEGER) AS row, CAST(rn AS VARCHAR) AS head, hsn AS hsn_code, whole_rate AS "GST_RATE", CASE WHEN NOT is_inter THEN half_rate END AS "CGST_RATE", CASE WHEN NOT is_inter THEN half_rate END AS "SGST_RATE", CASE WHEN is_inter THEN whole_rate END AS "IGST_RATE",
+               CASE WHEN rn = 1 THEN tax_half END AS "CGST", CASE WHEN rn = 1 THEN tax_half END AS "SGST", CASE WHEN rn = 1 THEN tax_whole END AS "IGST", CASE WHEN rn = 1 THEN net END AS "TAXABLE", CASE WHEN rn = 1 THEN gross END AS "TOTAL"
+        FROM ranked JOIN m USING (l_orderkey, l_suppkey) WHERE rn <= 3
+        UNION ALL SELECT inv_no, n + 4, 'TAX TOTAL', NULL, NULL, NULL, NULL, NULL, tax_half, tax_half, tax_whole, net, gross FROM m
+        UNION ALL SELECT inv_no, n + 6, 'Net Amount Payable (in words):  ' || CASE WHEN l_orderkey % 2 = 0 THEN 'Rupees ' || gross || ' Only' ELSE '—' END || '   (₹ ' || gross || ' /-)', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM m""",
+    "whole_register": f"""{INV}, r AS (
+            SELECT CASE grouping(l_suppkey, inv_no) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, l_suppkey, inv_no, {SUMS_SQL} FROM invoice GROUP BY ROLLUP (l_suppkey, inv_no)
+        )
+        SELECT row_number() OVER (ORDER BY level = 2, l_suppkey, level, inv_no) AS line, CASE WHEN level = 0 THEN row_number() OVER (PARTITION BY level ORDER BY l_suppkey, inv_no) END AS row_no, r.* RENAME (inv_no AS "INV_NO") FROM r""",
+    "numbered_invoices": f"""{INV} SELECT row_number() OVER (ORDER BY CAST(round(total * 100) AS BIGINT) DESC, inv_no) AS row_no, inv_no AS "INV_NO" FROM invoice""",
+    "user_training_rounds": """WITH RECURSIVE a AS (
+            SELECT user_id, event_id % 3 AS round, count(*) FILTER (event_id % 7 = 0) AS fakes, count(*) FILTER (event_id % 7 <> 0) AS fresh FROM events GROUP BY 1, 2
+        ), u AS (SELECT DISTINCT user_id FROM events), s(user_id, round, seen, fakes, offered, taken, waiting, version) AS (
+            SELECT user_id, -1::BIGINT, false, 0::BIGINT, 0::BIGINT, false, 0::BIGINT, 0::BIGINT FROM u
+            UNION ALL
+            SELECT s.user_id, s.round + 1, a.user_id IS NOT NULL, coalesce(a.fakes, 0), s.waiting + coalesce(a.fresh, 0), s.waiting + coalesce(a.fresh, 0) >= 5,
+                   CASE WHEN s.waiting + coalesce(a.fresh, 0) >= 5 THEN 0 ELSE s.waiting + coalesce(a.fresh, 0) END, s.version + (s.waiting + coalesce(a.fresh, 0) >= 5)::BIGINT
+            FROM s LEFT JOIN a ON a.user_id = s.user_id AND a.round = s.round + 1 WHERE s.round < 2
+        )
+        SELECT user_id, round, fakes, offered, taken, CASE WHEN taken THEN version END AS version FROM s WHERE seen""",
     "raw_lines": r"SELECT doc_id, CAST(i + 2 AS INTEGER) AS line_no, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), unnest(range(1, len(l) + 1)) AS t(i)",
     "ordered_distinct_hsn": f"WITH lines AS ({LINES_SQL}), codes AS (SELECT l_orderkey, l_suppkey, hsn, min(sl_no) AS first_sl FROM lines GROUP BY 1, 2, 3), ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY first_sl) AS rn FROM codes) SELECT l_orderkey, l_suppkey, string_agg(hsn, ', ' ORDER BY rn) AS hsn FROM ranked WHERE rn <= 3 GROUP BY 1, 2",
     "extract_fields": f"""{INV} SELECT l_orderkey, l_suppkey, supplier AS "SUPPLIER", recipient AS "RECIPIENT", gstin_s AS "GSTIN_S", gstin_r AS "GSTIN_R", substr(gstin_s, 3, 10) AS "PAN", place AS "PLACE", inv_no AS "INV_NO", strftime(inv_date, '%d/%m/%Y') AS "INV_DATE",

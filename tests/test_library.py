@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerloom.functions import fixed
+from ledgerloom.functions.text import Labels
 from ledgerloom.operators import extract, jobs, labeling, merge, register, validate
 from ledgerloom.plans import catalog, coverage
 from ledgerloom.sources import readers, sinks
@@ -243,5 +244,60 @@ def test_tenant_rules_are_opt_in(spark):
 
 def test_service_rows_describe(spark):
     text = "9987 Repair of  a\n machine 2 Nos\n1 8302 Steel hinge 3 Nos"
-    got = extract._items(spark.createDataFrame([(text, None, None, None, None)], "t string, _TRANSPORT_ID string, _DISPATCH_FROM string, _VENDOR_CODE string, _row_hsn string"), "t").first()
-    assert got._ITEM_DESC == "Steel hinge | Repair of a machine"
+    rows = spark.createDataFrame([(text, None, None, None, None)], "t string, _TRANSPORT_ID string, _DISPATCH_FROM string, _VENDOR_CODE string, _row_hsn string")
+    for stage in extract._item_stages(F.col("t")):
+        rows = rows.withColumns(stage)
+    assert rows.first()._ITEM_DESC == "Steel hinge | Repair of a machine"
+
+
+def test_labels_are_found_as_patterns_find_them(spark):
+    texts = ["\nx TAX\nTotal\nTaxable Value: 5", "Tax total", "İİİ\nno label\n tax here", "", None, "ends with\ntotal"]
+    words = ["total", "tax", "absent"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r for r in df.select("i", Labels.index(F.col("t"), words).alias("at"), Labels(F.col("t"), Labels.index(F.col("t"), words), words).behind(("total", "tax"), lambda c: c).alias("behind")).collect()}
+    assert [got[i].at for i in range(6)] == [[8, 2, 0], [1, 1, 0], [0, 1, 0], [0, 0, 0], [0, 0, 0], [11, 0, 0]]
+    assert [got[i].behind for i in range(6)] == ["x TAX\nTotal\nTaxable Value: 5", "Tax total", texts[2], None, None, "total"]
+
+
+def test_marks_of_noise_rules_are_in_their_matches():
+    import re
+
+    samples = {r"\b(\d{4}),(\d{2})\b": "1234,56", r"(?<![\d%])%([0-9]{1,2})(?![%\d])": "x %9 y", r"Account\s*Number\s*;": "Account Number ;"}
+    rules = {p for p, *_ in fixed.NOISE}
+    assert set(fixed.NOISE_NEEDS) <= rules
+    for pattern, text in samples.items():
+        assert any(m in re.search(pattern, text, re.I)[0].lower() for m in fixed.NOISE_NEEDS[pattern])
+    for pattern, marks in fixed.NOISE_NEEDS.items():
+        literal = re.sub(r"\\s\*|\\b|\(\?[^)]*\)|\\(?=[.$])|[()]", "", pattern).lower()
+        assert any(m in literal for m in marks) or "[" in pattern, pattern
+
+
+def test_numbers_of_odd_orders(spark):
+    rows = [(None, "b"), ("x", None), ("x", "a"), (None, None)] + [(f"k{i % 7}", f"v{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b string").withColumn("_extra", F.lit(1))
+    for ranges in (1, 5, 400):
+        got = {(r.a, r.b): r.row_no for r in register.numbered(df, ["a", "b"], ranges=ranges).collect()}
+        want = sorted(set(rows), key=lambda r: [(v is not None, v or "") for v in r])
+        assert got == {r: i + 1 for i, r in enumerate(want)}
+    assert register.numbered(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_ranges_of_numbers_are_even(spark):
+    got = register.numbered(spark.range(40_000).select((F.col("id") * 7919 % 40_000).alias("k")), ["k"], ranges=8)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert got.where("row_no <> k + 1").count() == 0 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_rounds_by_user_resume_and_ignore_what_came_before(spark, tmp_path):
+    schema = "user long, id long, fake boolean"
+    batches = [[(1, i, False) for i in range(3)] + [(2, 10, True)], [(1, 2, False), (1, 3, False), (1, 4, False), (2, 11, False)], [(1, 5, False), (1, 0, False), (2, 12, False), (2, 11, False)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        # each run is a query of its own, which finds the state of the one before
+        microbatch.run_available(microbatch.keyed_rounds(stream, "user", "id", "fake", 5), microbatch.keep_batches(f"{tmp_path}/out"), f"{tmp_path}/at")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    rounds = {(r.user, r.batch): (r.fakes, r.offered, r.taken, r.version) for r in got.where("id IS NULL").collect()}
+    assert rounds == {(1, 0): (0, 3, False, None), (2, 0): (1, 0, False, None), (1, 1): (0, 5, True, 1), (2, 1): (0, 1, False, None), (1, 2): (0, 1, False, None), (2, 2): (0, 2, False, None)}
+    used = sorted((r.id, r.version or 0) for r in got.where("id IS NOT NULL").collect())
+    assert used == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (10, 0)]
