@@ -490,11 +490,73 @@ ROUNDS_SQL = """
 """
 
 
+#: A sample of each noise rule in the rules' order, and what all rules make of it.
+NOISE_SAMPLES = [
+    ("27C0RPP3939N1ZQ", "27CORPP3939N1ZQ"),
+    ("32AABBA789081ZB", "32AABBA7890B1ZB"),
+    (": 2QAAFFC1234K1Z5", ": 29AAFFC1234K1Z5"),
+    ("!TBG/18-19/330411TP/1328", "ITBG/18-19/3304/TP/1328"),
+    ("|T8G/77", "ITBG/77"),
+    ("3304ATP/1328", "3304/TP/1328"),
+    ("ITBG/18-19/3304\nTP/1328", "ITBG/18-19/3304/TP/TP/1328"),
+    ("!TBG/18-19/55", "ITBG/18-19/55"),
+    ("ITBG/18-19/55 I", "ITBG/18-19/55"),
+    ("31/0a/2018", "31/08/2018"),
+    ("31J082018", "31/08/2018"),
+    ("31/082018", "31/08/2018"),
+    ("23-Ju-2025", "23-Jul-2025"),
+    ("23-Ja-2025", "23-Jan-2025"),
+    ("23-Fe-2025", "23-Feb-2025"),
+    ("23-Ma-2025", "23-Mar-2025"),
+    ("23-Ap-2025", "23-Apr-2025"),
+    ("23-Au-2025", "23-Aug-2025"),
+    ("23-Se-2025", "23-Sep-2025"),
+    ("23-Oc-2025", "23-Oct-2025"),
+    ("23-No-2025", "23-Nov-2025"),
+    ("23-De-2025", "23-Dec-2025"),
+    ("ICICOQ123", "ICIC0000123"),
+    ("ICICO123456", "ICIC0123456"),
+    ("ICICO45F", "ICIC045F"),
+    ("IClCl", "ICICI"),
+    ("IClC0X", "ICIC0X"),
+    ("IClC5", "ICIC5"),
+    ("Account Number ; 5", "Account Number: 5"),
+    ("A/e No. 5", "A/c No. 5"),
+    ("€ 500", "500"),
+    ("4496,17", "4496.17"),
+    ("AA8CK1234F", "AABCK1234F"),
+    ("KERALA x in words : DEVELOPMENT y", "KERALA x  DEVELOPMENT y"),
+    ("x %6", "x 6%"),
+    ("lnvoice", "Invoice"),
+    ("Involce", "Invoice"),
+    ("a!BC", "aIBC"),
+    ("flet", "Net"),
+    ("NlNETY", "NINETY"),
+    ("27AAFCV2449G127", "27AAFCV2449G1Z7"),
+]
+
+
+def noise_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's number behind a sample of one noise rule, one company's rules included."""
+    c = F.col("c_custkey")
+    samples = F.array(*[F.lit(text) for text, _ in NOISE_SAMPLES])
+    noisy = F.concat(F.get(samples, (c % len(NOISE_SAMPLES)).cast("int")), F.lit(" #"), c.cast("string"))
+    return read(spark, sf_dir, "customer").select("c_custkey", S.fix_noise(noisy, tenant=True).alias("fixed"))
+
+
+def score_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with any number of scored fields filled: what was found, the score and its bands by both versions' bounds."""
+    filled = F.col("o_orderkey") % (len(fixed.SCORED) + 1)
+    fields = [F.when(filled > i, "x").otherwise(F.lit("" if i % 2 else None)).alias(f) for i, f in enumerate(fixed.SCORED)]
+    got = register.score_record(read(spark, sf_dir, "orders").select("o_orderkey", *fields), "o_orderkey")
+    return got.withColumn("older_band", register.score_band(F.col("score"), older=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands,
     )
 }
 
@@ -533,4 +595,7 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "stored_labels": "SELECT CAST(conv_id AS BIGINT) AS conv_id, 'w ' || role || ' ' || turn AS word, CASE WHEN turn % 2 = 0 THEN 'O' ELSE 'B-HSN' END AS label FROM conversations",
     "sheet_cells": CELLS_SQL,
     "training_rounds": ROUNDS_SQL,
+    "noise_rules": f"SELECT c_custkey, [{', '.join(chr(39) + fixed_text + chr(39) for _, fixed_text in NOISE_SAMPLES)}][c_custkey % {len(NOISE_SAMPLES)} + 1] || ' #' || c_custkey AS fixed FROM customer",
+    "score_bands": f"""SELECT o_orderkey, CAST(k AS INTEGER) AS found, CAST(k * 100 // {len(fixed.SCORED)} AS INTEGER) AS score, CASE WHEN k * 100 // {len(fixed.SCORED)} >= 75 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 50 THEN 'fair' ELSE 'poor' END AS band,
+        CASE WHEN k * 100 // {len(fixed.SCORED)} >= 80 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 60 THEN 'fair' ELSE 'poor' END AS older_band FROM (SELECT o_orderkey, o_orderkey % {len(fixed.SCORED) + 1} AS k FROM orders)""",
 }
