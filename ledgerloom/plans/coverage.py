@@ -14,7 +14,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..functions.text import contains_any
 from ..operators import extract, jobs, labeling, merge, register, validate
-from ..sources import readers, sinks
+from ..sources import readers, sinks, versioned
 from ..streaming import microbatch
 from . import catalog, freight
 from .render import LETTERS, read
@@ -490,6 +490,16 @@ ROUNDS_SQL = """
 """
 
 
+def sample_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' samples in a store that is changed as a whole: those of even customers, then anew and added those of every third, as two publications."""
+    store = versioned.VersionedTable(spark, microbatch.state_folder(spark, "samples"), "id long, value double, publication int")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("value"), F.col("o_custkey").alias("c"))
+    for n, every in ((1, 2), (2, 3)):
+        new = rows.where(F.col("c") % every == 0).select("id", "value", F.lit(n).alias("publication"))
+        store.update(lambda held, new=new: jobs.upsert(held, new, "id"))
+    return store.read()
+
+
 #: A sample of each noise rule in the rules' order, and what all rules make of it.
 NOISE_SAMPLES = [
     ("27C0RPP3939N1ZQ", "27CORPP3939N1ZQ"),
@@ -556,7 +566,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands, sample_store,
     )
 }
 
@@ -595,6 +605,7 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "stored_labels": "SELECT CAST(conv_id AS BIGINT) AS conv_id, 'w ' || role || ' ' || turn AS word, CASE WHEN turn % 2 = 0 THEN 'O' ELSE 'B-HSN' END AS label FROM conversations",
     "sheet_cells": CELLS_SQL,
     "training_rounds": ROUNDS_SQL,
+    "sample_store": "SELECT o_orderkey AS id, o_totalprice AS value, CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END AS publication FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0",
     "noise_rules": f"SELECT c_custkey, [{', '.join(chr(39) + fixed_text + chr(39) for _, fixed_text in NOISE_SAMPLES)}][c_custkey % {len(NOISE_SAMPLES)} + 1] || ' #' || c_custkey AS fixed FROM customer",
     "score_bands": f"""SELECT o_orderkey, CAST(k AS INTEGER) AS found, CAST(k * 100 // {len(fixed.SCORED)} AS INTEGER) AS score, CASE WHEN k * 100 // {len(fixed.SCORED)} >= 75 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 50 THEN 'fair' ELSE 'poor' END AS band,
         CASE WHEN k * 100 // {len(fixed.SCORED)} >= 80 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 60 THEN 'fair' ELSE 'poor' END AS older_band FROM (SELECT o_orderkey, o_orderkey % {len(fixed.SCORED) + 1} AS k FROM orders)""",

@@ -9,7 +9,7 @@ from ledgerloom.functions import fixed
 from ledgerloom.functions.text import Labels
 from ledgerloom.operators import extract, jobs, labeling, merge, register, validate
 from ledgerloom.plans import catalog, coverage
-from ledgerloom.sources import readers, sinks
+from ledgerloom.sources import readers, sinks, versioned
 from ledgerloom.streaming import microbatch
 
 SF = "/root/testdata/sf0.001"
@@ -301,3 +301,37 @@ def test_rounds_by_user_resume_and_ignore_what_came_before(spark, tmp_path):
     assert rounds == {(1, 0): (0, 3, False, None), (2, 0): (1, 0, False, None), (1, 1): (0, 5, True, 1), (2, 1): (0, 1, False, None), (1, 2): (0, 1, False, None), (2, 2): (0, 2, False, None)}
     used = sorted((r.id, r.version or 0) for r in got.where("id IS NOT NULL").collect())
     assert used == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (10, 0)]
+
+
+def test_two_writers_and_a_reader_of_one_registry(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    registry = lambda: versioned.VersionedTable(spark, f"{tmp_path}/registry", "version int, is_active boolean")
+    assert registry().number() == 0 and registry().read().count() == 0
+
+    def write():
+        own = registry()
+        return [own.update(jobs.next_version) for _ in range(3)]
+
+    def look():
+        own, seen = registry(), []
+        while not seen or seen[-1][0] < 6:
+            n = own.number()
+            seen.append((n, sorted(map(tuple, own.read(n).collect()))))
+        return seen
+
+    with ThreadPoolExecutor(3) as pool:
+        a, b, seen = pool.submit(write), pool.submit(write), pool.submit(look)
+        assert sorted(a.result() + b.result()) == [1, 2, 3, 4, 5, 6]
+    # a state of number n has the versions up to n, the last alone active
+    assert all(rows == [(v, v == n) for v in range(1, n + 1)] for n, rows in seen.result())
+    registry().clean()
+    assert registry().number() == 6 and registry().read().count() == 6
+
+
+def test_a_failed_change_publishes_nothing(spark, tmp_path):
+    store = versioned.VersionedTable(spark, f"{tmp_path}/store", "id long")
+    store.update(lambda held: held.union(spark.range(3)))
+    with pytest.raises(Exception, match="broken"):
+        store.update(lambda held: held.select(F.raise_error(F.lit("broken")).cast("long").alias("id")))
+    assert store.number() == 1 and store.read().count() == 3
