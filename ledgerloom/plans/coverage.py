@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import scalars as S
 from ..functions.text import contains_any
-from ..operators import extract, jobs, labeling, merge, register, validate
+from ..operators import extract, extract_v1, jobs, labeling, merge, register, validate
 from ..sources import readers, sinks, versioned
 from ..streaming import microbatch
 from . import catalog, freight
@@ -500,6 +500,21 @@ def sample_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+def older_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with rates of every form and a description through the older rules and their record pass."""
+    k, rate = F.col("o_orderkey"), F.element_at(F.array(*[F.lit(r) for r in ("5", "12", "18", "28")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    shown = (
+        F.when(k % 6 == 0, line("CGST @ ", rate, "%\nSGST @ ", rate, "%")).when(k % 6 == 1, line("IGST Rate: ", rate, "%")).when(k % 6 == 2, line("Tax %: ", rate))
+        .when(k % 6 == 3, line(rate, "% GST")).when(k % 6 == 4, line("@", rate, "%")).otherwise(line("Central Tax Rate ", rate, "%\nState Tax Rate ", rate, "%"))
+    )
+    name = F.translate(k.cast("string"), *LETTERS)
+    goods = F.when(k % 7 == 0, line("certified goods ", name)).otherwise(line("Steel parts ", name))
+    papers = read(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws("\n", line("Description of Goods: ", goods), shown).alias("raw_text"))
+    got = extract_v1.post_process(extract_v1.master_extract(papers))
+    return got.select("o_orderkey", "CGST_RATE", "SGST_RATE", "IGST_RATE", "GST_RATE", "ITEM_DESC")
+
+
 #: A sample of each noise rule in the rules' order, and what all rules make of it.
 NOISE_SAMPLES = [
     ("27C0RPP3939N1ZQ", "27CORPP3939N1ZQ"),
@@ -566,7 +581,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands, sample_store,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands, sample_store, older_rates,
     )
 }
 
@@ -606,6 +621,11 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "sheet_cells": CELLS_SQL,
     "training_rounds": ROUNDS_SQL,
     "sample_store": "SELECT o_orderkey AS id, o_totalprice AS value, CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END AS publication FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0",
+    # without a rate of its own the whole is IGST's or both halves' sum; half a whole rate is rounded to the even number
+    "older_rates": """WITH r AS (SELECT o_orderkey AS k, o_orderkey % 6 AS form, [5, 12, 18, 28][o_orderkey % 4 + 1] AS rate, [2, 6, 9, 14][o_orderkey % 4 + 1] AS half FROM orders)
+        SELECT k AS o_orderkey, CASE WHEN form IN (0, 5) THEN rate || '%' WHEN form BETWEEN 1 AND 4 THEN half || '%' END AS "CGST_RATE", CASE WHEN form IN (0, 5) THEN rate || '%' WHEN form BETWEEN 1 AND 4 THEN half || '%' END AS "SGST_RATE",
+               CASE WHEN form = 1 THEN rate || '%' END AS "IGST_RATE", CASE WHEN form = 5 THEN 2 * rate ELSE rate END || '%' AS "GST_RATE", CASE WHEN k % 7 <> 0 THEN 'Steel parts ' || translate(CAST(k AS VARCHAR), '0123456789', 'ABCDEFGHIJ') END AS "ITEM_DESC"
+        FROM r""",
     "noise_rules": f"SELECT c_custkey, [{', '.join(chr(39) + fixed_text + chr(39) for _, fixed_text in NOISE_SAMPLES)}][c_custkey % {len(NOISE_SAMPLES)} + 1] || ' #' || c_custkey AS fixed FROM customer",
     "score_bands": f"""SELECT o_orderkey, CAST(k AS INTEGER) AS found, CAST(k * 100 // {len(fixed.SCORED)} AS INTEGER) AS score, CASE WHEN k * 100 // {len(fixed.SCORED)} >= 75 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 50 THEN 'fair' ELSE 'poor' END AS band,
         CASE WHEN k * 100 // {len(fixed.SCORED)} >= 80 THEN 'good' WHEN k * 100 // {len(fixed.SCORED)} >= 60 THEN 'fair' ELSE 'poor' END AS older_band FROM (SELECT o_orderkey, o_orderkey % {len(fixed.SCORED) + 1} AS k FROM orders)""",
