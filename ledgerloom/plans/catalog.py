@@ -533,7 +533,7 @@ ORACLE: dict[str, str] = {
     "whole_register": f"""{INV}, r AS (
             SELECT CASE grouping(l_suppkey, inv_no) WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS level, l_suppkey, inv_no, {SUMS_SQL} FROM invoice GROUP BY ROLLUP (l_suppkey, inv_no)
         )
-        SELECT row_number() OVER (ORDER BY level = 2, l_suppkey, level, inv_no) AS line, CASE WHEN level = 0 THEN row_number() OVER (PARTITION BY level ORDER BY l_suppkey, inv_no) END AS row_no, r.* RENAME (inv_no AS "INV_NO") FROM r""",
+        SELECT row_number() OVER (ORDER BY level = 2, l_suppkey, level, inv_no) AS line, CASE WHEN level = 0 THEN row_number() OVER (PARTITION BY level ORDER BY l_suppkey, inv_no) END AS row_no, level, l_suppkey, inv_no AS "INV_NO", invoices, {', '.join(f'round("{f}", 2) AS "{f}"' for f in fixed.REGISTER_SUMS)} FROM r""",
     "numbered_invoices": f"""{INV} SELECT row_number() OVER (ORDER BY CAST(round(total * 100) AS BIGINT) DESC, inv_no) AS row_no, inv_no AS "INV_NO" FROM invoice""",
     "user_training_rounds": """WITH RECURSIVE a AS (
             SELECT user_id, event_id % 3 AS round, count(*) FILTER (event_id % 7 = 0) AS fakes, count(*) FILTER (event_id % 7 <> 0) AS fresh FROM events GROUP BY 1, 2
