@@ -14,7 +14,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..functions.text import contains_any
 from ..operators import extract, extract_v1, jobs, labeling, merge, register, validate
-from ..sources import readers, sinks, versioned
+from ..sources import readers, sinks, versioned, workbooks
 from ..streaming import microbatch
 from . import catalog, freight
 from .render import LETTERS, read
@@ -470,6 +470,32 @@ CELLS_SQL = """
 """
 
 
+def batch_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook per nation of its customers' records, written on the executors and read back cell by cell."""
+    folder = microbatch.state_folder(spark, "workbooks")
+    rows = read(spark, sf_dir, "customer").select(F.concat(F.lit("nation "), "c_nationkey").alias("batch"), F.concat("c_name", F.lit(".pdf")).alias("file"), F.col("c_name").alias("SUPPLIER"), F.when(F.col("c_custkey") % 3 == 0, F.lit(" ")).otherwise(F.concat(F.lit("<"), "c_mktsegment", F.lit(" & co>"))).alias("RECIPIENT"), F.col("c_acctbal").cast(D2).cast("string").alias("TOTAL"))
+    workbooks.write_books(workbooks.batch_books(validate.with_fields(rows), "file", "batch"), folder, placed=True)
+    got = workbooks.read_books(spark, folder)
+    return got.select(F.regexp_extract("path", r"([^/]+)\.xlsx$", 1).alias("batch"), "sheet_no", "sheet", "line", F.posexplode("cells").alias("col", "value")).where("value <> ''")
+
+
+BOOKS_SQL = f"""
+    WITH c AS (
+        SELECT 'nation ' || c_nationkey AS batch, c_name, c_custkey, '<' || c_mktsegment || ' & co>' AS buyer, CAST(c_acctbal AS DECIMAL(18,2)) AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name || '.pdf') AS n FROM customer
+    ), h AS (SELECT i - 1 AS col, names[i] AS name FROM (SELECT ['row_no', 'file', {', '.join(f"'{f}'" for f in fixed.REGISTER)}] AS names), unnest(range(1, len(names) + 1)) AS u(i)),
+    s AS (SELECT batch, count(*) AS n, sum(t) AS t FROM c GROUP BY batch), cells AS (
+        SELECT batch, 1 AS sheet_no, 'Batch Register' AS sheet, 1 AS line, col, name AS value FROM s, h
+        UNION ALL SELECT batch, 1, 'Batch Register', n + 1, col, CASE name WHEN 'row_no' THEN CAST(n AS VARCHAR) WHEN 'file' THEN c_name || '.pdf' WHEN 'SUPPLIER' THEN c_name WHEN 'RECIPIENT' THEN CASE WHEN c_custkey % 3 <> 0 THEN buyer END WHEN 'TOTAL' THEN CAST(t AS VARCHAR) END FROM c, h
+        UNION ALL SELECT batch, 1, 'Batch Register', n + 2, col, CASE name WHEN 'row_no' THEN 'TOTALS (' || n || ' invoices)' WHEN 'TOTAL' THEN format('{{:,.2f}}', t) ELSE '0.00' END FROM s, h WHERE name IN ('row_no', {', '.join(f"'{f}'" for f in fixed.REGISTER_SUMS)})
+        UNION ALL SELECT batch, n + 1, c_name, 1, i, ['Field', 'Value'][i + 1] FROM c, range(2) AS r(i)
+        UNION ALL SELECT batch, n + 1, c_name, 2, i, ['Supplier Name', c_name][i + 1] FROM c, range(2) AS r(i)
+        UNION ALL SELECT batch, n + 1, c_name, 3, i, ['Recipient Name', buyer][i + 1] FROM c, range(2) AS r(i) WHERE c_custkey % 3 <> 0
+        UNION ALL SELECT batch, n + 1, c_name, CASE WHEN c_custkey % 3 <> 0 THEN 4 ELSE 3 END, i, ['Net Payable (₹)', CAST(t AS VARCHAR)][i + 1] FROM c, range(2) AS r(i)
+    )
+    SELECT batch, CAST(sheet_no AS INTEGER) AS sheet_no, sheet, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS col, value FROM cells WHERE value <> ''
+"""
+
+
 # ---- training as a stream ----
 
 
@@ -581,7 +607,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, training_rounds, noise_rules, score_bands, sample_store, older_rates,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, batch_workbooks, training_rounds, noise_rules, score_bands, sample_store, older_rates,
     )
 }
 
@@ -619,6 +645,7 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "stored_samples": "SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text, CAST(len(list_filter(string_split(coalesce(text, ''), ' '), lambda w: length(w) % 3 <> 0)) AS INTEGER) AS non_o FROM conversations",
     "stored_labels": "SELECT CAST(conv_id AS BIGINT) AS conv_id, 'w ' || role || ' ' || turn AS word, CASE WHEN turn % 2 = 0 THEN 'O' ELSE 'B-HSN' END AS label FROM conversations",
     "sheet_cells": CELLS_SQL,
+    "batch_workbooks": BOOKS_SQL,
     "training_rounds": ROUNDS_SQL,
     "sample_store": "SELECT o_orderkey AS id, o_totalprice AS value, CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END AS publication FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0",
     # without a rate of its own the whole is IGST's or both halves' sum; half a whole rate is rounded to the even number

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zipfile
 from collections.abc import Iterable
 from itertools import chain, groupby
+from typing import BinaryIO
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,8 @@ def _row_xml(r: int, row: list) -> str:
     return f'<row r="{r}">{cells}</row>'
 
 
-def write_workbook(path: str, sheets: Iterable[tuple[str, Iterable[list]]]) -> str:
-    """An xlsx file of text cells, a sheet for each (name, rows); sheets are written one after the other, row by row."""
+def write_workbook(path: str | BinaryIO, sheets: Iterable[tuple[str, Iterable[list]]]) -> str | BinaryIO:
+    """An xlsx file (or what is open for writing) of text cells, a sheet for each (name, rows); sheets are written one after the other, row by row."""
     names = []
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, rows in sheets:
