@@ -364,8 +364,8 @@ def weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 _WORD = "upper(w)"
 _NEAR = "abs({} - n) < 0.5"
-#: Every word of every invoice's paper, and its label by the invoice's structured values.
-LABELS_SQL = f"""
+#: Every word of every invoice's paper (CTE numbered), and its label by the invoice's structured values.
+PAPER_WORDS_SQL = f"""
     parts AS (
         SELECT i.*, substr(gstin_s, 3, 10) AS pan, strftime(inv_date, '%d/%m/%Y') AS day, list_transform(items, lambda x: x.hsn) AS codes,
                list_concat(
@@ -387,6 +387,9 @@ LABELS_SQL = f"""
     numbered AS (
         SELECT *, CASE WHEN regexp_matches(replace(w, ',', ''), '{_NUMBER}') THEN CAST(replace(w, ',', '') AS DOUBLE) END AS n FROM each
     )
+"""
+LABELS_SQL = f"""
+    {PAPER_WORDS_SQL}
     SELECT l_orderkey, l_suppkey, CASE
                WHEN regexp_matches(w, '(?i)^{fixed.GSTIN_STRICT}') THEN CASE WHEN {_WORD} = gstin_r AND {_WORD} <> gstin_s THEN 'B-GSTIN_R' ELSE 'B-GSTIN_S' END
                WHEN contains(upper(inv_no), {_WORD}) THEN 'B-INV_NO'

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import contains_any
-from ..operators import extract, extract_v1, jobs, labeling, merge, register, validate
+from ..functions.text import EXACT, contains_any, match_starts
+from ..operators import extract, extract_v1, jobs, labeling, merge, nearby, register, search, validate
 from ..sources import readers, sinks, versioned, workbooks
 from ..streaming import microbatch
 from . import catalog, freight
-from .render import LETTERS, read
+from .render import LETTERS, invoices, papers, read
 
 D2 = "decimal(18,2)"
 
@@ -496,6 +496,68 @@ BOOKS_SQL = f"""
 """
 
 
+# ---- joins by nearness, search ----
+
+
+def band_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct word of all papers by a dictionary of all invoices' fields: amounts within half a unit, names by their words."""
+    words = papers(spark, sf_dir).select(F.explode(F.split("raw_text", r"\s+")).alias("w"))
+    truth = invoices(spark, sf_dir)
+    fields = [("taxable", "B-TAXABLE"), ("cgst", "B-CGST"), ("sgst", "B-SGST"), ("igst", "B-IGST"), ("total", "B-TOTAL")]
+    amounts = truth.select(F.inline(F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(label).alias("label"), F.col(f).alias("amount")) for i, (f, label) in enumerate(fields)])))
+    named = lambda c, n, kind: F.transform(F.split(c, " "), lambda w, i: F.struct((F.when(i == 0, n).otherwise(n + 1)).alias("priority"), F.when(i == 0, f"B-{kind}").otherwise(f"I-{kind}").alias("label"), w.alias("name")))
+    names = truth.select(F.inline(F.concat(named("supplier", 0, "SUPPLIER"), named("recipient", 2, "RECIPIENT"))))
+    return nearby.band_labels(words, "w", amounts, names)
+
+
+BAND_SQL = f"""
+    WITH {catalog.INVOICE_SQL}, {catalog.PAPER_WORDS_SQL},
+    w AS (SELECT upper(w) AS word, count(*) AS n FROM numbered WHERE w <> '' GROUP BY 1),
+    v AS (SELECT word, n, CASE WHEN regexp_matches(replace(word, ',', ''), '^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$') THEN TRY_CAST(replace(word, ',', '') AS DECIMAL(28,6)) END AS x FROM w),
+    f AS (SELECT 0 AS p, taxable AS y FROM invoice UNION ALL SELECT 1, half FROM invoice UNION ALL SELECT 2, half FROM invoice UNION ALL SELECT 3, igst FROM invoice UNION ALL SELECT 4, total FROM invoice),
+    g AS (SELECT CAST(round(y, 2) AS DECIMAL(28,6)) AS y, min(p) AS p, count(*) AS k FROM f WHERE y IS NOT NULL GROUP BY 1),
+    b AS (SELECT v.word, min(p) AS p, sum(k) AS k FROM v JOIN g ON g.y BETWEEN v.x - 0.499999 AND v.x + 0.499999 GROUP BY 1),
+    t AS (SELECT upper(s[i]) AS word, min(CASE WHEN i = 1 THEN q ELSE q + 1 END) AS q FROM (SELECT 0 AS q, string_split(supplier, ' ') AS s FROM invoice UNION ALL SELECT 2, string_split(recipient, ' ') FROM invoice), unnest(range(1, len(s) + 1)) AS u(i) WHERE length(s[i]) > 3 GROUP BY 1)
+    SELECT v.word, v.n, CASE WHEN b.p IS NOT NULL THEN ['B-TAXABLE', 'B-CGST', 'B-SGST', 'B-IGST', 'B-TOTAL'][b.p + 1] WHEN t.q IS NOT NULL THEN ['B-SUPPLIER', 'I-SUPPLIER', 'B-RECIPIENT', 'I-RECIPIENT'][t.q + 1] ELSE 'O' END AS label, CAST(coalesce(b.k, 0) AS BIGINT) AS n_amounts
+    FROM v LEFT JOIN b USING (word) LEFT JOIN t USING (word)
+"""
+
+
+def nearest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word in capitals' case of every document with the sentence mark before and behind it, and the nearer one; -1 without one."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    points = docs.select("doc_id", F.explode(match_starts(F.col("text"), "[A-Z][a-z]+", EXACT)).alias("at"))
+    marks = docs.select("doc_id", F.explode(match_starts(F.col("text"), "[.!?]", EXACT)).alias("at"), "text").select("doc_id", "at", F.substr("text", F.col("at") + 1, F.lit(1)).alias("mark"))
+    got = nearby.nearest_anchors(points, marks, "doc_id", "at", "mark")
+    near = nearby.nearer(F.col("at"), F.col("before"), F.col("after"))
+    return got.select("doc_id", F.col("at").cast("long").alias("place"), *[F.coalesce(c, F.lit(-1)).alias(n) for n, c in (("before_at", F.col("before.at")), ("after_at", F.col("after.at")), ("near_at", near["at"]))], F.col("before.mark").alias("before_mark"), F.col("after.mark").alias("after_mark"))
+
+
+MARKS_SQL = """
+    WITH d AS (SELECT doc_id, regexp_extract_all(text, '(?s).') AS c FROM documents WHERE text IS NOT NULL),
+    e AS (SELECT doc_id, i - 1 AS place, c[i] AS ch, c[i + 1] AS nx FROM d, unnest(range(1, len(c) + 1)) AS u(i)),
+    p AS (SELECT doc_id, place FROM e WHERE ch BETWEEN 'A' AND 'Z' AND nx BETWEEN 'a' AND 'z'), m AS (SELECT doc_id, place, ch FROM e WHERE ch IN ('.', '!', '?')),
+    b AS (SELECT p.doc_id, p.place, m.place AS before_at, m.ch AS before_mark FROM p ASOF LEFT JOIN m ON p.doc_id = m.doc_id AND p.place >= m.place),
+    a AS (SELECT b.*, m.place AS after_at, m.ch AS after_mark FROM b ASOF LEFT JOIN m ON b.doc_id = m.doc_id AND b.place <= m.place)
+    SELECT doc_id, place, coalesce(before_at, -1) AS before_at, before_mark, coalesce(after_at, -1) AS after_at, after_mark, coalesce(CASE WHEN before_at IS NULL OR after_at - place < place - before_at THEN after_at ELSE before_at END, -1) AS near_at FROM a
+"""
+
+
+def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of customers' names, searched for the ends of all suppliers' keys, for short patterns and for such that no name has."""
+    index = search.NameIndex(spark, microbatch.state_folder(spark, "names")).build(read(spark, sf_dir, "customer"), "c_name")
+    k = F.col("s_suppkey").cast("string")
+    patterns = read(spark, sf_dir, "supplier").select(_choose(F.col("s_suppkey") % 4, F.concat(F.lit("0"), k), F.concat(F.lit("R#0000"), F.lpad(k, 5, "0")), F.concat(F.lit("x"), k), F.substring(k, 1, 2)).alias("pattern"))
+    return index.find_all(patterns, "pattern").groupBy("pattern").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+SEARCH_SQL = """
+    WITH p AS (SELECT DISTINCT CASE s_suppkey % 4 WHEN 0 THEN '0' || s_suppkey WHEN 1 THEN 'R#0000' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') WHEN 2 THEN 'x' || s_suppkey ELSE substr(CAST(s_suppkey AS VARCHAR), 1, 2) END AS pattern FROM supplier),
+    c AS (SELECT DISTINCT lower(c_name) AS name FROM customer)
+    SELECT pattern, count(*) AS n, min(name) AS first, max(name) AS last FROM p JOIN c ON contains(name, lower(pattern)) GROUP BY 1
+"""
+
+
 # ---- training as a stream ----
 
 
@@ -607,7 +669,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, batch_workbooks, training_rounds, noise_rules, score_bands, sample_store, older_rates,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, batch_workbooks, band_labels, nearest_marks, name_search, training_rounds, noise_rules, score_bands, sample_store, older_rates,
     )
 }
 
@@ -646,6 +708,9 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "stored_labels": "SELECT CAST(conv_id AS BIGINT) AS conv_id, 'w ' || role || ' ' || turn AS word, CASE WHEN turn % 2 = 0 THEN 'O' ELSE 'B-HSN' END AS label FROM conversations",
     "sheet_cells": CELLS_SQL,
     "batch_workbooks": BOOKS_SQL,
+    "band_labels": BAND_SQL,
+    "nearest_marks": MARKS_SQL,
+    "name_search": SEARCH_SQL,
     "training_rounds": ROUNDS_SQL,
     "sample_store": "SELECT o_orderkey AS id, o_totalprice AS value, CASE WHEN o_custkey % 3 = 0 THEN 2 ELSE 1 END AS publication FROM orders WHERE o_custkey % 2 = 0 OR o_custkey % 3 = 0",
     # without a rate of its own the whole is IGST's or both halves' sum; half a whole rate is rounded to the even number
