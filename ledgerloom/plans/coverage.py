@@ -14,7 +14,7 @@ from ..functions import fixed
 from ..functions import scalars as S
 from ..functions.text import EXACT, contains_any, match_starts
 from ..operators import extract, extract_v1, jobs, labeling, merge, nearby, register, search, validate
-from ..sources import readers, sinks, versioned, workbooks
+from ..sources import content, readers, sinks, versioned, workbooks
 from ..streaming import microbatch
 from . import catalog, freight
 from .render import LETTERS, invoices, papers, read
@@ -496,6 +496,23 @@ BOOKS_SQL = f"""
 """
 
 
+def cached_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of customers per nation, converted to its number of lines: even nations first, then odd ones and the even ones' files under other names, which cost no conversion."""
+    folder = microbatch.state_folder(spark, "uploads")
+    names = read(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.col("c_name").alias("value"))
+    even, odd = names.where("c_nationkey % 2 = 0"), names.where("c_nationkey % 2 = 1")
+    put = lambda rows, name: rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(f"{folder}/in/{name}")
+    cache = content.ContentCache(spark, f"{folder}/cache", "int")
+    lines = lambda c: F.size(F.split(F.decode(c, "UTF-8"), "\n", -1)) - 1
+    put(even, "first")
+    cache.refresh(f"{folder}/in/*", lines)
+    put(odd, "second")
+    put(even, "renamed")
+    cache.refresh(f"{folder}/in/*", lines)
+    place = lambda n: F.regexp_extract("path", r"/in/([a-z]+)/c_nationkey=(\d+)/", n)
+    return cache.current().where(F.endswith("path", F.lit(".txt"))).select(place(1).alias("upload"), place(2).cast("int").alias("nation"), F.col("result").alias("lines"), "reused")
+
+
 # ---- joins by nearness, search ----
 
 
@@ -669,7 +686,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         freight.freight_fields, freight.freight_records, freight.freight_records_v1, repaired_identities, gstin_checks, older_dates, date_difference, place_checks, tidied_values, block_lists, excluded_amounts, entity_checks, boxes, model_output, name_swap, gstin_lists, name_repairs, tax_repairs,
-        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, batch_workbooks, band_labels, nearest_marks, name_search, training_rounds, noise_rules, score_bands, sample_store, older_rates,
+        invoice_sections, any_value, job_pages, batch_pages, training_pool, version_registry, new_profiles, best_of, label_counts, random_split, text_sources, document_words, upload_gates, stored_jobs, stored_samples, stored_labels, sheet_cells, batch_workbooks, cached_conversion, band_labels, nearest_marks, name_search, training_rounds, noise_rules, score_bands, sample_store, older_rates,
     )
 }
 
@@ -708,6 +725,7 @@ ORACLE: dict[str, str] = freight.oracle(catalog.SAY_SQL, fixed.UNITS, fixed.TENS
     "stored_labels": "SELECT CAST(conv_id AS BIGINT) AS conv_id, 'w ' || role || ' ' || turn AS word, CASE WHEN turn % 2 = 0 THEN 'O' ELSE 'B-HSN' END AS label FROM conversations",
     "sheet_cells": CELLS_SQL,
     "batch_workbooks": BOOKS_SQL,
+    "cached_conversion": "WITH c AS (SELECT c_nationkey AS nation, CAST(count(*) AS INTEGER) AS lines FROM customer GROUP BY 1) SELECT CASE WHEN nation % 2 = 0 THEN 'first' ELSE 'second' END AS upload, nation, lines, false AS reused FROM c UNION ALL SELECT 'renamed', nation, lines, true FROM c WHERE nation % 2 = 0",
     "band_labels": BAND_SQL,
     "nearest_marks": MARKS_SQL,
     "name_search": SEARCH_SQL,
