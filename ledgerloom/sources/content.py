@@ -17,8 +17,8 @@ LISTED = "path string, modificationTime timestamp, length long, digest string, b
 class ContentCache:
     """Results of a conversion by the digest (SHA-256) of the content, in a folder that driver and executors see.
 
-    The stream's checkpoint knows the files it has seen, by path and time, so a run reads new and rewritten files only; of those it converts
-    the contents that no earlier file had. A batch has at most ``batch_files`` files, which bounds the table of paths that is broadcast.
+    The stream's checkpoint knows the files it has seen by their paths, whatever their age, so a run reads new ones only and converts the contents
+    that no earlier file had. An upload has a path of its own: what is written anew under a path that was seen isn't noticed. A batch has at most ``batch_files`` files, which bounds the table of paths that is broadcast.
     Each batch writes partitions of its own and overwrites them when it is delivered again, so a run that was broken off leaves
     nothing twice. One run at a time holds the checkpoint. Results of files that are gone stay. Spark lists no empty files, so they have no result.
     """
@@ -40,7 +40,7 @@ class ContentCache:
 
     def refresh(self, source: str, convert: Callable[[Column], Column]) -> None:
         """Takes what is new under ``source`` (a folder or a pattern of folders); ``convert`` makes the result of a content column."""
-        stream = self.spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.batch_files).load(source)
+        stream = self.spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", self.batch_files).option("maxFileAge", "36500d").load(source)
 
         def consume(batch: DataFrame, number: int) -> None:
             self._put(batch.select("path", "modificationTime", "length", F.sha2("content", 256).alias("digest")), "files", number)
@@ -53,7 +53,7 @@ class ContentCache:
         run_available(stream, consume, f"{self.folder}/checkpoint")
 
     def files(self) -> DataFrame:
-        """(path, modificationTime, length, digest, batch) of every file seen, each time it was."""
+        """(path, modificationTime, length, digest, batch) of every file seen."""
         return self._held("files", LISTED)
 
     def results(self) -> DataFrame:
@@ -61,7 +61,6 @@ class ContentCache:
         return self._held("results", self.kind)
 
     def current(self) -> DataFrame:
-        """(path, digest, result, reused) of every path as it was seen last; ``reused`` where an earlier batch had converted its content."""
-        last = F.max_by(F.struct("digest", "batch"), F.struct("batch", "modificationTime"))
-        seen = self.files().groupBy("path").agg(last.alias("f")).select("path", "f.digest", F.col("f.batch").alias("seen"))
+        """(path, digest, result, reused) of every file seen; ``reused`` where an earlier batch had converted its content."""
+        seen = self.files().select("path", "digest", F.col("batch").alias("seen"))
         return seen.join(self.results(), "digest").select("path", "digest", "result", (F.col("batch") < F.col("seen")).alias("reused"))
