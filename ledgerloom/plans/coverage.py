@@ -456,17 +456,17 @@ def stored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch workbook of customers of one nation as cells: the register with its totals, and a tab a file."""
-    rows = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat("c_name", F.lit(".pdf")).alias("file"), F.col("c_name").alias("SUPPLIER"), F.col("c_acctbal").cast(D2).cast("string").alias("TOTAL"))
-    return sinks.workbook_cells(validate.with_fields(rows), "file").select("sheet", "row", "name", "value").where("value <> ''")
+    """The batch workbooks of all nations' customers as cells: each the register with its totals, and a tab a file."""
+    rows = read(spark, sf_dir, "customer").select("c_nationkey", F.concat("c_name", F.lit(".pdf")).alias("file"), F.col("c_name").alias("SUPPLIER"), F.col("c_acctbal").cast(D2).cast("string").alias("TOTAL"))
+    return sinks.workbook_cells(validate.with_fields(rows), "file", "c_nationkey").select("c_nationkey", "sheet", "row", "name", "value").where("value <> ''")
 
 
 CELLS_SQL = """
-    WITH c AS (SELECT c_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS total, CAST(c_acctbal AS DECIMAL(18,2)) AS t, row_number() OVER (ORDER BY c_name || '.pdf') AS n FROM customer WHERE c_nationkey = 3),
-    s AS (SELECT count(*) AS n, coalesce(sum(t), 0) AS t FROM c)
-    SELECT 'Batch Register' AS sheet, n::INTEGER AS "row", 'row_no' AS name, CAST(n AS VARCHAR) AS value FROM c UNION ALL SELECT 'Batch Register', n, 'file', c_name || '.pdf' FROM c UNION ALL SELECT 'Batch Register', n, 'SUPPLIER', c_name FROM c UNION ALL SELECT 'Batch Register', n, 'TOTAL', total FROM c UNION ALL
-    SELECT 'Batch Register', n + 1, 'row_no', 'TOTALS (' || n || ' invoices)' FROM s UNION ALL SELECT 'Batch Register', n + 1, f, CASE WHEN f = 'TOTAL' THEN format('{:,.2f}', t) ELSE '0.00' END FROM s, unnest(['TAXABLE', 'CGST', 'SGST', 'IGST', 'TOTAL_GST', 'TOTAL']) AS u(f) UNION ALL
-    SELECT c_name || '.pdf', 0, 'Supplier Name', c_name FROM c UNION ALL SELECT c_name || '.pdf', 408, 'Net Payable (₹)', total FROM c
+    WITH c AS (SELECT c_nationkey, c_name, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS total, CAST(c_acctbal AS DECIMAL(18,2)) AS t, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name || '.pdf') AS n FROM customer),
+    s AS (SELECT c_nationkey, count(*) AS n, sum(t) AS t FROM c GROUP BY 1)
+    SELECT c_nationkey, 'Batch Register' AS sheet, n::INTEGER AS "row", 'row_no' AS name, CAST(n AS VARCHAR) AS value FROM c UNION ALL SELECT c_nationkey, 'Batch Register', n, 'file', c_name || '.pdf' FROM c UNION ALL SELECT c_nationkey, 'Batch Register', n, 'SUPPLIER', c_name FROM c UNION ALL SELECT c_nationkey, 'Batch Register', n, 'TOTAL', total FROM c UNION ALL
+    SELECT c_nationkey, 'Batch Register', n + 1, 'row_no', 'TOTALS (' || n || ' invoices)' FROM s UNION ALL SELECT c_nationkey, 'Batch Register', n + 1, f, CASE WHEN f = 'TOTAL' THEN format('{:,.2f}', t) ELSE '0.00' END FROM s, unnest(['TAXABLE', 'CGST', 'SGST', 'IGST', 'TOTAL_GST', 'TOTAL']) AS u(f) UNION ALL
+    SELECT c_nationkey, c_name || '.pdf', 0, 'Supplier Name', c_name FROM c UNION ALL SELECT c_nationkey, c_name || '.pdf', 408, 'Net Payable (₹)', total FROM c
 """
 
 

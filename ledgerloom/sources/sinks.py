@@ -75,14 +75,16 @@ def frame_rows(df: DataFrame) -> Iterable[list]:
         yield list(row)
 
 
-def workbook_cells(records: DataFrame, file_col: str) -> DataFrame:
-    """A batch workbook as rows (sheet, row, name, value): the register by row number with its totals last, and label and value of every file."""
-    numbered = register.batch_register(records, file_col, [file_col])
+def workbook_cells(records: DataFrame, file_col: str, batch: str | None = None) -> DataFrame:
+    """A batch workbook as rows (sheet, row, name, value): the register by row number with its totals last, and label and value of every file. With ``batch``, a workbook for each, under its column."""
+    kept = [batch] if batch else []
+    numbered = register.batch_register(records, file_col, [file_col], batch)
     cells = lambda c: F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value"))
-    rows = numbered.select(F.lit("Batch Register").alias("sheet"), F.col("row_no").cast("int").alias("row"), F.inline(F.array(*[cells(c) for c in numbered.columns])))
-    totals = register.shown_totals(register.total_row(records)).withColumn("row_no", F.concat(F.lit("TOTALS ("), F.col("invoices").cast("string"), F.lit(" invoices)")))
-    last = totals.select(F.lit("Batch Register"), (F.col("invoices") + 1).cast("int"), F.inline(F.array(*[cells(c) for c in ("row_no", *fixed.REGISTER_SUMS)])))
-    tabs = register.sections(records, file_col).select(F.col(file_col), "ordinal", "label", "value")
+    rows = numbered.select(*kept, F.lit("Batch Register").alias("sheet"), F.col("row_no").cast("int").alias("row"), F.inline(F.array(*[cells(c) for c in numbered.columns if c not in kept])))
+    sums = register.register_totals(records, batch) if batch else register.total_row(records)
+    totals = sums.select(*kept, "invoices", F.concat(F.lit("TOTALS ("), F.col("invoices").cast("string"), F.lit(" invoices)")).alias("row_no"), *[F.format_number(f, 2).alias(f) for f in fixed.REGISTER_SUMS])
+    last = totals.select(*kept, F.lit("Batch Register"), (F.col("invoices") + 1).cast("int"), F.inline(F.array(*[cells(c) for c in ("row_no", *fixed.REGISTER_SUMS)])))
+    tabs = register.sections(records.withColumn("_at", F.struct(*kept, F.col(file_col).alias("_file"))), "_at").select(*[f"_at.{c}" for c in kept], "_at._file", "ordinal", "label", "value")
     return rows.union(last).union(tabs)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fixed
 from ledgerloom.operators import validate
+from ledgerloom.sources import sinks
 from ledgerloom.sources import workbooks as wb
 
 
@@ -42,6 +43,14 @@ def test_batch_cells_cost_one_shuffle(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_cells_of_one_batch_and_of_many(spark):
+    rows = _records(spark)
+    one = {(r.sheet, r.row, r.name): r.value for r in sinks.workbook_cells(rows.where("batch = 'x'"), "file").collect()}
+    many = {(r.batch, r.sheet, r.row, r.name): r.value for r in sinks.workbook_cells(rows, "file", "batch").collect()}
+    assert {k[1:]: v for k, v in many.items() if k[0] == "x"} == one
+    assert one["Batch Register", 4, "row_no"] == "TOTALS (3 invoices)" and many[None, "Batch Register", 2, "TOTAL"] == "1,234.50" and many["y/z", "Batch Register", 1, "row_no"] == "1"
+
+
 def test_invoices_have_five_sheets(spark, tmp_path):
     rows = _records(spark).where("SUPPLIER = 'S & Co'").withColumn("raw_text", F.lit("one\ntwo"))
     wb.write_books(wb.invoice_books(rows, "file"), str(tmp_path / "i"))
