@@ -335,3 +335,21 @@ def test_a_failed_change_publishes_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         store.update(lambda held: held.select(F.raise_error(F.lit("broken")).cast("long").alias("id")))
     assert store.number() == 1 and store.read().count() == 3
+
+
+def test_invoices_shuffle_lines_once(spark):
+    """Neither the grouping to invoices nor the joins nor the dealing to tasks moves what was dealt by order."""
+    from ledgerloom.plans import render
+
+    plan = render.papers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(moved) == 1 and "hashpartitioning(l_orderkey" in moved[0]
+
+
+def test_records_without_items_collect_none(spark):
+    """Columns that a query on records doesn't use aren't made, shuffled or sorted."""
+    from ledgerloom.plans import catalog
+
+    for query in (catalog.tax_split, catalog.whole_register, catalog.tax_breakdown):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan and "row_number() windowspecdefinition(l_orderkey" not in plan
