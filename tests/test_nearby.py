@@ -74,3 +74,18 @@ def test_name_index_finds_what_contains_does(spark, tmp_path):
 def test_name_index_of_nothing(spark, tmp_path):
     index = search.NameIndex(spark, str(tmp_path / "i"), 2).build(spark.createDataFrame([], "name string"), "name")
     assert index.find_all(spark.createDataFrame([("a",), ("",)], "p string"), "p").count() == 0 and index.find("abc").count() == 0
+
+
+def test_band_best_is_the_least_of_all_pairs_without_pairs(spark):
+    r = random.Random(5)
+    value = lambda: r.choice([None, Decimal("0.5"), Decimal("-0.5"), Decimal("0")] + [Decimal(r.randint(-400, 400)) / 100 for _ in range(6)])
+    a, b = [(i, value()) for i in range(150)], [(r.randint(0, 99), r.randint(1, 3), value()) for _ in range(120)]
+    left, right = spark.createDataFrame(a, "i int, x decimal(18,2)"), spark.createDataFrame(b, "best int, k int, y decimal(18,2)")
+    got = nearby.band_best(left, right, "x", "y", "best", "k", "0.5")
+
+    def expected(x):
+        near = [(p, k) for p, k, y in b if x is not None and y is not None and abs(x - y) < Decimal("0.5")]
+        return (min(p for p, _ in near), sum(k for _, k in near)) if near else (None, None)
+
+    assert sorted((p.i, p.best, p.k) for p in got.collect()) == sorted((i, *expected(x)) for i, x in a)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
