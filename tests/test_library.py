@@ -353,3 +353,11 @@ def test_records_without_items_collect_none(spark):
     for query in (catalog.tax_split, catalog.whole_register, catalog.tax_breakdown):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "collect_list" not in plan and "row_number() windowspecdefinition(l_orderkey" not in plan
+
+
+def test_numbered_registers_make_their_rows_once(spark):
+    """Bounds, counts and numbers come from kept rows, not from the order tables again."""
+    from ledgerloom.plans import catalog
+
+    for query in (catalog.whole_register, catalog.numbered_invoices):
+        assert "lineitem" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
