@@ -28,3 +28,18 @@ def test_a_paper_whose_parties_are_one(spark, tmp_path, query):
 def test_supplier_named_twice_is_no_recipient(spark):
     rows = spark.createDataFrame([("GSTIN: 29ABCDE1234F1Z5\nGSTIN: 29ABCDE1234F1Z5",), ("GSTIN: 29ABCDE1234F1Z5 PAN: ABCDE1234F",)], "raw_text string")
     assert [r.GSTIN_R for r in extract.two_pass(rows).select("GSTIN_R").collect()] == [None, None]
+
+
+def test_gstins_by_one_search(spark):
+    """Without a transport label one search gives what the search by places gives: labelled ones first known, bare ones elsewhere added in order."""
+    a, b, c = "29ABCDE1234F1Z5", "27ZZZZZ1234F1Z5", "33QQQQQ9999Q1Z9"
+    texts = [f"{a} x {b}\nGSTIN/UIN: {c} gsti: {a.lower()}", f"GSTIN: {a}X\n{b} {b}", f"x{a} {c}", "none", f"GSTIN {a}\nGSTIN: {a}"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select(extract.gstins(F.col("t")).alias("one"), extract.gstins(F.concat("t", F.lit("." * 99 + "transport"))).alias("placed"), "i").orderBy("i").collect()
+    assert [r.one for r in got] == [r.placed for r in got] == [[b, c, a], [a, b], [c], [], [a]]
+
+
+def test_no_rule_runs_on_an_absent_text(spark):
+    rows = spark.createDataFrame([(None,), ("TAX INVOICE",)], "t string")
+    got = extract.full_extract(rows, "t", "r").orderBy("t").collect()
+    assert got[0].r is None and got[1].r is not None
