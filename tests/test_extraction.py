@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ledgerloom.operators import extract
+from ledgerloom.operators import extract, extract_v1
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
@@ -43,3 +43,13 @@ def test_no_rule_runs_on_an_absent_text(spark):
     rows = spark.createDataFrame([(None,), ("TAX INVOICE",)], "t string")
     got = extract.full_extract(rows, "t", "r").orderBy("t").collect()
     assert got[0].r is None and got[1].r is not None
+
+
+def test_older_roles_by_one_search(spark):
+    """Labelled and bare GSTINs by place; what stands before one is lower-cased once, not once for each use."""
+    a, b, c = "29ABCDE1234F1Z5", "27ZZZZZ1234F1Z5", "33QQQQQ9999Q1Z9"
+    texts = [f"{a}\nGSTIN: {b}\nBuyer GSTIN/UIN: {a}", f"GSTIN: {a.lower()} x {b}", f"Buyer\n{c} {a}", f"{a} GST No. {a}9 {b}", "none", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", extract_v1.gstin_roles(F.col("t")).alias("r"))
+    got = [r.r and (r.r.supplier, r.r.recipient) for r in rows.orderBy("i").collect()]
+    assert got == [(b, a), (a, b), (c, c), (a, a + "9"), (None, None), None]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
