@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from ledgerloom.functions import fixed
+from ledgerloom.functions import scalars as S
 from ledgerloom.functions.text import Labels
 from ledgerloom.operators import extract, jobs, labeling, merge, register, validate
 from ledgerloom.plans import catalog, coverage
@@ -361,3 +362,19 @@ def test_numbered_registers_make_their_rows_once(spark):
 
     for query in (catalog.whole_register, catalog.numbered_invoices):
         assert "lineitem" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_invoices_are_not_broadcast(spark):
+    for query in (catalog.tax_split, catalog.rate_snap, catalog.tax_reconcile):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        joined = next(line for line in plan.split("\n") if "Join [l_orderkey#" in line)
+        assert "SortMergeJoin" in joined
+
+
+def test_amounts_are_read_as_they_were(spark):
+    texts = ["12", "12.5", "0", "0.00", "99999999999.9999", "99999999999999.99", "1.23456", "-3", "₹ 1,200.50", "5d", "1e3", ".5", "5.", "", " 7 ", "x", "007.10", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "TAXABLE string")
+    bare = F.btrim(F.regexp_replace("TAXABLE", "[₹,]", ""))
+    old = F.when(bare.rlike(S.NUMBER), bare.try_cast("double").try_cast("decimal(18,4)"))
+    assert all(r.a == r.b for r in rows.select(validate.money("TAXABLE").alias("a"), F.when(old != 0, old).alias("b")).collect())
