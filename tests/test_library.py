@@ -378,3 +378,10 @@ def test_amounts_are_read_as_they_were(spark):
     bare = F.btrim(F.regexp_replace("TAXABLE", "[₹,]", ""))
     old = F.when(bare.rlike(S.NUMBER), bare.try_cast("double").try_cast("decimal(18,4)"))
     assert all(r.a == r.b for r in rows.select(validate.money("TAXABLE").alias("a"), F.when(old != 0, old).alias("b")).collect())
+
+
+@needs_data
+def test_words_are_labelled_by_plain_columns(spark):
+    plan = catalog.weak_labels(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    labelled = plan[: plan.index("Generate posexplode")]
+    assert "lambda" not in labelled
