@@ -385,3 +385,17 @@ def test_words_are_labelled_by_plain_columns(spark):
     plan = catalog.weak_labels(spark, SF)._jdf.queryExecution().executedPlan().toString()
     labelled = plan[: plan.index("Generate posexplode")]
     assert "lambda" not in labelled
+
+
+@needs_data
+def test_word_boxes_of_a_long_line(spark):
+    words = ["a" * (i % 7 + 1) for i in range(20000)]
+    got = spark.createDataFrame([(" " + " ".join(words),), (None,), ("",), ("one",)], "line string").select(labeling.word_boxes(F.col("line"), F.lit(0), F.lit(1), F.lit(900), F.lit(2)).alias("w"))
+    rows, x, total = [r.w for r in got.collect()], 0, sum(map(len, words))
+    for word, found in zip(words, rows[0], strict=True):
+        width = 900 * len(word) // total
+        assert (found.word, found.box) == (word, [x, 1, x + width, 2])
+        x += width
+    assert rows[1] is None and rows[2] == [] and [(w.word, w.box) for w in rows[3]] == [("one", [0, 1, 900, 2])]
+    # appending to an array word by word took time by the square of a line's words
+    assert "aggregate(" not in got._jdf.queryExecution().executedPlan().toString()
