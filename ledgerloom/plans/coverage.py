@@ -192,8 +192,10 @@ def model_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id").cast("string")
     said = F.concat(F.lit('Sure:\n```json\n{"PLACE_OF_SUPPLY": "Goa '), e, F.lit('", "TAXABLE": "₹ 1,2'), e, F.lit('.50", "TOTAL": "INR '), e, F.lit('", "CGST_RATE": "9", "SGST_RATE": "9%", "GSTIN_S": "29ABCDE1234F1Z5", "X": "",}\n```'))
     record = S.normal_record(S.decode_record(S.repair_json(F.when(F.col("event_id") % 5 == 0, F.lit("no json")).otherwise(said))))
-    item = lambda k: S.get_item(record, k).alias(k.lower())
-    return read(spark, sf_dir, "events").select("event_id", item("PLACE"), item("TAXABLE"), item("TOTAL"), item("CGST_RATE"), item("SGST_RATE"), item("STATE_CODE"), item("X"), register.field_count(record).alias("fields"))
+    item = lambda k: S.get_item(F.col("record"), k).alias(k.lower())
+    # a row's record is made once, for all that is read from it
+    rows = read(spark, sf_dir, "events").select("event_id", F.explode(F.array(record)).alias("record"))
+    return rows.select("event_id", item("PLACE"), item("TAXABLE"), item("TOTAL"), item("CGST_RATE"), item("SGST_RATE"), item("STATE_CODE"), item("X"), register.field_count(F.col("record")).alias("fields"))
 
 
 MODEL_SQL = """

@@ -399,3 +399,9 @@ def test_word_boxes_of_a_long_line(spark):
     assert rows[1] is None and rows[2] == [] and [(w.word, w.box) for w in rows[3]] == [("one", [0, 1, 900, 2])]
     # appending to an array word by word took time by the square of a line's words
     assert "aggregate(" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+def test_a_models_record_is_made_once(spark):
+    plan = coverage.model_output(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("no json") == 1
