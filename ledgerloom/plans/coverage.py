@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import scalars as S
-from ..functions.text import EXACT, contains_any, match_starts
+from ..functions.text import EXACT, contains_any, match_places, match_starts
 from ..operators import extract, extract_v1, jobs, labeling, merge, nearby, register, search, validate
 from ..sources import content, readers, sinks, versioned, workbooks
 from ..streaming import microbatch
@@ -546,7 +546,8 @@ def nearest_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word in capitals' case of every document with the sentence mark before and behind it, and the nearer one; -1 without one."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     points = docs.select("doc_id", F.explode(match_starts(F.col("text"), "[A-Z][a-z]+", EXACT)).alias("at"))
-    marks = docs.select("doc_id", F.explode(match_starts(F.col("text"), "[.!?]", EXACT)).alias("at"), "text").select("doc_id", "at", F.substr("text", F.col("at") + 1, F.lit(1)).alias("mark"))
+    # a mark comes with its place: no copy of the text goes with each
+    marks = docs.select("doc_id", F.inline(match_places(F.col("text"), "[.!?]", EXACT)).alias("at", "mark"))
     got = nearby.nearest_anchors(points, marks, "doc_id", "at", "mark")
     near = nearby.nearer(F.col("at"), F.col("before"), F.col("after"))
     return got.select("doc_id", F.col("at").cast("long").alias("place"), *[F.coalesce(c, F.lit(-1)).alias(n) for n, c in (("before_at", F.col("before.at")), ("after_at", F.col("after.at")), ("near_at", near["at"]))], F.col("before.mark").alias("before_mark"), F.col("after.mark").alias("after_mark"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerloom.functions import fixed
 from ledgerloom.functions import scalars as S
-from ledgerloom.functions.text import Labels
+from ledgerloom.functions.text import Labels, match_places
 from ledgerloom.operators import extract, jobs, labeling, merge, register, validate
 from ledgerloom.plans import catalog, coverage
 from ledgerloom.sources import readers, sinks, versioned
@@ -405,3 +405,12 @@ def test_word_boxes_of_a_long_line(spark):
 def test_a_models_record_is_made_once(spark):
     plan = coverage.model_output(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("no json") == 1
+
+
+@needs_data
+def test_marks_carry_no_text(spark):
+    plan = coverage.nearest_marks(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substr(text" not in plan and "substring(text" not in plan
+    text = "".join(f"{'x' * (i % 5)}." for i in range(300)) + "end"
+    got = spark.createDataFrame([(text,)], "t string").select(match_places(F.col("t"), "[.]").alias("z")).first().z
+    assert [(z.at, z.match) for z in got] == [(i, ".") for i, c in enumerate(text) if c == "."]
