@@ -23,6 +23,11 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(*[of(size) for size in range(1, GRAM + 1)]))
 
 
+def name_id(name: Column) -> Column:
+    """128 bits of a name's SHA-256, 16 bytes: each posting carries one, and there are some three a character."""
+    return F.unhex(F.substring(F.sha2(name, 256), 1, 32)).alias("name_id")
+
+
 class NameIndex:
     """Distinct names (in small letters), postings (gram, name's id) and gram counts, in a folder that driver and executors see.
 
@@ -39,7 +44,7 @@ class NameIndex:
 
     def build(self, rows: DataFrame, name: str) -> NameIndex:
         """Writes the index of the names of rows; null names are found by nothing."""
-        names = rows.select(_folded(F.col(name)).alias("name")).where("name IS NOT NULL").distinct().select(F.sha2("name", 256).alias("name_id"), "name")
+        names = rows.select(_folded(F.col(name)).alias("name")).where("name IS NOT NULL").distinct().select(name_id(F.col("name")), "name")
         names.write.parquet(f"{self.folder}/names")
         held = self.spark.read.parquet(f"{self.folder}/names")
         posted = held.select("name_id", F.explode(grams(F.col("name"))).alias("gram")).withColumn("bucket", self._bucket(F.col("gram")))
@@ -54,7 +59,7 @@ class NameIndex:
         return self.spark.read.parquet(f"{self.folder}/names")
 
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("name_id string, gram string, bucket int").parquet(f"{self.folder}/postings")
+        return self.spark.read.schema("name_id binary, gram string, bucket int").parquet(f"{self.folder}/postings")
 
     def find(self, pattern: str) -> DataFrame:
         """The distinct names that contain a pattern in any case. Only the folders of the pattern's grams are read; all its grams must be there, then the name is looked at."""

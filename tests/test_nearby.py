@@ -89,3 +89,9 @@ def test_band_best_is_the_least_of_all_pairs_without_pairs(spark):
 
     assert sorted((p.i, p.best, p.k) for p in got.collect()) == sorted((i, *expected(x)) for i, x in a)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_name_ids_are_short(spark, tmp_path):
+    index = search.NameIndex(spark, str(tmp_path / "i"), 2).build(spark.createDataFrame([("Ann",), ("ann",), ("Bob",)], "name string"), "name")
+    ids = [bytes(r.name_id) for r in index.names().collect()]
+    assert sorted(map(len, ids)) == [16, 16] and {bytes(r.name_id) for r in index.postings().collect()} == set(ids)
