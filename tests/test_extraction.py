@@ -53,3 +53,25 @@ def test_older_roles_by_one_search(spark):
     got = [r.r and (r.r.supplier, r.r.recipient) for r in rows.orderBy("i").collect()]
     assert got == [(b, a), (a, b), (c, c), (a, a + "9"), (None, None), None]
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("lower(") <= 2
+
+
+@needs_data
+def test_older_rules_run_only_for_what_is_asked(spark):
+    """Of the older rules only those of the fields in the result are in the plan, and its rows are dealt to all tasks."""
+    from ledgerloom.plans import coverage
+
+    got = coverage.older_rates(spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CGST" in plan and "IFSC" not in plan and "Challan" not in plan
+    assert "hashpartitioning(o_orderkey" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_older_rules_with_words_missing_or_folded(spark):
+    """A rule is searched where one of its words is, in any case; noise is repaired where any rule matches."""
+    texts = ["CGST @ 9%\nIGST RATE: 18%\nvendor code 55", "net payable 1,234.50\nChallan No 77", "nothing", None, "lnvoice Date: 12J052020\nAssessoble value 100.00"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, raw_text string")
+    got = {r["i"]: r for r in extract_v1.master_extract(rows).select("i", "CGST_RATE", "IGST_RATE", "VENDOR_CODE", "TOTAL", "CHALLAN_NO", "TAXABLE", "INV_DATE").collect()}
+    assert (got[0]["CGST_RATE"], got[0]["IGST_RATE"], got[0]["VENDOR_CODE"]) == ("9%", "18%", "55")
+    assert (got[1]["TOTAL"], got[1]["CHALLAN_NO"]) == ("1234.50", "77")
+    assert all(v is None for i in (2, 3) for f, v in got[i].asDict().items() if f != "i")
+    assert (got[4]["TAXABLE"], got[4]["INV_DATE"]) == ("100.00", "12/05/2020")
