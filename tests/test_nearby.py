@@ -95,3 +95,19 @@ def test_name_ids_are_short(spark, tmp_path):
     index = search.NameIndex(spark, str(tmp_path / "i"), 2).build(spark.createDataFrame([("Ann",), ("ann",), ("Bob",)], "name string"), "name")
     ids = [bytes(r.name_id) for r in index.names().collect()]
     assert sorted(map(len, ids)) == [16, 16] and {bytes(r.name_id) for r in index.postings().collect()} == set(ids)
+
+
+def test_sheet_rows_are_plain_columns(spark):
+    """The sheet's rows are made by one explode of the codes alone; white space and empty codes go, without codes there is one empty."""
+    from ledgerloom.operators import register, validate
+
+    rows = [("a", " 1 ,, \n2\t, ", "9.00"), ("b", None, None), ("c", "3 4,5", "1.00")]
+    got = register.gst_register_sheet(validate.with_fields(spark.createDataFrame(rows, "k string, HSN string, TOTAL string")), "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "inline(" not in plan
+    cells = {}
+    for r in got.orderBy("k", "row").collect():
+        cells.setdefault(r["k"], []).append((r["row"], r["head"][:9], r["hsn_code"], r["TOTAL"]))
+    assert cells["a"] == [(4, "1", "1", "9.00"), (5, "2", "2", None), (6, "TAX TOTAL", None, "9.00"), (8, "Net Amoun", None, None)]
+    assert cells["b"] == [(4, "1", "", None), (5, "TAX TOTAL", None, None), (7, "Net Amoun", None, None)]
+    assert [c[2] for c in cells["c"]] == ["3 4", "5", None, None]
