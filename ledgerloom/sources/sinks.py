@@ -41,8 +41,14 @@ def sheet_name(file: str, taken: Iterable[str] = ()) -> str:
     return name
 
 
+#: Letters of the columns that registers have; wider rows make theirs.
+_LETTERS = [column_letters(n) for n in range(1, 129)]
+_CONTROL = {n: " " for n in range(32) if n not in (9, 10)}
+
+
 def _row_xml(r: int, row: list) -> str:
-    cells = "".join(f'<c r="{column_letters(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape("".join(x if x >= " " or x in chr(10) + chr(9) else " " for x in str(v)))}</t></is></c>' for c, v in enumerate(row, 1) if v is not None)
+    at = lambda c: _LETTERS[c] if c < len(_LETTERS) else column_letters(c + 1)
+    cells = "".join([f'<c r="{at(c)}{r}" t="inlineStr"><is><t xml:space="preserve">{escape(v.translate(_CONTROL) if v and not v.isprintable() else v)}</t></is></c>' for c, v in enumerate([None if v is None else str(v) for v in row]) if v is not None])
     return f'<row r="{r}">{cells}</row>'
 
 

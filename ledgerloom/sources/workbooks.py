@@ -19,6 +19,7 @@ from itertools import groupby, islice
 from typing import BinaryIO
 from urllib.parse import quote
 from xml.etree import ElementTree
+from xml.parsers import expat
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,6 +142,7 @@ class BookFiles(InputPartition):
 
 
 _TAG = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_MAIN = _TAG[1:]
 _ID = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -152,8 +154,50 @@ def _column(place: str) -> int:
     return n - 1
 
 
+def _sheet_lines(part: BinaryIO, shared: list[str]) -> Iterator[tuple[int, list[str | None]]]:
+    """(line from 1, cells) of a sheet, read piece by piece; no tree is built of it."""
+    parser, done = expat.ParserCreate(namespace_separator="}"), []
+    parser.buffer_text = True
+    line, cells, kind, texts, value, into = 0, [], None, [], None, None
+
+    def start(tag: str, attributes: dict) -> None:
+        nonlocal line, cells, kind, texts, value, into
+        if tag == f"{_MAIN}t":
+            into = texts
+        elif tag == f"{_MAIN}c":
+            place = attributes.get("r")
+            cells += [None] * ((_column(place) if place else len(cells)) - len(cells))
+            kind, texts, value = attributes.get("t"), [], None
+        elif tag == f"{_MAIN}v":
+            into = value = []
+        elif tag == f"{_MAIN}row":
+            line, cells = int(attributes.get("r") or line + 1), []
+
+    def end(tag: str) -> None:
+        nonlocal into
+        if tag == f"{_MAIN}t" or tag == f"{_MAIN}v":
+            into = None
+        elif tag == f"{_MAIN}c":
+            own = "".join(value) or None if value is not None else None
+            cells.append("".join(texts) if kind == "inlineStr" else shared[int(own)] if kind == "s" and own else own)
+        elif tag == f"{_MAIN}row":
+            done.append((line, cells))
+
+    def characters(text: str) -> None:
+        if into is not None:
+            into.append(text)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    while piece := part.read(1 << 16):
+        parser.Parse(piece, False)
+        yield from done
+        done.clear()
+    parser.Parse(b"", True)
+    yield from done
+
+
 def read_book(source: BinaryIO) -> Iterator[tuple[int, str, int, list[str | None]]]:
-    """(sheet number, name, line from 1, cells) of every line of a workbook, a line in memory at a time; cells are texts as they are stored, absent ones null."""
+    """(sheet number, name, line from 1, cells) of every line of a workbook, a piece of a sheet in memory at a time; cells are texts as they are stored, absent ones null."""
     text = lambda e: "".join(t.text or "" for t in e.iter(f"{_TAG}t"))
     with zipfile.ZipFile(source) as z:
         shared = []
@@ -164,19 +208,8 @@ def read_book(source: BinaryIO) -> Iterator[tuple[int, str, int, list[str | None
         for n, sheet in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_TAG}sheet"), 1):
             target = targets[sheet.get(_ID)]
             with z.open(target.lstrip("/") if target.startswith("/") else f"xl/{target}") as part:
-                rows, line = None, 0
-                for event, e in ElementTree.iterparse(part, events=("start", "end")):
-                    if e.tag == f"{_TAG}sheetData" and event == "start":
-                        rows = e
-                    elif e.tag == f"{_TAG}row" and event == "end":
-                        line, cells = int(e.get("r") or line + 1), []
-                        for c in e.iter(f"{_TAG}c"):
-                            at = _column(c.get("r")) if c.get("r") else len(cells)
-                            cells += [None] * (at - len(cells))
-                            value = c.find(f"{_TAG}v")
-                            cells.append(text(c) if c.get("t") == "inlineStr" else None if value is None else shared[int(value.text)] if c.get("t") == "s" else value.text)
-                        yield n, sheet.get("name"), line, cells
-                        rows.clear()
+                for line, cells in _sheet_lines(part, shared):
+                    yield n, sheet.get("name"), line, cells
 
 
 class BookReader(DataSourceReader):

@@ -2,6 +2,7 @@
 
 import io
 import os
+import zipfile
 from types import SimpleNamespace
 
 import pytest
@@ -86,3 +87,23 @@ def test_names_are_distinct():
     assert [names(x) for x in ("a.pdf", "A.pdf", "a~2.pdf", "a.pdf")] == ["a", "A~2", "a~2~2", "a~3"]
     files = [wb.file_name(b) for b in (None, "%none", "none", "a/b", "a%2Fb", "x" * 300, "x" * 301)]
     assert len(set(files)) == len(files) and all(len(f) < 255 for f in files)
+
+
+def test_sheets_are_read_without_a_tree(monkeypatch):
+    """A sheet's rows come from parser events, not from a tree: cells with a place, rich text, stored values, shared texts and gaps."""
+    out, main = io.BytesIO(), "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    cells = '<c r="B2" t="inlineStr"><is><r><t>a&amp;</t></r><r><t>b</t></r></is></c><c r="D2"><v>1.5</v></c><c t="s"><v>0</v></c><c/><c t="inlineStr"><is><t/></is></c>'
+    sinks.write_workbook(out, [("one", [["x\x01\ty", None, "é"]])])
+    with zipfile.ZipFile(out, "a") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>sh</t></si></sst>')
+    with zipfile.ZipFile(out) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace(b"</sheetData>", f'<row r="2">{cells}</row><row><c><v>7</v></c></row></sheetData>'.encode())
+    again = io.BytesIO()
+    with zipfile.ZipFile(again, "w") as z:
+        for n, data in parts.items():
+            z.writestr(n, data)
+    parsed, real = [], wb.ElementTree.iterparse
+    monkeypatch.setattr(wb.ElementTree, "iterparse", lambda part, *a, **k: (parsed.append(part.name), real(part, *a, **k))[1])
+    assert list(wb.read_book(again)) == [(1, "one", 1, ["x \ty", None, "é"]), (1, "one", 2, [None, "a&b", None, "1.5", "sh", None, ""]), (1, "one", 3, ["7"])]
+    assert parsed == ["xl/sharedStrings.xml"]
