@@ -75,3 +75,21 @@ def test_older_rules_with_words_missing_or_folded(spark):
     assert (got[1]["TOTAL"], got[1]["CHALLAN_NO"]) == ("1234.50", "77")
     assert all(v is None for i in (2, 3) for f, v in got[i].asDict().items() if f != "i")
     assert (got[4]["TAXABLE"], got[4]["INV_DATE"]) == ("100.00", "12/05/2020")
+
+
+def test_extraction_runs_only_what_is_asked_and_once(spark):
+    """Of the rules only those of the fields in the result are in the plan, and a pattern stands there once a pass."""
+    rows = spark.createDataFrame([("IFSC: SBIN0001234",), ("Account No: 1234567",), (None,)], "raw_text string")
+    got = extract.two_pass(rows).select("IFSC", "SHIP_BY")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Challan" not in plan and "Consignee" not in plan
+    assert plan.count("Ship") == 2
+    assert [tuple(r) for r in got.collect()] == [("SBIN0001234", None), (None, None), (None, None)]
+
+
+def test_rules_of_several_patterns_pass_over_lines_without_their_label(spark):
+    """The first line with a label gives nothing, a later one does; each head is on the first line of whatever its patterns match."""
+    texts = ["Invoice No\nInvoice Date: none\nDated\nx 3-Jan-20\nInvoice Date: 01/02/2020", "Account x\nA/e No: 1234567", "State of x\nState Name: Goa, Code: 30", "abc IN-55\n AB/1234/20 \nIN-77"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.r for r in extract.full_extract(rows, "t", "r").orderBy("i").collect()]
+    assert (got[0].INV_DATE, got[1].AC_NO, got[2].STATE_CODE, got[3].INV_NO) == ("3-Jan-2020", "1234567", "30", "AB/1234/20")
